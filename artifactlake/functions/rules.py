@@ -144,6 +144,18 @@ EXTENSION_MIME = {
     ".eml": "message/rfc822",
 }
 
+# --- fixed values: device names no file may carry, and path length limits in bytes
+RESERVED_NAMES = (
+    "CON",
+    "PRN",
+    "AUX",
+    "NUL",
+    *[f"COM{n}" for n in range(1, 10)],
+    *[f"LPT{n}" for n in range(1, 10)],
+)
+MAX_LOCAL_PATH_BYTES = 4096
+MAX_REMOTE_PATH_BYTES = 1024
+
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a small constant table, NULL where the key is not in it."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import FilterState, artifact_domain, observed_at, state_predicate
+from .grouped import GROUP_LIMIT, number_rows
 
 
 def facets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -205,7 +206,7 @@ def read_counters(attempts: DataFrame, keys: Sequence[str] = ("range_id",)) -> D
         .agg(
             F.count(F.lit(1)).alias("attempted_reads"),
             F.count_if(full).alias("successful_reads"),
-            F.count_if("attempt > 1").alias("retry_reads"),
+            F.count_if(F.col("attempt") > 1).alias("retry_reads"),
             F.count_if(F.col("outcome") == "timeout").alias("timeouts"),
             F.count_if(short).alias("short_reads"),
             F.coalesce(F.bool_or(full & (F.col("attempt") > 1)), F.lit(False)).alias("recovered"),
@@ -252,3 +253,71 @@ def coverage(df: DataFrame, expected: DataFrame, col: str) -> DataFrame:
     return want.join(seen, col, "left_anti").select(F.lit("missing").alias("issue"), col).unionByName(
         seen.join(want, col, "left_anti").select(F.lit("unexpected").alias("issue"), col)
     )
+
+
+def group_items(df: DataFrame, by: str, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Entries of each group key with their position in input order (``ord``).
+
+    Rows, not one list per key: a single date or device may own most of the gallery.
+    """
+    keyed = df.select(
+        F.coalesce(F.nullif(F.col(by).cast("string"), F.lit("")), F.lit("ungrouped")).alias("key"),
+        "entry_id",
+        "ord",
+    )
+    return number_rows(keyed, ["key"], ["ord"], "position", limit).drop("ord")
+
+
+def inventory_checks(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejects with reason)`` of word lists: unique name, SHA-256 and source."""
+    repeated = (
+        lists.groupBy("name")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where("__n > 1")
+        .select("name", F.lit(True).alias("__dup"))
+    )
+    scheme = F.lower(F.regexp_extract(F.coalesce("source", F.lit("")), "^([^:]*):", 1))
+    digest = F.lower(F.coalesce("sha256", F.lit("")))
+    reason = (
+        F.when(F.col("__dup"), "duplicate_dictionary")
+        .when(~scheme.isin("https", "scratch"), "unsafe_source")
+        .when(~digest.rlike("^[0-9a-f]{64}$"), "invalid_hash")
+        .when(~F.coalesce(F.col("size_bytes") > 0, F.lit(False)), "invalid_size")
+    )
+    checked = lists.join(repeated, "name", "left").withColumn("reason", reason).drop("__dup")
+    return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
+
+
+def inventory_summary(valid: DataFrame) -> DataFrame:
+    return valid.agg(
+        F.count(F.lit(1)).alias("lists"),
+        F.count_if("enabled").alias("enabled"),
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
+        F.count_distinct("language").alias("languages"),
+    )
+
+
+def extraction_plan(members: DataFrame, archives: DataFrame, max_depth: int = 3) -> DataFrame:
+    """Per archive: extraction is allowed only if it was asked for, needs no password, is not nested
+    too deep and every member is allowed; else the first reason in that order.
+
+    ``archives`` has (archive_id, requested, password_required, depth); ``members`` (archive_id,
+    allowed).
+    """
+    facts = members.groupBy("archive_id").agg(
+        F.count(F.lit(1)).alias("members"), F.bool_and("allowed").alias("__all")
+    )
+    joined = archives.join(facts, "archive_id", "left")
+    reason = (
+        F.when(~F.col("requested"), "extraction_not_requested")
+        .when(F.col("password_required"), "password_required")
+        .when(F.col("depth") > max_depth, "nested_depth_blocked")
+        .when(~F.coalesce("__all", F.lit(True)), "unsafe_members_blocked")
+        .otherwise("bounded_scratch_extraction")
+    )
+    return joined.select(
+        "archive_id",
+        F.coalesce("members", F.lit(0)).alias("members"),
+        (reason == "bounded_scratch_extraction").alias("allowed"),
+        reason.alias("reason"),
+    )

@@ -226,20 +226,20 @@ def transition_checks(
             .when(F.col("from_state").isin(*closed), "terminal_state")
             .otherwise("invalid_transition"),
         )
-        .drop("__prev", state)
+        .drop("__prev", *([state] if state != "to_state" else []))
     )
 
 
 def job_states(
     log: DataFrame, keys: Sequence[str] = ("job_id",), base: int = 30, cap: int = 300
 ) -> DataFrame:
-    """Current state of every job from its log of (keys, seq, to_state, error_class, at).
+    """Current state of every job from its log of (keys, seq, to_state, error_class, changed_at).
 
     ``attempts`` counts leases. A failed attempt is retried when its error is transient (or the
     process died) and attempts are left; its retry time follows the capped exponential delay.
     """
     last = log.groupBy(*keys).agg(
-        F.max_by(F.struct("to_state", "error_class", "at"), "seq").alias("__last"),
+        F.max_by(F.struct("to_state", "error_class", "changed_at"), "seq").alias("__last"),
         F.count_if(F.col("to_state") == "leased").alias("attempts"),
         F.max("max_attempts").alias("max_attempts"),
     )
@@ -255,7 +255,7 @@ def job_states(
         "attempts",
         F.when(
             retryable & (error == "transient"),
-            F.timestamp_seconds(F.unix_timestamp(F.col("__last.at")) + delay.cast("long")),
+            F.timestamp_seconds(F.unix_timestamp(F.col("__last.changed_at")) + delay.cast("long")),
         ).alias("retry_after_at"),
         F.coalesce(retryable, F.lit(False)).alias("retryable"),
         now.isin(*CLOSED_JOB_STATES).alias("closed"),

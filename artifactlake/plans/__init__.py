@@ -5,6 +5,10 @@ from importlib import import_module
 MODULES = (
     "filters",
     "paging",
+    "aggs",
+    "joins",
+    "updates",
+    "windows",
 )
 
 
