@@ -9,6 +9,7 @@ MODULES = (
     "joins",
     "updates",
     "windows",
+    "classify",
 )
 
 

@@ -138,6 +138,48 @@ VIEWS = {
                CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size * 7 END AS thumb_width,
                CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_partkey % 90 + 1 END AS thumb_height
         FROM {part}""",
+    # pages as filesystem entries: host, language and number of the URL inside typical paths
+    "entries": """
+        SELECT page_id AS ord, 'e' || CAST(page_id AS STRING) AS entry_id,
+               'vol-' || CAST(page_id % 3 AS STRING) AS volume_id,
+               CASE page_id % 20
+                 WHEN 0 THEN 'Windows/System32/drivers/' || split_part(url, '/', 3) || '.sys'
+                 WHEN 1 THEN 'Users/' || split_part(url, '/', 4) || '/Documents/r' || CAST(page_id AS STRING) || '.PDF'
+                 WHEN 2 THEN replace('Users|' || split_part(url, '/', 4) || '|AppData|Local|Temp|'
+                     || CAST(page_id AS STRING) || '.tmp', '|', chr(92))
+                 WHEN 3 THEN '$Recycle.Bin/S-1-5/$R' || CAST(page_id AS STRING) || '.doc'
+                 WHEN 4 THEN 'DCIM/100NCDNG/IMG' || CAST(page_id AS STRING) || '.JPG'
+                 WHEN 5 THEN 'data/Backup/phone' || CAST(page_id AS STRING) || '.ab'
+                 WHEN 6 THEN 'Users/' || split_part(url, '/', 4) || '/AppData/Local/Google/Chrome/User Data/Default/'
+                     || CASE WHEN page_id % 3 = 0 THEN 'History' ELSE 'Cookies' END
+                 WHEN 7 THEN 'Users/' || split_part(url, '/', 4) || '/AppData/Roaming/Mozilla/Firefox/Profiles/p'
+                     || CAST(page_id % 4 AS STRING) || '.default/places.sqlite'
+                 WHEN 8 THEN 'home/' || split_part(url, '/', 4) || '/.ssh/id_rsa'
+                 WHEN 9 THEN 'Users/' || split_part(url, '/', 4) || '/Bitcoin/wallets/wallet.dat'
+                 WHEN 10 THEN 'Users/' || split_part(url, '/', 4) || '/MobileSync/Backup/'
+                     || CASE WHEN page_id % 7 < 3 THEN '0123456789abcdef0123456789abcdef01234567' ELSE 'moved' END
+                     || CASE page_id % 3 WHEN 0 THEN '/Manifest.plist' WHEN 1 THEN '/Manifest.db' ELSE '/Status.plist' END
+                 WHEN 11 THEN 'Program Files/App' || CAST(page_id % 9 AS STRING) || '/run' || CAST(page_id AS STRING) || '.exe'
+                 WHEN 12 THEN 'Program Files/WindowsApps/Pkg' || CAST(page_id % 5 AS STRING) || '_1.' || CAST(page_id % 3 AS STRING) || '_x64/a.exe'
+                 WHEN 13 THEN 'mail/box' || CAST(page_id AS STRING) || '.pst'
+                 WHEN 14 THEN 'images/d' || CAST(page_id AS STRING) || '.vhdx/inner/f.zip/x.bak'
+                 WHEN 15 THEN 'Users/' || split_part(url, '/', 4) || '/Desktop/keys/' || CAST(page_id AS STRING) || '.kdbx'
+                 WHEN 16 THEN 'Windows/System32/config/SOFTWARE'
+                 WHEN 17 THEN 'sdcard/Android/dev' || CAST(page_id % 4 AS STRING) || '/manifest.json'
+                 WHEN 18 THEN 'Users/' || split_part(url, '/', 4) || '/fake wallet ' || CAST(page_id AS STRING) || '.txt'
+                 ELSE substr(url, 8) END AS display_path,
+               CASE WHEN page_id % 11 = 0 THEN 'deleted' WHEN page_id % 13 = 0 THEN 'symlink' ELSE 'file' END AS entry_type,
+               page_id % 11 <> 0 AS allocated,
+               CASE WHEN page_id % 4 = 0 THEN 'S-1-5-21-' || CAST(page_id % 5 AS STRING) END AS owner_id,
+               CASE page_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/zip'
+                 WHEN 3 THEN 'text/plain' WHEN 4 THEN 'application/octet-stream' WHEN 5 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+                 END AS mime_type,
+               CASE page_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'zip' WHEN 3 THEN 'text'
+                 WHEN 4 THEN 'unknown' WHEN 5 THEN 'docx' END AS sig,
+               CASE page_id % 7 WHEN 0 THEN 0.98 WHEN 1 THEN 0.98 WHEN 2 THEN 0.9 WHEN 3 THEN 0.8 WHEN 4 THEN 0.2
+                 WHEN 5 THEN 0.92 END AS sig_confidence,
+               page_id % 5 = 0 AS mismatch
+        FROM {pages}""",
     # events as the per-case event log; user_id plays the case
     "event_log": """
         SELECT event_id, user_id AS case_id, event_type, props AS payload_json, ts AS created_at,
