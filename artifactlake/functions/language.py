@@ -19,6 +19,10 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]", ""))
 
 
+def _one_of(words: list[str]):
+    return lambda token: token.isin(*words)
+
+
 def detect_language(
     df: DataFrame, text_col: str, sample_chars: int | None = None, out: str = "language"
 ) -> DataFrame:
@@ -60,7 +64,7 @@ def detect_language(
     scores = []
     for lang, words in LANGUAGE_MARKERS.items():
         terms = sorted(set(words.split()))
-        hits = F.size(F.filter("__marks", lambda t, terms=terms: t.isin(*terms)))
+        hits = F.size(F.filter("__marks", _one_of(terms)))
         seen = F.filter(
             F.array(*[F.lit(w) for w in terms]), lambda w: F.array_contains("__marks", w)
         )

@@ -10,6 +10,7 @@ MODULES = (
     "updates",
     "windows",
     "classify",
+    "content",
 )
 
 
