@@ -118,3 +118,51 @@ def follow_chain(
         second = step.select(*keys, F.col(at).alias(to), F.col(to).alias("__far"))
         step = settle(step.join(second, [*keys, to]).select(*keys, at, F.col("__far").alias(to)))
     return reached
+
+
+def last_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    out: str,
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Add ``out``: the last non-NULL ``value`` among the rows before this one in its group."""
+    upto = lambda win: win.rowsBetween(W.unboundedPreceding, -1)
+    if peak_group(df, keys) <= limit:
+        win = upto(W.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(win))
+    sliced = _sliced(df, keys, order)
+    local = upto(W.partitionBy("__slice", *keys).orderBy(*order))
+    across = upto(W.partitionBy(*keys).orderBy("__slice"))
+    rank = F.when(F.col(value).isNotNull(), F.struct(*order))
+    carried = (
+        sliced.groupBy(*keys, "__slice")
+        .agg(F.max_by(value, rank).alias("__last"))
+        .select(
+            *keys, "__slice", F.last("__last", ignorenulls=True).over(across).alias("__carried")
+        )
+    )
+    rows = sliced.withColumn("__near", F.last(value, ignorenulls=True).over(local))
+    joined = join_null_safe(rows, carried, [*keys, "__slice"])
+    return joined.withColumn(out, F.coalesce("__near", "__carried")).drop(
+        "__slice", "__near", "__carried"
+    )
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Inner join of rows with one row per group that carries the group's size.
+
+    Groups above ``hot_rows`` rows are few (their number is at most rows / hot_rows and is checked):
+    they are broadcast, so their rows never meet in one task. The others take a plain join.
+    """
+    hot = groups.where(F.col(size) > hot_rows)
+    few = hot.limit(10_001).count()
+    if few == 0 or few > 10_000:
+        # too many for a broadcast: adaptive execution splits the skewed partitions instead
+        return rows.join(groups, list(keys))
+    warm = groups.where(F.col(size) <= hot_rows)
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rows.join(warm, list(keys)))

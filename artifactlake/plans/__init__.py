@@ -11,6 +11,7 @@ MODULES = (
     "windows",
     "classify",
     "content",
+    "dedupe",
 )
 
 
