@@ -239,7 +239,16 @@ def image_groups(df: DataFrame, threshold: int = 8, width: int = 16) -> tuple[Da
     """
     words = width // 16
     images = df.where(F.col("media_kind").isin("image", "photo") & F.col("perceptual_hash").isNotNull())
-    hashed = images.withColumn("h", hash_words("perceptual_hash", width))
+    # read several times below: written once, with the narrow columns only
+    hashed = settle(
+        images.select(
+            "finding_id",
+            "size_bytes",
+            "source_paths",
+            "preview_uri",
+            hash_words("perceptual_hash", width).alias("h"),
+        )
+    )
     warnings = hashed.where("h IS NULL").select(
         F.concat(F.lit("invalid_perceptual_hash:"), F.col("finding_id").cast("string")).alias("warning")
     )
@@ -385,7 +394,9 @@ def video_groups(
     frames = F.transform(
         F.slice("video_keyframe_hashes", 1, max_frames), lambda f: hash_words(f, 16)[0]
     )
-    hashed = videos.withColumn("seq", frames)
+    hashed = settle(
+        videos.select("finding_id", "size_bytes", "source_paths", "preview_uri", frames.alias("seq"))
+    )
     broken = F.exists("seq", lambda f: f.isNull())
     warnings = hashed.where(broken).select(
         F.concat(F.lit("invalid_video_keyframe_hash:"), F.col("finding_id").cast("string")).alias("warning")

@@ -12,6 +12,8 @@ MODULES = (
     "classify",
     "content",
     "dedupe",
+    "graphs",
+    "nested",
 )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedupe as op
 from ..registry import query
+from ..session import settle
 from .bindings import run_sql, table
 
 DOCS = """SELECT 'd' || lpad(CAST(doc_id AS STRING), 9, '0') AS finding_id,
@@ -67,7 +68,9 @@ SIGN_SQL = f"""s AS (SELECT *, CAST(bits AS BIT) AS h FROM ({HASHED.replace("{t}
 
 def doc_hashes(spark, sf):
     rows = run_sql(spark, sf, HASHED.replace("{t}", "{documents}"))
-    return rows.withColumn("perceptual_hash", F.lower(F.lpad(F.conv("bits", 2, 16), 16, "0")))
+    hashed = rows.withColumn("perceptual_hash", F.lower(F.lpad(F.conv("bits", 2, 16), 16, "0")))
+    # hashes are made once, at ingest; without the cut every later filter would repeat the counting
+    return settle(hashed.drop("bits"))
 
 
 THRESHOLD = 8
