@@ -14,6 +14,7 @@ MODULES = (
     "dedupe",
     "graphs",
     "nested",
+    "streams",
 )
 
 
