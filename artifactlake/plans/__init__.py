@@ -10,10 +10,12 @@ MODULES = (
     "updates",
     "windows",
     "classify",
+    "flagship",
     "content",
     "dedupe",
     "graphs",
     "nested",
+    "exports",
     "streams",
 )
 
