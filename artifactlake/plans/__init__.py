@@ -12,6 +12,7 @@ MODULES = (
     "classify",
     "flagship",
     "content",
+    "records",
     "dedupe",
     "graphs",
     "nested",
