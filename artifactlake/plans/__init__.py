@@ -15,6 +15,7 @@ MODULES = (
     "records",
     "dedupe",
     "graphs",
+    "locators",
     "nested",
     "exports",
     "streams",
