@@ -11,7 +11,7 @@ MIN_ALPHA = 20
 MIN_TOKENS = 4
 MIN_CONFIDENCE = 0.35
 MIXED_RATIO = 0.55
-_TOKEN = r"([A-Za-zÀ-ÖØ-öø-ÿ']+)"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -34,33 +34,26 @@ def detect_language(
     text = F.coalesce(F.col(text_col), F.lit(""))
     if sample_chars is not None:
         text = F.substring(text, 1, sample_chars)
-    staged = df.withColumn("__t", text).withColumn(
-        "__tokens",
-        F.filter(
-            F.transform(
-                F.regexp_extract_all("__t", F.lit(_TOKEN), F.lit(1)),
-                lambda t: F.trim(F.lower(t), F.lit("'")),
-            ),
-            lambda t: F.length(t) > 1,
-        ),
-    )
+    # letters and apostrophes only, lower-case; a token is a run between spaces with two letters or more
+    words = F.lower(F.regexp_replace("__t", f"[^{_LETTERS}']", " "))
+    staged = df.withColumn("__t", text).withColumn("__w", words)
     alpha = _count(F.col("__t"), r"\p{L}")
     digits = _count(F.col("__t"), r"\p{Nd}")
     visible = F.length(F.regexp_replace("__t", r"(?U)\s", ""))
     punctuation = F.length(F.regexp_replace("__t", r"(?U)[\p{L}\p{N}\s]", ""))
+    all_marks = sorted({w for words_ in LANGUAGE_MARKERS.values() for w in words_.split()})
+    # only marker words are lifted out, so the arrays below stay small
+    marks = F.regexp_extract_all("__w", F.lit(rf"(?<![^ ])'*({'|'.join(all_marks)})'*(?![^ ])"), F.lit(1))
+    tokens = F.regexp_count("__w", F.lit(rf"[^' ][^ ]*[^' ]"))
     staged = staged.select(
         *df.columns,
         "__t",
-        "__tokens",
+        "__w",
+        tokens.alias("__tokens"),
+        F.filter(marks, lambda m: F.length(m) > 1).alias("__marks"),
         alpha.alias("__alpha"),
         ((visible == 0) | (digits > alpha) | (punctuation > alpha * 2)).alias("__noise"),
-        F.greatest(F.lit(4), F.least(F.size("__tokens"), F.lit(20))).alias("__base"),
-    )
-    all_marks = sorted({w for words in LANGUAGE_MARKERS.values() for w in words.split()})
-    # only marker words are counted from here on
-    staged = staged.withColumn(
-        "__marks", F.filter("__tokens", lambda t: t.isin(*all_marks))
-    ).withColumn("__text", F.array_join("__tokens", " "))
+    ).withColumn("__base", F.greatest(F.lit(4), F.least(F.col("__tokens"), F.lit(20))))
     scores = []
     for lang, words in LANGUAGE_MARKERS.items():
         terms = sorted(set(words.split()))
@@ -70,7 +63,7 @@ def detect_language(
         )
         accents = LANGUAGE_ACCENTS.get(lang)
         bonus = (
-            F.when(F.col("__text").rlike(f"[{accents}]"), F.lit(1)).otherwise(F.lit(0))
+            F.when(F.col("__w").rlike(f"[{accents}][^ ]*[^' ]|[^' ][^ ]*[{accents}]"), F.lit(1)).otherwise(F.lit(0))
             if accents
             else F.lit(0)
         )
@@ -89,7 +82,7 @@ def detect_language(
     mixed = second["confidence"] >= first["confidence"] * MIXED_RATIO
     reason = (
         F.when(F.col("__noise"), "low_language_signal")
-        .when((F.col("__alpha") < MIN_ALPHA) | (F.size("__tokens") < MIN_TOKENS), "short_text")
+        .when((F.col("__alpha") < MIN_ALPHA) | (F.col("__tokens") < MIN_TOKENS), "short_text")
         .when(first["confidence"] < MIN_CONFIDENCE, "low_confidence_language")
     )
     low = F.lower("__t")

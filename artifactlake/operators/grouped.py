@@ -7,11 +7,14 @@ slice, and carry one row per (key, slice) across the cuts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import settle
@@ -166,3 +169,48 @@ def join_groups(
         return rows.join(groups, list(keys))
     warm = groups.where(F.col(size) <= hot_rows)
     return rows.join(F.broadcast(hot), list(keys)).unionByName(rows.join(warm, list(keys)))
+
+
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """Filter on costly derived columns without copying their expressions.
+
+    Catalyst pushes a filter below the projection that makes its columns and repeats their
+    expressions there, once per use. A projection with a random column is not crossed, so the columns
+    are made once and then filtered. (Plain filters should be pushed down; use this on derived ones.)
+    """
+    return df.withColumn("__held", F.rand(0)).where((F.col("__held") >= 0) & cond).drop("__held")
+
+
+def fold_sorted(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    values: Sequence[str],
+    out: str,
+    out_type: T.DataType,
+    start: Callable[[], Any],
+    step: Callable[[Any, tuple], tuple[Any, Any]],
+) -> DataFrame:
+    """Add ``out`` by a fold over each key's rows in order of ``pos``.
+
+    Rows are shuffled by key and sorted inside their partition; one Arrow stream per task carries only
+    the fold state from row to row, so no group is ever held in memory.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, out_type)])
+    key_names, value_names = list(keys), list(values)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), None
+        for pdf in batches:
+            made = []
+            key_rows = zip(*[pdf[k].tolist() for k in key_names], strict=True)
+            value_rows = zip(*[pdf[v].tolist() for v in value_names], strict=True)
+            for key, row in zip(key_rows, value_rows, strict=True):
+                if key != current:
+                    current, state = key, start()
+                state, result = step(state, row)
+                made.append(result)
+            yield pdf.assign(**{out: made})
+
+    ready = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, pos)
+    return ready.mapInPandas(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import has_any, no_strings
 from ..functions.rules import CHROMIUM_FILES, FIREFOX_FILES, PROFILE_DIRS, SECRET_MARKERS
 from ..functions.text import path_suffix, present, stable_id
+from .grouped import keep_where
 from .graphs import ancestors, on_ancestors, owner_by_prefix
 from .joins import enrich_by_path, path_key
 from .windows import schedule_cap
@@ -441,21 +442,21 @@ def locate_browser_profiles(
             for f, b, fam, own in variants
         ]
     )
-    hit = work.withColumn("__i", which).where("__i IS NOT NULL").withColumn("__v", F.element_at(table, F.col("__i") + 1))
+    hit = keep_where(work.withColumn("__i", which), F.col("__i").isNotNull()).withColumn("__v", F.element_at(table, F.col("__i") + 1))
     folder, family, own = F.col("__v.folder"), F.col("__v.family"), F.col("__v.own")
     at = F.position(F.concat(F.lit("/"), folder, F.lit("/")), p)
     hit = hit.withColumn("__top", depth_of(at, folder) + F.when(own, 1).otherwise(0))
     top = F.col("__top")
     shown = F.filter(
-        F.slice(low, top + 1, F.size(low)), lambda s: F.array_contains(profile_files(family), s)
+        F.slice(low, F.greatest(top, F.lit(0)) + 1, F.size(low)), lambda s: F.array_contains(profile_files(family), s)
     )
     filled = hit.withColumn(
         "__h",
         F.struct(
             F.col("__v.name").alias("browser_name"),
             family.alias("browser_family"),
-            F.array_join(F.slice(parts, F.lit(1), top), "/").alias("profile_path"),
-            F.when(own, F.element_at(parts, top)).otherwise("profile").alias("profile_name"),
+            F.array_join(F.slice(parts, F.lit(1), F.greatest(top, F.lit(0))), "/").alias("profile_path"),
+            F.when(own, F.try_element_at(parts, F.greatest(top, F.lit(1)))).otherwise("profile").alias("profile_name"),
             F.try_element_at(shown, F.lit(1)).alias("evidence"),
         ),
     )

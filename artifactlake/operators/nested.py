@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import settle
-from .grouped import follow_chain, last_before, number_rows
+from .grouped import fold_sorted, follow_chain, last_before, number_rows
 
 FOLD_LIMIT = 100_000
 SLICE = 1_000_000
@@ -40,18 +39,15 @@ def chunk_text(df: DataFrame, text_col: str, max_chars: int, overlap: int) -> Da
     )
 
 
-def _fold(max_items: int, max_bytes: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        batches, batch, items, size = [], 1, 0, 0
-        for b in pdf["__bytes"]:
-            if items and (items >= max_items or size + b > max_bytes):
-                batch, items, size = batch + 1, 0, 0
-            items, size = items + 1, size + b
-            batches.append(batch)
-        return pdf.assign(batch=batches)
+def _fold(rows: DataFrame, keys: Sequence[str], max_items: int, max_bytes: int) -> DataFrame:
+    def step(state: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], int]:
+        batch, items, size = state
+        (b,) = row
+        if items and (items >= max_items or size + b > max_bytes):
+            batch, items, size = batch + 1, 0, 0
+        return (batch, items + 1, size + b), batch
 
-    return run
+    return fold_sorted(rows, keys, "__pos", ["__bytes"], "batch", T.LongType(), lambda: (1, 0, 0), step)
 
 
 def pack_batches(
@@ -74,12 +70,11 @@ def pack_batches(
     rows = number_rows(sized.where(F.col("__bytes") <= max_bytes), keys, order, "__pos")
     lengths = rows.groupBy(*keys).agg(F.max("__pos").alias("__n"))
     long_ones = lengths.where(F.col("__n") > limit).select(*keys)
-    schema = T.StructType(rows.schema.fields + [T.StructField("batch", T.LongType())])
     if long_ones.isEmpty():
-        packed = rows.groupBy(*keys).applyInPandas(_fold(max_items, max_bytes), schema)
+        packed = _fold(rows, keys, max_items, max_bytes)
         return packed.drop("__pos", "__bytes"), oversized
     short = rows.join(long_ones, list(keys), "left_anti")
-    packed = short.groupBy(*keys).applyInPandas(_fold(max_items, max_bytes), schema)
+    packed = _fold(short, keys, max_items, max_bytes)
     rest = _pack_long(rows.join(long_ones, list(keys), "left_semi"), keys, max_items, max_bytes)
     return packed.unionByName(rest).drop("__pos", "__bytes"), oversized
 

@@ -24,6 +24,7 @@ from ..functions.rules import (
     lookup,
 )
 from ..functions.text import present
+from .grouped import keep_where
 
 
 def _none() -> Column:
@@ -99,7 +100,7 @@ def validate_artifacts(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFra
         )
     )
     judged = work.withColumn("warnings", warnings).drop("__f", "__k", "__kind")
-    return judged.where(F.size("warnings") == 0), judged.where(F.size("warnings") > 0)
+    return keep_where(judged, F.size("warnings") == 0), keep_where(judged, F.size("warnings") > 0)
 
 
 # --------------------------------------------------------------------------- archives and parsers
@@ -399,7 +400,7 @@ def validate_model_output(df: DataFrame, json_col: str, task: str) -> tuple[Data
     code = code.when(F.size(evidence) == 0, "missing_evidence")
     judged = work.withColumn("code", code)
     content = redact_secrets(
-        judged.where("code IS NULL").withColumn("__text", F.col(json_col)),
+        keep_where(judged, F.col("code").isNull()).withColumn("__text", F.col(json_col)),
         "__text",
         OUTPUT_SECRET_PATTERNS,
         "content",
@@ -413,7 +414,7 @@ def validate_model_output(df: DataFrame, json_col: str, task: str) -> tuple[Data
         "content",
         (F.size("redactions") > 0).alias("was_redacted"),
     )
-    return valid, judged.where("code IS NOT NULL").select(*df.columns, "code")
+    return valid, keep_where(judged, F.col("code").isNotNull()).select(*df.columns, "code")
 
 
 # --------------------------------------------------------------------------- devices

@@ -27,18 +27,17 @@ def s1(spark, sf):
 
 @query(
     "s2_load_objects",
-    """SELECT page_id, octet_length(encode(html)) + 1 AS size_bytes, sha256(html || chr(10)) AS sample_sha256 FROM pages""",
+    """SELECT split_part(url, '/', 4) AS folder, sum(octet_length(encode(html)) + 1)::BIGINT AS size_bytes, TRUE AS sampled FROM pages GROUP BY 1""",
 )
 def s2(spark, sf):
-    # pages written as plain text files, one object per page, then read back as objects
+    # pages written as text objects into one folder per language, then read back as objects
     root = f"{scratch_dir(spark).rstrip('/')}/objects-{uuid.uuid4().hex}"
-    pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("value"))
-    pages.write.partitionBy("page_id").text(root)
-    objects = readers.load_objects(spark, f"{root}/page_id=*/*.txt", sample_limit=1 << 30)
-    return objects.select(
-        F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"),
-        F.col("size_bytes").cast("long").alias("size_bytes"),
-        F.sha2("sample", 256).alias("sample_sha256"),
+    pages = run_sql(spark, sf, "SELECT split_part(url, '/', 4) AS folder, html AS value FROM {pages}")
+    pages.write.partitionBy("folder").text(root)
+    objects = readers.load_objects(spark, f"{root}/folder=*/*.txt", sample_limit=4096)
+    sampled = F.octet_length("sample") == F.least(F.col("size_bytes"), F.lit(4096))
+    return objects.groupBy(F.regexp_extract("path", r"folder=([^/]*)/", 1).alias("folder")).agg(
+        F.sum("size_bytes").alias("size_bytes"), F.bool_and(sampled).alias("sampled")
     )
 
 

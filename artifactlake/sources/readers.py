@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grouped import keep_where
+
 SAMPLE_BYTES = 8192
 
 
@@ -37,9 +39,8 @@ MAX_FIELD_CHARS = 4_096
 MAX_BATCH_FINDINGS = 256
 
 
-def _line_problem(raw: Column) -> DataFrame | Column:
+def _line_problem(raw: Column, doc: Column, body: Column) -> Column:
     text = raw.cast("string")
-    doc = F.try_parse_json(text)
     kind = F.try_variant_get(doc, "$.type", "string")
     kind_of = lambda path: F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
     payload = F.try_variant_get(doc, "$.payload", "map<string,variant>")
@@ -53,7 +54,6 @@ def _line_problem(raw: Column) -> DataFrame | Column:
         ),
         kind,
     )
-    body = F.to_json(F.try_variant_get(doc, "$.payload", "variant"))
     # escapes count as one character; doubled backslashes are taken out before control marks are sought
     bare = F.regexp_replace(body, r"\\\\", "__")
     flat = F.regexp_replace(bare, r'\\u[0-9a-fA-F]{4}|\\.', "_")
@@ -97,15 +97,20 @@ def read_messages(lines: DataFrame, col: str = "value") -> tuple[DataFrame, Data
     Works on batch and streaming frames alike. ``replay_key`` parts are lifted out for dedupe.
     """
     text = F.col(col).cast("string")
-    judged = lines.withColumn("reason", _line_problem(F.col(col)))
-    valid = judged.where("reason IS NULL").drop("reason")
+    # parsed once per line: the later steps only read the parsed value
+    parsed = lines.withColumn("__doc", F.try_parse_json(text)).withColumn(
+        "__body", F.to_json(F.try_variant_get("__doc", "$.payload", "variant"))
+    )
+    problem = _line_problem(F.col(col), F.col("__doc"), F.col("__body"))
+    judged = parsed.withColumn("reason", problem).drop("__doc", "__body")
+    valid = keep_where(judged, F.col("reason").isNull()).drop("reason")
     valid = valid.select(
         *lines.columns,
         F.get_json_object(text, "$.type").alias("type"),
         F.get_json_object(text, "$.sequence").cast("long").alias("sequence"),
         F.get_json_object(text, "$.payload").alias("payload"),
     )
-    return valid, judged.where("reason IS NOT NULL")
+    return valid, keep_where(judged, F.col("reason").isNotNull())
 
 
 _LISTING = r"^([drlv-])/([*\-])\s+(\d+(?:-\d+)*)\s*:\s*(.*)$"

@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.grouped import follow_chain, last_before, number_rows
+from ..operators.grouped import fold_sorted, follow_chain, last_before, number_rows
 from ..session import settle
 
 FOLD_LIMIT = 100_000
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("__thr_pos")
-    kept, last = [], None
-    for at, gap in zip(pdf["__thr_at"], pdf["__thr_gap"], strict=True):
-        take = last is None or at - last >= gap
-        kept.append(take)
-        last = at if take else last
-    return pdf.assign(kept=kept)
+def _step(last: int | None, row: tuple) -> tuple[int | None, bool]:
+    at, gap = row
+    take = last is None or at - last >= gap
+    return (at if take else last), take
+
+
+def _fold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return fold_sorted(
+        rows, keys, "__thr_pos", ["__thr_at", "__thr_gap"], "kept", T.BooleanType(), lambda: None, _step
+    )
 
 
 def greedy_throttle(
@@ -43,14 +44,12 @@ def greedy_throttle(
     narrow = rows.select(*keys, "__thr_pos", "__thr_at", "__thr_gap")
     sizes = narrow.groupBy(*keys).agg(F.max("__thr_pos").alias("__n"))
     long_keys = sizes.where(F.col("__n") > limit).select(*keys)
-    schema = T.StructType([*narrow.schema.fields, T.StructField("kept", T.BooleanType())])
     if long_keys.isEmpty():
         # whole rows go through the fold: no join back
-        full = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())])
-        return rows.groupBy(*keys).applyInPandas(_fold, full).drop("__thr_pos", "__thr_at", "__thr_gap")
+        return _fold(rows, keys).drop("__thr_pos", "__thr_at", "__thr_gap")
     rows = settle(rows)
     narrow = rows.select(*keys, "__thr_pos", "__thr_at", "__thr_gap")
-    short = narrow.join(long_keys, list(keys), "left_anti").groupBy(*keys).applyInPandas(_fold, schema)
+    short = _fold(narrow.join(long_keys, list(keys), "left_anti"), keys)
     walked = _walk(narrow.join(long_keys, list(keys), "left_semi"), keys)
     kept = short.where("kept").select(*keys, "__thr_pos").unionByName(walked)
     return (
