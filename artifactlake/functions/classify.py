@@ -39,7 +39,7 @@ def starts_any(text: Column, *prefixes: str) -> Column:
 
 
 def exact_round(x: Column, digits: int = 2) -> Column:
-    """Half-even rounding of the exact binary value of a double in [0, 2).
+    """Half-even rounding of the exact binary value of a double in [0.01, 2), and of 0.
 
     Decimal-text rounding differs where a double lies just beside a tie (0.715 is below it).
     """
