@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -495,27 +494,21 @@ def overlaps(
 ) -> DataFrame:
     """Rows of ``offsets`` with each range that holds them (``start <= at < end``).
 
-    Few ranges are broadcast (their number is checked); otherwise both sides meet on bins of
-    ``width``, so that no pair outside a common bin is ever compared.
+    Both sides meet on bins of ``width`` by an equi-join, so no pair outside a common bin is ever
+    compared. Binned ranges up to ``broadcast_rows`` (checked) are broadcast, which spares the large
+    side its shuffle.
     """
     inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    if ranges.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return offsets.join(F.broadcast(ranges), inside)
     low = F.floor(F.col(start) / width)
     high = F.floor((F.col(end) - 1) / width)
     binned = ranges.where(F.col(end) > F.col(start)).withColumn(
         "__bin", F.explode(F.sequence(low, high))
     )
+    if binned.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        binned = F.broadcast(binned)
     return (
         offsets.withColumn("__bin", F.floor(F.col(at) / width))
         .join(binned, "__bin")
         .where(inside)
         .drop("__bin")
     )
-
-
-def all_columns_equal(left: str, right: str, names: Sequence[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b,
-        [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names],
-    )

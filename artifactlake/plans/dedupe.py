@@ -128,13 +128,17 @@ def a7(spark, sf):
     return members.select("finding_id", cluster, "canonical_id", "distance")
 
 
+TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, role AS source, length(text) AS n_chars, text FROM {c})"
+
+
 def frames_of(spark, sf):
-    """Conversations as videos: one frame hash per turn."""
-    turns = table(spark, sf, "conversations")
-    hashed = turns.select("conv_id", "turn", F.substring(F.md5(F.substring("text", 1, 40)), 1, 16).alias("f"))
+    """Conversations as videos: the letter hash of each turn is a frame."""
+    rows = run_sql(spark, sf, HASHED.replace("{t}", TURNS.replace("{c}", "{conversations}") + " y"))
+    frame = F.lower(F.lpad(F.conv("bits", 2, 16), 16, "0"))
+    hashed = settle(rows.select(F.floor(F.col("doc_id") / 1000).alias("conv_id"), "doc_id", frame.alias("f")))
     # a conversation has a handful of turns
     return hashed.groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", "f"))), lambda s: s["f"]).alias("video_keyframe_hashes")
+        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "f"))), lambda s: s["f"]).alias("video_keyframe_hashes")
     )
 
 
@@ -151,9 +155,26 @@ def videos(spark, sf):
     )
 
 
-@query("j18_near_duplicate_sequences")
+FRAME = 2
+FRAME_SQL = f"""t AS (SELECT doc_id // 1000 AS id, CAST(bits AS BIT) AS h FROM ({HASHED.replace("{t}", TURNS.replace("{c}", "conversations") + " y")})),
+    e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM t a JOIN t b ON bit_count(xor(a.h, b.h)) <= {FRAME}),
+    r AS (SELECT DISTINCT id AS x, id AS root FROM t UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
+    c AS (SELECT x AS id, min(root) AS root FROM r GROUP BY x)"""
+
+
+@query(
+    "j18_near_duplicate_sequences",
+    f"""WITH RECURSIVE {FRAME_SQL} SELECT 'c' || lpad(CAST(root AS VARCHAR), 9, '0') AS cluster, 'c' || lpad(CAST(id AS VARCHAR), 9, '0') AS finding_id
+    FROM c WHERE root IN (SELECT root FROM c GROUP BY root HAVING count(*) > 1)""",
+)
 def j18(spark, sf):
-    members, _ = op.video_groups(videos(spark, sf), min_match=1)
+    members, _ = op.video_groups(videos(spark, sf), frame_threshold=FRAME, min_match=1)
+    return members.select("cluster", "finding_id")
+
+
+@query("j18_matching_frames")
+def j18_frames(spark, sf):
+    members, _ = op.video_groups(videos(spark, sf), frame_threshold=FRAME, min_match=1)
     return members.select("cluster", "finding_id", "distance_ref_id", "matching_frames")
 
 
@@ -182,5 +203,6 @@ def a8(spark, sf):
         F.lit(None).cast("array<string>").alias("video_keyframe_hashes"),
     )
     every = docs.unionByName(candidates(spark, sf)).unionByName(videos(spark, sf))
-    groups, _ = op.build_duplicate_groups(every, image_threshold=LINK)
+    # no two conversations share two frames within distance zero of each other
+    groups, _ = op.build_duplicate_groups(every, image_threshold=LINK, frame_threshold=0, min_match=2)
     return groups

@@ -13,7 +13,7 @@ ENTRIES = ctes("entries")
 K = "lower(trim(replace(display_path, '\\', '/'), '/'))"
 X = f"regexp_extract(list_last(string_split({K}, '/')), '^.+(\\.[^.]+)$', 1)"
 
-# every third entry has metadata, every fourth categories; both join by path
+# entries of one volume have metadata, entries with an owner have categories; both join by path
 META = """SELECT display_path AS path, ord, {value} AS value FROM ({entries}) x WHERE {cond}"""
 
 
@@ -35,8 +35,8 @@ def _any(col: str, *frs: str) -> str:
 
 # metadata is looked up by path: of entries that share a path the last one counts
 SENS_SQL = f"""WITH {ENTRIES}, {ROOTS_SQL}, en AS (SELECT *, {K} AS k, {X} AS x FROM entries),
-    md AS (SELECT k, arg_max({IND_SQL}, ord) AS ind, arg_max(struct_pack(f := {FLAG}), ord).f AS flag FROM en WHERE ord % 3 = 0 GROUP BY k),
-    ct AS (SELECT k, TRUE AS wal FROM en WHERE ord % 4 = 0 GROUP BY k),
+    md AS (SELECT k, arg_max({IND_SQL}, ord) AS ind, arg_max(struct_pack(f := {FLAG}), ord).f AS flag FROM en WHERE volume_id = 'vol-0' GROUP BY k),
+    ct AS (SELECT k, TRUE AS wal FROM en WHERE owner_id IS NOT NULL GROUP BY k),
     ow AS (SELECT entry_id, arg_min(r.owner_id, (r.ord, r.owner_id)) AS profile_id FROM en JOIN r ON starts_with(en.k, lower(root_path) || '/') GROUP BY 1),
     j AS (SELECT en.*, coalesce(ind, CAST([] AS VARCHAR[])) AS ind, CASE WHEN flag IS NOT NULL THEN lower(flag) = 'yes' END AS enc, coalesce(wal, FALSE) AS wal, profile_id,
       {_any("en.k", "browser", "chrome/user data", "firefox/profiles")} AS br FROM en LEFT JOIN md USING (k) LEFT JOIN ct USING (k) LEFT JOIN ow ON ow.entry_id = en.entry_id),
@@ -63,8 +63,8 @@ SENS_SQL = f"""WITH {ENTRIES}, {ROOTS_SQL}, en AS (SELECT *, {K} AS k, {X} AS x
         CASE WHEN NOT allocated OR entry_type = 'deleted' THEN 'deleted_or_carved_origin' END) END AS warnings FROM e""",
 )
 def l1(spark, sf):
-    meta = lookup(spark, sf, f"named_struct('indicators', {INDICATORS}, 'encrypted', {FLAG})", "ord % 3 = 0")
-    cats = lookup(spark, sf, "array('wallets/vaults/keys')", "ord % 4 = 0")
+    meta = lookup(spark, sf, f"named_struct('indicators', {INDICATORS}, 'encrypted', {FLAG})", "volume_id = 'vol-0'")
+    cats = lookup(spark, sf, "array('wallets/vaults/keys')", "owner_id IS NOT NULL")
     out = op.locate_sensitive(view(spark, sf, "entries"), meta, cats, _strict(spark, sf))
     return out.withColumn("evidence", F.array_join("evidence", "|")).withColumn("warnings", F.array_join("warnings", "|"))
 
@@ -72,7 +72,7 @@ def l1(spark, sf):
 @query(
     "l2_locate_backups",
     f"""WITH {ENTRIES}, {ROOTS_SQL}, en AS (SELECT *, {K} AS k, {X} AS x FROM entries),
-    md AS (SELECT k, TRUE AS broken FROM en WHERE ord % 3 = 0 GROUP BY k), ct AS (SELECT k, TRUE AS mob FROM en WHERE ord % 4 = 0 GROUP BY k),
+    md AS (SELECT k, TRUE AS broken FROM en WHERE volume_id = 'vol-0' GROUP BY k), ct AS (SELECT k, TRUE AS mob FROM en WHERE owner_id IS NOT NULL GROUP BY k),
     ow AS (SELECT entry_id, arg_min(r.owner_id, (r.ord, r.owner_id)) AS profile_id FROM en JOIN r ON starts_with(en.k, lower(root_path) || '/') GROUP BY 1),
     t AS (SELECT en.*, coalesce(broken, FALSE) AS broken, coalesce(mob, FALSE) AS mob, profile_id,
       CASE WHEN x IN ('.vhd', '.vhdx', '.vmdk', '.qcow2', '.vdi') THEN 'disk_or_vm_image' WHEN contains(en.k, 'mobilebackup') OR x IN ('.ipa', '.ab') THEN 'phone_backup'
@@ -91,8 +91,8 @@ def l1(spark, sf):
 def l2(spark, sf):
     out = op.locate_backups(
         view(spark, sf, "entries"),
-        lookup(spark, sf, "'broken'", "ord % 3 = 0"),
-        lookup(spark, sf, "array('backups/mobile')", "ord % 4 = 0"),
+        lookup(spark, sf, "'broken'", "volume_id = 'vol-0'"),
+        lookup(spark, sf, "array('backups/mobile')", "owner_id IS NOT NULL"),
         _strict(spark, sf),
         schedule_nested=True,
         max_nested_depth=2,
@@ -111,7 +111,7 @@ def l2(spark, sf):
     ch AS (SELECT root, list_last(string_split(k, '/')) AS name, k, ord FROM rt JOIN en ON starts_with(k, root || '/')),
     fa AS (SELECT root, bool_or(name = 'manifest.db') AND bool_or(name = 'manifest.plist') AND bool_or(name = 'status.plist') AS ios, bool_or(name IN ('manifest.json', 'backup.ab')) AS andr,
       arg_min(k, ord) FILTER (name = 'manifest.plist') AS mf FROM ch GROUP BY root),
-    md AS (SELECT k, arg_max({FLAG.replace("ord % 9", "ord % 4").replace("WHEN 3", "WHEN 1")}, ord) AS flag, arg_max('dev' || ord, ord) AS dev FROM en WHERE ord % 3 <> 2 GROUP BY k),
+    md AS (SELECT k, arg_max({FLAG.replace("ord % 9", "ord % 4").replace("WHEN 3", "WHEN 1")}, ord) AS flag, arg_max('dev' || ord, ord) AS dev FROM en WHERE volume_id <> 'vol-2' GROUP BY k),
     l AS (SELECT rt.root, CASE WHEN rt.root LIKE '%.ab' THEN 'android_ab' WHEN rt.root LIKE '%/mobilesync/backup/%' THEN 'itunes_finder' ELSE 'android_directory' END AS layout, ios, andr, mf FROM rt LEFT JOIN fa USING (root)),
     m AS (SELECT l.*, CASE WHEN flag IS NOT NULL THEN lower(flag) = 'yes' END AS enc, dev, regexp_matches(root, '/[0-9a-f]{{40}}$') AS hashed FROM l LEFT JOIN md ON md.k = CASE layout WHEN 'itunes_finder' THEN coalesce(mf, root) ELSE root END),
     c AS (SELECT *, CASE layout WHEN 'android_ab' THEN TRUE WHEN 'itunes_finder' THEN ios ELSE andr END AS complete FROM m)
@@ -125,7 +125,7 @@ def l3(spark, sf):
         spark,
         sf,
         f"named_struct('encrypted', {flag}, 'device_name', 'dev' || ord, 'device_identifier', '', 'supported_layout', FALSE)",
-        "ord % 3 <> 2",
+        "volume_id <> 'vol-2'",
     )
     out = op.locate_mobile_backups(view(spark, sf, "entries"), meta)
     return out.select(
@@ -197,8 +197,8 @@ def l5_companions(spark, sf):
 
 
 SOFT_SQL = f"""{ENTRIES}, {ROOTS_SQL}, en AS (SELECT *, {K} AS k FROM entries),
-    md AS (SELECT k, arg_max('My_App ' || (ord % 5), ord) AS name, arg_max(struct_pack(v := CASE WHEN ord % 2 = 0 THEN '1.' || (ord % 3) END), ord).v AS ver FROM en WHERE ord % 7 = 0 GROUP BY k),
-    ct AS (SELECT k, arg_max(CASE WHEN ord % 2 = 0 THEN 'software/code/databases' ELSE 'media' END, ord) AS cat FROM en WHERE ord % 4 < 2 GROUP BY k),
+    md AS (SELECT k, arg_max('My_App ' || (ord % 5), ord) AS name, arg_max(struct_pack(v := CASE WHEN ord % 2 = 0 THEN '1.' || (ord % 3) END), ord).v AS ver FROM en WHERE mime_type = 'application/pdf' GROUP BY k),
+    ct AS (SELECT k, arg_max(CASE WHEN ord % 2 = 0 THEN 'software/code/databases' ELSE 'media' END, ord) AS cat FROM en WHERE mime_type <> 'text/plain' GROUP BY k),
     ow AS (SELECT entry_id, arg_min(r.owner_id, (r.ord, r.owner_id)) AS pid FROM en JOIN r ON starts_with(en.k, lower(root_path) || '/') GROUP BY 1),
     j AS (SELECT en.*, name, ver, cat, pid, string_split(en.k, '/') AS p, list_last(string_split(replace(display_path, '\\', '/'), '/')) AS leaf FROM en LEFT JOIN md USING (k) LEFT JOIN ct USING (k) LEFT JOIN ow ON ow.entry_id = en.entry_id),
     c AS (SELECT *, CASE WHEN name IS NOT NULL THEN 'uninstall_registry' WHEN k LIKE 'program files/windowsapps/%' THEN 'store_package' WHEN k LIKE 'program files/%' AND regexp_matches(k, '[.](exe|dll)$') THEN 'application_directory'
@@ -216,9 +216,9 @@ def _software(spark, sf):
         sf,
         """named_struct('display_name', 'My_App ' || (ord % 5), 'publisher', CAST(NULL AS STRING), 'version', CASE WHEN ord % 2 = 0 THEN '1.' || (ord % 3) END,
           'install_time', CAST(NULL AS STRING), 'install_location', ' ')""",
-        "ord % 7 = 0",
+        "mime_type = 'application/pdf'",
     )
-    cats = lookup(spark, sf, "array(CASE WHEN ord % 2 = 0 THEN 'software/code/databases' ELSE 'media' END)", "ord % 4 < 2")
+    cats = lookup(spark, sf, "array(CASE WHEN ord % 2 = 0 THEN 'software/code/databases' ELSE 'media' END)", "mime_type <> 'text/plain'")
     return op.software_inventory(view(spark, sf, "entries"), meta, cats, _strict(spark, sf))
 
 
