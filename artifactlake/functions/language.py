@@ -16,7 +16,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 def _count(text: Column, pattern: str) -> Column:
     """Characters of ``text`` that match a character class."""
-    return F.length(F.regexp_replace(text, f"[^{pattern}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
 
 
 def _one_of(words: list[str]):
@@ -35,22 +35,25 @@ def detect_language(
     if sample_chars is not None:
         text = F.substring(text, 1, sample_chars)
     # letters and apostrophes only, lower-case; a token is a run between spaces with two letters or more
-    words = F.lower(F.regexp_replace("__t", f"[^{_LETTERS}']", " "))
+    words = F.lower(F.regexp_replace("__t", f"[^{_LETTERS}']+", " "))
     staged = df.withColumn("__t", text).withColumn("__w", words)
     alpha = _count(F.col("__t"), r"\p{L}")
     digits = _count(F.col("__t"), r"\p{Nd}")
-    visible = F.length(F.regexp_replace("__t", r"(?U)\s", ""))
-    punctuation = F.length(F.regexp_replace("__t", r"(?U)[\p{L}\p{N}\s]", ""))
+    visible = F.length(F.regexp_replace("__t", r"(?U)\s+", ""))
+    punctuation = F.length(F.regexp_replace("__t", r"(?U)[\p{L}\p{N}\s]+", ""))
     all_marks = sorted({w for words_ in LANGUAGE_MARKERS.values() for w in words_.split()})
-    # only marker words are lifted out, so the arrays below stay small
-    marks = F.regexp_extract_all("__w", F.lit(rf"(?<![^ ])'*({'|'.join(all_marks)})'*(?![^ ])"), F.lit(1))
-    tokens = F.regexp_count("__w", F.lit(rf"[^' ][^ ]*[^' ]"))
+    # only marker words are kept, so the arrays below stay small
+    bare = F.when(
+        F.contains("__w", F.lit("'")), F.regexp_replace("__w", "(?<![^ ])'+|'+(?![^ ])", "")
+    ).otherwise(F.col("__w"))
+    marks = F.filter(F.split(bare, " "), _one_of([m for m in all_marks if len(m) > 1]))
+    tokens = F.regexp_count("__w", F.lit("[^' ][^ ]*[^' ]"))
     staged = staged.select(
         *df.columns,
         "__t",
         "__w",
         tokens.alias("__tokens"),
-        F.filter(marks, lambda m: F.length(m) > 1).alias("__marks"),
+        marks.alias("__marks"),
         alpha.alias("__alpha"),
         ((visible == 0) | (digits > alpha) | (punctuation > alpha * 2)).alias("__noise"),
     ).withColumn("__base", F.greatest(F.lit(4), F.least(F.col("__tokens"), F.lit(20))))
@@ -63,7 +66,11 @@ def detect_language(
         )
         accents = LANGUAGE_ACCENTS.get(lang)
         bonus = (
-            F.when(F.col("__w").rlike(f"[{accents}][^ ]*[^' ]|[^' ][^ ]*[{accents}]"), F.lit(1)).otherwise(F.lit(0))
+            F.when(
+                F.col("__w").rlike(f"[{accents}]")
+                & F.col("__w").rlike(f"[{accents}][^ ]*[^' ]|[^' ][^ ]*[{accents}]"),
+                F.lit(1),
+            ).otherwise(F.lit(0))
             if accents
             else F.lit(0)
         )

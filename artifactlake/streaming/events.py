@@ -208,24 +208,21 @@ def notify_stream(
         last, crossed = state.get if state.exists else (None, False)
         pdf = pd.concat(list(frames)).sort_values(["__at", "event_ref"])
         reasons = []
-        for r in pdf.itertuples(index=False, name=None):
-            row = dict(zip(pdf.columns, r, strict=True))
-            why = row["__why"] if isinstance(row["__why"], str) else None
-            counts = bool(row["count_rule"]) if row["count_rule"] is not None else False
-            once = counts and bool(row["threshold_once"]) and crossed
-            gap = row["throttle_seconds"]
+        columns = ("__why", "__at", "count_rule", "threshold", "threshold_once", "throttle_seconds")
+        for why, at, counts, threshold, once, gap in zip(*[pdf[c].tolist() for c in columns], strict=True):
+            why = why if isinstance(why, str) else None
+            counts = counts is True
             if why in ("no_rule", "disabled", "below_threshold"):
                 reason = why
-            elif once:
+            elif counts and once is True and crossed:
                 reason = "already_crossed_once"
             elif why is not None:
                 reason = why
-            elif last is not None and gap == gap and gap and row["__at"] - last < gap:
+            elif last is not None and gap == gap and gap and at - last < gap:
                 reason = "throttled"
             else:
-                reason, last = "matched", int(row["__at"])
-                has_threshold = row["threshold"] is not None and row["threshold"] == row["threshold"]
-                crossed = crossed or (counts and has_threshold)
+                reason, last = "matched", int(at)
+                crossed = crossed or (counts and threshold is not None and threshold == threshold)
             reasons.append(reason)
         state.update((last, crossed))
         pdf["reason"] = reasons
