@@ -11,8 +11,11 @@ load_all()
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(SF)
+def con(spark):
+    # a few thousand rows: compiling generated code would take longer than the queries
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield connect(SF)
+    spark.conf.unset("spark.sql.codegen.wholeStage")
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
