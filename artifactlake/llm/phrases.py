@@ -107,6 +107,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shards = max(1, size // shard_bytes)
     found = candidates(rows, unit, recurring_anchors(rows, unit))
     marks = settle(confirmed(found, rows, unit, shards))
+    del found
     release(docs.sparkSession)
     last = T.StructField("kept_sha256" if digests else "kept", T.StringType())
     schema = T.StructType([rows.schema["own"], *OUT, last])

@@ -157,6 +157,7 @@ def _cut(docs, id_col, text, keep, width, gram, batches, digests, as_text=False)
     shards = max(8, size // SHARD_BYTES)
     found = candidates(rows, unit, recurring_suffixes(rows, unit, batches, shards))
     marks = settle(confirmed(found, rows, unit))
+    del found
     release(docs.sparkSession)
     last = T.StructField("kept_sha256" if digests else "kept", T.StringType() if digests or as_text else T.BinaryType())
     last_type = pa.string() if digests or as_text else pa.binary()

@@ -189,56 +189,80 @@ def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     return run_rows(docs, unit).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
 
 
-CELLS = T.StructType(
+CELL_ROW = T.StructType(
     [
-        *[f for f in RUN.fields if f.name in ("k1", "k2", "anchor")],
+        *[f for f in RUN.fields if f.name in ("k1", "k2", "start", "n", "anchor")],
         T.StructField("c", T.LongType()),
-        T.StructField("start", T.IntegerType()),
         T.StructField("cell", T.IntegerType()),
         T.StructField("core", T.LongType()),
         T.StructField("outer", T.LongType()),
         T.StructField("low", T.IntegerType()),
-        T.StructField("windows", T.ArrayType(T.LongType())),
+    ]
+)
+WINDOW_ROW = T.StructType(
+    [
+        *[f for f in RUN.fields if f.name in ("k1", "k2", "start", "anchor")],
+        T.StructField("c", T.LongType()),
+        T.StructField("offset", T.IntegerType()),
+        T.StructField("h", T.LongType()),
     ]
 )
 
 
-def _cells(parts: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
-    """The cells of open pieces: what all windows of a cell share, what they cover together, and each."""
+def _per_document(parts: DataFrame, docs: DataFrame, unit: Unit, names: tuple[str, ...], out: T.StructType, make) -> DataFrame:
+    """``make(hashes, marks...)`` for each document that ``parts`` names; its columns follow the key."""
     rows = with_texts(parts, docs, list(KEY), [F.col("k1"), F.col("k2"), F.col("z").isNotNull()])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, data, marks in keyed_stream(batches, ("start", "n", "lead", "anchor", "c")):
-            start, n, lead, anchor, c = marks
-            if not len(start):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for row, data, marks in keyed_stream(batches, names):
+            # a repeated document is asked once
+            if not len(marks[0]) or row[:2] == last:
                 continue
+            last = row[:2]
             codes, _ = unit.codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-            spans = Spans(codes)
-            # (run, cell) pairs: cell j holds the windows that start CELL * j .. CELL * j + CELL - 1 before the anchor
-            first, last = (lead - n + 1) // CELL, lead // CELL
-            count = last - first + 1
-            of = np.repeat(np.arange(len(start)), count)
-            cell = np.repeat(first, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            at = (start + lead)[of]
-            lo = np.maximum(start[of], at - (CELL * cell + CELL - 1))
-            hi = np.minimum((start + n - 1)[of], at - CELL * cell)
-            size = (hi - lo + 1).astype(np.uint64)
-            # common to all windows that the cell can hold, whichever of them this run has
-            core = spans.of(at - CELL * cell, at - CELL * cell - (CELL - 1) + unit.width)
-            outer = mix(spans.of(lo, hi + unit.width) + (at - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + size)
-            size = size.astype(np.int64)
-            flat = np.repeat(lo, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            each = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), signed(spans.of(flat, flat + unit.width)))
-            total = len(of)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(total, row[0])), pa.array(np.full(total, row[1])), pa.array(anchor[of]), pa.array(c[of]),
-                    pa.array(lo.astype(np.int32)), pa.array(cell.astype(np.int32)), signed(core), signed(outer), pa.array((at - lo).astype(np.int32)), each,
-                ],
-                names=CELLS.names,
-            )
-
-    return rows.mapInArrow(gathered(make), CELLS)
+            cols = make(Spans(codes), *marks)
+            keys = [pa.array(np.full(len(cols[0]), k, np.int64)) for k in last]
+            yield pa.RecordBatch.from_arrays([*keys, *cols], names=out.names)
+
+    return rows.mapInArrow(gathered(run), out)
+
+
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _cells(parts: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
+    """The cells of open pieces: hashes of what all windows of a cell share, and of what they cover."""
+
+    def make(spans, start, n, lead, anchor, c):
+        # cell j holds the windows that start CELL * j .. CELL * j + CELL - 1 units before the anchor
+        first, last = (lead - n + 1) // CELL, lead // CELL
+        count = last - first + 1
+        of = np.repeat(np.arange(len(start)), count)
+        cell = np.repeat(first, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        at = (start + lead)[of]
+        lo = np.maximum(start[of], at - (CELL * cell + CELL - 1))
+        hi = np.minimum((start + n - 1)[of], at - CELL * cell)
+        size = hi - lo + 1
+        # common to all windows that the cell can hold, whichever of them this run has
+        core = spans.of(at - CELL * cell, at - CELL * cell - (CELL - 1) + unit.width)
+        outer = mix(spans.of(lo, hi + unit.width) + (at - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + size.astype(np.uint64))
+        return [_ints(lo), _ints(size), pa.array(anchor[of]), pa.array(c[of]), _ints(cell), signed(core), signed(outer), _ints(at - lo)]
+
+    return _per_document(parts, docs, unit, ("start", "n", "lead", "anchor", "c"), CELL_ROW, make)
+
+
+def _single_windows(parts: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
+    """Each window of the given cells with its hash and its distance to the anchor."""
+
+    def make(spans, start, n, low, anchor, c):
+        of = np.repeat(np.arange(len(start)), n)
+        i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        at = start[of] + i
+        return [_ints(at), pa.array(anchor[of]), pa.array(c[of]), _ints(low[of] - i), signed(spans.of(at, at + unit.width))]
+
+    return _per_document(parts, docs, unit, ("start", "n", "low", "anchor", "c"), WINDOW_ROW, make)
 
 
 def keyed_stream(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
@@ -293,30 +317,28 @@ def confirmed(found: DataFrame, docs: DataFrame, unit: Unit, shards: int | None
     ``found`` are the candidate runs. With ``shards``, of equal pieces in one shard only one is named:
     whoever looks for the text itself finds the others.
     """
+    spark = docs.sparkSession
     rep = F.min(F.struct("k1", "k2", "start", "n", "lead")).alias("rep")
     pieces = settle(found.groupBy("anchor", "piece").agg(F.count("*").alias("c"), rep))
     groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     mixed = groups.where("kinds > 1 AND least = 1").select("anchor")
-    opened = pieces.join(mixed, "anchor").select("rep.*", "anchor", "c")
-    cells = settle(_cells(opened, docs, unit))
-    release(docs.sparkSession)
-    same = ["anchor", "cell", "core", "outer"]
-    whole = settle(cells.groupBy(*same).agg(F.sum("c").alias("times"), F.min("low").alias("low"), F.max("windows").alias("windows")))
-    doubt = whole.groupBy("anchor", "cell", "core").agg(F.count("*").alias("kinds"), F.min("times").alias("least"))
-    doubt = doubt.where("kinds > 1 AND least = 1").select("anchor", "cell", "core")
-    each = whole.join(doubt, ["anchor", "cell", "core"]).select("anchor", "low", "times", F.posexplode("windows").alias("i", "h"))
-    offset = (F.col("low") - F.col("i")).alias("offset")
-    again = each.groupBy("anchor", offset, "h").agg(F.sum("times").alias("t")).where("t > 1").select("anchor", "offset", "h")
-    single = cells.where("c = 1")
-    sized = single.select("k1", "k2", "start", F.size("windows").alias("n"), *same)
-    sure_cells = sized.join(whole.where("times > 1").select(*same), same).select(*KEY, "start", "n")
-    alone = single.join(doubt, ["anchor", "cell", "core"]).join(whole.where("times = 1").select(*same), same)
-    spread = alone.select("k1", "k2", "start", "low", "anchor", F.posexplode("windows").alias("i", "h"))
-    spread = spread.select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), "anchor", offset, "h")
-    sure_windows = spread.join(again, ["anchor", "offset", "h"]).select(*KEY, "start", F.lit(1).alias("n"))
+    cells = settle(_cells(pieces.join(mixed, "anchor").select("rep.*", "anchor", "c"), docs, unit))
     twice = pieces.where("c > 1").select("anchor", "piece")
     if shards is not None:
         at = F.pmod(F.col("k2"), F.lit(shards))
         found = found.groupBy(at.alias("shard"), "anchor", "piece").agg(rep).select("rep.*", "anchor", "piece")
-    sure_runs = found.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n")
-    return sure_runs.unionByName(sure_cells).unionByName(sure_windows)
+    sure_runs = settle(found.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n"))
+    del found, pieces, groups, mixed, twice
+    release(spark)
+    same = ["anchor", "cell", "core", "outer"]
+    first = F.min(F.struct("k1", "k2", "start", "n", "low")).alias("rep")
+    whole = settle(cells.groupBy(*same).agg(F.sum("c").alias("c"), first))
+    sure_cells = cells.where("c = 1").join(whole.where("c > 1").select(*same), same).select(*KEY, "start", "n")
+    # a shared core with different surroundings: some windows of the cell may recur, others not
+    doubt = whole.groupBy("anchor", "cell", "core").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
+    doubt = doubt.where("kinds > 1 AND least = 1").select("anchor", "cell", "core")
+    asked = whole.join(doubt, ["anchor", "cell", "core"]).select("rep.*", "anchor", "c")
+    each = settle(_single_windows(asked, docs, unit))
+    again = each.groupBy("anchor", "offset", "h").agg(F.sum("c").alias("t")).where("t > 1").select("anchor", "offset", "h")
+    alone = each.where("c = 1").join(again, ["anchor", "offset", "h"]).select(*KEY, "start", F.lit(1).alias("n"))
+    return sure_runs.unionByName(settle(sure_cells)).unionByName(alone)
