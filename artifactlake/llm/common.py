@@ -8,6 +8,7 @@ of its own. Words are ``[^\\x20\\x09-\\x0D]+`` everywhere, found on the UTF-8 by
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import scratch_dir, settle
 
 CHUNK = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
@@ -206,3 +207,32 @@ def release(spark) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+class Shelf:
+    """Tables written to the shared folder for the length of one operator.
+
+    Parquet keeps repeated keys and small numbers far smaller than a checkpoint does. ``drop`` deletes a
+    table once no later step reads it.
+    """
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/shelf-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        release(self.spark)
+
+    def clear(self) -> None:
+        self.drop(*[table for table, _ in self.paths.values()])

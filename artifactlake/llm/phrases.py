@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
-from .common import column, release, word_bounds, word_codes
+from .common import column, word_bounds, word_codes
 from .suffixes import _arrow_type, covered
-from .windows import Unit, candidates, confirmed, gathered, keyed, recurring_anchors, with_texts, word_units
+from .windows import Unit, confirmed, gathered, keyed, recurring_anchors, with_texts, word_units
 
 WIDTH, GRAM = 35, 10
 #: text bytes of a shard, and letters of one automaton (a larger shard compiles several, one after another)
@@ -105,10 +104,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = keyed(docs, id_col, text)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, size // shard_bytes)
-    found = candidates(rows, unit, recurring_anchors(rows, unit))
-    marks = settle(confirmed(found, rows, unit, shards))
-    del found
-    release(docs.sparkSession)
+    marks = confirmed(rows, unit, recurring_anchors(rows, unit), int(shards))
     last = T.StructField("kept_sha256" if digests else "kept", T.StringType())
     schema = T.StructType([rows.schema["own"], *OUT, last])
     shard = {"shard": F.pmod(F.col("k2"), F.lit(shards))}

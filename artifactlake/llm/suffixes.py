@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import settle
 from .common import chunks, column, release, text_bytes
-from .windows import KEY, Unit, byte_units, candidates, confirmed, gathered, keyed, keyed_stream, runs, with_texts
+from .windows import KEY, Unit, byte_units, confirmed, gathered, keyed, keyed_stream, runs, with_texts
 
 WIDTH, GRAM = 200, 40
 #: batches of a one-off run over a whole table; bytes of text per index shard
@@ -155,10 +155,7 @@ def _cut(docs, id_col, text, keep, width, gram, batches, digests, as_text=False)
     rows = keyed(docs, id_col, text, keep)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, size // SHARD_BYTES)
-    found = candidates(rows, unit, recurring_suffixes(rows, unit, batches, shards))
-    marks = settle(confirmed(found, rows, unit))
-    del found
-    release(docs.sparkSession)
+    marks = confirmed(rows, unit, recurring_suffixes(rows, unit, batches, shards))
     last = T.StructField("kept_sha256" if digests else "kept", T.StringType() if digests or as_text else T.BinaryType())
     last_type = pa.string() if digests or as_text else pa.binary()
     schema = T.StructType([rows.schema["own"], *OUT, last])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import BYTE_CODES, Spans, chunks, column, mix, release, signed, text_bytes, word_bounds, word_codes
+from .common import BYTE_CODES, Shelf, Spans, chunks, column, mix, signed, text_bytes, word_bounds, word_codes
 
 #: windows handled at once; longer documents are walked in overlapping stretches
 STRETCH = 1 << 21
@@ -177,13 +177,6 @@ def with_texts(parts: DataFrame, docs: DataFrame, group: list[str], order: list[
     return dealt.sortWithinPartitions(*order)
 
 
-def candidates(docs: DataFrame, unit: Unit, recurring: DataFrame) -> DataFrame:
-    """Runs whose anchor is in ``recurring`` (anchor), written to the shared folder."""
-    found = settle(run_rows(docs, unit).join(recurring, "anchor"))
-    release(docs.sparkSession)
-    return found
-
-
 def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """Anchors that occur at least twice."""
     return run_rows(docs, unit).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -311,34 +304,40 @@ def gathered(make, rows: int = 20_000):
     return run
 
 
-def confirmed(found: DataFrame, docs: DataFrame, unit: Unit, shards: int | None = None) -> DataFrame:
+def confirmed(docs: DataFrame, unit: Unit, recurring: DataFrame, shards: int | None = None) -> DataFrame:
     """(k1, k2, start, n): windows (``n`` from ``start`` on) whose units stand somewhere else as well.
 
-    ``found`` are the candidate runs. With ``shards``, of equal pieces in one shard only one is named:
-    whoever looks for the text itself finds the others.
+    ``recurring`` holds the anchors that occur at least twice. With ``shards``, of equal pieces in one shard
+    only one is named: whoever looks for the text itself finds the others.
     """
-    spark = docs.sparkSession
+    shelf = Shelf(docs.sparkSession)
+    found = shelf.put(run_rows(docs, unit).join(recurring, "anchor"))
     rep = F.min(F.struct("k1", "k2", "start", "n", "lead")).alias("rep")
-    pieces = settle(found.groupBy("anchor", "piece").agg(F.count("*").alias("c"), rep))
-    groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-    mixed = groups.where("kinds > 1 AND least = 1").select("anchor")
-    cells = settle(_cells(pieces.join(mixed, "anchor").select("rep.*", "anchor", "c"), docs, unit))
+    pieces = shelf.put(found.groupBy("anchor", "piece").agg(F.count("*").alias("c"), rep))
     twice = pieces.where("c > 1").select("anchor", "piece")
+    named = found
     if shards is not None:
         at = F.pmod(F.col("k2"), F.lit(shards))
-        found = found.groupBy(at.alias("shard"), "anchor", "piece").agg(rep).select("rep.*", "anchor", "piece")
-    sure_runs = settle(found.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n"))
-    del found, pieces, groups, mixed, twice
-    release(spark)
+        named = found.groupBy(at.alias("shard"), "anchor", "piece").agg(rep).select("rep.*", "anchor", "piece")
+    sure_runs = shelf.put(named.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n"))
+    shelf.drop(found)
+    groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
+    mixed = groups.where("kinds > 1 AND least = 1").select("anchor")
+    cells = shelf.put(_cells(pieces.join(mixed, "anchor").select("rep.*", "anchor", "c"), docs, unit))
+    shelf.drop(pieces)
     same = ["anchor", "cell", "core", "outer"]
     first = F.min(F.struct("k1", "k2", "start", "n", "low")).alias("rep")
-    whole = settle(cells.groupBy(*same).agg(F.sum("c").alias("c"), first))
-    sure_cells = cells.where("c = 1").join(whole.where("c > 1").select(*same), same).select(*KEY, "start", "n")
+    whole = shelf.put(cells.groupBy(*same).agg(F.sum("c").alias("c"), first))
+    sure_cells = shelf.put(cells.where("c = 1").join(whole.where("c > 1").select(*same), same).select(*KEY, "start", "n"))
+    shelf.drop(cells)
     # a shared core with different surroundings: some windows of the cell may recur, others not
     doubt = whole.groupBy("anchor", "cell", "core").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
     doubt = doubt.where("kinds > 1 AND least = 1").select("anchor", "cell", "core")
     asked = whole.join(doubt, ["anchor", "cell", "core"]).select("rep.*", "anchor", "c")
-    each = settle(_single_windows(asked, docs, unit))
+    each = shelf.put(_single_windows(asked, docs, unit))
+    shelf.drop(whole)
     again = each.groupBy("anchor", "offset", "h").agg(F.sum("c").alias("t")).where("t > 1").select("anchor", "offset", "h")
     alone = each.where("c = 1").join(again, ["anchor", "offset", "h"]).select(*KEY, "start", F.lit(1).alias("n"))
-    return sure_runs.unionByName(settle(sure_cells)).unionByName(alone)
+    marks = settle(sure_runs.unionByName(sure_cells).unionByName(alone))
+    shelf.clear()
+    return marks
