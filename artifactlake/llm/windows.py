@@ -309,9 +309,14 @@ def confirmed(docs: DataFrame, unit: Unit, recurring: DataFrame, shards: int | N
 
     ``recurring`` holds the anchors that occur at least twice. With ``shards``, of equal pieces in one shard
     only one is named: whoever looks for the text itself finds the others.
+
+    Tables of keys are written before they are joined: a join right above two shuffles is one that adaptive
+    execution can split where a key is hot.
     """
     shelf = Shelf(docs.sparkSession)
+    recurring = shelf.put(recurring)
     found = shelf.put(run_rows(docs, unit).join(recurring, "anchor"))
+    shelf.drop(recurring)
     rep = F.min(F.struct("k1", "k2", "start", "n", "lead")).alias("rep")
     pieces = shelf.put(found.groupBy("anchor", "piece").agg(F.count("*").alias("c"), rep))
     twice = pieces.where("c > 1").select("anchor", "piece")
@@ -322,7 +327,7 @@ def confirmed(docs: DataFrame, unit: Unit, recurring: DataFrame, shards: int | N
     sure_runs = shelf.put(named.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n"))
     shelf.drop(found)
     groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-    mixed = groups.where("kinds > 1 AND least = 1").select("anchor")
+    mixed = shelf.put(groups.where("kinds > 1 AND least = 1").select("anchor"))
     cells = shelf.put(_cells(pieces.join(mixed, "anchor").select("rep.*", "anchor", "c"), docs, unit))
     shelf.drop(pieces)
     same = ["anchor", "cell", "core", "outer"]
@@ -332,11 +337,12 @@ def confirmed(docs: DataFrame, unit: Unit, recurring: DataFrame, shards: int | N
     shelf.drop(cells)
     # a shared core with different surroundings: some windows of the cell may recur, others not
     doubt = whole.groupBy("anchor", "cell", "core").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-    doubt = doubt.where("kinds > 1 AND least = 1").select("anchor", "cell", "core")
+    doubt = shelf.put(doubt.where("kinds > 1 AND least = 1").select("anchor", "cell", "core"))
     asked = whole.join(doubt, ["anchor", "cell", "core"]).select("rep.*", "anchor", "c")
     each = shelf.put(_single_windows(asked, docs, unit))
     shelf.drop(whole)
-    again = each.groupBy("anchor", "offset", "h").agg(F.sum("c").alias("t")).where("t > 1").select("anchor", "offset", "h")
+    again = each.groupBy("anchor", "offset", "h").agg(F.sum("c").alias("t"))
+    again = shelf.put(again.where("t > 1").select("anchor", "offset", "h"))
     alone = each.where("c = 1").join(again, ["anchor", "offset", "h"]).select(*KEY, "start", F.lit(1).alias("n"))
     marks = settle(sure_runs.unionByName(sure_cells).unionByName(alone))
     shelf.clear()
