@@ -106,3 +106,71 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), "n_lines", "failed_bits",
     )
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op1_repeated_phrases"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM d WHERE len(ws) >= 35),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS phrase FROM w),
+r AS (SELECT phrase FROM g GROUP BY phrase HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM g SEMI JOIN r USING (phrase))),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d) ANTI JOIN c USING (doc_id, j)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+ORACLES["op9_url_verdicts"] = f"""
+WITH r(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM b
+)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+  arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+  coalesce(arg_max(r_verdict, length(r_host || r_path)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+GROUP BY page_id
+"""
+
+ORACLES["op10_quality_rules"] = rf"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS ws, coalesce(text, '') AS t,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM d WHERE len(ws) >= 3),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS gram FROM w),
+r AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+c AS (
+  SELECT doc_id, count(DISTINCT j) AS n
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g SEMI JOIN r USING (doc_id, gram))
+  GROUP BY doc_id
+),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+  FROM d LEFT JOIN c USING (doc_id)
+),
+b AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+    + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT)::BIGINT AS failed_bits
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed,
+  failed_bits = 0 AS kept, n_lines, failed_bits
+FROM b
+"""

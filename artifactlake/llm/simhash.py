@@ -1,6 +1,6 @@
 """SimHash fingerprints, and groups of fingerprints that differ in a few bits (multi-index hashing).
 
-A fingerprint is cut into ``bits // 2 + 1`` segments. If two fingerprints differ in at most ``bits`` bits,
+A fingerprint is cut into ``bits // 2 + 1`` segments (two at least). If two fingerprints differ in at most ``bits`` bits,
 they differ in at most ``bits // segments`` of some segment, so every fingerprint looks up the small
 Hamming ball around each of its segments in the table of segments and compares the whole fingerprint
 with what it finds. No pair within the distance is lost. Equal fingerprints count once before the
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "t
 
 def segments(bits: int) -> list[tuple[int, int]]:
     """(shift, width) of the segments that a search within ``bits`` bits uses."""
-    n = bits // 2 + 1
+    n = max(2, bits // 2 + 1)
     edges = [round(i * WIDTH / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
