@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split once, block by block: a block is a run of documents of about a megabyte, held as the list
-of its distinct words and, per document, positions in that list. The distinct words of all blocks are
-encoded once each. Each block gets the ids of its own words back through a join on the word, and the
-documents' ids follow from their positions. Decoding takes the pieces from an id-to-piece table (as
-large as the vocabulary, so its size is fixed) joined to the ids of each distinct word.
+Texts are split once, block by block: a block is a run of documents of some megabytes, held as the list of
+its distinct words and, per document, positions in that list. The lists are dealt by the hash of the
+word, so that all blocks' copies of a word meet in one part of the word table, where it is encoded once;
+each block gets the ids of its words back in the order of its list, and the documents' ids follow from
+their positions. Decoding joins the ids of a block's words with the id-to-piece table, which is as large
+as the vocabulary and therefore broadcast.
 
 White space separates words in the tokenizer as well, so a word's ids do not depend on its neighbours.
 """
@@ -20,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
-from .common import column, release
+from .common import Shelf, column, release, text_bytes, word_codes
 
-BLOCK_BYTES = 1 << 20
+#: text of a block, text for each part of the word table, words encoded at once
+BLOCK_BYTES, PART_BYTES, TOGETHER = 16 << 20, 16 << 20, 10_000
 
 
 @lru_cache(maxsize=2)
@@ -40,25 +41,25 @@ def tokenizer(path: str):
     return found
 
 
-def id_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece) of a tokenizer file: its vocabulary and added tokens."""
+def id_pieces(path: str) -> list[bytes]:
+    """The piece of each id of a tokenizer file: its vocabulary and added tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pieces = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    rows = pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()))})
-    return spark.createDataFrame(rows)
+    return [pieces.get(i, "").encode() for i in range(max(pieces) + 1)]
 
 
-def split_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: a block with its distinct ``words``, and a document with ``at``, its positions.
+def split_blocks(docs: DataFrame, keep: list[str], parts: int, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds: ``words`` of a block for one ``part``, and a document's positions ``at``.
 
-    Written to the shared folder: both kinds come from one pass and must name the same blocks.
+    A block's list is in order of the parts. Words hold no white space, so a newline separates them.
     """
     source = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.spark_partition_id().alias("__part"))
     schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
-            T.StructField("words", T.ArrayType(T.StringType())),
+            T.StructField("part", T.IntegerType()),
+            T.StructField("words", T.BinaryType()),
             T.StructField("at", T.BinaryType()),
             *[T.StructField(f"k{i}", docs.schema[k].dataType) for i, k in enumerate(keep)],
         ]
@@ -80,41 +81,64 @@ def split_blocks(docs: DataFrame, keep: list[str], text: str = "text", block_byt
             for a, b in spans:
                 block = (column(batch, "__part")[0].as_py() << 31) + serial
                 serial += 1
-                parts = pc.ascii_split_whitespace(pc.fill_null(texts.slice(a, b - a), ""))
-                coded = parts.flatten().dictionary_encode()
-                ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-                at = coded.indices.to_numpy().astype(np.uint32)
-                words = coded.dictionary
-                # splitting leaves empty strings at the edges
-                empty = np.flatnonzero(pc.equal(words, "").to_numpy(zero_copy_only=False))
-                blank = np.isin(at, empty)
-                rows = [at[s:e][~blank[s:e]] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                packed = [small.compress(r.tobytes()) for r in rows]
-                n = b - a
+                split = pc.ascii_split_whitespace(pc.fill_null(texts.slice(a, b - a), ""))
+                coded = split.flatten().dictionary_encode()
+                ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+                listed = coded.dictionary
+                raw, edges = text_bytes(listed)
+                part = (word_codes(raw, edges[:-1], edges[1:]) % np.uint64(parts)).astype(np.int64)
+                # splitting leaves empty strings at the edges: no word, no part
+                part[np.diff(edges) == 0] = parts
+                order = np.argsort(part, kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                at = rank[coded.indices.to_numpy()]
+                solid = part[order[at]] < parts
+                rows = [small.compress(at[s:e][solid[s:e]].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                sorted_words = listed.take(pa.array(order))
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                used = np.flatnonzero(np.diff(cuts)).tolist()
+                lists = ["\n".join(sorted_words.slice(cuts[p], cuts[p + 1] - cuts[p]).to_pylist()).encode() for p in used]
+                m, n = len(used), b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([block] * (n + 1), pa.int64()),
-                        pa.array([words.to_pylist()] + [None] * n, pa.list_(pa.string())),
-                        pa.array([None, *packed], pa.binary()),
-                        *[pa.concat_arrays([pa.nulls(1, column(batch, k).type), column(batch, k).slice(a, n)]) for k in keep],
+                        pa.array([block] * (m + n), pa.int64()),
+                        pa.array([*used, *[None] * n], pa.int32()),
+                        pa.array([*lists, *[None] * n], pa.binary()),
+                        pa.array([*[None] * m, *rows], pa.binary()),
+                        *[pa.concat_arrays([pa.nulls(m, column(batch, k).type), column(batch, k).slice(a, n)]) for k in keep],
                     ],
                     names=[f.name for f in schema],
                 )
 
-    return settle(source.mapInArrow(run, schema))
+    return source.mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words."""
+def encode_lists(lists: DataFrame, path: str) -> DataFrame:
+    """(of, part, sizes, ids): the ids of each block's words of a part; a word is encoded once per part.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for batch in batches:
-            coded = t.encode_batch(column(batch, "word").to_pylist(), add_special_tokens=False)
-            ids = pa.array([c.ids for c in coded], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([column(batch, "word"), ids], names=["word", "ids"])
+    A part is the share of the word table that a hash of the word gives it; all blocks meet there.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        words = [x.decode().split("\n") for x in rows["words"].to_pylist()]
+        place: dict[str, int] = {}
+        for listed in words:
+            for w in listed:
+                place.setdefault(w, len(place))
+        distinct, t, coded = list(place), tokenizer(path), []
+        for a in range(0, len(distinct), TOGETHER):
+            coded += [np.array(c.ids, np.uint32) for c in t.encode_batch(distinct[a : a + TOGETHER], add_special_tokens=False)]
+        size = np.array([len(c) for c in coded], np.uint32)
+        small = zstandard.ZstdCompressor(level=3)
+        sizes, ids = [], []
+        for listed in words:
+            at = [place[w] for w in listed]
+            sizes.append(small.compress(size[at].tobytes()))
+            ids.append(small.compress(np.concatenate([coded[i] for i in at]).tobytes()))
+        return pa.table({"of": rows["block"], "part": rows["part"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return lists.groupBy("part").applyInArrow(run, "of long, part int, sizes binary, ids binary")
 
 
 ENCODED = T.StructType(
@@ -140,47 +164,41 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", dige
     the tokenizer without a decoder does); with ``digests`` their SHA-256 in hex instead. A null or
     blank text has no tokens and decodes to the empty text. Repeated rows stay.
     """
-    blocks = split_blocks(docs, keep, text)
-    listed = blocks.where("words IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word"))
-    words = listed.where("word <> ''").select("word").distinct()
-    coded = settle(encode_words(words, path))
-    pieces = F.broadcast(id_pieces(docs.sparkSession, path))
-    spread = coded.select("word", "ids", F.posexplode("ids").alias("nth", "id")).join(pieces, "id")
-    # a word has as many pieces as bytes at most
-    ordered = F.array_sort(F.collect_list(F.struct("nth", "piece")))
-    table = spread.groupBy("word").agg(
-        F.first("ids").alias("ids"), F.array_join(F.transform(ordered, lambda p: p["piece"]), " ").alias("decoded")
-    )
-    back = listed.join(table, "word").select("of", "at", "ids", "decoded")
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    parts = int(max(1, size // PART_BYTES))
+    # written once: lists and positions come from one pass and must name the same blocks
+    blocks = Shelf(spark).put(split_blocks(docs, keep, parts, text))
+    release(spark)
+    back = encode_lists(blocks.where("words IS NOT NULL").select("block", "part", "words"), path)
+    pieces = spark.sparkContext.broadcast(id_pieces(path))
     kind = DIGESTS if digests else ENCODED
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keep], *kind.fields])
     rows = blocks.where("at IS NOT NULL").select("block", "at", *names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        order = right.column("at").to_numpy()
-        lists, texts = right.column("ids").combine_chunks(), right.column("decoded").combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists, texts = pa.concat_arrays(lists.chunks), pa.concat_arrays(texts.chunks)
-        flat = lists.flatten().to_numpy().astype(np.uint32)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        width = int(order.max()) + 1 if len(order) else 0
-        n_of, begin_of = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        n_of[order], begin_of[order] = sizes, begin
-        piece_of = [b""] * width
-        for i, t in zip(order.tolist(), texts.to_pylist(), strict=True):
-            piece_of[i] = t.encode()
         plain = zstandard.ZstdDecompressor()
+        order = np.argsort(right["part"].to_numpy()).tolist() if right.num_rows else []
+
+        def unpacked(name):
+            held = right[name].to_pylist() if order else []
+            return np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(plain.decompress(held[i]), np.uint32) for i in order]])
+
+        flat, n_of = unpacked("ids"), unpacked("sizes").astype(np.int64)
+        stop = np.cumsum(n_of)
+        begin = stop - n_of
+        # the join of ids with pieces, once per distinct word of the block
+        spelled = list(map(pieces.value.__getitem__, flat.tolist()))
+        piece_of = [b" ".join(spelled[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
         made = []
-        for z in left.column("at").to_pylist():
-            at = np.frombuffer(plain.decompress(z), np.uint32)
+        for z in left["at"]:
+            at = np.frombuffer(plain.decompress(z.as_buffer()), np.uint32)
             n = n_of[at]
             total = int(n.sum())
             step = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            ids = flat[np.repeat(begin_of[at], n) + step].tobytes() if total else b""
-            # words without tokens (none in this vocabulary) leave no piece
+            ids = flat[np.repeat(begin[at], n) + step].tobytes() if total else b""
+            # a word without tokens leaves no piece
             decoded = b" ".join([p for p in map(piece_of.__getitem__, at.tolist()) if p])
             if digests:
                 made.append((total, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
@@ -188,7 +206,13 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", dige
                 made.append((total, ids, decoded))
         kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.binary(), pa.binary())
         cols = [pa.array([m[i] for m in made], kinds[i]) for i in range(3)]
-        return pa.Table.from_arrays([*[left.column(k) for k in names], *cols], names=[f.name for f in schema])
+        given = [left[k] for k in names] if left.num_rows else [pa.array([], _arrow(f)) for f in schema.fields[: len(names)]]
+        return pa.Table.from_arrays([*given, *cols], names=[f.name for f in schema])
 
-    release(docs.sparkSession)
     return rows.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(run, schema)
+
+
+def _arrow(field: T.StructField) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(field.dataType)
