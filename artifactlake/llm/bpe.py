@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shelf, column, release, text_bytes, word_codes
+from .common import column, mix, text_bytes, word_codes
 
 #: text of a block, text for each part of the word table, words encoded at once
 BLOCK_BYTES, PART_BYTES, TOGETHER = 16 << 20, 16 << 20, 10_000
@@ -49,19 +49,20 @@ def id_pieces(path: str) -> list[bytes]:
     return [pieces.get(i, "").encode() for i in range(max(pieces) + 1)]
 
 
-def split_blocks(docs: DataFrame, keep: list[str], parts: int, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: ``words`` of a block for one ``part``, and a document's positions ``at``.
+def split_blocks(docs: DataFrame, keep: list[str], parts: int, lists: bool, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Either the ``words`` of each block for each ``part`` (``lists``), or each document's positions ``at``.
 
     A block's list is in order of the parts. Words hold no white space, so a newline separates them.
+    Texts are split once for each kind: splitting is cheaper than writing the positions twice. ``check``
+    is a hash of the block's list, by which the reader sees that both kinds come from the same rows.
     """
     source = docs.select(*keep, F.col(text).cast("string").alias("__text"), F.spark_partition_id().alias("__part"))
     schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
-            T.StructField("part", T.IntegerType()),
-            T.StructField("words", T.BinaryType()),
-            T.StructField("at", T.BinaryType()),
-            *[T.StructField(f"k{i}", docs.schema[k].dataType) for i, k in enumerate(keep)],
+            T.StructField("check", T.LongType()),
+            *([T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType())] if lists else [T.StructField("at", T.BinaryType())]),
+            *([] if lists else [T.StructField(f"k{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]),
         ]
     )
 
@@ -86,36 +87,32 @@ def split_blocks(docs: DataFrame, keep: list[str], parts: int, text: str = "text
                 ends = split.offsets.to_numpy() - split.offsets[0].as_py()
                 listed = coded.dictionary
                 raw, edges = text_bytes(listed)
-                part = (word_codes(raw, edges[:-1], edges[1:]) % np.uint64(parts)).astype(np.int64)
+                codes = word_codes(raw, edges[:-1], edges[1:])
+                part = (codes % np.uint64(parts)).astype(np.int64)
                 # splitting leaves empty strings at the edges: no word, no part
                 part[np.diff(edges) == 0] = parts
                 order = np.argsort(part, kind="stable")
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order), dtype=np.uint32)
-                at = rank[coded.indices.to_numpy()]
-                solid = part[order[at]] < parts
-                rows = [small.compress(at[s:e][solid[s:e]].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                sorted_words = listed.take(pa.array(order))
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                used = np.flatnonzero(np.diff(cuts)).tolist()
-                lists = ["\n".join(sorted_words.slice(cuts[p], cuts[p + 1] - cuts[p]).to_pylist()).encode() for p in used]
-                m, n = len(used), b - a
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block] * (m + n), pa.int64()),
-                        pa.array([*used, *[None] * n], pa.int32()),
-                        pa.array([*lists, *[None] * n], pa.binary()),
-                        pa.array([*[None] * m, *rows], pa.binary()),
-                        *[pa.concat_arrays([pa.nulls(m, column(batch, k).type), column(batch, k).slice(a, n)]) for k in keep],
-                    ],
-                    names=[f.name for f in schema],
-                )
+                total = int(mix(codes[order] + np.arange(len(order), dtype=np.uint64)).sum().view(np.int64)) if len(order) else 0
+                if lists:
+                    sorted_words = listed.take(pa.array(order))
+                    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                    used = np.flatnonzero(np.diff(cuts)).tolist()
+                    made = ["\n".join(sorted_words.slice(cuts[p], cuts[p + 1] - cuts[p]).to_pylist()).encode() for p in used]
+                    n, rest = len(used), [pa.array(used, pa.int32()), pa.array(made, pa.binary())]
+                else:
+                    at = rank[coded.indices.to_numpy()]
+                    solid = part[order[at]] < parts
+                    made = [small.compress(at[s:e][solid[s:e]].tobytes()) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                    n, rest = b - a, [pa.array(made, pa.binary()), *[column(batch, k).slice(a, b - a) for k in keep]]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array([total] * n, pa.int64()), *rest], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
 
 def encode_lists(lists: DataFrame, path: str) -> DataFrame:
-    """(of, part, sizes, ids): the ids of each block's words of a part; a word is encoded once per part.
+    """(of, checked, part, sizes, ids): the ids of each block's words of a part; a word is encoded once per part.
 
     A part is the share of the word table that a hash of the word gives it; all blocks meet there.
     """
@@ -136,9 +133,9 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
             at = [place[w] for w in listed]
             sizes.append(small.compress(size[at].tobytes()))
             ids.append(small.compress(np.concatenate([coded[i] for i in at]).tobytes()))
-        return pa.table({"of": rows["block"], "part": rows["part"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        return pa.table({"of": rows["block"], "checked": rows["check"], "part": rows["part"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    return lists.groupBy("part").applyInArrow(run, "of long, part int, sizes binary, ids binary")
+    return lists.groupBy("part").applyInArrow(run, "of long, checked long, part int, sizes binary, ids binary")
 
 
 ENCODED = T.StructType(
@@ -162,21 +159,18 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", dige
 
     ``ids`` are little-endian unsigned 32-bit integers, ``decoded`` is UTF-8 (pieces joined by a space, as
     the tokenizer without a decoder does); with ``digests`` their SHA-256 in hex instead. A null or
-    blank text has no tokens and decodes to the empty text. Repeated rows stay.
+    blank text has no tokens and decodes to the empty text. Repeated rows stay. The texts are read twice
+    and must come in the same order both times, as from files; otherwise the job fails.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = int(max(1, size // PART_BYTES))
-    # written once: lists and positions come from one pass and must name the same blocks
-    blocks = Shelf(spark).put(split_blocks(docs, keep, parts, text))
-    release(spark)
-    back = encode_lists(blocks.where("words IS NOT NULL").select("block", "part", "words"), path)
+    back = encode_lists(split_blocks(docs, keep, parts, True, text), path)
+    rows = split_blocks(docs, keep, parts, False, text)
     pieces = spark.sparkContext.broadcast(id_pieces(path))
     kind = DIGESTS if digests else ENCODED
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keep], *kind.fields])
-    rows = blocks.where("at IS NOT NULL").select("block", "at", *names)
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         plain = zstandard.ZstdDecompressor()
         order = np.argsort(right["part"].to_numpy()).tolist() if right.num_rows else []
@@ -185,6 +179,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", dige
             held = right[name].to_pylist() if order else []
             return np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(plain.decompress(held[i]), np.uint32) for i in order]])
 
+        if order and left.num_rows and set(right["checked"].to_pylist()) != set(left["check"].to_pylist()):
+            raise RuntimeError("the documents came in another order when read again; write them to a table first")
         flat, n_of = unpacked("ids"), unpacked("sizes").astype(np.int64)
         stop = np.cumsum(n_of)
         begin = stop - n_of
