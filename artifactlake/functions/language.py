@@ -80,7 +80,7 @@ def detect_language(
                 (-score).alias("rank"),
                 F.lit(lang).alias("language"),
                 score.alias("confidence"),
-                F.slice(seen, 1, 12).alias("matched_terms"),
+                seen.alias("matched_terms"),
             )
         )
     ranked = staged.withColumn("__s", F.array_sort(F.array(*scores)))

@@ -145,10 +145,10 @@ def locate_backups(
     categories: DataFrame,
     roots: DataFrame | None = None,
     schedule_nested: bool = False,
-    max_nested_depth: int = 1,
-    max_scheduled: int = 128,
+    max_nested_depth: int | None = None,
+    max_scheduled: int | None = None,
 ) -> DataFrame:
-    """Backup-like entries; the first ``max_scheduled`` eligible ones in input order are scheduled.
+    """Backup-like entries; eligible ones are scheduled: all, or the first ``max_scheduled`` in input order.
 
     ``metadata`` values are catalog states, ``categories`` arrays of category names.
     """
@@ -184,9 +184,10 @@ def locate_backups(
     work = work.withColumn("nested_depth", nested_depth(p))
     link = F.col("entry_type") == "symlink"
     depth = F.col("nested_depth")
-    eligible = ~link & (F.col("kind") != "sync_root") & (
-        (depth == 0) | (F.lit(schedule_nested) & (depth <= max_nested_depth))
-    )
+    nested = F.lit(schedule_nested)
+    if max_nested_depth is not None:
+        nested = nested & (depth <= max_nested_depth)
+    eligible = ~link & (F.col("kind") != "sync_root") & ((depth == 0) | nested)
     work = schedule_cap(work, eligible, "ord", max_scheduled)
     broken = F.coalesce(F.col("__state") == "broken", F.lit(False))
     return work.select(

@@ -107,11 +107,11 @@ def validate_artifacts(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFra
 
 
 def archive_members(
-    df: DataFrame, id_col: str, members: str = "members", max_members: int = 10_000, max_ratio: float = 100.0
+    df: DataFrame, id_col: str, members: str = "members", max_members: int | None = None, max_ratio: float = 100.0
 ) -> tuple[DataFrame, DataFrame]:
     """``(members, rejects)``: one row per archive member with its warnings and allowed flag.
 
-    Members past ``max_members`` are not lost: they are rejects like the invalid ones.
+    With ``max_members``, members past it are not lost: they are rejects like the invalid ones.
     """
     m = df.select(id_col, F.posexplode(members).alias("position", "m"))
     kind = F.coalesce(F.nullif(F.col("m.kind"), F.lit("")), F.lit("file"))
@@ -120,7 +120,7 @@ def archive_members(
         & kind.isin("file", "directory", "symlink", "device")
         & F.coalesce(F.col("m.size_bytes") >= 0, F.lit(False))
     )
-    reason = F.when(F.col("position") >= max_members, "archive_member_limit_applied").when(
+    reason = F.when(F.lit(False) if max_members is None else F.col("position") >= max_members, "archive_member_limit_applied").when(
         ~valid, "invalid_archive_member"
     )
     path = F.replace(F.col("m.path"), F.lit("\\"), F.lit("/"))
@@ -164,7 +164,7 @@ def _unit(value: Column) -> Column:
 
 
 def normalize_regions(
-    df: DataFrame, max_text_chars: int | None = None, max_regions: int | None = 512, low: float = 0.55
+    df: DataFrame, max_text_chars: int | None = None, max_regions: int | None = None, low: float = 0.55
 ) -> DataFrame:
     """Recognized pages: text, confidence and the regions that are complete and in range.
 
@@ -206,7 +206,7 @@ def normalize_segments(
     df: DataFrame,
     languages: Sequence[str] = ("en", "es", "unknown"),
     max_text_chars: int | None = None,
-    max_segments: int | None = 1024,
+    max_segments: int | None = None,
 ) -> DataFrame:
     """Transcripts: text, language, usable segments and the merged checkpoint map."""
     text, cut = _capped_text(max_text_chars)

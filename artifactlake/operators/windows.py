@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import AUDIT_TRANSITIONS
+from ..session import settle
 from .grouped import GROUP_LIMIT, number_rows, with_neighbour
 from .updates import transition_checks
 
@@ -252,21 +253,27 @@ def duplicate_siblings(
 
 
 def schedule_cap(
-    candidates: DataFrame, eligible: Column, ord_col: str = "ord", n: int = 128
+    candidates: DataFrame, eligible: Column, ord_col: str = "ord", n: int | None = None
 ) -> DataFrame:
-    """Mark the first ``n`` eligible rows in input order as scheduled (top-n, no global window)."""
+    """Mark eligible rows as scheduled: all, or the first ``n`` in input order (top-n, no global window).
+
+    Rows with the same ``ord_col`` are told apart, so no more than ``n`` are marked.
+    """
+    if n is None:
+        return candidates.withColumn("schedule_scan", F.coalesce(eligible, F.lit(False)))
+    # written once, so that a row has one number
+    rows = settle(candidates.withColumn("__row", F.monotonically_increasing_id()))
     chosen = (
-        candidates.where(eligible)
-        .select(ord_col)
-        .orderBy(ord_col)
+        rows.where(eligible)
+        .orderBy(ord_col, "__row")
         .limit(n)
-        .withColumn("__chosen", F.lit(True))
+        .select("__row", F.lit(True).alias("__chosen"))
     )
-    # at most n rows
+    # the caller's n bounds this side, but not its size: Spark picks the join
     return (
-        candidates.join(F.broadcast(chosen), ord_col, "left")
+        rows.join(chosen, "__row", "left")
         .withColumn("schedule_scan", F.coalesce("__chosen", F.lit(False)))
-        .drop("__chosen")
+        .drop("__chosen", "__row")
     )
 
 

@@ -263,7 +263,7 @@ def c12(spark, sf):
 @query(
     "c14_visit_collapse",
     """WITH v AS (SELECT user_id, regexp_replace(url, '#.*', '') AS canonical, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') AS utc
-      FROM events JOIN pages ON page_id = event_id % 250)
+      FROM events JOIN pages ON page_id = event_id % (SELECT count(*) FROM pages))
     SELECT 'browser-visit-collapse-' || substr(sha256(user_id || chr(0) || canonical || chr(0) || utc), 1, 32) AS visit_collapse_key,
       count(*) AS visits FROM v GROUP BY 1""",
 )
@@ -271,7 +271,8 @@ def c14(spark, sf):
     pages = normalize_urls(table(spark, sf, "pages"), "url").select(
         "page_id", F.col("url_normalization.canonical_url").alias("canonical")
     )
-    events = table(spark, sf, "events").withColumn("page_id", F.col("event_id") % 250)
+    n_pages = pages.count()
+    events = table(spark, sf, "events").withColumn("page_id", F.col("event_id") % n_pages)
     utc = F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     key = visit_collapse_key("user_id", F.col("canonical"), utc)
     return (

@@ -242,16 +242,16 @@ def c24(spark, sf):
 
 REQUESTS = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'http://127.0.0.1:8080/x' WHEN 1 THEN 'http://192.168.1.' || (page_id % 250) || '/' WHEN 2 THEN 'http://8.8.8.' || (page_id % 250)
       WHEN 3 THEN 'http://169.254.169.254/latest' WHEN 4 THEN 'http://api.localhost/' WHEN 5 THEN 'http://u:p@172.20.0.1/' ELSE url END AS endpoint,
-    CASE WHEN page_id % 6 = 0 THEN 'http://10.1.2.3/' END AS final_endpoint, 'prov' || (page_id % 5) AS provider, length(html) AS payload_bytes FROM """
+    CASE WHEN page_id % 6 = 0 THEN 'http://10.1.2.3/' END AS final_endpoint, 'prov' || (page_id % 30) AS provider, length(html) AS payload_bytes FROM """
 ACKS = """SELECT 'prov' || n_nationkey AS provider, CASE n_nationkey WHEN 3 THEN 'elsewhere' ELSE 'prov' || n_nationkey || '/' END AS accepted_endpoint,
-    CASE n_nationkey WHEN 2 THEN 'lan' ELSE 'remote' END AS endpoint_class, CASE n_nationkey WHEN 1 THEN 'revoked' ELSE 'acknowledged' END AS state FROM {t} WHERE n_nationkey < 4"""
+    CASE n_nationkey WHEN 2 THEN 'lan' ELSE 'remote' END AS endpoint_class, CASE n_nationkey WHEN 1 THEN 'revoked' ELSE 'acknowledged' END AS state FROM {t}"""
 
 
 @query(
     "c25_gate_requests",
     f"""WITH r AS ({REQUESTS} pages), c AS (SELECT *, CASE page_id % 8 WHEN 0 THEN 'local' WHEN 1 THEN 'lan' WHEN 4 THEN 'local' WHEN 5 THEN 'lan' ELSE 'remote' END AS cls FROM r),
     d AS (SELECT page_id, cls, concat_ws('|', CASE WHEN page_id % 3 = 0 THEN 'category_denied' END, CASE WHEN payload_bytes > 6000 THEN 'payload_too_large' END,
-      CASE WHEN cls = 'remote' THEN CASE page_id % 5 WHEN 1 THEN 'remote_not_acknowledged' WHEN 4 THEN 'remote_not_acknowledged' WHEN 2 THEN 'endpoint_class_promoted_requires_reacknowledgment'
+      CASE WHEN cls = 'remote' THEN CASE CASE WHEN page_id % 30 >= 25 THEN 1 ELSE page_id % 30 END WHEN 1 THEN 'remote_not_acknowledged' WHEN 2 THEN 'endpoint_class_promoted_requires_reacknowledgment'
         WHEN 3 THEN 'provider_acknowledgment_mismatch' END END, CASE WHEN cls = 'remote' AND page_id % 6 = 0 THEN 'redirect_to_private' END) AS reasons FROM c)
     SELECT page_id, cls AS endpoint_class, reasons, reasons = '' AS allowed FROM d""",
 )

@@ -20,11 +20,13 @@ def stream(spark, sf):
     return live.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("t1_dedupe_replays", "SELECT event_id, event_type FROM events")
+@query("t1_dedupe_replays", "SELECT event_id, event_type, ts, 1 AS copy FROM events")
 def t1(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "ts")
-    twice = rows.unionByName(rows)
-    return op.dedupe_replays(twice, ["event_id", "event_type"], "ts").select("event_id", "event_type")
+    # the replay comes first in the table and carries another payload
+    later = rows.select("event_id", "event_type", (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"), F.lit(2).alias("copy"))
+    twice = later.unionByName(rows.withColumn("copy", F.lit(1)))
+    return op.dedupe_replays(twice, ["event_id", "event_type"], "ts")
 
 
 @query("t1_dedupe_replays_stream", "SELECT event_id, event_type FROM events")

@@ -280,7 +280,7 @@ def w9_plain(spark, sf):
     SELECT o_orderkey, o_orderkey IN (SELECT o_orderkey FROM e) AS schedule_scan FROM orders""",
 )
 def w10(spark, sf):
-    out = op.schedule_cap(table(spark, sf, "orders"), F.col("o_orderstatus") == "P", "o_orderkey")
+    out = op.schedule_cap(table(spark, sf, "orders"), F.col("o_orderstatus") == "P", "o_orderkey", n=128)
     return out.select("o_orderkey", "schedule_scan")
 
 

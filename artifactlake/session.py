@@ -33,6 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current is None:
         current = sc.getConf().get("spark.checkpoint.dir", None)
+        one_machine = sc.master == "local" or sc.master.startswith("local[")
+        if current is None and not one_machine:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if current is None:
             current = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         sc.setCheckpointDir(current)

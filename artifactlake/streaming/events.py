@@ -24,10 +24,12 @@ def replay_key(payload: str = "payload") -> Column:
 
 
 def dedupe_replays(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 hour") -> DataFrame:
-    """First message per replay key; on a stream, keys are remembered for ``delay`` of event time."""
+    """First message per replay key by ``ts``; on a stream the first to arrive, for ``delay`` of event time."""
     if df.isStreaming:
         return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
-    return df.dropDuplicates(list(keys))
+    rank = F.struct(F.col(ts).isNull(), F.col(ts))
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), rank).alias("__first"))
+    return first.select("__first.*")
 
 
 def outbox_stream(stream: DataFrame, target: str, progress: str, after: int = 0) -> None:

@@ -243,3 +243,37 @@ def test_range_join_bins_equal_broadcast(spark):
     small = joins.overlaps(points, ranges, "at", "s", "e", 64)
     large = joins.overlaps(points, ranges, "at", "s", "e", 64, broadcast_rows=5)
     assert as_set(small) == as_set(large) and small.count() > 0
+
+
+def test_limits_are_off_by_default(spark):
+    from artifactlake.operators import records, windows
+
+    members = spark.createDataFrame([(1, 10_001)], "id int, n int").selectExpr(
+        "id", "transform(sequence(1, n), i -> named_struct('path', 'f' || i, 'kind', 'file', 'size_bytes', 1L, 'compressed_size_bytes', 1L, 'encrypted', false)) AS members"
+    )
+    kept, rejected = records.archive_members(members, "id")
+    assert kept.count() == 10_001 and rejected.count() == 0
+    rows = spark.range(300).selectExpr("id % 2 AS ord", "id")
+    assert windows.schedule_cap(rows, F.lit(True)).where("schedule_scan").count() == 300
+    assert windows.schedule_cap(rows, F.lit(True), n=7).where("schedule_scan").count() == 7
+
+
+def test_first_message_wins(spark):
+    from artifactlake.streaming.events import dedupe_replays
+
+    rows = spark.createDataFrame([(1, 5, "late"), (1, 2, "first"), (2, None, "none"), (None, 1, "null key")], "k int, ts int, v string")
+    got = {r["k"]: r["v"] for r in dedupe_replays(rows, ["k"], "ts").collect()}
+    assert got == {1: "first", 2: "none", None: "null key"}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from artifactlake.session import scratch_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: conf)
+    with pytest.raises(RuntimeError):
+        scratch_dir(SimpleNamespace(sparkContext=sc))
