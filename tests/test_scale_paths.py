@@ -249,7 +249,7 @@ def test_limits_are_off_by_default(spark):
     from artifactlake.operators import records, windows
 
     members = spark.createDataFrame([(1, 10_001)], "id int, n int").selectExpr(
-        "id", "transform(sequence(1, n), i -> named_struct('path', 'f' || i, 'kind', 'file', 'size_bytes', 1L, 'compressed_size_bytes', 1L, 'encrypted', false)) AS members"
+        "id", "transform(sequence(1, n), i -> named_struct('path', 'f' || i, 'kind', 'file', 'size_bytes', 1L, 'compressed_size_bytes', 1L, 'encrypted', false, 'warnings', CAST(array() AS array<string>))) AS members"
     )
     kept, rejected = records.archive_members(members, "id")
     assert kept.count() == 10_001 and rejected.count() == 0
