@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import column, mix, text_bytes, word_codes
 
 #: text of a block, text for each part of the word table, words encoded at once
-BLOCK_BYTES, PART_BYTES, TOGETHER = 16 << 20, 16 << 20, 10_000
+BLOCK_BYTES, PART_BYTES, TOGETHER = 16 << 20, 8 << 20, 4_000
 
 
 @lru_cache(maxsize=2)
