@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -35,22 +36,28 @@ def dedupe_replays(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "1
 def outbox_stream(stream: DataFrame, target: str, progress: str, after: int = 0) -> None:
     """Deliver events after a sequence number into ``target`` once each, in order inside a batch.
 
-    A delivered (case, sequence) is never written again, however often the source repeats it.
+    A delivered (case, sequence) is never written again, however often the source repeats it and
+    whichever progress folder the run has. Each batch has a folder of its own, named by the query id
+    that the progress folder keeps and the batch number, so only a rerun of that batch overwrites it.
+    Of what other batches delivered, the two key columns are read.
     """
     spark = stream.sparkSession
+    keys = ["case_id", "sequence"]
+    place = [T.StructField("delivery_run", T.StringType()), T.StructField("delivery_batch", T.LongType())]
+    history = T.StructType([*[stream.schema[c] for c in keys], *place])
+    # a target to read from before the first delivery
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.mode("overwrite").parquet(f"{target}/delivery_run=none/delivery_batch=0")
+    started = threading.Event()
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.where(F.col("sequence") > after).dropDuplicates(["case_id", "sequence"])
-        if batch_id > 0:
-            done = spark.read.schema(batch.schema).parquet(target)
-            # rows of this very batch (a rerun) are not "done"
-            before = done.where(
-                F.regexp_extract(F.input_file_name(), r"/batch=(\d+)/", 1).cast("long") < batch_id
-            )
-            fresh = fresh.join(before.select("case_id", "sequence"), ["case_id", "sequence"], "left_anti")
-        fresh.select(*batch.columns).sortWithinPartitions("case_id", "sequence").write.mode(
-            "overwrite"
-        ).parquet(f"{target}/batch={batch_id}")
+        started.wait()
+        own = (F.col("delivery_run") == running.id) & (F.col("delivery_batch") == batch_id)
+        done = spark.read.schema(history).parquet(target).where(~own).select(*keys)
+        fresh = batch.where(F.col("sequence") > after).dropDuplicates(keys).join(done, keys, "left_anti")
+        fresh.select(*batch.columns).sortWithinPartitions(*keys).write.mode("overwrite").parquet(
+            f"{target}/delivery_run={running.id}/delivery_batch={batch_id}"
+        )
 
     running = (
         stream.writeStream.option("checkpointLocation", progress)
@@ -58,6 +65,7 @@ def outbox_stream(stream: DataFrame, target: str, progress: str, after: int = 0)
         .foreachBatch(deliver)
         .start()
     )
+    started.set()
     running.awaitTermination()
 
 
@@ -146,10 +154,11 @@ def notify(
     """
     group = [*keys, "event_type"]
     judged = _judged(events, rules, ts, count)
-    once = F.coalesce(F.col("count_rule") & F.col("threshold_once"), F.lit(False))
+    # a once rule without a threshold has nothing to cross: it is throttled like the others
+    once = F.coalesce(F.col("count_rule") & F.col("threshold_once"), F.lit(False)) & F.col("threshold").isNotNull()
     free = judged.where("__why IS NULL")
     first = (
-        free.where(once & F.col("threshold").isNotNull())
+        free.where(once)
         .groupBy(*group)
         .agg(F.min(F.struct(F.col(ts), F.col(id_col))).alias("__first"))
     )
@@ -330,38 +339,67 @@ def stable_files_stream(observations: DataFrame, suffix: str = ".done") -> DataF
 
 
 def expired_leases(
-    beats: DataFrame, keys: Sequence[str], ts: str, id_col: str, lease_seconds: int
+    beats: DataFrame, keys: Sequence[str], ts: str, id_col: str, lease_seconds: int, as_of: Column | None = None
 ) -> DataFrame:
-    """Heartbeats whose lease ran out before the next one; a beat exactly at expiry is in time."""
+    """Heartbeats whose lease ran out before the next one and before ``as_of`` (now by default).
+
+    The last heartbeat of a key is judged by ``as_of`` alone, so the lease of a dead worker is found. A
+    beat exactly at expiry is in time. Rows without a time have no lease.
+    """
     near = with_neighbour(beats, keys, [ts, id_col], {"at": F.col(ts)}, "__next", ahead=True)
     now, then = F.unix_timestamp(ts), F.unix_timestamp(F.col("__next.at"))
+    end = F.unix_timestamp(F.current_timestamp() if as_of is None else as_of)
+    # least() passes over nulls
     return (
-        near.where(F.coalesce(then - now > lease_seconds, F.lit(False)))
+        near.where(F.coalesce(F.least(then, end) - now > lease_seconds, F.lit(False)))
         .withColumn("expired_at", F.timestamp_seconds(now + lease_seconds))
         .drop("__next")
     )
 
 
 def expired_leases_stream(
-    beats: DataFrame, keys: Sequence[str], ts: str, id_col: str, lease_seconds: int
+    beats: DataFrame, keys: Sequence[str], ts: str, id_col: str, lease_seconds: int, delay: str = "1 hour"
 ) -> DataFrame:
-    """Streaming form: a lease expires when the next heartbeat of its key comes too late."""
-    rows = beats.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp(ts).alias("at"))
-    out = T.StructType([*rows.schema.fields, T.StructField("expired_at", T.LongType())])
+    """:func:`expired_leases` as of the watermark, which runs ``delay`` behind the latest heartbeat.
+
+    State per key: the heartbeats that the watermark has not settled, in time order whatever order they
+    arrived in. A beat leaves when the watermark is past it and its successor came in time, or past its
+    lease; a timer reports keys that fall silent. Beats older than the watermark are dropped.
+    """
+    timed = beats.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
+    rows = timed.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp("__time").alias("at"), "__time")
+    fields = [rows.schema[c] for c in (*keys, "event_ref", "at")]
+    out = T.StructType([*fields, T.StructField("expired_at", T.LongType())])
+    held = T.StructType(
+        [
+            T.StructField("at", T.ArrayType(T.LongType())),
+            T.StructField("ref", T.ArrayType(rows.schema["event_ref"].dataType)),
+        ]
+    )
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ref, last = state.get if state.exists else (None, None)
-        gone = []
-        pdf = pd.concat(list(frames)).sort_values(["at", "event_ref"])
-        for row in pdf.itertuples(index=False):
-            if last is not None and row.at - last > lease_seconds:
-                gone.append((*key, ref, last, last + lease_seconds))
-            ref, last = int(row.event_ref), int(row.at)
-        state.update((ref, last))
+        open_beats = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                open_beats.extend(zip(pdf["at"].tolist(), pdf["event_ref"].tolist(), strict=True))
+        open_beats.sort()
+        mark = state.getCurrentWatermarkMs() // 1000
+        gone, left = [], []
+        for i, (at, ref) in enumerate(open_beats):
+            in_time = i + 1 < len(open_beats) and open_beats[i + 1][0] - at <= lease_seconds
+            if not in_time and mark > at + lease_seconds:
+                gone.append((*key, ref, at, at + lease_seconds))
+            elif not in_time or mark <= at:
+                left.append((at, ref))
+        if left:
+            state.update(([at for at, _ in left], [ref for _, ref in left]))
+            state.setTimeoutTimestamp((left[0][0] + lease_seconds + 1) * 1000 - 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(gone, columns=[f.name for f in out.fields])
 
-    return rows.groupBy(*keys).applyInPandasWithState(
-        watch, out, "ref long, last long", "append", GroupStateTimeout.NoTimeout
+    return rows.where("__time IS NOT NULL").groupBy(*keys).applyInPandasWithState(
+        watch, out, held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
