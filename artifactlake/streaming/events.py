@@ -364,7 +364,7 @@ def expired_leases_stream(
 
     State per key: the heartbeats that the watermark has not settled, in time order whatever order they
     arrived in. A beat leaves when the watermark is past it and its successor came in time, or past its
-    lease; a timer reports keys that fall silent. Beats older than the watermark are dropped.
+    lease; a timer reports keys that fall silent. Beats that arrive when the watermark has reached them are dropped.
     """
     timed = beats.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
     rows = timed.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp("__time").alias("at"), "__time")

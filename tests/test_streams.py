@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from artifactlake.streaming import events as op
 from artifactlake.streaming.run import drain
 
-BEATS = [("w1", 1, 0), ("w1", 2, 50), ("w1", 3, 400), ("w2", 4, 100), ("w3", 5, 390), ("w4", 6, 300), (None, 7, 0)]
+BEATS = [("w1", 1, 0), ("w1", 2, 50), ("w1", 3, 400), ("w2", 4, 100), ("w3", 5, 390), ("w4", 6, 300), (None, 7, 5)]
 
 
 def beats(spark, rows=BEATS):
@@ -26,7 +26,7 @@ def test_silent_workers_lose_their_lease(spark):
     out = op.expired_leases(beats(spark), ["worker"], "ts", "id", 100, F.timestamp_seconds(F.lit(400)))
     got = {(r.worker, r.id, r.e) for r in out.select("worker", "id", F.unix_timestamp("expired_at").alias("e")).collect()}
     # w4's lease ends exactly at the time asked for, and is in time
-    assert got == leases_by_hand(BEATS, 100, 400) == {("w1", 2, 150), ("w2", 4, 200), (None, 7, 100)}
+    assert got == leases_by_hand(BEATS, 100, 400) == {("w1", 2, 150), ("w2", 4, 200), (None, 7, 105)}
 
 
 def test_lease_stream_over_batches_out_of_order(spark, tmp_path):
@@ -40,9 +40,9 @@ def test_lease_stream_over_batches_out_of_order(spark, tmp_path):
         .option("maxFilesPerTrigger", 1)
         .parquet(str(tmp_path))
     )
-    out = drain(op.expired_leases_stream(live, ["worker"], "ts", "id", 100, "400 seconds"))
+    out = drain(op.expired_leases_stream(live, ["worker"], "ts", "id", 100, "410 seconds"))
     got = {(r.worker, r.event_ref, r.expired_at) for r in out.collect()}
-    assert got == leases_by_hand(rows, 100, 500)
+    assert got == leases_by_hand(rows, 100, 490)
 
 
 def test_once_rule_without_threshold_is_throttled(spark):
