@@ -14,6 +14,10 @@ from artifactlake.plans.bindings import TABLES
 from artifactlake.registry import ORACLES, QUERIES, load_all
 
 
+#: queries that still lack check SQL; any other one without it fails
+NO_SQL = {"j18_matching_frames"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -58,7 +62,7 @@ def compare(spark, sf, name, con=None):
     df = QUERIES[name](spark, sf)
     got = rows_of(df.columns, df.collect())
     if name not in ORACLES:
-        return True, f"{len(got)} rows, no SQL"
+        return name in NO_SQL, f"{len(got)} rows, no SQL"
     con = con or connect(sf)
     cur = con.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
