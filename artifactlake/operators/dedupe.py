@@ -264,15 +264,19 @@ def image_groups(df: DataFrame, threshold: int = 8, width: int = 16) -> tuple[Da
         "h", "n", F.coalesce("label", "rep").alias("cluster")
     )
     totals = clusters.groupBy("cluster").agg(F.sum("n").alias("members")).where("members > 1")
-    members = join_groups(items, clusters.join(totals, "cluster"), ["h"], "n").drop("n")
-    best = pick_canonical(members, "cluster").drop("members")
-    named = join_groups(members, best.join(totals, "cluster").drop("members").withColumn("__n", F.lit(0)), ["cluster"], "__n").drop("__n")
-    ref = members.select(F.col("finding_id").alias("distance_ref_id"), F.col("h").alias("__ref"))
-    refs = best.join(ref, "distance_ref_id").select("cluster", "__ref")
-    return (
-        named.join(refs, "cluster").withColumn("distance", hamming(F.col("h"), F.col("__ref"), words)).drop("__ref"),
-        warnings,
-    )
+    members = settle(join_groups(items, clusters.join(totals, "cluster"), ["h"], "n").drop("n"))
+    named = _with_reference(members, "h")
+    return named.withColumn("distance", hamming(F.col("h"), F.col("__ref"), words)).drop("__ref"), warnings
+
+
+def _with_reference(members: DataFrame, hash_col: str) -> DataFrame:
+    """Members with their cluster's canonical ids and ``__ref``, the hash that distances refer to.
+
+    The cluster's size goes along, so the rows of a huge cluster do not meet in one task.
+    """
+    best = pick_canonical(members, "cluster").withColumnRenamed("members", "__n")
+    ref = members.select(F.col("finding_id").alias("distance_ref_id"), F.col(hash_col).alias("__ref"))
+    return join_groups(members, settle(best.join(ref, "distance_ref_id")), ["cluster"], "__n").drop("__n")
 
 
 def matching_frames(left: Column, right: Column, threshold: int) -> Column:
@@ -359,24 +363,27 @@ def video_edges(
     sure = F.lit(True) if min_match == 1 else apart("x", "gy") & apart("y", "gx")
     met = settle(met.withColumn("__sure", sure))
     certain = met.where("__sure").select(F.col("center").alias("a"), F.col("far").alias("b"))
-    unsure = met.where("NOT __sure").select("x", "y", "px", "py").distinct()
-    pairs = (
-        unsure.join(owned, ["x", "y"])
+    left = seqs.select(F.col("vid").alias("a"), F.col("seq").alias("ls"))
+    right = seqs.select(F.col("vid").alias("b"), F.col("seq").alias("rs"))
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        checked = pairs.where("a <> b").distinct().join(left, "a").join(right, "b")
+        enough = matching_frames(F.col("ls"), F.col("rs"), frame_threshold) >= min_match
+        return settle(checked.where(enough).select("a", "b"))
+
+    # all owners of a frame set are linked to its centre: two centres that match join all of them, and
+    # only the owners of sets whose centres do not match are compared one by one
+    low, high = F.least("center", "far").alias("a"), F.greatest("center", "far").alias("b")
+    unsure = met.where("NOT __sure AND center <> far").select("x", "y", "px", "py", low, high)
+    centres = matching(unsure.select("a", "b"))
+    left_over = unsure.join(centres, ["a", "b"], "left_anti").select("x", "y", "px", "py").distinct()
+    owners = (
+        left_over.join(owned, ["x", "y"])
         .withColumnRenamed("vid", "va")
         .join(owned.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("vid").alias("vb")), ["px", "py"])
-        .where("va <> vb")
         .select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
-        .distinct()
     )
-    left = seqs.select(F.col("vid").alias("a"), F.col("seq").alias("ls"))
-    right = seqs.select(F.col("vid").alias("b"), F.col("seq").alias("rs"))
-    checked = (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(matching_frames(F.col("ls"), F.col("rs"), frame_threshold) >= min_match)
-        .select("a", "b")
-    )
-    edges = exact.unionByName(certain.where("a <> b")).unionByName(checked)
+    edges = exact.unionByName(certain.where("a <> b")).unionByName(centres).unionByName(matching(owners))
     return edges, seqs
 
 
@@ -384,16 +391,15 @@ def video_groups(
     df: DataFrame,
     frame_threshold: int = 10,
     min_match: int = 2,
-    max_frames: int = 32,
+    max_frames: int | None = None,
     width: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(members, warnings)`` of near-duplicate videos by key frame hashes."""
+    """``(members, warnings)`` of near-duplicate videos by all, or the first ``max_frames``, key frame hashes."""
     if width != 16:
         raise ValueError("frame hashes have 64 bits")
     videos = df.where((F.col("media_kind") == "video") & (F.size("video_keyframe_hashes") > 0))
-    frames = F.transform(
-        F.slice("video_keyframe_hashes", 1, max_frames), lambda f: hash_words(f, 16)[0]
-    )
+    seen = F.col("video_keyframe_hashes") if max_frames is None else F.slice("video_keyframe_hashes", 1, max_frames)
+    frames = F.transform(seen, lambda f: hash_words(f, 16)[0])
     hashed = settle(
         videos.select("finding_id", "size_bytes", "source_paths", "preview_uri", frames.alias("seq"))
     )
@@ -411,11 +417,8 @@ def video_groups(
     enough = F.size("seq") >= min_match
     own = items.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
     sized = own.join(clusters, "seq").where(F.col("__linked") | ((F.col("n") > 1) & enough)).drop("__linked")
-    members = join_groups(items, sized, ["seq"], "n").drop("n")
-    best = pick_canonical(members, "cluster").drop("members")
-    ref = members.select(F.col("finding_id").alias("distance_ref_id"), F.col("seq").alias("__ref"))
-    refs = best.join(ref, "distance_ref_id")
-    matched = members.join(refs, "cluster").withColumn(
+    members = settle(join_groups(items, sized, ["seq"], "n").drop("n"))
+    matched = _with_reference(members, "seq").withColumn(
         "matching_frames", matching_frames(F.col("seq"), F.col("__ref"), frame_threshold)
     )
     return matched.drop("__ref"), warnings
@@ -425,8 +428,8 @@ GROUP_COLS = ("group_id", "group_kind", "algorithm", "threshold", "canonical_id"
 
 
 def _named(members: DataFrame, group: str, kind: str, algorithm: str, threshold: int | None) -> DataFrame:
-    ids = group_ids(members, group, kind, algorithm)
-    sized = ids.withColumn("__n", F.lit(0))
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    sized = settle(group_ids(members, group, kind, algorithm).join(sizes, group))
     out = join_groups(members, sized, [group], "__n")
     for name in ("distance", "matching_frames"):
         if name not in out.columns:
@@ -441,13 +444,16 @@ def build_duplicate_groups(
     image_threshold: int = 8,
     frame_threshold: int = 10,
     min_match: int = 2,
-    max_frames: int = 32,
+    max_frames: int | None = None,
     limit: int = GROUP_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """``(groups, warnings)``: exact, image and video groups in one long table, one row per member."""
     exact, w1 = exact_duplicates(df, limit)
-    best = pick_canonical(exact, "content_sha256").select("content_sha256", "canonical_id")
-    exact = join_groups(exact, best.withColumn("__n", F.lit(0)), ["content_sha256"], "__n")
+    exact = settle(exact.select("content_sha256", "finding_id", "size_bytes", "source_paths", "preview_uri"))
+    best = settle(
+        pick_canonical(exact, "content_sha256").select("content_sha256", "canonical_id", F.col("members").alias("__n"))
+    )
+    exact = join_groups(exact, best, ["content_sha256"], "__n").drop("__n")
     images, w2 = image_groups(df, image_threshold)
     videos, w3 = video_groups(df, frame_threshold, min_match, max_frames)
     groups = (

@@ -25,10 +25,10 @@ def exclude_noise(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def finding_detail(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per (finding, evidence) in evidence order; findings without evidence stay.
+    """One row per (finding, evidence); findings without evidence stay.
 
-    Rows rather than an array per finding: a finding may own any amount of evidence. The final
-    range sort includes the evidence order, so a hot finding is spread over many partitions.
+    Rows rather than an array per finding: a finding may own any amount of evidence. Rows come in no
+    order: the page that is read sorts by ``evidence_created_at`` and ``evidence_id``.
     """
     detail = evidence.select(
         "finding_id",
@@ -38,9 +38,7 @@ def finding_detail(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         "data_json",
         F.col("created_at").alias("evidence_created_at"),
     )
-    return findings.join(detail, "finding_id", "left").orderBy(
-        "finding_id", "evidence_created_at", "evidence_id"
-    )
+    return findings.join(detail, "finding_id", "left")
 
 
 def related_findings(artifacts: DataFrame, findings: DataFrame) -> DataFrame:
@@ -208,6 +206,9 @@ def link_by_basename(
     hot = (
         t.groupBy("__name").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     ).select("__name", F.lit(True).alias("__hot"))
+    # at most rows / hot_rows names are hot: broadcast when few, so that their rows stay where they are
+    if hot.limit(10_001).count() <= 10_000:
+        hot = F.broadcast(hot)
     a = a.join(hot, "__name", "left").withColumn(
         "__salt",
         F.explode(

@@ -156,7 +156,7 @@ def videos(spark, sf):
 
 
 FRAME = 2
-FRAME_SQL = f"""t AS (SELECT doc_id // 1000 AS id, CAST(bits AS BIT) AS h FROM ({HASHED.replace("{t}", TURNS.replace("{c}", "conversations") + " y")})),
+FRAME_SQL = f"""t AS (SELECT doc_id, doc_id // 1000 AS id, CAST(bits AS BIT) AS h FROM ({HASHED.replace("{t}", TURNS.replace("{c}", "conversations") + " y")})),
     e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM t a JOIN t b ON bit_count(xor(a.h, b.h)) <= {FRAME}),
     r AS (SELECT DISTINCT id AS x, id AS root FROM t UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x),
     c AS (SELECT x AS id, min(root) AS root FROM r GROUP BY x)"""
@@ -172,7 +172,17 @@ def j18(spark, sf):
     return members.select("cluster", "finding_id")
 
 
-@query("j18_matching_frames")
+@query(
+    "j18_matching_frames",
+    f"""WITH RECURSIVE {FRAME_SQL}, v AS (SELECT id, list(h ORDER BY doc_id) AS fs FROM t GROUP BY id),
+    m AS (SELECT id, root, max(id) OVER (PARTITION BY root) AS ref, count(*) OVER (PARTITION BY root) AS n FROM c),
+    w AS (SELECT m.id, root, ref, 1 AS i, CAST([] AS BIGINT[]) AS used, a.fs AS l, b.fs AS r
+      FROM m JOIN v a ON a.id = m.id JOIN v b ON b.id = m.ref WHERE n > 1
+      UNION ALL SELECT id, root, ref, i + 1, used || list_filter(range(1, len(r) + 1), lambda j:
+        NOT list_contains(used, j) AND bit_count(xor(l[i], r[j])) <= {FRAME})[1:1], l, r FROM w WHERE i <= len(l))
+    SELECT 'c' || lpad(CAST(root AS VARCHAR), 9, '0') AS cluster, 'c' || lpad(CAST(id AS VARCHAR), 9, '0') AS finding_id,
+      'c' || lpad(CAST(ref AS VARCHAR), 9, '0') AS distance_ref_id, len(used) AS matching_frames FROM w WHERE i > len(l)""",
+)
 def j18_frames(spark, sf):
     members, _ = op.video_groups(videos(spark, sf), frame_threshold=FRAME, min_match=1)
     return members.select("cluster", "finding_id", "distance_ref_id", "matching_frames")

@@ -15,7 +15,7 @@ from artifactlake.registry import ORACLES, QUERIES, load_all
 
 
 #: queries that still lack check SQL; any other one without it fails
-NO_SQL = {"j18_matching_frames"}
+NO_SQL: set[str] = set()
 
 
 def norm(v):
