@@ -153,6 +153,22 @@ def t5_stream(spark, sf):
     return drain(op.rate_limit_stream(live, "event_type", "ts", per_minute=2), "update", ["event_type", "minute"])
 
 
+@query(
+    "t5_rate_limit_calls_stream",
+    """WITH c AS (SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) - 1 AS counter FROM events)
+    SELECT event_id, counter, counter < 1 AS allowed, CASE WHEN counter < 1 THEN 0.0 ELSE 60.0 END AS wait_seconds FROM c""",
+)
+def t5_calls_stream(spark, sf):
+    root = f"{scratch_dir(spark).rstrip('/')}/calls-{uuid.uuid4().hex}"
+    calls = table(spark, sf, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # a minute's calls lie in one file; the files come in no order
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    calls.repartitionByRange(parts, F.date_trunc("minute", "ts")).write.parquet(root)
+    live = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", max(1, parts // 3)).parquet(root)
+    out = drain(op.rate_limit_calls_stream(live, "event_type", "ts", "event_id", 1, "60 days"))
+    return out.select(F.col("event_ref").alias("event_id"), "counter", "allowed", "wait_seconds")
+
+
 @query(
     "t6_stable_files_stream",
     """WITH o AS (SELECT 'f' || user_id || CASE WHEN user_id % 25 = 0 THEN '.done' ELSE '' END AS path, max(event_id % 3) AS size_bytes,

@@ -78,8 +78,14 @@ RULES_SCHEMA = (
 )
 
 
-def rule_warnings(rules: DataFrame, known_events: Sequence[str], safe_tokens: Sequence[str]) -> DataFrame:
-    """One row per problem of a rule table."""
+#: hours and minutes of quiet hours
+HHMM = r"^([01]?[0-9]|2[0-3]):([0-5]?[0-9])$"
+
+
+def rule_warnings(
+    rules: DataFrame, known_events: Sequence[str], safe_tokens: Sequence[str], ui_base: str | None = None
+) -> DataFrame:
+    """One row per problem of a rule table; without a ``ui_base`` for links, a row that names no event type."""
     tokens = F.regexp_extract_all("template", F.lit(r"\{([a-z_][a-z0-9_]*)\}"), F.lit(1))
     unsafe = F.filter(tokens, lambda t: ~t.isin(*safe_tokens))
     repeated = rules.groupBy("event_type").count().where("count > 1").select("event_type", F.lit(True).alias("__dup"))
@@ -89,26 +95,33 @@ def rule_warnings(rules: DataFrame, known_events: Sequence[str], safe_tokens: Se
         (~F.col("severity").isin("info", "warning", "critical"), "unsupported_severity"),
         (F.col("throttle_seconds") < 0, "negative_throttle"),
         (F.col("quiet_start").isNull() != F.col("quiet_end").isNull(), "incomplete_quiet_hours"),
+        (~F.col("quiet_start").rlike(HHMM) | ~F.col("quiet_end").rlike(HHMM), "invalid_quiet_hours"),
     ]
     found = F.concat(
         F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in flags])),
         F.transform(unsafe, lambda t: F.concat(F.lit("unsafe_template_token:"), t)),
     )
-    return (
+    warnings = (
         rules.join(repeated, "event_type", "left")
         .select("event_type", F.explode(found).alias("warning"))
         .distinct()
     )
+    if ui_base:
+        return warnings
+    base = rules.sparkSession.createDataFrame([(None, "missing_local_ui_base")], warnings.schema)
+    return warnings.unionByName(base)
 
 
 def in_quiet_hours(ts: str) -> Column:
+    """Whether the time lies in the rule's quiet hours; malformed or incomplete hours are never quiet."""
+
     def minutes(c: str) -> Column:
-        parts = F.split(F.col(c), ":")
-        return parts[0].cast("int") * 60 + parts[1].cast("int")
+        part = lambda i: F.regexp_extract(c, HHMM, i).try_cast("int")
+        return part(1) * 60 + part(2)
 
     now, start, end = minutes_of_day(ts), minutes("quiet_start"), minutes("quiet_end")
-    wrapped = (now >= start) | (now < end)
-    return F.coalesce(F.when(start <= end, (now >= start) & (now < end)).otherwise(wrapped), F.lit(False))
+    quiet = F.when(start <= end, (now >= start) & (now < end)).when(start > end, (now >= start) | (now < end))
+    return F.coalesce(quiet, F.lit(False))
 
 
 def _judged(events: DataFrame, rules: DataFrame, ts: str, count: str) -> DataFrame:
@@ -307,6 +320,49 @@ def rate_limit_stream(
     )
 
 
+def rate_limit_calls_stream(
+    calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60, delay: str = "5 minutes"
+) -> DataFrame:
+    """:func:`rate_limit` on a stream: each call is decided in the micro-batch that brings it.
+
+    State per key and minute: the calls counted so far; it goes when the watermark has passed the minute.
+    A caller cannot wait for earlier calls that are still on their way, so calls of one minute count in
+    order of arrival, and by (time, id) inside a micro-batch. Calls ``delay`` behind the latest are dropped.
+    """
+    timed = calls.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
+    minute = F.floor(F.unix_timestamp("__time") / 60).alias("__minute")
+    rows = timed.where("__time IS NOT NULL").select(
+        key, minute, F.col(id_col).alias("event_ref"), F.unix_micros("__time").alias("__at"), "__time"
+    )
+    out = T.StructType(
+        [
+            rows.schema[key],
+            rows.schema["event_ref"],
+            T.StructField("counter", T.LongType()),
+            T.StructField("allowed", T.BooleanType()),
+            T.StructField("wait_seconds", T.DoubleType()),
+        ]
+    )
+
+    def decide(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else 0
+        pdf = pd.concat([f[[key, "event_ref", "__at"]] for f in frames]).sort_values(["__at", "event_ref"])
+        pdf["counter"] = range(seen, seen + len(pdf))
+        pdf["allowed"] = pdf["counter"] < per_minute
+        pdf["wait_seconds"] = (~pdf["allowed"]) * 60.0
+        state.update((seen + len(pdf),))
+        end = (int(group[1]) + 1) * 60_000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pdf[[f.name for f in out.fields]]
+
+    return rows.groupBy(key, "__minute").applyInPandasWithState(
+        decide, out, "calls long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def stable_files_stream(observations: DataFrame, suffix: str = ".done") -> DataFrame:
     """Files that became complete: finalized name, or same size and mtime as in the scan before.
 

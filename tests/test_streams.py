@@ -45,6 +45,26 @@ def test_lease_stream_over_batches_out_of_order(spark, tmp_path):
     assert got == leases_by_hand(rows, 100, 490)
 
 
+def test_rate_limit_stream_decides_each_call_over_batches(spark, tmp_path):
+    # (id, second, batch): the first minute's calls come in three batches, the last batch brings an earlier one;
+    # a stream's first watermark is the epoch itself, so the calls come after it
+    rows = [(1, 600, 0), (2, 610, 0), (3, 620, 1), (4, 670, 1), (5, 650, 2), (6, 605, 2)]
+    for i in range(3):
+        part = spark.createDataFrame([("k", r, s) for r, s, b in rows if b == i], "who string, id int, sec long")
+        part.select("who", "id", F.timestamp_seconds("sec").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/part={i}")
+    live = (
+        spark.readStream.schema("who string, id int, ts timestamp")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(str(tmp_path))
+    )
+    out = drain(op.rate_limit_calls_stream(live, "who", "ts", "id", per_minute=3))
+    got = {r.event_ref: (r.counter, r.allowed, r.wait_seconds) for r in out.collect()}
+    assert got == {
+        1: (0, True, 0.0), 2: (1, True, 0.0), 3: (2, True, 0.0), 4: (0, True, 0.0), 6: (3, False, 60.0), 5: (4, False, 60.0)
+    }
+
+
 def test_once_rule_without_threshold_is_throttled(spark):
     rule = [("job.count", True, True, None, True, 3600, None, None, "info", "x")]
     rows = spark.createDataFrame([("c", i, "job.count", 60 * i, i) for i in range(4)], "case_id string, id int, event_type string, sec long, count int")
@@ -53,6 +73,28 @@ def test_once_rule_without_threshold_is_throttled(spark):
     assert [r.reason for r in out.orderBy("id").collect()] == ["matched", "throttled", "throttled", "throttled"]
 
 
+def test_rule_warnings_name_malformed_quiet_hours_and_the_missing_link_base(spark):
+    rows = [
+        ("job.count", True, True, 5, True, 0, "22:00", "6:30", "info", "{count}"),
+        ("job.done", True, False, None, False, 0, "24:00", "06:30", "info", "{secret}"),
+        ("job.failed", True, False, None, False, 0, "22:00", None, "info", "x"),
+        ("job.odd", True, False, None, False, 0, "noon", "one", "info", "x"),
+    ]
+    rules = spark.createDataFrame(rows, op.RULES_SCHEMA)
+    known = [r[0] for r in rows]
+    want = {
+        ("job.done", "invalid_quiet_hours"), ("job.done", "unsafe_template_token:secret"),
+        ("job.failed", "incomplete_quiet_hours"), ("job.odd", "invalid_quiet_hours"),
+    }
+    got = {tuple(r) for r in op.rule_warnings(rules, known, ["count"], "http://ui/").collect()}
+    assert got == want
+    bare = {tuple(r) for r in op.rule_warnings(rules, known, ["count"]).collect()}
+    assert bare == want | {(None, "missing_local_ui_base")}
+    events = spark.createDataFrame([("c", i, e, 82_800, 9) for i, e in enumerate(known)], "case_id string, id int, event_type string, sec long, count int")
+    out = op.notify(events.withColumn("ts", F.timestamp_seconds("sec")), rules, ["case_id"], "ts", "id")
+    assert [r.reason for r in out.orderBy("id").collect()] == ["quiet_hours", "matched", "matched", "matched"]
+
+
 def test_outbox_delivers_once_over_runs(spark, tmp_path):
     rows = spark.range(20).select((F.col("id") % 3).alias("case_id"), F.col("id").alias("sequence"))
     rows.repartition(4).write.parquet(f"{tmp_path}/log/a")
