@@ -325,14 +325,14 @@ def rate_limit_calls_stream(
 ) -> DataFrame:
     """:func:`rate_limit` on a stream: each call is decided in the micro-batch that brings it.
 
-    State per key and minute: the calls counted so far; it goes when the watermark has passed the minute.
+    State per key and day: the calls counted so far in each minute that the watermark has not passed.
     A caller cannot wait for earlier calls that are still on their way, so calls of one minute count in
     order of arrival, and by (time, id) inside a micro-batch. Calls ``delay`` behind the latest are dropped.
     """
     timed = calls.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
-    minute = F.floor(F.unix_timestamp("__time") / 60).alias("__minute")
+    day = F.floor(F.unix_timestamp("__time") / 86_400).alias("__day")
     rows = timed.where("__time IS NOT NULL").select(
-        key, minute, F.col(id_col).alias("event_ref"), F.unix_micros("__time").alias("__at"), "__time"
+        key, day, F.col(id_col).alias("event_ref"), F.unix_micros("__time").alias("__at"), "__time"
     )
     out = T.StructType(
         [
@@ -348,18 +348,22 @@ def rate_limit_calls_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
+        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
         pdf = pd.concat([f[[key, "event_ref", "__at"]] for f in frames]).sort_values(["__at", "event_ref"])
-        pdf["counter"] = range(seen, seen + len(pdf))
+        pdf["__minute"] = pdf["__at"] // 60_000_000
+        before = [seen.get(m, 0) for m in pdf["__minute"].tolist()]
+        pdf["counter"] = pdf.groupby("__minute").cumcount() + before
         pdf["allowed"] = pdf["counter"] < per_minute
         pdf["wait_seconds"] = (~pdf["allowed"]) * 60.0
-        state.update((seen + len(pdf),))
-        end = (int(group[1]) + 1) * 60_000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        seen.update((pdf.groupby("__minute")["counter"].max() + 1).to_dict())
+        mark = state.getCurrentWatermarkMs()
+        left = {int(m): int(n) for m, n in seen.items() if (m + 1) * 60_000 > mark}
+        state.update((list(left), list(left.values())))
+        state.setTimeoutTimestamp(max((int(group[1]) + 1) * 86_400_000, mark + 1))
         yield pdf[[f.name for f in out.fields]]
 
-    return rows.groupBy(key, "__minute").applyInPandasWithState(
-        decide, out, "calls long", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key, "__day").applyInPandasWithState(
+        decide, out, "minutes array<long>, calls array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
