@@ -5,6 +5,9 @@ they differ in at most ``bits // segments`` of some segment, so every fingerprin
 Hamming ball around each of its segments in the table of segments and compares the whole fingerprint
 with what it finds. No pair within the distance is lost. Equal fingerprints count once before the
 search, so copies make no pairs.
+
+``similar_groups`` asks for similar texts instead of near fingerprints: a wide radius only proposes pairs,
+and the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -14,13 +17,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedupe import connected_components
 from ..session import settle
-from .common import annotate, release
+from .common import Shelf, Spans, annotate, column, release, word_bounds, word_codes
 
 WIDTH = 64
 #: shingles whose bits are counted at once
@@ -125,17 +129,196 @@ def near_groups(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42,
     return rows.join(named, "simhash").select(*keep, "simhash", "component_id")
 
 
+#: shingles, radius and similarity of ``similar_groups``, and segments of its search
+SIMILAR_WORDS, SIMILAR_BITS, SIMILAR, SIMILAR_SEGMENTS = 5, 13, 0.8, 4
+#: fingerprints compared at once
+COMPARED = 1 << 21
+
+
+def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each row's distinct shingles (ASCII letters lowered); a shorter text is one shingle."""
+    low = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
+    starts, ends, rows = word_bounds(low, at)
+    spans = Spans(word_codes(low, starts, ends))
+    out = []
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        first = np.arange(a, max(b - words, a) + 1 if b > a else a)
+        out.append(np.unique(spans.of(first, np.minimum(first + words, b))))
+    return out
+
+
+def set_fingerprint(codes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; 0 of none."""
+    ones = np.zeros(WIDTH, np.int64)
+    for a in range(0, len(codes), BLOCK):
+        ones += np.unpackbits(codes[a : a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(codes), bitorder="little").view(np.uint64)[0])
+
+
+def radii(bits: int, n: int) -> list[int]:
+    """Radii of ``n`` segments: words within ``bits`` bits are within the radius in one segment at least."""
+    each, more = divmod(bits + 1, n)
+    return [each + (i < more) - 1 for i in range(n)]
+
+
+def near_nodes(code: np.ndarray, bits: int, share: int, shares: int, label: np.ndarray | None = None, n: int = SIMILAR_SEGMENTS):
+    """Pairs (a, b), a < b, of positions whose codes differ in at most ``bits`` bits, in arrays; each ``share`` has its own.
+
+    With ``label`` only pairs with different labels, each once; without, of the pairs of one bucket and
+    b only the one with the least a, so a large group of near codes gives no square of pairs.
+    """
+    edges = [round(i * WIDTH / n) for i in range(n + 1)]
+    parts = [((code >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    for i, radius in enumerate(radii(bits, n)):
+        width = edges[i + 1] - edges[i]
+        masks = np.array(ball(width, radius))
+        order = np.argsort(parts[i], kind="stable")
+        at = np.searchsorted(parts[i][order], np.arange((1 << width) + 1))
+        for v in np.flatnonzero(np.diff(at))[share::shares].tolist():
+            mine, around = order[at[v] : at[v + 1]], v ^ masks
+            around = around[around >= v]
+            count = at[around + 1] - at[around]
+            around, count = around[count > 0], count[count > 0]
+            jump = np.repeat(at[around] - np.cumsum(count) + count, count)
+            theirs = order[jump + np.arange(len(jump))]
+            step = max(1, COMPARED // len(theirs))
+            wide = max(1, min(len(theirs), COMPARED))
+            for x in range(0, len(mine), step):
+                for y in range(0, len(theirs), wide):
+                    one, two = mine[x : x + step], theirs[y : y + wide]
+                    r, c = np.nonzero(np.bitwise_count(code[one][:, None] ^ code[two][None]) <= bits)
+                    a, b = one[r], two[c]
+                    # pairs inside the bucket come in both directions
+                    fresh = (a < b) | (parts[i][b] != v)
+                    if label is not None:
+                        fresh &= label[a] != label[b]
+                        for p, reach in zip(parts[:i], radii(bits, n)[:i], strict=True):
+                            fresh &= np.bitwise_count(p[a] ^ p[b]) > reach
+                    a, b = np.minimum(a, b)[fresh], np.maximum(a, b)[fresh]
+                    if label is None and len(a):
+                        least = np.lexsort((a, b))
+                        a, b = a[least], b[least]
+                        first = np.append(True, b[1:] != b[:-1])
+                        a, b = a[first], b[first]
+                    if len(a):
+                        yield a, b
+
+
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _proposed(spark, nodes: np.ndarray, code: np.ndarray, bits: int, label: np.ndarray | None = None) -> DataFrame:
+    """``near_nodes`` of all shares, as node names. Every task gets the codes: 16 bytes a text that differs from the others (24 with labels)."""
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sent = spark.sparkContext.broadcast((nodes, code, label))
+
+    def run(batches):
+        for batch in batches:
+            for share in batch.column(0).to_pylist():
+                names, codes, labels = sent.value
+                for a, b in near_nodes(codes, bits, share, shares, labels):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=PAIR.names)
+
+    return spark.range(0, shares, 1, shares).mapInArrow(run, PAIR)
+
+
+def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs of nodes whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    # one row stands for all of its node
+    first = shelf.put(rows.join(asked, "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid")))
+    texts = shelf.put(rows.join(first.select("rid"), "rid").select("set", "z"))
+    both = pairs.join(texts.select(F.col("set").alias("b"), F.col("z").alias("zb")), "b")
+    both = both.join(texts.select(F.col("set").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
+
+    def run(batches):
+        plain = zstandard.ZstdDecompressor()
+
+        def shingles(z):
+            raw = np.frombuffer(plain.decompress(z.as_buffer()), np.uint8)
+            return shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+
+        for batch in batches:
+            za, zb = column(batch, "za"), column(batch, "zb")
+            alike = []
+            for x, y in zip(za, zb, strict=True):
+                x, y = shingles(x), shingles(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=PAIR.names).filter(pa.array(alike, pa.bool_()))
+
+    found = shelf.put(both.mapInArrow(run, PAIR))
+    shelf.drop(first, texts)
+    return found
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+    """``keep`` columns (the id at least), ``set`` and ``component_id`` of each row.
+
+    Links join texts whose ``words``-word shingle sets have a Jaccard similarity of ``least`` or more, if
+    the SimHashes of the sets are within ``bits`` bits. Texts with the same set are always together. Rows
+    without an id are as in ``near_groups``; ``set`` is the least set of a group without any id.
+
+    First every set is compared with the least one near it, then, of sets that are not together by then, all near ones.
+    """
+    spark = docs.sparkSession
+    keep = [id_col, *[c for c in keep or [] if c != id_col]]
+    shelf = Shelf(spark)
+    fields = [T.StructField("code", T.LongType()), T.StructField("set", T.LongType()), T.StructField("z", T.BinaryType())]
+
+    def make(raw, at):
+        small = zstandard.ZstdCompressor(level=3)
+        sets = shingle_sets(raw, at, words)
+        codes = np.array([set_fingerprint(x) for x in sets], np.uint64)
+        names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+        z = [small.compress(raw[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [pa.array(codes.view(np.int64)), pa.array(names.view(np.int64)), pa.array(z, pa.binary())]
+
+    narrow = docs.select(*keep, F.col(text).alias("__t"))
+    rows = shelf.put(annotate(narrow, T.StructType(fields), make, "__t", keep).withColumn("rid", F.monotonically_increasing_id()))
+    lows = settle(rows.groupBy("set").agg(F.min("code").alias("code"), F.min(id_col).alias("low")))
+    found = lows.select("set", "code").toArrow()
+    nodes, code = (found.column(c).to_numpy() for c in ("set", "code"))
+    order = np.argsort(nodes)
+    nodes, code = nodes[order], code[order].view(np.uint64)
+    near = shelf.put(_proposed(spark, nodes, code, bits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    edges = _confirmed(shelf, near, rows, words, least)
+    merged = connected_components(edges).toArrow()
+    label = nodes.copy()
+    label[np.searchsorted(nodes, merged.column("node").to_numpy())] = merged.column("label").to_numpy()
+    rest = shelf.put(_proposed(spark, nodes, code, bits, label))
+    more = _confirmed(shelf, rest, rows, words, least)
+    labels = connected_components(edges.unionByName(more))
+    grouped = lows.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
+    lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
+    named = grouped.join(lowest, "label").select("set", "component_id", "label")
+    out = settle(rows.join(named, "set").select(*keep, F.col("label").alias("set"), "component_id"))
+    shelf.clear()
+    return out
+
+
 def keep_one(docs: DataFrame, bits: int = 3, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id.
 
     Ties (a repeated id) go to the smallest text hash, and one of rows equal in both stays. Rows without
     an id are kept only where their group has no id at all.
     """
-    digest = F.xxhash64(text)
-    narrow = docs.select(F.col(id_col), F.col(text), digest.alias("__digest"))
+    narrow = docs.select(F.col(id_col), F.col(text), F.xxhash64(text).alias("__digest"))
     groups = near_groups(narrow, bits, words, id_col=id_col, text=text, keep=[id_col, "__digest"])
-    # groups without any id have a null component: each of their fingerprints stands for itself
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("simhash")))
+    return _smallest(docs, groups, "simhash", id_col, text)
+
+
+def keep_one_similar(docs: DataFrame, words: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each of ``similar_groups``, chosen as in ``keep_one``."""
+    narrow = docs.select(F.col(id_col), F.col(text), F.xxhash64(text).alias("__digest"))
+    groups = similar_groups(narrow, words, bits, least, id_col, text, [id_col, "__digest"])
+    return _smallest(docs, groups, "set", id_col, text)
+
+
+def _smallest(docs: DataFrame, groups: DataFrame, own: str, id_col: str, text: str) -> DataFrame:
+    digest = F.xxhash64(text)
+    # groups without any id have a null component: each value of ``own`` stands for itself
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col(own)))
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col), F.col("__digest"))
     rows_of = groups.groupBy(group.alias("g"), key.alias("k")).agg(F.count("*").alias("n"))
     kept = rows_of.groupBy("g").agg(F.min(F.struct("k", "n")).alias("m"))

@@ -234,6 +234,40 @@ def test_simhash(docs, none):
     assert simhash.keep_one(none).collect() == []
 
 
+def test_pipeline_removes_planted_near_copies(spark):
+    rng = np.random.default_rng(8)
+    rows, kept = [], set()
+    for g in range(30):
+        words = [f"t{g}x{k}" for k in rng.integers(0, 5000, 120)]
+        rows.append((10 * g, " ".join(words)))
+        kept.add(10 * g)
+        # one or two words changed: similarity 0.92 and about 0.84
+        for k, places in enumerate(([60], [20, 90]), 1):
+            rows.append((10 * g + k, " ".join("changed" if i in places else w for i, w in enumerate(words))))
+        # seven words changed: similarity about 0.54, another document
+        rows.append((10 * g + 5, " ".join("other" if i % 16 == 8 else w for i, w in enumerate(words))))
+        kept.add(10 * g + 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got) == sorted(kept)
+    assert len(set(got) ^ {r["doc_id"] for r in simhash.keep_one(docs).collect()}) > 0
+
+
+def test_near_nodes_find_every_pair():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    codes = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 0, 4, 6, 7, 12)], np.uint64)
+    near = {(a, b) for b in range(len(codes)) for a in range(b) if int(codes[a] ^ codes[b]).bit_count() <= 12}
+    pairs = lambda label: [(int(x), int(y)) for s in range(3) for a, b in simhash.near_nodes(codes, 12, s, 3, label) for x, y in zip(a, b, strict=True)]
+    every = pairs(np.arange(len(codes)))
+    assert sorted(every) == sorted(near)
+    least = {}
+    for a, b in pairs(None):
+        assert (a, b) in near
+        least[b] = min(a, least.get(b, a))
+    assert least == {b: min(x for x, y in near if y == b) for _, b in near}
+
+
 def test_near_fingerprints_find_every_pair(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
