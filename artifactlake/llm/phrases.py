@@ -22,11 +22,13 @@ from pyspark.sql import types as T
 
 from .common import column, word_bounds, word_codes
 from .suffixes import _arrow_type, covered
-from .windows import Unit, confirmed, gathered, keyed, recurring_anchors, with_texts, word_units
+from .windows import Unit, confirmed, keyed, recurring_anchors, shard_of, with_texts, word_units
 
 WIDTH, GRAM = 35, 10
 #: text bytes of a shard, and letters of one automaton (a larger shard compiles several, one after another)
 SHARD_BYTES, AUTOMATON_LETTERS = 8 << 20, 2_000_000
+#: rows and text bytes of one output batch
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def letters(codes: np.ndarray) -> str:
@@ -107,7 +109,7 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     marks = confirmed(rows, unit, recurring_anchors(rows, unit), int(shards))
     last = T.StructField("kept_sha256" if digests else "kept", T.StringType())
     schema = T.StructType([rows.schema["own"], *OUT, last])
-    shard = {"shard": F.pmod(F.col("k2"), F.lit(shards))}
+    shard = {"shard": shard_of(int(shards))}
     order = [F.col("shard"), F.col("z").isNotNull(), F.col("k1"), F.col("k2")]
     stream = with_texts(marks, rows, ["shard"], order, shard, n=int(max(1, shards)))
     own_type = _arrow_type(rows.schema["own"])
@@ -143,29 +145,43 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         kinds = [own_type, pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=schema.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nothing = hashlib.sha256(b"").hexdigest() if digests else ""
+
+    def cleaned(batches: Iterator[pa.RecordBatch]):
         place, texts, marked = None, [], {}
         for batch in batches:
-            shard_of, z = column(batch, "shard").to_pylist(), column(batch, "z")
+            shards_of, z = column(batch, "shard").to_pylist(), column(batch, "z")
             k1, k2 = column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist()
             start, n = column(batch, "start").fill_null(0).to_numpy(), column(batch, "n").fill_null(0).to_numpy()
             own = column(batch, "own")
             for i in range(batch.num_rows):
-                if shard_of[i] != place:
-                    if texts:
-                        yield batch_of(list(clean(texts, marked)))
-                    place, texts, marked = shard_of[i], [], {}
+                if shards_of[i] != place:
+                    yield from clean(texts, marked)
+                    place, texts, marked = shards_of[i], [], {}
                 key = (k1[i], k2[i])
                 if not z[i].is_valid:
                     marked.setdefault(key, []).append((start[i : i + 1], n[i : i + 1]))
+                elif zstandard.frame_content_size(z[i].as_buffer()) == 0:
+                    # a null or empty text has no words to look at, and does not wait for its shard
+                    yield own[i].as_py(), 0, 0, nothing
                 elif texts and texts[-1][:2] == key:
                     texts[-1][3].append(own[i].as_py())
                 else:
                     texts.append((*key, z[i].as_buffer().to_pybytes(), [own[i].as_py()]))
-        if texts:
-            yield batch_of(list(clean(texts, marked)))
+        yield from clean(texts, marked)
 
-    out = stream.mapInArrow(gathered(run, 200), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for row in cleaned(batches):
+            made.append(row)
+            size += len(row[3])
+            if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch_of(made)
+                made, size = [], 0
+        if made:
+            yield batch_of(made)
+
+    out = stream.mapInArrow(run, schema)
     return out.select(f"own.{id_col}", *[c for c in out.columns if c != "own"])
 
 

@@ -128,6 +128,11 @@ def keyed(docs: DataFrame, id_col: str, text: str, keep: list[str] | None = None
     )
 
 
+def shard_of(shards: int) -> Column:
+    """Shard of a keyed row, by id and text: copies of one text are spread."""
+    return F.pmod(F.xxhash64("k1", "k2"), F.lit(shards))
+
+
 RUN = T.StructType(
     [
         T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
@@ -322,8 +327,7 @@ def confirmed(docs: DataFrame, unit: Unit, recurring: DataFrame, shards: int | N
     twice = pieces.where("c > 1").select("anchor", "piece")
     named = found
     if shards is not None:
-        at = F.pmod(F.col("k2"), F.lit(shards))
-        named = found.groupBy(at.alias("shard"), "anchor", "piece").agg(rep).select("rep.*", "anchor", "piece")
+        named = found.groupBy(shard_of(shards).alias("shard"), "anchor", "piece").agg(rep).select("rep.*", "anchor", "piece")
     sure_runs = shelf.put(named.join(twice, ["anchor", "piece"]).select(*KEY, "start", "n"))
     shelf.drop(found)
     groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))

@@ -64,6 +64,16 @@ def test_phrases(docs, none):
     assert phrases.remove_phrases(none).collect() == []
 
 
+def test_phrases_spread_copies(spark):
+    copy = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, copy if i < 60 else None if i < 120 else "") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = phrases.remove_phrases(docs, shard_bytes=500).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:4] for r in got) == [(i, 40, 40, "") if i < 60 else (i, 0, 0, "") for i in range(180)]
+    for kind in (range(60), range(60, 180)):
+        assert len({r["part"] for r in got if r["doc_id"] in kind}) > 2
+
+
 def test_suffixes(docs, none):
     texts = [(r[0], plain(r[1]).encode()) for r in ROWS]
     seen = Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
