@@ -123,21 +123,23 @@ def take_page(df: DataFrame, sort: str, id_col: str, limit: int) -> tuple[list,
 
 def events_after(df: DataFrame, case_id: Any, sequence: int = 0, limit: int = 100) -> DataFrame:
     """Ordered events of one case after a sequence number, at most 500."""
-    bounded = min(max(limit, 1), POLL_LIMIT)
+    if not 1 <= limit <= POLL_LIMIT:
+        raise PagingError("invalid_limit", "page limit is out of range")
     return (
         df.where((F.col("case_id") == F.lit(case_id)) & (F.col("sequence") > sequence))
         .orderBy("sequence")
-        .limit(bounded)
+        .limit(limit)
     )
 
 
 def compaction_candidates(df: DataFrame, before: Any, limit: int = 1000) -> DataFrame:
     """Oldest published events created before a time, at most 10,000 per call."""
-    bounded = min(max(limit, 1), COMPACT_LIMIT)
+    if not 1 <= limit <= COMPACT_LIMIT:
+        raise PagingError("invalid_limit", "page limit is out of range")
     return (
         df.where(F.col("published_at").isNotNull() & (F.col("created_at") < F.lit(before)))
         .orderBy("created_at", "event_id")
-        .limit(bounded)
+        .limit(limit)
     )
 
 

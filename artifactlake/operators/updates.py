@@ -95,8 +95,14 @@ def mark_published(events: DataFrame, ids: DataFrame, at: Any) -> DataFrame:
     )
 
 
-def compact(events: DataFrame, before: Any, limit: int = 1000) -> DataFrame:
-    """Events without the oldest published ones; unpublished events always stay."""
+def compact(events: DataFrame, before: Any, limit: int | None = None) -> DataFrame:
+    """Events without the published ones created before a time; unpublished events always stay.
+
+    With ``limit`` only so many of the oldest go (10,000 at most), and the rest is left to later calls.
+    """
+    if limit is None:
+        gone = F.col("published_at").isNotNull() & (F.col("created_at") < F.lit(before))
+        return events.where(~F.coalesce(gone, F.lit(False)))
     gone = compaction_candidates(events, before, limit).select("event_id")
     # gone holds at most 10,000 ids
     return events.join(F.broadcast(gone), "event_id", "left_anti")

@@ -109,6 +109,15 @@ def m5(spark, sf):
     )
 
 
+@query(
+    "m5_compact_whole",
+    f"""WITH {ctes("event_log")} SELECT event_id, case_id FROM event_log
+      WHERE published_at IS NULL OR created_at >= TIMESTAMP '2024-01-20'""",
+)
+def m5_whole(spark, sf):
+    return op.compact(view(spark, sf, "event_log"), "2024-01-20 00:00:00").select("event_id", "case_id")
+
+
 @query(
     "m6_step_export_queue",
     f"""WITH q AS ({QUEUE} orders),
