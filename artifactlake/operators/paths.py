@@ -45,7 +45,11 @@ def safe_paths(
     case_insensitive: bool = False,
     out: str = "destination_path",
 ) -> DataFrame:
-    """Destination-relative path of every source path with the deviations it needed."""
+    """Destination-relative path of every source path with the deviations it needed.
+
+    A path beyond the limit keeps its leading folders and ends in the SHA-256 of the whole path, so
+    sources with a long common start stay apart.
+    """
     limit = MAX_LOCAL_PATH_BYTES if destination_kind == "local" else MAX_REMOTE_PATH_BYTES
     raw = F.filter(F.split(F.col(path), r"[/\\]+"), lambda p: ~p.isin("", "."))
     parts = F.transform(
@@ -77,12 +81,15 @@ def safe_paths(
     )
     joined = F.array_join(F.transform(F.col("__parts"), lambda p: p["name"]), "/")
     long = F.octet_length("__joined") > limit
+    # whole components only, and room for "/" and 64 hex digits
+    head = F.nullif(F.regexp_extract(cut_bytes(F.col("__joined"), limit - 65), r"(?s)^(.*)/", 1), F.lit(""))
+    short = F.concat_ws("/", head, F.sha2(F.col("__joined"), 256))
     return (
         df.withColumn("__parts", parts)
         .withColumn("__names", names)
         .withColumn("__joined", joined)
         .withColumn(
-            out, F.when(long, cut_bytes(F.col("__joined"), limit)).otherwise(F.col("__joined"))
+            out, F.when(long, short).otherwise(F.col("__joined"))
         )
         .withColumn(
             "deviations",

@@ -25,3 +25,17 @@ def test_compact_removes_all_published(spark):
     for limit in (0, 501):
         with pytest.raises(paging.PagingError):
             paging.events_after(events, 1, 0, limit)
+
+
+@pytest.mark.parametrize(("kind", "limit"), [("remote", 1024), ("local", 4096)])
+def test_long_paths_stay_apart(spark, kind, limit):
+    start = "/".join(f"folder{i}" for i in range(limit // 8))
+    names = [f"{start}/a.txt", f"{start}/b.txt", "é" * limit + "a", "é" * limit + "b"]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r["path"]: r for r in paths.safe_paths(rows, "path", kind).collect()}
+    assert len({r["destination_path"] for r in got.values()}) == 4
+    for name, r in got.items():
+        assert len(r["destination_path"].encode()) < limit
+        assert r["destination_path"].split("/")[-1] == hashlib.sha256(name.encode()).hexdigest()
+        assert "long_path_truncated" in r["deviations"]
+    assert got[names[0]]["destination_path"].startswith("folder0/folder1/")
