@@ -683,7 +683,7 @@ def ntfs_flags(df: DataFrame, facts: str = "facts") -> DataFrame:
     )
 
 
-def cluster_chain(chain: Column, max_clusters: int = 4096) -> Column:
+def cluster_chain(chain: Column, max_clusters: int | None = None) -> Column:
     """Struct (clusters, status, warning) of a FAT cluster chain, stopped at its first problem."""
     none = F.lit(None).cast("string")
     start = F.struct(
@@ -706,7 +706,7 @@ def cluster_chain(chain: Column, max_clusters: int = 4096) -> Column:
             .when(c.isin(*end), stop(s, "complete", None))
             .when(c.isin(*bad) | (c < 2), stop(s, "corrupt", "fat_bad_cluster"))
             .when(F.array_contains(s["clusters"], c), stop(s, "corrupt", "fat_cluster_loop_bounded"))
-            .when(F.size(s["clusters"]) >= max_clusters, stop(s, "truncated", "fat_cluster_chain_bounded"))
+            .when(F.lit(False) if max_clusters is None else F.size(s["clusters"]) >= max_clusters, stop(s, "truncated", "fat_cluster_chain_bounded"))
             .otherwise(
                 F.struct(
                     F.array_append(s["clusters"], c).alias("clusters"),
@@ -727,7 +727,7 @@ def cluster_chain(chain: Column, max_clusters: int = 4096) -> Column:
     return F.aggregate(chain, start, step, finish)
 
 
-def fat_flags(df: DataFrame, facts: str = "facts", max_clusters: int = 4096) -> DataFrame:
+def fat_flags(df: DataFrame, facts: str = "facts", max_clusters: int | None = None) -> DataFrame:
     """Attribute and warning arrays of FAT entries from their metadata struct."""
     chain = cluster_chain(F.coalesce(F.col(f"{facts}.cluster_chain"), F.array().cast("array<bigint>")), max_clusters)
     work = df.withColumn("chain", chain)

@@ -251,22 +251,14 @@ def normalize_segments(
     )
 
 
-def bounded_map(m: str | Column, fields: int, key_chars: int, value_chars: int) -> Column:
-    """First ``fields`` pairs of a map in key order, keys and values cut to their lengths."""
-    pairs = F.slice(F.array_sort(F.map_entries(m)), 1, fields)
-    return F.map_from_entries(
-        F.transform(
-            pairs,
-            lambda p: F.struct(
-                F.substring(p["key"], 1, key_chars).alias("key"),
-                F.substring(p["value"], 1, value_chars).alias("value"),
-            ),
-        )
-    )
+def ordered_map(m: str | Column, fields: int | None = None) -> Column:
+    """Pairs of a map in key order, keys and values whole; with ``fields`` only the first ones."""
+    pairs = F.array_sort(F.map_entries(m))
+    return F.map_from_entries(pairs if fields is None else F.slice(pairs, 1, fields))
 
 
-def normalize_media(df: DataFrame, max_fields: int = 256) -> DataFrame:
-    """Media facts in range: dimensions, duration, place and bounded metadata maps."""
+def normalize_media(df: DataFrame, max_fields: int | None = None) -> DataFrame:
+    """Media facts in range: dimensions, duration, place and metadata maps, whole unless ``max_fields`` is given."""
     lat, lon = F.col("latitude"), F.col("longitude")
     placed = F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
     dropped = ("width", "height", "duration_seconds", "latitude", "longitude", "device", "raw_metadata", "malformed")
@@ -277,8 +269,8 @@ def normalize_media(df: DataFrame, max_fields: int = 256) -> DataFrame:
         F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds")).alias("duration_seconds"),
         F.when(placed, lat).alias("latitude"),
         F.when(placed, lon).alias("longitude"),
-        bounded_map("device", 1_000_000, 128, 256).alias("device"),
-        bounded_map("raw_metadata", max_fields, 256, 4096).alias("raw_metadata"),
+        ordered_map("device").alias("device"),
+        ordered_map("raw_metadata", max_fields).alias("raw_metadata"),
         present((F.coalesce("malformed", F.lit(False)), "malformed_media")).alias("warnings"),
     )
 
@@ -695,20 +687,24 @@ def little_endian(data: Column, offset: int, size: int) -> Column:
 
 
 def parse_trash_metadata(df: DataFrame, id_col: str, content: str = "content") -> DataFrame:
-    """Original path, size and version of ``$I`` metadata bytes; NULL path where they are malformed."""
+    """Original path, size and version of ``$I`` metadata bytes; NULL path where they are malformed.
+
+    A version 2 path is as long as stated; a length beyond the bytes is malformed.
+    """
     b = F.col(content)
     n = F.octet_length(b)
     version = little_endian(b, 0, 4)
-    length = F.least(little_endian(b, 16, 4), F.lit(520)).cast("int")
+    stated = little_endian(b, 16, 4)
+    fits = stated <= n - 20
     raw = F.when(version == 1, F.substring(b, 9, 520)).when(
-        version == 2, F.substring(b, F.lit(21), F.greatest(length, F.lit(0)))
+        (version == 2) & fits, F.substring(b, F.lit(21), F.when(fits, stated).cast("int"))
     )
     size = F.when(version == 1, little_endian(b, 4, 4)).when(version == 2, little_endian(b, 8, 8))
     even = F.substring(raw, F.lit(1), F.floor(F.octet_length(raw) / 2).cast("int") * 2)
     # an unpaired surrogate cannot be decoded
     sound = F.hex(even).rlike(r"^(?:..(?:[0-9A-C].|D[0-7]|[EF].)|..D[89AB]..D[C-F])*$")
     path = F.regexp_replace(F.when(sound, F.decode(even, "UTF-16LE")), "\0+$", "")
-    fine = (n >= 24) & version.isin(1, 2) & (path != "") & (F.length(path) <= 260)
+    fine = (n >= 24) & version.isin(1, 2) & (path != "")
     ok = F.coalesce(fine, F.lit(False))
     return df.select(
         id_col,

@@ -39,3 +39,29 @@ def test_long_paths_stay_apart(spark, kind, limit):
         assert r["destination_path"].split("/")[-1] == hashlib.sha256(name.encode()).hexdigest()
         assert "long_path_truncated" in r["deviations"]
     assert got[names[0]]["destination_path"].startswith("folder0/folder1/")
+
+
+def test_long_media_metadata_stays_whole(spark):
+    long = {f"{'k' * 300}{i}": "v" * 5000 + str(i) for i in range(300)}
+    schema = "width int, height int, duration_seconds double, latitude double, longitude double, device map<string,string>, raw_metadata map<string,string>, malformed boolean"
+    rows = spark.createDataFrame([(1, 1, 1.0, 1.0, 1.0, long, long, False)], schema)
+    got = records.normalize_media(rows).first()
+    assert got["device"] == long and got["raw_metadata"] == long
+
+
+def test_long_cluster_chain_stays_whole(spark):
+    rows = spark.range(1).select(F.sequence(F.lit(2), F.lit(5001)).cast("array<bigint>").alias("c"))
+    got = rows.select(cluster_chain(F.col("c")).alias("c")).first()["c"]
+    assert list(got["clusters"]) == list(range(2, 5002)) and got["status"] == "complete"
+
+
+def test_long_trash_path_stays_whole(spark):
+    path = "C:\\" + "x" * 400
+    raw = path.encode("utf-16-le")
+
+    def content(stated):
+        return bytearray((2).to_bytes(4, "little") + bytes(4) + (7).to_bytes(8, "little") + stated.to_bytes(4, "little") + raw)
+
+    rows = spark.createDataFrame([(1, content(len(raw))), (2, content(len(raw) + 2)), (3, content(2**32 - 1))], "id int, content binary")
+    got = {r["id"]: r["original_path"] for r in records.parse_trash_metadata(rows, "id").collect()}
+    assert got == {1: path, 2: None, 3: None}
