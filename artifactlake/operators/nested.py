@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..session import settle
+from ..session import scratch_dir, settle
 from .grouped import fold_sorted, follow_chain, last_before, number_rows
 
 FOLD_LIMIT = 100_000
@@ -118,14 +119,14 @@ def _pack_long(
     return carried.withColumn("batch", F.coalesce("__b", "__prev")).drop("__b", "__prev")
 
 
-def flatten_tree(
-    df: DataFrame, id_col: str, json_col: str, max_depth: int = 64, roots: str = "$.roots"
-) -> DataFrame:
+def flatten_tree(df: DataFrame, id_col: str, json_col: str, roots: str = "$.roots") -> DataFrame:
     """URL nodes of bookmark trees in depth-first order: (id, position path, name, url).
 
-    Each round opens one level of folders, so the number of rounds is the depth of the deepest tree.
-    ``path`` orders the nodes of a tree; it holds the child positions from the root down.
+    Each round opens one level of folders and writes it, until no folder is left; the number of rounds is
+    the depth of the deepest tree. ``path`` orders the nodes of a tree; it holds the child positions from
+    the root down. A text that Spark cannot parse (more than 1,000 brackets deep, too) gives no rows.
     """
+    spark = df.sparkSession
     tree = F.try_parse_json(F.col(json_col))
     level = df.select(F.col(id_col).alias("tree_id"), F.try_variant_get(tree, roots, "map<string,variant>").alias("m"))
     # object order is the order of its keys
@@ -134,28 +135,31 @@ def flatten_tree(
         F.posexplode(F.array_sort(F.map_keys("m"))).alias("pos", "k"),
         "m",
     ).select("tree_id", F.array("pos").alias("path"), F.element_at("m", F.col("k")).alias("node"))
-    found: DataFrame | None = None
-    for _ in range(max_depth):
-        nodes = nodes.select(
+    folder = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
+    below = F.try_variant_get("node", "$.children", "array<variant>")
+    levels: list[str] = []
+    while True:
+        # children go as JSON text: variants cannot be checkpointed by value
+        made = nodes.select(
             "tree_id",
             "path",
             F.try_variant_get("node", "$.type", "string").alias("type"),
             F.try_variant_get("node", "$.url", "string").alias("url"),
             F.try_variant_get("node", "$.name", "string").alias("name"),
-            F.try_variant_get("node", "$.children", "array<variant>").alias("children"),
-        )
-        hits = nodes.where((F.col("type") == "url") & F.col("url").isNotNull()).select(
-            "tree_id", "path", "name", "url"
+            F.when(F.size(below) > 0, F.to_json(F.try_variant_get("node", "$.children", "variant"))).alias("children"),
         )
-        found = hits if found is None else found.unionByName(hits)
-        below = nodes.where(F.size("children") > 0)
-        # variants cannot be compared or checkpointed by value, so the loop asks for one row only
-        if below.isEmpty():
+        levels.append(f"{folder}/{len(levels)}")
+        made.write.parquet(levels[-1])
+        done = spark.read.schema(made.schema).parquet(levels[-1])
+        deeper = done.where("children IS NOT NULL")
+        if deeper.isEmpty():
             break
-        nodes = below.select(
-            "tree_id", "path", F.posexplode("children").alias("pos", "node")
-        ).select("tree_id", F.array_append("path", F.col("pos")).alias("path"), "node")
-    return found
+        opened = F.try_variant_get(F.parse_json("children"), "$", "array<variant>")
+        nodes = deeper.select("tree_id", "path", F.posexplode(opened).alias("pos", "node")).select(
+            "tree_id", F.array_append("path", F.col("pos")).alias("path"), "node"
+        )
+    found = spark.read.schema(made.schema).parquet(*levels)
+    return found.where((F.col("type") == "url") & F.col("url").isNotNull()).select("tree_id", "path", "name", "url")
 
 
 def flatten_tabs(df: DataFrame, id_col: str, windows: str = "windows") -> DataFrame:

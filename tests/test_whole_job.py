@@ -65,3 +65,12 @@ def test_long_trash_path_stays_whole(spark):
     rows = spark.createDataFrame([(1, content(len(raw))), (2, content(len(raw) + 2)), (3, content(2**32 - 1))], "id int, content binary")
     got = {r["id"]: r["original_path"] for r in records.parse_trash_metadata(rows, "id").collect()}
     assert got == {1: path, 2: None, 3: None}
+
+
+def test_deep_tree_is_opened_to_its_end(spark):
+    node = {"type": "url", "name": "deep", "url": "http://deep/"}
+    for _ in range(70):
+        node = {"type": "folder", "children": [node, {"type": "folder", "children": []}]}
+    doc = json.dumps({"roots": {"bar": node}})
+    got = nested.flatten_tree(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc").collect()
+    assert [tuple(r) for r in got] == [(1, [0] * 71, "deep", "http://deep/")]
