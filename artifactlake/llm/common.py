@@ -118,6 +118,14 @@ def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return Spans(BYTE_CODES[raw]).of(starts, ends)
 
 
+def spare(taken: list[str], name: str) -> str:
+    """``name``, with underscores added until no column in ``taken`` has it; case does not count."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """Row number of each item, from the rows' item offsets."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
