@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, middles, mixing, ordermin, phrases, quality, rules, simhash, suffixes, urls
+from . import bpe, langid, middles, mixing, ordermin, pages, phrases, quality, rules, simhash, suffixes, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,8 +95,8 @@ URL_RULES = [
 
 @query("op9_url_verdicts")
 def op9(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    links = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(links, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op10_quality_rules")
@@ -108,6 +108,12 @@ def op10(spark, sf_dir):
     )
 
 
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 @query("op12_fill_in_middle")
 def op12(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +122,11 @@ def op12(spark, sf_dir):
     return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
 
 
+@query("op13_html_extraction")
+def op13(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES["op1_repeated_phrases"] = f"""
@@ -210,3 +221,16 @@ SELECT doc_id, n, form,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+#: for pages that mark their article, with the character references of such pages
+ORACLES["op13_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS part FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(part, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS bare FROM a),
+c AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(bare, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+    '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS plain
+  FROM b
+),
+t AS (SELECT page_id, url, trim(regexp_replace(plain, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
