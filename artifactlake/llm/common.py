@@ -66,16 +66,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: powers kept by a worker, per base; longer tables are made from them for the call
+KEPT = 1 << 16
+
+
 @lru_cache(maxsize=8)
-def _powers(base: int, rounded: int) -> np.ndarray:
-    out = np.full(rounded, np.uint64(base), np.uint64)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(KEPT + 1, np.uint64(base), np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    rounded = 1 << max(16, int(n).bit_length())
-    return _powers(int(base), rounded)[:n]
+    low = _powers(int(base))
+    if n <= KEPT:
+        return low[:n]
+    high = np.full(-(-n // KEPT), low[KEPT], np.uint64)
+    high[0] = 1
+    return (np.multiply.accumulate(high)[:, None] * low[None, :KEPT]).ravel()[:n]
 
 
 #: a random 64-bit number for each byte value
@@ -192,21 +200,31 @@ def annotate(docs: DataFrame, fields: T.StructType, make, text: str = "text", ke
     """
     names = [f.name for f in fields]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    through = [*keep, *([] if text in keep else [])]
-    schema = T.StructType([*[docs.schema[c] for c in through], *fields.fields])
+    # a text that is kept anyway is sent once
+    shared = text in keep and isinstance(docs.schema[text].dataType, T.StringType)
+    where = keep.index(text) if shared else len(keep)
+    source = docs.select(*keep) if shared else docs.select(*keep, F.col(text).cast("string").alias(spare(keep, "text")))
+    schema = T.StructType([*[docs.schema[c] for c in keep], *fields.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = text_bytes(batch.column(len(keep)))
+            raw, at = text_bytes(batch.column(where))
             parts = [make(r, o) for _, _, r, o in chunks(raw, at)]
             made = [pa.concat_arrays([pa.array(p[i]) if not isinstance(p[i], pa.Array) else p[i] for p in parts]) for i in range(len(names))] if parts else [pa.array([], pa.null())] * len(names)
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*through, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 
 
+def small_batches(spark, size: int = 8 << 20) -> None:
+    """Let the session's Arrow batches hold at most ``size`` bytes, so a batch of whole texts stays small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(str(spark.conf.get(name)).rstrip("bB"))
+    if held <= 0 or held > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def release(spark) -> None:
     """Let the driver forget finished DataFrames now, so that their shuffle and checkpoint files go.
 
@@ -217,6 +235,11 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_folder(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Shelf:
     """Tables written to the shared folder for the length of one operator.
 
@@ -238,8 +261,7 @@ class Shelf:
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             _, path = self.paths.pop(id(table))
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            drop_folder(self.spark, path)
         release(self.spark)
 
     def clear(self) -> None:

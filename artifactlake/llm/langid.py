@@ -229,6 +229,11 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text", keep=None,
 
 
 def with_language(docs: DataFrame, model: PieceModel, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` in a known language: not ``und``, and with a score of at least ``least``."""
+    """Rows of ``docs`` in a known language: not ``und``, and with a score of at least ``least``.
+
+    A model that learned no language can reject nothing: all rows stay.
+    """
+    if not model.langs:
+        return docs
     named = identify(docs, model, text, names=("__lang", "__score"))
     return named.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)

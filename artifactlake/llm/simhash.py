@@ -6,8 +6,10 @@ Hamming ball around each of its segments in the table of segments and compares t
 with what it finds. No pair within the distance is lost. Equal fingerprints count once before the
 search, so copies make no pairs.
 
-``similar_groups`` asks for similar texts instead of near fingerprints: a wide radius only proposes pairs,
-and the shingle sets decide.
+``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 384 bits: 16 segments of
+20 bits, balls of radius 1 around each, and 64 bits that are compared where a segment matches. Complete distances
+and then the shingle sets decide. Sets of similarity 0.8 differ in about 15 % of the bits; one of the segments
+is within its ball in 95 of 100 cases.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..operators.dedupe import connected_components
 from ..session import settle
-from .common import Shelf, Spans, annotate, column, release, word_bounds, word_codes
+from .common import Shelf, Spans, annotate, column, mix, release, word_bounds, word_codes
 
 WIDTH = 64
 #: shingles whose bits are counted at once
@@ -129,10 +131,10 @@ def near_groups(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42,
     return rows.join(named, "simhash").select(*keep, "simhash", "component_id")
 
 
-#: shingles, radius and similarity of ``similar_groups``, and segments of its search
-SIMILAR_WORDS, SIMILAR_BITS, SIMILAR, SIMILAR_SEGMENTS = 5, 13, 0.8, 4
-#: fingerprints compared at once
-COMPARED = 1 << 21
+#: shingles and similarity of ``similar_groups``
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: its SimHashes: segments, their width, words of 64 bits (the last for the comparison), bits that may differ in the last word and in all
+SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 6, 20, 90
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) -> list[np.ndarray]:
@@ -147,79 +149,69 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) ->
     return out
 
 
-def set_fingerprint(codes: np.ndarray) -> int:
-    """SimHash of a set of shingle hashes; 0 of none."""
-    ones = np.zeros(WIDTH, np.int64)
-    for a in range(0, len(codes), BLOCK):
-        ones += np.unpackbits(codes[a : a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(codes), bitorder="little").view(np.uint64)[0])
+def set_code(codes: np.ndarray, n: int = CODE_WORDS) -> np.ndarray:
+    """SimHash of a set of shingle hashes in ``n`` words of 64 bits; zeros of the empty set."""
+    turns = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(n * WIDTH, np.int64)
+    step = BLOCK // n
+    for a in range(0, len(codes), step):
+        wide = mix(codes[a : a + step, None] + turns)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(codes), bitorder="little").view(np.uint64)
 
 
-def radii(bits: int, n: int) -> list[int]:
-    """Radii of ``n`` segments: words within ``bits`` bits are within the radius in one segment at least."""
-    each, more = divmod(bits + 1, n)
-    return [each + (i < more) - 1 for i in range(n)]
+def segment_values(code: np.ndarray) -> np.ndarray:
+    """The segments of codes (one a row), each as a number of ``SEGMENT_BITS`` bits."""
+    bits = np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS]
+    return bits.reshape(len(code), SEGMENTS, SEGMENT_BITS).astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
 
 
-def near_nodes(code: np.ndarray, bits: int, share: int, shares: int, label: np.ndarray | None = None, n: int = SIMILAR_SEGMENTS):
-    """Pairs (a, b), a < b, of positions whose codes differ in at most ``bits`` bits, in arrays; each ``share`` has its own.
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    With ``label`` only pairs with different labels, each once; without, of the pairs of one bucket and
-    b only the one with the least a, so a large group of near codes gives no square of pairs.
-    """
-    edges = [round(i * WIDTH / n) for i in range(n + 1)]
-    parts = [((code >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    for i, radius in enumerate(radii(bits, n)):
-        width = edges[i + 1] - edges[i]
-        masks = np.array(ball(width, radius))
-        order = np.argsort(parts[i], kind="stable")
-        at = np.searchsorted(parts[i][order], np.arange((1 << width) + 1))
-        for v in np.flatnonzero(np.diff(at))[share::shares].tolist():
-            mine, around = order[at[v] : at[v + 1]], v ^ masks
-            around = around[around >= v]
-            count = at[around + 1] - at[around]
-            around, count = around[count > 0], count[count > 0]
-            jump = np.repeat(at[around] - np.cumsum(count) + count, count)
-            theirs = order[jump + np.arange(len(jump))]
-            step = max(1, COMPARED // len(theirs))
-            wide = max(1, min(len(theirs), COMPARED))
-            for x in range(0, len(mine), step):
-                for y in range(0, len(theirs), wide):
-                    one, two = mine[x : x + step], theirs[y : y + wide]
-                    r, c = np.nonzero(np.bitwise_count(code[one][:, None] ^ code[two][None]) <= bits)
-                    a, b = one[r], two[c]
-                    # pairs inside the bucket come in both directions
-                    fresh = (a < b) | (parts[i][b] != v)
-                    if label is not None:
-                        fresh &= label[a] != label[b]
-                        for p, reach in zip(parts[:i], radii(bits, n)[:i], strict=True):
-                            fresh &= np.bitwise_count(p[a] ^ p[b]) > reach
-                    a, b = np.minimum(a, b)[fresh], np.maximum(a, b)[fresh]
-                    if label is None and len(a):
-                        least = np.lexsort((a, b))
-                        a, b = a[least], b[least]
-                        first = np.append(True, b[1:] != b[:-1])
-                        a, b = a[first], b[first]
-                    if len(a):
-                        yield a, b
 
+def _met(mine: DataFrame, table: DataFrame, where: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of a table and probes of the same key whose last words are near."""
+    theirs = table.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b"))
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
+    return mine.join(theirs, "key").where(near & where).select(
+        F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")
+    ).distinct()
 
-PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
+def _entries(nodes: DataFrame) -> DataFrame:
+    """A row (key, set, check, label) for each node and segment; the key is the segment's number and value."""
+    keys = F.transform("values", lambda v, i: F.shiftleft(i.cast("long"), SEGMENT_BITS).bitwiseOR(v.cast("long")))
+    return nodes.select(F.explode(keys).alias("key"), "set", "check", "label")
 
-def _proposed(spark, nodes: np.ndarray, code: np.ndarray, bits: int, label: np.ndarray | None = None) -> DataFrame:
-    """``near_nodes`` of all shares, as node names. Every task gets the codes: 16 bytes a text that differs from the others (24 with labels)."""
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sent = spark.sparkContext.broadcast((nodes, code, label))
 
-    def run(batches):
-        for batch in batches:
-            for share in batch.column(0).to_pylist():
-                names, codes, labels = sent.value
-                for a, b in near_nodes(codes, bits, share, shares, labels):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=PAIR.names)
+def _leaders(nodes: DataFrame) -> DataFrame:
+    """Every node with the least node that has the same segment value, where their last words are near."""
+    table = _entries(nodes)
+    first = table.groupBy("key").agg(F.min(F.struct("set", "check", "label")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _met(table, first.where("n > 1").select("key", "m.*"), F.col("set") != F.col("b"))
 
-    return spark.range(0, shares, 1, shares).mapInArrow(run, PAIR)
+
+def _balls(nodes: DataFrame) -> DataFrame:
+    """All pairs of nodes with different labels that have segments within one bit, and near last words.
+
+    Of two values that differ in one bit the one without it asks for the other; of two equal ones the lesser node asks.
+    """
+    table = _entries(nodes)
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
+    free = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
+    probes = table.select(F.explode(free).alias("mask"), "key", "set", "check", "label").select(
+        F.col("key").bitwiseOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"), "set", "check", "label"
+    )
+    return _met(probes, table, (F.col("label") != F.col("label_b")) & (~F.col("same") | (F.col("set") < F.col("b"))))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose complete codes differ in ``CODE_BITS`` bits at most."""
+    code = nodes.select("set", "code")
+    both = pairs.join(code.select(F.col("set").alias("a"), F.col("code").alias("code_a")), "a")
+    both = both.join(code.select(F.col("set").alias("b"), F.col("code").alias("code_b")), "b")
+    apart = sum((F.bit_count(F.col("code_a")[i].bitwiseXOR(F.col("code_b")[i])) for i in range(CODE_WORDS)), F.lit(0))
+    return both.where(apart <= CODE_BITS).select("a", "b")
 
 
 def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
@@ -252,49 +244,52 @@ def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, leas
     return found
 
 
-def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
     """``keep`` columns (the id at least), ``set`` and ``component_id`` of each row.
 
-    Links join texts whose ``words``-word shingle sets have a Jaccard similarity of ``least`` or more, if
-    the SimHashes of the sets are within ``bits`` bits. Texts with the same set are always together. Rows
-    without an id are as in ``near_groups``; ``set`` is the least set of a group without any id.
+    Links join texts whose ``words``-word shingle sets have a Jaccard similarity of ``least`` or more, if the
+    search for near SimHashes proposes them. Texts with the same set are always together, so are all texts
+    without a word (null and empty ones too). Rows without an id are as in ``near_groups``; ``set`` is the least
+    set of a group without any id. A kept column with the name of a result column is replaced by the result.
 
-    First every set is compared with the least one near it, then, of sets that are not together by then, all near ones.
+    First every set is compared with the least one that shares a segment, then, of sets that are not together
+    by then, all near ones. All tables stay in Spark.
     """
     spark = docs.sparkSession
+    made = ["code", "values", "set", "z", "rid", "component_id"]
     keep = [id_col, *[c for c in keep or [] if c != id_col]]
+    # the kept columns travel in one struct, away from names of their own
+    own = F.struct(*[F.col(c) for c in keep if c not in made or c == id_col]).alias("own")
+    narrow = docs.select(own, F.col(id_col).alias("low"), F.col(text).cast("string").alias("text"))
     shelf = Shelf(spark)
-    fields = [T.StructField("code", T.LongType()), T.StructField("set", T.LongType()), T.StructField("z", T.BinaryType())]
+    fields = [T.StructField("code", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.IntegerType())), T.StructField("set", T.LongType()), T.StructField("z", T.BinaryType())]
 
     def make(raw, at):
         small = zstandard.ZstdCompressor(level=3)
         sets = shingle_sets(raw, at, words)
-        codes = np.array([set_fingerprint(x) for x in sets], np.uint64)
+        codes = np.array([set_code(x) for x in sets], np.uint64).reshape(len(sets), CODE_WORDS)
         names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
         z = [small.compress(raw[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return [pa.array(codes.view(np.int64)), pa.array(names.view(np.int64)), pa.array(z, pa.binary())]
-
-    narrow = docs.select(*keep, F.col(text).alias("__t"))
-    rows = shelf.put(annotate(narrow, T.StructType(fields), make, "__t", keep).withColumn("rid", F.monotonically_increasing_id()))
-    lows = settle(rows.groupBy("set").agg(F.min("code").alias("code"), F.min(id_col).alias("low")))
-    found = lows.select("set", "code").toArrow()
-    nodes, code = (found.column(c).to_numpy() for c in ("set", "code"))
-    order = np.argsort(nodes)
-    nodes, code = nodes[order], code[order].view(np.uint64)
-    near = shelf.put(_proposed(spark, nodes, code, bits).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    edges = _confirmed(shelf, near, rows, words, least)
-    merged = connected_components(edges).toArrow()
-    label = nodes.copy()
-    label[np.searchsorted(nodes, merged.column("node").to_numpy())] = merged.column("label").to_numpy()
-    rest = shelf.put(_proposed(spark, nodes, code, bits, label))
-    more = _confirmed(shelf, rest, rows, words, least)
-    labels = connected_components(edges.unionByName(more))
-    grouped = lows.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
-    lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = grouped.join(lowest, "label").select("set", "component_id", "label")
-    out = settle(rows.join(named, "set").select(*keep, F.col("label").alias("set"), "component_id"))
-    shelf.clear()
-    return out
+        rows = [pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(segment_values(codes).tolist(), pa.list_(pa.int32()))]
+        return [*rows, pa.array(names.view(np.int64)), pa.array(z, pa.binary())]
+
+    try:
+        rows = shelf.put(annotate(narrow, T.StructType(fields), make, "text", ["own", "low"]).withColumn("rid", F.monotonically_increasing_id()))
+        first = F.min_by(F.struct("code", "values"), "rid").alias("m")
+        nodes = shelf.put(rows.groupBy("set").agg(F.min("low").alias("low"), first).select("set", "low", "m.*"))
+        nodes = nodes.withColumn("check", F.col("code")[CODE_WORDS - 1])
+        edges = _confirmed(shelf, shelf.put(_near(_leaders(nodes.withColumn("label", F.col("set"))), nodes)), rows, words, least)
+        merged = connected_components(edges)
+        named = nodes.join(merged, F.col("set") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set")).drop("node")
+        named = shelf.put(named)
+        more = _confirmed(shelf, shelf.put(_near(_balls(named), nodes)), rows, words, least)
+        labels = connected_components(edges.unionByName(more))
+        grouped = nodes.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
+        lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
+        named = grouped.join(lowest, "label").select("set", "component_id", "label")
+        return settle(rows.join(named, "set").select("own.*", F.col("label").alias("set"), "component_id"))
+    finally:
+        shelf.clear()
 
 
 def keep_one(docs: DataFrame, bits: int = 3, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,10 +303,10 @@ def keep_one(docs: DataFrame, bits: int = 3, words: int = 3, id_col: str = "doc_
     return _smallest(docs, groups, "simhash", id_col, text)
 
 
-def keep_one_similar(docs: DataFrame, words: int = SIMILAR_WORDS, bits: int = SIMILAR_BITS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_similar(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each of ``similar_groups``, chosen as in ``keep_one``."""
     narrow = docs.select(F.col(id_col), F.col(text), F.xxhash64(text).alias("__digest"))
-    groups = similar_groups(narrow, words, bits, least, id_col, text, [id_col, "__digest"])
+    groups = similar_groups(narrow, words, least, id_col, text, [id_col, "__digest"])
     return _smallest(docs, groups, "set", id_col, text)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from artifactlake.llm import bpe, langid, mixing, ordermin, phrases, quality, rules, simhash, suffixes, urls
+from artifactlake.llm import bpe, common, langid, mixing, ordermin, phrases, quality, rules, simhash, suffixes, urls
 from artifactlake.llm.common import text_bytes
 from artifactlake.llm.windows import sliding_min
 
@@ -263,19 +263,82 @@ def test_pipeline_removes_planted_near_copies(spark):
     assert len(set(got) ^ {r["doc_id"] for r in simhash.keep_one(docs).collect()}) > 0
 
 
-def test_near_nodes_find_every_pair():
+def test_balls_find_every_near_segment(spark):
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
-    codes = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 0, 4, 6, 7, 12)], np.uint64)
-    near = {(a, b) for b in range(len(codes)) for a in range(b) if int(codes[a] ^ codes[b]).bit_count() <= 12}
-    pairs = lambda label: [(int(x), int(y)) for s in range(3) for a, b in simhash.near_nodes(codes, 12, s, 3, label) for x, y in zip(a, b, strict=True)]
-    every = pairs(np.arange(len(codes)))
-    assert sorted(every) == sorted(near)
+    base = rng.integers(0, 1 << 63, (25, simhash.CODE_WORDS), dtype=np.uint64)
+    codes = [row.copy() for row in base]
+    for row in base:
+        for flips in (5, 40, 60, 75):
+            new = row.copy()
+            for k in rng.choice(64 * simhash.CODE_WORDS, flips, replace=False):
+                new[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+            codes.append(new)
+    codes = np.array(codes)
+    values = simhash.segment_values(codes)
+    assert values.max() < 1 << simhash.SEGMENT_BITS and len({tuple(v) for v in values.tolist()}) == len(codes)
+    rows = [(i, v.tolist(), c.view(np.int64).tolist(), int(c.view(np.int64)[-1]), i % 60) for i, (v, c) in enumerate(zip(values, codes, strict=True))]
+    nodes = spark.createDataFrame(rows, "set long, values array<int>, code array<long>, check long, label long").repartition(3)
+    apart = np.bitwise_count(values[:, None].astype(np.uint64) ^ values[None].astype(np.uint64)).min(2)
+    check = np.bitwise_count(codes[:, None, -1] ^ codes[None, :, -1])
+    near = lambda a, b: check[a, b] <= simhash.CHECK_BITS
+    want = {(a, b) for b in range(len(codes)) for a in range(b) if apart[a, b] <= 1 and near(a, b) and a % 60 != b % 60}
+    got = [tuple(r) for r in simhash._balls(nodes).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     least = {}
-    for a, b in pairs(None):
-        assert (a, b) in near
-        least[b] = min(a, least.get(b, a))
-    assert least == {b: min(x for x, y in near if y == b) for _, b in near}
+    for i in range(len(codes)):
+        for seg, v in enumerate(values[i].tolist()):
+            least[seg, v] = min(i, least.get((seg, v), i))
+    first = {(least[s, v], i) for i in range(len(codes)) for s, v in enumerate(values[i].tolist()) if least[s, v] < i and near(least[s, v], i)}
+    assert {tuple(r) for r in simhash._leaders(nodes).collect()} == first
+    whole = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+    pairs = spark.createDataFrame([(a, b) for b in range(len(codes)) for a in range(b)], "a long, b long")
+    kept = {tuple(r) for r in simhash._near(pairs, nodes).collect()}
+    assert kept == {(a, b) for b in range(len(codes)) for a in range(b) if whole[a, b] <= simhash.CODE_BITS}
+
+
+def test_similar_groups_recall(spark):
+    """Planted pairs of similarity 0.80 to 0.85, on both sides of them closer and farther ones."""
+    rng = np.random.default_rng(12)
+    rows, near, far = [], [], []
+    for g in range(400):
+        words = [f"p{g}q{k}" for k in range(204)]  # 200 shingles
+        changes = int(rng.integers(2, 9))
+        places = rng.choice(40, changes, replace=False) * 5 + 2
+        other = [f"new{g}" if i in places else w for i, w in enumerate(words)]
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        (near if alike >= 0.8 else far).append((2 * g, alike))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    border = [i for i, alike in near if alike < 0.85]
+    assert len(border) > 50 and len(far) > 50
+    assert sum(got[i + 1] == i for i in border) >= 0.9 * len(border)
+    assert sum(got[i + 1] == i for i, _ in near) >= 0.95 * len(near)
+    assert all(got[i + 1] == i + 1 for i, _ in far)
+
+
+def test_similar_groups_names(spark, none):
+    kept = ["size", "set", "code", "z", "rid", "own"]
+    rows = [(i, t, 7, "s", "c", "z", 5, "o") for i, t in enumerate(["a b c d e f", "A  B c d e f", None, "", " \n", "a b", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, set string, code string, z string, rid int, own string").repartition(2)
+    got = simhash.similar_groups(docs, keep=kept)
+    assert got.columns == ["doc_id", "size", "own", "set", "component_id"]
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 2}
+    assert simhash.similar_groups(none).collect() == []
+    left = simhash.keep_one_similar(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2, 5]
+
+
+def test_no_language_rejects_nothing(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.keep_known_languages(spark, docs, "").count() == 2
+
+
+def test_powers():
+    for n in (0, 1, 10, common.KEPT, common.KEPT + 1, 3 * common.KEPT + 17):
+        full = np.full(n, common.BASE, np.uint64)
+        full[:1] = 1
+        assert np.array_equal(common.powers(common.BASE, n), np.multiply.accumulate(full))
 
 
 def test_near_fingerprints_find_every_pair(spark):
