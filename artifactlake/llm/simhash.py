@@ -134,7 +134,9 @@ def near_groups(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42,
 #: shingles and similarity of ``similar_groups``
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: its SimHashes: segments, their width, words of 64 bits (the last for the comparison), bits that may differ in the last word and in all
-SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 6, 20, 90
+SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 6, 20, 76
+#: bytes of shingle sets that a task of the exact comparison keeps
+KEPT_SETS = 16 << 20
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) -> list[np.ndarray]:
@@ -169,15 +171,6 @@ def segment_values(code: np.ndarray) -> np.ndarray:
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _met(mine: DataFrame, table: DataFrame, where: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of a table and probes of the same key whose last words are near."""
-    theirs = table.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b"))
-    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
-    return mine.join(theirs, "key").where(near & where).select(
-        F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")
-    ).distinct()
-
-
 def _entries(nodes: DataFrame) -> DataFrame:
     """A row (key, set, check, label) for each node and segment; the key is the segment's number and value."""
     keys = F.transform("values", lambda v, i: F.shiftleft(i.cast("long"), SEGMENT_BITS).bitwiseOR(v.cast("long")))
@@ -185,24 +178,36 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
 
 def _leaders(nodes: DataFrame) -> DataFrame:
-    """Every node with the least node that has the same segment value, where their last words are near."""
+    """Pairs (a, b), a < b, of a node and the least node with the same segment value, where their last words are near."""
     table = _entries(nodes)
-    first = table.groupBy("key").agg(F.min(F.struct("set", "check", "label")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _met(table, first.where("n > 1").select("key", "m.*"), F.col("set") != F.col("b"))
+    least = F.min(F.struct(F.col("set").alias("a"), F.col("check").alias("check_a"))).alias("m")
+    first = table.groupBy("key").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "m.*")
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_a"))) <= CHECK_BITS
+    return table.join(first, "key").where(near & (F.col("set") != F.col("a"))).select("a", F.col("set").alias("b")).distinct()
 
 
-def _balls(nodes: DataFrame) -> DataFrame:
+def _balls(shelf: Shelf, nodes: DataFrame) -> DataFrame:
     """All pairs of nodes with different labels that have segments within one bit, and near last words.
 
-    Of two values that differ in one bit the one without it asks for the other; of two equal ones the lesser node asks.
+    Of two values that differ in one bit the one without it asks for the other; of two equal ones the lesser node
+    asks. A probe goes on where its bucket holds another label; then labels meet before their nodes do, so
+    nodes of one label are never paired, however many share a bucket.
     """
-    table = _entries(nodes)
+    table = shelf.put(_entries(nodes))
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
     free = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
     probes = table.select(F.explode(free).alias("mask"), "key", "set", "check", "label").select(
         F.col("key").bitwiseOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"), "set", "check", "label"
     )
-    return _met(probes, table, (F.col("label") != F.col("label_b")) & (~F.col("same") | (F.col("set") < F.col("b"))))
+    kinds = table.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high"))
+    theirs = table.join(asked.select("key").distinct(), "key")
+    theirs = shelf.put(theirs.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b")))
+    labels = asked.select("key", "label").distinct().join(theirs.select("key", "label_b").distinct(), "key").where("label <> label_b")
+    met = asked.join(shelf.put(labels), ["key", "label"]).join(theirs, ["key", "label_b"])
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
+    met = met.where(near & (~F.col("same") | (F.col("set") < F.col("b"))))
+    return met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,19 +230,30 @@ def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, leas
 
     def run(batches):
         plain = zstandard.ZstdDecompressor()
-
-        def shingles(z):
-            raw = np.frombuffer(plain.decompress(z.as_buffer()), np.uint8)
-            return shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def shingles(node, z):
+            nonlocal size
+            if node not in held:
+                raw = np.frombuffer(plain.decompress(z.as_buffer()), np.uint8)
+                new = shingle_sets(raw, np.array([0, len(raw)]), words)[0]
+                if size + new.nbytes > KEPT_SETS:
+                    held.clear()
+                    size = 0
+                held[node] = new
+                size += new.nbytes
+            return held[node]
 
         for batch in batches:
-            za, zb = column(batch, "za"), column(batch, "zb")
+            a, b, za, zb = (column(batch, c) for c in ("a", "b", "za", "zb"))
             alike = []
-            for x, y in zip(za, zb, strict=True):
-                x, y = shingles(x), shingles(y)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for i, (m, n) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+                x, y = shingles(m, za[i]), shingles(n, zb[i])
+                most = min(len(x), len(y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if most >= least * max(len(x), len(y)) else 0
                 alike.append(common >= least * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=PAIR.names).filter(pa.array(alike, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([a, b], names=PAIR.names).filter(pa.array(alike, pa.bool_()))
 
     found = shelf.put(both.mapInArrow(run, PAIR))
     shelf.drop(first, texts)
@@ -282,7 +298,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
         merged = connected_components(edges)
         named = nodes.join(merged, F.col("set") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set")).drop("node")
         named = shelf.put(named)
-        more = _confirmed(shelf, shelf.put(_near(_balls(named), nodes)), rows, words, least)
+        more = _confirmed(shelf, shelf.put(_near(_balls(shelf, named), nodes)), rows, words, least)
         labels = connected_components(edges.unionByName(more))
         grouped = nodes.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
         lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -282,7 +282,7 @@ def test_balls_find_every_near_segment(spark):
     check = np.bitwise_count(codes[:, None, -1] ^ codes[None, :, -1])
     near = lambda a, b: check[a, b] <= simhash.CHECK_BITS
     want = {(a, b) for b in range(len(codes)) for a in range(b) if apart[a, b] <= 1 and near(a, b) and a % 60 != b % 60}
-    got = [tuple(r) for r in simhash._balls(nodes).collect()]
+    got = [tuple(r) for r in simhash._balls(common.Shelf(spark), nodes).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     least = {}
     for i in range(len(codes)):
