@@ -51,11 +51,12 @@ def redact_json_keys(
 
 
 def redact_fields(
-    df: DataFrame, words: Sequence[str] = SENSITIVE_KEY_PARTS, mark: str = REDACTED
+    df: DataFrame, words: Sequence[str] = SENSITIVE_KEY_PARTS, mark: str = REDACTED, max_chars: int | None = None
 ) -> DataFrame:
-    """Redact typed columns: fields and map keys with sensitive names, NUL bytes, long strings.
+    """Redact typed columns: fields and map keys with sensitive names, and NUL characters.
 
-    The rewrite follows the schema, so it is planned once and needs no per-row recursion in Python.
+    Strings stay whole; with ``max_chars`` longer ones are cut, and a column ``fields_cut`` tells which rows
+    that concerns. The rewrite follows the schema, so it is planned once and needs no recursion in Python.
     """
 
     def sensitive(name: str) -> bool:
@@ -64,7 +65,8 @@ def redact_fields(
 
     def clean(value: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
-            return F.substring(F.replace(value, F.lit("\0"), F.lit("")), 1, 512)
+            whole = F.replace(value, F.lit("\0"), F.lit(""))
+            return whole if max_chars is None else F.substring(whole, 1, max_chars)
         if isinstance(kind, T.StructType):
             return F.when(
                 value.isNotNull(),
@@ -91,9 +93,27 @@ def redact_fields(
             )
         return value
 
+    def longest(value: Column, kind: T.DataType) -> Column | None:
+        """Length of the longest string that ``clean`` may cut."""
+        found: list[Column | None] = []
+        if isinstance(kind, T.StringType):
+            found = [F.length(F.replace(value, F.lit("\0"), F.lit("")))]
+        elif isinstance(kind, T.StructType):
+            found = [longest(value.getField(f.name), f.dataType) for f in kind.fields if not sensitive(f.name)]
+        elif isinstance(kind, T.ArrayType) and longest(value[0], kind.elementType) is not None:
+            found = [F.array_max(F.transform(value, lambda item: longest(item, kind.elementType)))]
+        elif isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+            found = [F.array_max(F.transform(F.map_values(value), lambda v: longest(v, kind.valueType)))]
+        known = [c for c in found if c is not None]
+        return F.array_max(F.array(*known)) if known else None
+
+    open_fields = [f for f in df.schema.fields if not sensitive(f.name)]
+    sizes = [c for f in open_fields if (c := longest(F.col(f.name), f.dataType)) is not None]
+    cut = [] if max_chars is None else [(F.coalesce(F.array_max(F.array(F.lit(0), *sizes)), F.lit(0)) > max_chars).alias("fields_cut")]
     return df.select(
         *[
             (F.lit(mark) if sensitive(f.name) else clean(F.col(f.name), f.dataType)).alias(f.name)
             for f in df.schema.fields
-        ]
+        ],
+        *cut,
     )

@@ -209,7 +209,8 @@ PROTECTED = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'v/' || p_name |
     CASE WHEN p_size % 7 = 0 THEN '' ELSE 'sig' END AS sig,
     p_retailprice / 300.0 AS entropy, p_size % 13 = 0 AS corrupt, p_size % 11 = 0 AS unsupported,
     p_brand IN ('Brand#2', 'Brand#7', 'Brand#11', 'Brand#19') AS encrypted, p_type = 'PROMO' AS password,
-    p_type = 'LARGE' AS whole, CASE WHEN p_type = 'SMALL' THEN 'x.doc' END AS original FROM """
+    p_type = 'LARGE' AS whole, CASE WHEN p_type = 'SMALL' THEN 'x.doc' END AS original,
+    CASE WHEN p_size % 6 = 0 THEN repeat(p_name, 20) || '-format' END AS given FROM """
 
 
 @query(
@@ -231,7 +232,7 @@ PROTECTED = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'v/' || p_name |
       CASE WHEN corrupt THEN 'corrupt_protection_header' WHEN kind = 'unsupported' THEN 'unsupported_encryption_format'
         WHEN kind = 'weak' THEN 'high_entropy_weak_evidence_only'
         WHEN kind = 'none' AND original IS NOT NULL AND x <> '.doc' THEN 'renamed_format_evidence' ELSE '' END AS warnings,
-      CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'application/zip' THEN 'zip' WHEN x <> '' THEN substr(x, 2)
+      CASE WHEN given IS NOT NULL THEN given WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'application/zip' THEN 'zip' WHEN x <> '' THEN substr(x, 2)
         ELSE coalesce(nullif(sig, ''), 'unknown') END AS format_name FROM k""",
 )
 def c7(spark, sf):
@@ -243,7 +244,7 @@ def c7(spark, sf):
         F.col("password").alias("password_required"),
         F.lit(None).cast("string").alias("wallet_family"),
         F.col("whole").alias("whole_volume"),
-        F.lit(None).cast("string").alias("format"),
+        F.col("given").alias("format"),
         F.col("original").alias("original_name"),
         F.lit(None).cast("array<string>").alias("warnings"),
     )

@@ -183,16 +183,16 @@ def c10(spark, sf):
 
 @query(
     "c10_redact_fields",
-    """SELECT event_id, '[redacted]' AS session_token, event_type AS kind, '[redacted]' AS d_password, event_type || 'x' AS d_note,
-      '[redacted]' AS m_seed, props AS m_keep FROM events""",
+    """SELECT event_id, '[redacted]' AS session_token, event_type AS kind, '[redacted]' AS d_password, repeat(event_type, 200) || 'x' AS d_note,
+      '[redacted]' AS m_seed, repeat(props, 60) AS m_keep FROM events""",
 )
 def c10_fields(spark, sf):
     df = run_sql(
         spark,
         sf,
         """SELECT event_id, props AS session_token, event_type || chr(0) AS kind,
-             named_struct('password', props, 'note', event_type || chr(0) || 'x') AS detail,
-             map('seed_words', props, 'keep', props) AS m FROM {events}""",
+             named_struct('password', props, 'note', repeat(event_type, 200) || chr(0) || 'x') AS detail,
+             map('seed_words', props, 'keep', repeat(props, 60)) AS m FROM {events}""",
     )
     return redact_fields(df).select(
         "event_id",
@@ -321,7 +321,9 @@ SAFE = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN url || '/
     f AS (SELECT *, list_transform(bare, lambda x: CASE WHEN x = '' THEN 'unnamed' WHEN upper(split_part(x, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL')
       THEN '_' || x ELSE x END) AS names FROM n),
     j AS (SELECT *, array_to_string(names, '/') AS joined FROM f)
-    SELECT page_id, CASE WHEN octet_length(encode(joined)) <= 1024 THEN joined ELSE 'long' END AS destination_path,
+    SELECT page_id, CASE WHEN strlen(joined) <= 1024 THEN joined
+      ELSE concat_ws('/', nullif(regexp_extract(left(joined, list_max(list_filter(range(1, 961), lambda i: strlen(left(joined, i)) <= 959))), '(?s)^(.*)/', 1), ''),
+        sha256(joined)) END AS destination_path,
       array_to_string(list_sort(list_filter([CASE WHEN up THEN 'path_traversal' END,
         CASE WHEN len(list_filter(raw, lambda x: regexp_matches(x, '[\\x00-\\x1f]'))) > 0 THEN 'control_character' END,
         CASE WHEN list_contains(bare, '') THEN 'empty_name' END,
@@ -331,12 +333,8 @@ SAFE = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN url || '/
 )
 def c30(spark, sf):
     out = safe_paths(run_sql(spark, sf, SAFE + "{pages}"), "path", destination_kind="remote")
-    cut = F.array_contains("deviations", "long_path_truncated")
-    short = F.when(cut & (F.octet_length("destination_path") <= 1023), "long").otherwise(
-        F.col("destination_path")
-    )
     return out.select(
         "page_id",
-        short.alias("destination_path"),
+        "destination_path",
         F.array_join(F.array_sort("deviations"), "|").alias("deviations"),
     )

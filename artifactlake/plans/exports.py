@@ -34,8 +34,8 @@ def s2(spark, sf):
     root = f"{scratch_dir(spark).rstrip('/')}/objects-{uuid.uuid4().hex}"
     pages = run_sql(spark, sf, "SELECT split_part(url, '/', 4) AS folder, html AS value FROM {pages}")
     pages.write.partitionBy("folder").text(root)
-    objects = readers.load_objects(spark, f"{root}/folder=*/*.txt", sample_limit=4096)
-    sampled = F.octet_length("sample") == F.least(F.col("size_bytes"), F.lit(4096))
+    objects = readers.load_objects(spark, f"{root}/folder=*/*.txt")
+    sampled = F.octet_length("sample") == F.col("size_bytes")
     return objects.groupBy(F.regexp_extract("path", r"folder=([^/]*)/", 1).alias("folder")).agg(
         F.sum("size_bytes").alias("size_bytes"), F.bool_and(sampled).alias("sampled")
     )

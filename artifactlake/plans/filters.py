@@ -116,7 +116,7 @@ def f5(spark, sf):
             "include_dismissed": True,
         }
     )
-    views = op.saved_view(spark, "v1", "large files", op.decode_state(op.encode_state(state)))
+    views = op.views_from_json(op.views_as_json(op.saved_view(spark, "v1", "large files", state)))
     rows = op.apply_filter_state(view(spark, sf, "entry_rows"), op.load_view(views, "v1"))
     return rows.select("entry_id", "volume_id")
 

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators.grouped import keep_where
 
-SAMPLE_BYTES = 8192
 
-
-def load_objects(spark: SparkSession, glob: str, sample_limit: int = SAMPLE_BYTES) -> DataFrame:
-    """path, size, mtime and first bytes of every object below ``glob``; contents are not kept."""
+def load_objects(spark: SparkSession, glob: str, sample_limit: int | None = None) -> DataFrame:
+    """path, size, mtime and content of every object below ``glob``, or its first ``sample_limit`` bytes."""
+    sample = F.col("content") if sample_limit is None else F.substring("content", 1, sample_limit)
     files = spark.read.format("binaryFile").load(glob)
     return files.select(
         "path",
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_at"),
-        F.substring("content", 1, sample_limit).alias("sample"),
+        sample.alias("sample"),
     )
 
 

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from artifactlake.operators import filters, paging
-from artifactlake.operators.filters import FilterState, FilterStateError
+from artifactlake.functions.redact import redact_fields
+from artifactlake.operators.filters import FilterState
 
 
 def rows(spark):
@@ -54,13 +55,28 @@ def test_like_matching_folds_ascii_only_and_takes_wildcards_literally(spark):
     assert hit("a_b") == ["A_B"]
 
 
-def test_state_round_trip_and_rejects():
+def test_view_round_trip_and_rejects(spark):
     state = FilterState.of({"text": " x ", "users": ["a", 3, ""], "min_size": True, "min_interest": 2})
     assert state.users == ("a",) and state.min_size is None and state.min_interest == 2.0
-    assert filters.decode_state(filters.encode_state(state)) == state
-    for bad in ("%%%", "e30=", "eyJ2ZXJzaW9uIjoieCIsInN0YXRlIjp7fX0="):
-        with pytest.raises(FilterStateError):
-            filters.decode_state(bad)
+    texts = filters.views_as_json(filters.saved_view(spark, "v", "mine", state))
+    assert filters.load_view(filters.views_from_json(texts), "v") == state
+    poor = spark.createDataFrame([("%%%",), ("{}",), (None,), ('{"view_version":"x","view_id":"v","filter_state":{}}',)], "view_json string")
+    back = filters.views_from_json(poor.union(texts))
+    assert back.count() == 1 and filters.load_view(back, "v") == state
+    with pytest.raises(LookupError):
+        filters.load_view(back, "w")
+    with pytest.raises(LookupError):
+        filters.load_view(back.union(back), "v")
+
+
+def test_redacted_fields_stay_whole_unless_a_limit_is_given(spark):
+    row = ("a" * 5000, {"k": "b" * 700, "my_secret": "c" * 9000}, [("d" * 600, "e")], 3)
+    df = spark.createDataFrame([row, ("x\0y", None, [], 4)], "t string, m map<string,string>, l array<struct<s:string,password:string>>, n int")
+    whole = redact_fields(df).orderBy("n").collect()
+    assert whole[0].t == row[0] and whole[0].m == {"k": "b" * 700, "my_secret": "[redacted]"} and whole[0].l[0].s == "d" * 600
+    assert whole[1].t == "xy"
+    cut = redact_fields(df, max_chars=650).orderBy("n").collect()
+    assert [r.fields_cut for r in cut] == [True, False] and len(cut[0].t) == 650 and len(cut[0].m["k"]) == 650 and len(cut[0].l[0].s) == 600
 
 
 @pytest.mark.parametrize("sort", paging.SORTABLE)
