@@ -108,9 +108,37 @@ def t3_long(spark, sf):
     return out.select("event_id", "send", "reason")
 
 
-@query("t3_notify_stream", NOTIFY_SQL)
+def deliveries(spark, rows, part):
+    """``rows`` as a stream of three files, ``part`` of each row telling the file; most files hold late rows."""
+    root = f"{scratch_dir(spark).rstrip('/')}/deliveries-{uuid.uuid4().hex}"
+    for i in range(3):
+        rows.where(part == i).coalesce(1).write.parquet(f"{root}/part={i}")
+    return (
+        spark.readStream.schema(rows.schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(root)
+    )
+
+
+def late_events(spark, sf):
+    """Events in three deliveries; every other event comes up to a day late."""
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    part = F.least(F.floor((F.dayofmonth("ts") + F.col("event_id") % 2) / 11), F.lit(2))
+    return deliveries(spark, rows, part)
+
+
+#: whether the watermark, two days behind the latest event, has passed the second of an event
+PASSED_SQL = "(sec + 1) * 1000 <= (SELECT epoch_ms(max(ts)) - 172800000 FROM events)"
+
+
+@query(
+    "t3_notify_stream",
+    NOTIFY_SQL.replace("SELECT event_id, reason = 'matched' AS send, reason FROM d", f"""SELECT event_id, reason = 'matched' AS send, reason FROM d JOIN j USING (event_id)
+    WHERE reason IN ('no_rule', 'disabled', 'below_threshold') OR {PASSED_SQL}"""),
+)
 def t3_stream(spark, sf):
-    out = op.notify_stream(_events(stream(spark, sf)), rules(spark), ["user_id"], "ts", "event_id")
+    out = op.notify_stream(_events(late_events(spark, sf)), rules(spark), ["user_id"], "ts", "event_id", delay="2 days")
     return drain(out).select(F.col("event_ref").alias("event_id"), "send", "reason")
 
 
@@ -127,10 +155,14 @@ def t4(spark, sf):
     return op.heartbeats(table(spark, sf, "events"), ["user_id"], "ts", "event_id", 86400).select("user_id", "event_id")
 
 
-@query("t4_heartbeats_stream", BEAT_SQL)
+@query(
+    "t4_heartbeats_stream",
+    BEAT_SQL.replace("SELECT user_id, event_id FROM w WHERE sent", f"""SELECT user_id, event_id, props FROM w JOIN v USING (user_id, event_id) JOIN events USING (user_id, event_id)
+    WHERE sent AND {PASSED_SQL}"""),
+)
 def t4_stream(spark, sf):
-    out = drain(op.heartbeats_stream(stream(spark, sf), ["user_id"], "ts", "event_id", 86400))
-    return out.select("user_id", F.col("event_ref").alias("event_id"))
+    out = drain(op.heartbeats_stream(late_events(spark, sf), ["user_id"], "ts", "event_id", 86400, ["props"], "2 days"))
+    return out.select("user_id", F.col("event_ref").alias("event_id"), "props")
 
 
 @query(
@@ -174,17 +206,17 @@ def t5_calls_stream(spark, sf):
     """WITH o AS (SELECT 'f' || user_id || CASE WHEN user_id % 25 = 0 THEN '.done' ELSE '' END AS path, max(event_id % 3) AS size_bytes,
         max(event_id % 2) AS mtime, day(ts) AS scan FROM events GROUP BY user_id, day(ts)),
     p AS (SELECT *, lag(size_bytes) OVER w AS ps, lag(mtime) OVER w AS pm, lag(scan) OVER w AS pn FROM o WINDOW w AS (PARTITION BY path ORDER BY scan)),
-    r AS (SELECT path, scan, size_bytes FROM p WHERE path LIKE '%.done' OR (ps = size_bytes AND pm = mtime AND pn = scan - 1))
+    r AS (SELECT path, scan, size_bytes FROM p WHERE scan * 86400 + 1 <= (SELECT max(scan) * 86400 - 172800 FROM o) AND (path LIKE '%.done' OR (ps = size_bytes AND pm = mtime AND pn = scan - 1)))
     SELECT path, min(scan) AS ready_scan, arg_min(size_bytes, scan) AS size_bytes FROM r GROUP BY path""",
 )
 def t6(spark, sf):
     from .windows import OBSERVED
 
     seen = run_sql(spark, sf, OBSERVED.replace("{day}", "day(ts)").replace("{t}", "{events}"))
-    root = f"{scratch_dir(spark).rstrip('/')}/scans-{uuid.uuid4().hex}"
-    seen.write.parquet(root)
-    live = spark.readStream.schema(seen.schema).parquet(root)
-    return drain(op.stable_files_stream(live))
+    seen = seen.withColumn("seen_at", F.timestamp_seconds(F.col("scan") * 86400))
+    part = F.least(F.floor((F.col("scan") + F.pmod(F.xxhash64("path"), F.lit(2))) / 11), F.lit(2))
+    live = deliveries(spark, seen, part)
+    return drain(op.stable_files_stream(live, "seen_at", delay="2 days"))
 
 
 LEASE_SQL = """WITH n AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec,

@@ -15,6 +15,7 @@ from ..functions.timing import minutes_of_day
 from ..operators.aggs import daily_histogram  # noqa: F401  (batch twin of daily_histogram_stream)
 from ..operators.grouped import number_rows, with_neighbour
 from ..operators.windows import stable_files  # noqa: F401  (batch twin of stable_files_stream)
+from .ordered import AT, Decisions, decide_in_order
 from .throttle import FOLD_LIMIT, greedy_throttle
 
 
@@ -205,19 +206,23 @@ def notify(
     return out.withColumn("send", F.col("reason") == "matched").drop(*_RULE_COLS, "__why", "__at")
 
 
-NOTIFY_STATE = "last_sent long, crossed boolean"
+NOTIFY_STATE = "last_sent long, crossed boolean, gap long"
 
 
 def notify_stream(
-    events: DataFrame, rules: DataFrame, keys: Sequence[str], ts: str, id_col: str, count: str = "count"
+    events: DataFrame, rules: DataFrame, keys: Sequence[str], ts: str, id_col: str, count: str = "count", delay: str = "1 hour"
 ) -> DataFrame:
-    """The same decisions on a stream; the state per key is the last sent time and the crossed flag.
+    """The decisions of :func:`notify` on a stream, for all events that the watermark has passed.
 
-    Events of a key are taken in time order inside a micro-batch, whose size the trigger bounds.
+    What a row decides alone comes out at once, past the state. The others wait until the watermark, ``delay`` behind the latest
+    event, has passed their second, and are decided in the order of time, however they arrived. The state
+    per key is the last sent time, which ends with the rule's throttle, and the crossed flag of once rules,
+    which stays.
     """
     group = [*keys, "event_type"]
     judged = _judged(events, rules, ts, count).select(
-        *group, F.col(id_col).alias("event_ref"), "__why", "__at", "count_rule", "threshold", "threshold_once", "throttle_seconds"
+        *group, F.col(id_col).alias("event_ref"), F.col(ts).alias("__ts"), F.col("__why").alias("why"), F.col("__at").alias("sec"),
+        (F.col("count_rule") & F.col("threshold").isNotNull() & F.col("threshold_once")).alias("once"), F.col("throttle_seconds").cast("long").alias("gap"),
     )
     out = T.StructType(
         [judged.schema[c] for c in group]
@@ -228,34 +233,29 @@ def notify_stream(
         ]
     )
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, crossed = state.get if state.exists else (None, False)
-        pdf = pd.concat(list(frames)).sort_values(["__at", "event_ref"])
-        reasons = []
-        columns = ("__why", "__at", "count_rule", "threshold", "threshold_once", "throttle_seconds")
-        for why, at, counts, threshold, once, gap in zip(*[pdf[c].tolist() for c in columns], strict=True):
-            why = why if isinstance(why, str) else None
-            counts = counts is True
-            if why in ("no_rule", "disabled", "below_threshold"):
-                reason = why
-            elif counts and once is True and crossed:
-                reason = "already_crossed_once"
-            elif why is not None:
-                reason = why
-            elif last is not None and gap == gap and gap and at - last < gap:
-                reason = "throttled"
-            else:
-                reason, last = "matched", int(at)
-                crossed = crossed or (counts and threshold is not None and threshold == threshold)
-            reasons.append(reason)
-        state.update((last, crossed))
-        pdf["reason"] = reasons
-        pdf["send"] = pdf["reason"] == "matched"
-        yield pdf[[f.name for f in out.fields]]
-
-    return judged.groupBy(*group).applyInPandasWithState(
-        decide, out, NOTIFY_STATE, "append", GroupStateTimeout.NoTimeout
+    def step(memory: tuple, row) -> tuple[tuple, tuple]:
+        last, crossed, _ = memory
+        gap = row["gap"] or 0
+        if row["once"] and crossed:
+            reason = "already_crossed_once"
+        elif row["why"] is not None:
+            reason = row["why"]
+        elif not row["once"] and last is not None and row["sec"] - last < gap:
+            reason = "throttled"
+        else:
+            reason, last, crossed = "matched", row["sec"], crossed or bool(row["once"])
+        return (last, crossed, gap), (row["event_ref"], reason == "matched", reason)
+
+    decisions = Decisions(
+        (None, False, 0),
+        step,
+        # a once rule looks at the exact time, a throttle at the second
+        lambda row: (row["sec"], row[AT] if row["once"] else 0, row["event_ref"]),
+        lambda memory: None if memory[1] else (memory[0] or 0) * 1000 + memory[2] * 1000,
     )
+    alone = F.coalesce(F.col("why").isin("no_rule", "disabled", "below_threshold"), F.lit(False))
+    told = judged.where(alone).select(*group, "event_ref", F.lit(False).alias("send"), F.col("why").alias("reason"))
+    return told.unionByName(decide_in_order(judged.where(~alone), group, "__ts", delay, decisions, NOTIFY_STATE, out))
 
 
 def heartbeats(
@@ -267,25 +267,27 @@ def heartbeats(
     return kept.where("kept").drop("kept", "__sec", "__gap_s")
 
 
-def heartbeats_stream(events: DataFrame, keys: Sequence[str], ts: str, id_col: str, seconds: int) -> DataFrame:
-    """Streaming form of :func:`heartbeats`; state is the time of the last emitted heartbeat."""
-    rows = events.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp(ts).alias("at"))
-    out = rows.schema
-
-    def emit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["at", "event_ref"])
-        keep = []
-        for at in pdf["at"]:
-            due = last is None or at - last >= seconds
-            keep.append(due)
-            last = int(at) if due else last
-        state.update((last,))
-        yield pdf[keep]
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        emit, out, "last long", "append", GroupStateTimeout.NoTimeout
+def heartbeats_stream(
+    events: DataFrame, keys: Sequence[str], ts: str, id_col: str, seconds: int, payload: Sequence[str] = (), delay: str = "1 hour"
+) -> DataFrame:
+    """:func:`heartbeats` on a stream, for all events that the watermark has passed, with ``payload`` columns.
+
+    The state per key is the time of the last emitted heartbeat; it ends when the next one would be due anyway.
+    """
+    rows = events.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp(ts).alias("at"), F.col(ts).alias("__ts"), *payload)
+    told = ["event_ref", "at", *payload]
+    out = T.StructType([rows.schema[c] for c in (*keys, *told)])
+
+    def step(memory: tuple, row) -> tuple[tuple, tuple | None]:
+        last = memory[0]
+        if last is not None and row["at"] - last < seconds:
+            return memory, None
+        return (row["at"],), tuple(row[c] for c in told)
+
+    decisions = Decisions(
+        (None,), step, lambda row: (row["at"], row["event_ref"]), lambda memory: ((memory[0] or 0) + seconds) * 1000
     )
+    return decide_in_order(rows, keys, "__ts", delay, decisions, "last long", out)
 
 
 def rate_limit(
@@ -367,10 +369,12 @@ def rate_limit_calls_stream(
     )
 
 
-def stable_files_stream(observations: DataFrame, suffix: str = ".done") -> DataFrame:
+def stable_files_stream(observations: DataFrame, ts: str, suffix: str = ".done", delay: str = "1 hour") -> DataFrame:
     """Files that became complete: finalized name, or same size and mtime as in the scan before.
 
-    State per path: the last scan, its size and mtime, and whether the file was already reported.
+    Observations of a path are taken in the order of their scans once the watermark on ``ts``, the time of the
+    observation, has passed them. State per path: the last scan, its size and mtime, and whether the file
+    was already reported; a path that is reported keeps only that flag.
     """
     out = T.StructType(
         [
@@ -379,24 +383,23 @@ def stable_files_stream(observations: DataFrame, suffix: str = ".done") -> DataF
             T.StructField("size_bytes", T.LongType()),
         ]
     )
-    rows = observations.select("path", F.col("scan").cast("long"), F.col("size_bytes").cast("long"), F.col("mtime").cast("long"))
-
-    def look(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scan, size, mtime, done = state.get if state.exists else (None, None, None, False)
-        ready = []
-        for row in pd.concat(list(frames)).sort_values("scan").itertuples(index=False):
-            same = scan is not None and row.scan == scan + 1 and (row.size_bytes, row.mtime) == (size, mtime)
-            if not done and (key[0].endswith(suffix) or same):
-                ready.append((key[0], int(row.scan), int(row.size_bytes)))
-                done = True
-            scan, size, mtime = int(row.scan), int(row.size_bytes), int(row.mtime)
-        state.update((scan, size, mtime, done))
-        yield pd.DataFrame(ready, columns=[f.name for f in out.fields])
-
-    return rows.groupBy("path").applyInPandasWithState(
-        look, out, "scan long, size long, mtime long, done boolean", "append", GroupStateTimeout.NoTimeout
+    rows = observations.select(
+        "path", F.col("scan").cast("long"), F.col("size_bytes").cast("long"), F.col("mtime").cast("long"), F.col(ts).alias("__ts"),
+        F.col("path").endswith(suffix).alias("named"),
     )
 
+    def step(memory: tuple, row) -> tuple[tuple, tuple | None]:
+        scan, size, mtime, done = memory
+        if done:
+            return memory, None
+        same = scan is not None and row["scan"] == scan + 1 and (row["size_bytes"], row["mtime"]) == (size, mtime)
+        if row["named"] or same:
+            return (None, None, None, True), (row["scan"], row["size_bytes"])
+        return (row["scan"], row["size_bytes"], row["mtime"], False), None
+
+    decisions = Decisions((None, None, None, False), step, lambda row: (row["scan"],))
+    return decide_in_order(rows, ["path"], "__ts", delay, decisions, "scan long, size long, mtime long, done boolean", out)
+
 
 def expired_leases(
     beats: DataFrame, keys: Sequence[str], ts: str, id_col: str, lease_seconds: int, as_of: Column | None = None

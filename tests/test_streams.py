@@ -106,3 +106,56 @@ def test_outbox_delivers_once_over_runs(spark, tmp_path):
         op.outbox_stream(live, f"{tmp_path}/out", f"{tmp_path}/{run}", after=4)
     got = [r.sequence for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").collect()]
     assert sorted(got) == list(range(5, 20))
+
+
+def files_of(spark, tmp_path, rows, schema):
+    """``rows`` with a file number at the end, as a stream of one file a batch."""
+    for i in range(max(r[-1] for r in rows) + 1):
+        part = spark.createDataFrame([r[:-1] for r in rows if r[-1] == i], schema)
+        part.withColumn("ts", F.timestamp_seconds("sec")).coalesce(1).write.parquet(f"{tmp_path}/part={i}")
+    return (
+        spark.readStream.schema(schema + ", ts timestamp")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(str(tmp_path))
+    )
+
+
+def test_notify_and_heartbeat_streams_in_event_time(spark, tmp_path):
+    """Four shuffled files decide as the batch forms do, and silent keys leave no state."""
+    import random
+
+    draw = random.Random(4)
+    kinds = ["view", "count", "other", "off"]
+    rows = [(f"c{draw.randrange(3)}", i, draw.choice(kinds), 100_000 + draw.randrange(4000) * 10 / 4, draw.randrange(9), draw.randrange(4)) for i in range(400)]
+    rows += [(None, 900, "view", 100_500.0, 1, 2), (None, 901, "view", 100_400.0, 1, 3)]
+    # the watermark reaches the end of all of them, and of the throttles after them
+    rows += [("end", 999, "view", 900_000.0, 1, 4)]
+    schema = "case_id string, id int, event_type string, sec double, count int"
+    rules = spark.createDataFrame(
+        [("view", True, False, None, False, 600, None, None, "info", "x"), ("count", True, True, 5, True, 0, None, None, "info", "x"),
+         ("off", False, False, None, False, 0, None, None, "info", "x")],
+        op.RULES_SCHEMA,
+    )
+    live = files_of(spark, tmp_path / "events", rows, schema)
+    table = spark.read.option("recursiveFileLookup", "true").schema(schema + ", ts timestamp").parquet(str(tmp_path / "events")).where("id <> 999")
+    want = {(r.id, r.reason) for r in op.notify(table, rules, ["case_id"], "ts", "id").collect()}
+    assert {w[1] for w in want} == {"no_rule", "disabled", "below_threshold", "already_crossed_once", "throttled", "matched"}
+    out = op.notify_stream(live, rules, ["case_id"], "ts", "id", delay="3 hours")
+    assert {(r.event_ref, r.reason) for r in drain(out).collect()} == want
+    beat = op.heartbeats_stream(live, ["case_id"], "ts", "id", 500, ["count", "event_type"], "3 hours")
+    running = beat.writeStream.format("memory").queryName("beats_in_order").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = {(r.event_ref, r["count"], r.event_type) for r in spark.table("beats_in_order").collect()}
+    assert got == {(r.id, r["count"], r.event_type) for r in op.heartbeats(table, ["case_id"], "ts", "id", 500).collect()}
+    # left: the waiting row of the last key and its timer
+    assert running.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_stable_files_stream_takes_scans_in_order(spark, tmp_path):
+    # (path, scan, size, mtime, second, file): the second scan comes last, the third is no repetition of the first
+    rows = [("a", 1, 5, 1, 1000, 0), ("a", 3, 5, 1, 1200, 0), ("a", 2, 9, 1, 1100, 1), ("a", 4, 5, 1, 1300, 1), ("b", 2, 7, 7, 1100, 0), ("b", 1, 7, 7, 1000, 1),
+            ("c.done", 2, 3, 3, 1100, 0), ("c.done", 1, 2, 2, 1000, 1), ("z", 1, 1, 1, 99_000, 2)]
+    live = files_of(spark, tmp_path, [(*r[:4], r[4], r[5]) for r in rows], "path string, scan int, size_bytes int, mtime int, sec long")
+    got = drain(op.stable_files_stream(live, "ts", delay="10 minutes")).collect()
+    assert {(r.path, r.ready_scan, r.size_bytes) for r in got} == {("a", 4, 5), ("b", 2, 7), ("c.done", 1, 2)}
