@@ -154,6 +154,28 @@ def last_before(
     )
 
 
+def max_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    out: str,
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Add ``out``: the greatest ``value`` among the rows before this one in its group."""
+    upto = lambda win: win.rowsBetween(W.unboundedPreceding, -1)
+    if peak_group(df, keys) <= limit:
+        return df.withColumn(out, F.max(value).over(upto(W.partitionBy(*keys).orderBy(*order))))
+    sliced = _sliced(df, keys, order)
+    local = upto(W.partitionBy("__slice", *keys).orderBy(*order))
+    across = upto(W.partitionBy(*keys).orderBy("__slice"))
+    tops = sliced.groupBy(*keys, "__slice").agg(F.max(value).alias("__top"))
+    carried = tops.select(*keys, "__slice", F.max("__top").over(across).alias("__carried"))
+    joined = join_null_safe(sliced.withColumn("__near", F.max(value).over(local)), carried, [*keys, "__slice"])
+    # greatest() passes over nulls
+    return joined.withColumn(out, F.greatest("__near", "__carried")).drop("__slice", "__near", "__carried")
+
+
 def join_groups(
     rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, hot_rows: int = 1_000_000
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_is_one, stable_id
 from ..functions.times import epoch_parts
+from .grouped import GROUP_LIMIT, max_before
 
 
 def _or_blank(*names: str) -> Column:
@@ -484,6 +485,24 @@ def enrich_by_path(
     return out.drop("__path")
 
 
+def inside_any(
+    points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """The distinct ``at`` values that some range ``[start, end)`` holds; a sweep over starts and points.
+
+    Starts and points are put in one order; a point is inside a range if the greatest end among the starts up
+    to it lies beyond it. A range costs one row, whatever its length, and long sweeps are cut by range with one
+    carried maximum per cut. Null points and ranges with a null or empty extent hold nothing.
+    """
+    none = F.lit(None).cast("long")
+    starts = ranges.where(F.col(end) > F.col(start)).select(F.col(start).cast("long").alias("__at"), F.lit(0).alias("__role"), F.col(end).cast("long").alias("__end"))
+    asked = points.where(F.col(at).isNotNull()).select(F.col(at).cast("long").alias("__at")).distinct()
+    both = starts.unionByName(asked.select("__at", F.lit(1).alias("__role"), none.alias("__end"))).withColumn("__all", F.lit(0))
+    swept = max_before(both, ["__all"], ["__at", "__role"], "__end", "__reach", limit)
+    kind = points.schema[at].dataType
+    return swept.where((F.col("__role") == 1) & (F.col("__reach") > F.col("__at"))).select(F.col("__at").cast(kind).alias(at))
+
+
 def overlaps(
     offsets: DataFrame,
     ranges: DataFrame,

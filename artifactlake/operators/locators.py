@@ -10,7 +10,7 @@ from ..functions.rules import CHROMIUM_FILES, FIREFOX_FILES, PROFILE_DIRS, SECRE
 from ..functions.text import path_suffix, present, stable_id
 from .grouped import keep_where
 from .graphs import ancestors, on_ancestors, owner_by_prefix
-from .joins import enrich_by_path, path_key
+from .joins import enrich_by_path, inside_any, path_key
 from .windows import schedule_cap
 
 
@@ -625,14 +625,7 @@ def scan_blocks(blocks: DataFrame, partitions: DataFrame, media_size: int, max_c
     ranges = partitions.select(
         F.col("offset_bytes").alias("__s"), (F.col("offset_bytes") + F.col("length_bytes")).alias("__t")
     )
-    from .joins import overlaps
-
-    inside = (
-        overlaps(found.select("offset_bytes"), ranges, "offset_bytes", "__s", "__t", 1 << 20)
-        .select("offset_bytes")
-        .distinct()
-        .withColumn("__in", F.lit(True))
-    )
+    inside = inside_any(found, ranges, "offset_bytes", "__s", "__t").withColumn("__in", F.lit(True))
     work = found.join(inside, "offset_bytes", "left")
     overlap = F.coalesce("__in", F.lit(False))
     stale = F.contains(at(0, 128), text("STALE")) | F.contains(at(0, 128), text("DELETED"))

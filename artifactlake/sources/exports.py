@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import EXPORT_FIELDS, TOKEN_WORDS
 from ..operators.grouped import number_rows
+from ..session import settle
 
 DIGEST_CHUNK = 50_000
 
@@ -78,17 +79,24 @@ def export_manifest(plans: DataFrame, hashes: DataFrame, sizes: DataFrame, statu
 
 
 def ordered_digest(df: DataFrame, digest: str, order: Sequence[str], chunk: int = DIGEST_CHUNK) -> DataFrame:
-    """One digest over row digests in a fixed order, hashed chunk by chunk."""
+    """One digest over row digests in a fixed order: a tree of digests with ``chunk`` children a node at most.
+
+    The lowest nodes hash ``chunk`` rows each, and levels follow until one node can take what is left, so no
+    node ever gathers more than ``chunk`` digests. No rows: the digest of the empty text, and null items.
+    """
+    if chunk < 2:
+        raise ValueError("a node needs room for two digests")
     numbered = number_rows(df.withColumn("__all", F.lit(0)), ["__all"], order, "__pos")
-    joined = lambda c, o: F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda s: s[c]), ""
-    )
-    parts = numbered.groupBy(F.floor((F.col("__pos") - 1) / chunk).alias("part")).agg(
-        F.sha2(joined(digest, "__pos"), 256).alias("d"), F.count(F.lit(1)).alias("n")
-    )
-    return parts.agg(
-        F.sha2(joined("d", "part"), 256).alias("manifest_sha256"), F.sum("n").alias("items")
-    )
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda s: s["d"]), "")
+
+    def above(nodes: DataFrame) -> DataFrame:
+        parent = nodes.groupBy(F.floor(F.col("part") / chunk).alias("__p")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
+        return settle(parent.withColumnRenamed("__p", "part"))
+
+    nodes = above(numbered.select((F.col("__pos") - 1).alias("part"), F.col(digest).alias("d"), F.lit(1).cast("long").alias("n")))
+    while nodes.count() > chunk:
+        nodes = above(nodes)
+    return nodes.agg(F.sha2(joined, 256).alias("manifest_sha256"), F.sum("n").alias("items"))
 
 
 def content_store(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

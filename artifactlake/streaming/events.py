@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timing import minutes_of_day
 from ..operators.aggs import daily_histogram  # noqa: F401  (batch twin of daily_histogram_stream)
-from ..operators.grouped import number_rows, with_neighbour
+from ..operators.grouped import GROUP_LIMIT, last_before, number_rows, with_neighbour
 from ..operators.windows import stable_files  # noqa: F401  (batch twin of stable_files_stream)
 from .ordered import AT, Decisions, decide_in_order
 from .throttle import FOLD_LIMIT, greedy_throttle
@@ -291,16 +291,29 @@ def heartbeats_stream(
 
 
 def rate_limit(
-    calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60
+    calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Calls with their number inside the minute, whether they are allowed and how long to wait."""
-    timed = calls.withColumn("minute", F.date_trunc("minute", F.col(ts)))
-    numbered = number_rows(timed, [key, "minute"], [ts, id_col], "__n")
+    """Calls with ``counter``, the calls of the last 60 seconds before them, whether they are allowed and how long to wait.
+
+    The window slides: a call at second s counts the calls from second s - 59 on that come before it in the
+    order of (second, id). Keys above ``limit`` calls are numbered in slices of time. Calls without a time are
+    not counted and not allowed.
+    """
+    names = calls.columns
+    timed = calls.withColumn("__sec", F.unix_timestamp(F.col(ts).cast("timestamp")))
+    numbered = number_rows(timed.where("__sec IS NOT NULL"), [key], ["__sec", id_col], "__n", limit)
+    # each call asks for the last one that is out of its window
+    points = numbered.select(key, F.col("__sec").alias("__t"), F.lit(1).alias("__role"), "__n", F.col("__n").alias("__done"))
+    asks = numbered.select(*names, (F.col("__sec") - 59).alias("__t"), F.lit(0).alias("__role"), "__n", F.lit(None).cast("long").alias("__done"))
+    both = asks.unionByName(points, allowMissingColumns=True)
+    found = last_before(both, [key], ["__t", "__role", "__n"], "__done", "__before", limit).where("__role = 0")
+    counter = F.col("__n") - 1 - F.coalesce("__before", F.lit(0))
+    counted = found.select(*names, counter.alias("counter"))
+    untimed = timed.where("__sec IS NULL").select(*names, F.lit(None).cast("long").alias("counter"))
     return (
-        numbered.withColumn("counter", F.col("__n") - 1)
-        .withColumn("allowed", F.col("counter") < per_minute)
+        counted.unionByName(untimed)
+        .withColumn("allowed", F.coalesce(F.col("counter") < per_minute, F.lit(False)))
         .withColumn("wait_seconds", F.when(F.col("allowed"), 0.0).otherwise(60.0))
-        .drop("__n")
     )
 
 
@@ -325,17 +338,11 @@ def rate_limit_stream(
 def rate_limit_calls_stream(
     calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60, delay: str = "5 minutes"
 ) -> DataFrame:
-    """:func:`rate_limit` on a stream: each call is decided in the micro-batch that brings it.
+    """:func:`rate_limit` on a stream, for all calls that the watermark, ``delay`` behind the latest, has passed.
 
-    State per key and day: the calls counted so far in each minute that the watermark has not passed.
-    A caller cannot wait for earlier calls that are still on their way, so calls of one minute count in
-    order of arrival, and by (time, id) inside a micro-batch. Calls ``delay`` behind the latest are dropped.
+    State per key: the number of calls in each of the last 60 seconds, which ends a minute after the last call.
     """
-    timed = calls.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
-    day = F.floor(F.unix_timestamp("__time") / 86_400).alias("__day")
-    rows = timed.where("__time IS NOT NULL").select(
-        key, day, F.col(id_col).alias("event_ref"), F.unix_micros("__time").alias("__at"), "__time"
-    )
+    rows = calls.select(key, F.col(id_col).alias("event_ref"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("sec"), F.col(ts).alias("__ts"))
     out = T.StructType(
         [
             rows.schema[key],
@@ -346,27 +353,18 @@ def rate_limit_calls_stream(
         ]
     )
 
-    def decide(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
-        pdf = pd.concat([f[[key, "event_ref", "__at"]] for f in frames]).sort_values(["__at", "event_ref"])
-        pdf["__minute"] = pdf["__at"] // 60_000_000
-        before = [seen.get(m, 0) for m in pdf["__minute"].tolist()]
-        pdf["counter"] = pdf.groupby("__minute").cumcount() + before
-        pdf["allowed"] = pdf["counter"] < per_minute
-        pdf["wait_seconds"] = (~pdf["allowed"]) * 60.0
-        seen.update((pdf.groupby("__minute")["counter"].max() + 1).to_dict())
-        mark = state.getCurrentWatermarkMs()
-        left = {int(m): int(n) for m, n in seen.items() if (m + 1) * 60_000 > mark}
-        state.update((list(left), list(left.values())))
-        state.setTimeoutTimestamp(max((int(group[1]) + 1) * 86_400_000, mark + 1))
-        yield pdf[[f.name for f in out.fields]]
-
-    return rows.groupBy(key, "__day").applyInPandasWithState(
-        decide, out, "minutes array<long>, calls array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    def step(memory: tuple, row) -> tuple[tuple, tuple]:
+        recent = {s: n for s, n in zip(*memory, strict=True) if s >= row["sec"] - 59}
+        counter = sum(recent.values())
+        recent[row["sec"]] = recent.get(row["sec"], 0) + 1
+        allowed = counter < per_minute
+        told = (row["event_ref"], counter, allowed, 0.0 if allowed else 60.0)
+        return (list(recent), list(recent.values())), told
+
+    decisions = Decisions(
+        ([], []), step, lambda row: (row["sec"], row["event_ref"]), lambda memory: (max(memory[0], default=0) + 60) * 1000
     )
+    return decide_in_order(rows, [key], "__ts", delay, decisions, "seconds array<long>, calls array<long>", out)
 
 
 def stable_files_stream(observations: DataFrame, ts: str, suffix: str = ".done", delay: str = "1 hour") -> DataFrame:

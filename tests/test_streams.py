@@ -45,24 +45,24 @@ def test_lease_stream_over_batches_out_of_order(spark, tmp_path):
     assert got == leases_by_hand(rows, 100, 490)
 
 
-def test_rate_limit_stream_decides_each_call_over_batches(spark, tmp_path):
-    # (id, second, batch): the first minute's calls come in three batches, the last batch brings an earlier one;
-    # a stream's first watermark is the epoch itself, so the calls come after it
-    rows = [(1, 600, 0), (2, 610, 0), (3, 620, 1), (4, 670, 1), (5, 650, 2), (6, 605, 2)]
-    for i in range(3):
-        part = spark.createDataFrame([("k", r, s) for r, s, b in rows if b == i], "who string, id int, sec long")
-        part.select("who", "id", F.timestamp_seconds("sec").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/part={i}")
-    live = (
-        spark.readStream.schema("who string, id int, ts timestamp")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(str(tmp_path))
-    )
-    out = drain(op.rate_limit_calls_stream(live, "who", "ts", "id", per_minute=3))
-    got = {r.event_ref: (r.counter, r.allowed, r.wait_seconds) for r in out.collect()}
-    assert got == {
-        1: (0, True, 0.0), 2: (1, True, 0.0), 3: (2, True, 0.0), 4: (0, True, 0.0), 6: (3, False, 60.0), 5: (4, False, 60.0)
-    }
+def test_rate_limit_slides_over_slices_and_batches(spark, tmp_path):
+    # (id, second, file): calls a minute apart, ties in one second, calls that come late
+    rows = [("k", i, s, f) for i, (s, f) in enumerate([(600, 0), (610, 0), (659, 1), (660, 1), (660, 2), (661, 0), (719, 2), (720, 1), (605, 2), (5000, 1)])]
+    rows += [("other", 50, 660, 2), (None, 51, 661, 0), (None, 52, 662, 1)]
+    def by_hand(i):
+        key, ref, sec, _ = rows[i]
+        return sum(1 for k, r, s, _ in rows if k == key and sec - 59 <= s and (s, r) < (sec, ref))
+    want = {r[1]: by_hand(i) for i, r in enumerate(rows)}
+    live = files_of(spark, tmp_path, [*rows, ("end", 99, 99_000, 3)], "who string, id int, sec long")
+    calls = spark.createDataFrame([r[:3] for r in rows], "who string, id int, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    for limit in (1_000, 3):
+        out = op.rate_limit(calls, "who", "ts", "id", 3, limit).collect()
+        assert {r.id: r.counter for r in out} == want
+        assert all(r.allowed == (r.counter < 3) and r.wait_seconds == (0.0 if r.allowed else 60.0) for r in out)
+    untimed = op.rate_limit(calls.withColumn("ts", F.when(F.col("id") > 2, F.col("ts"))), "who", "ts", "id").where("id <= 2").collect()
+    assert [(r.counter, r.allowed) for r in untimed] == [(None, False)] * 3
+    got = drain(op.rate_limit_calls_stream(live, "who", "ts", "id", 3, "2 hours")).collect()
+    assert {r.event_ref: (r.counter, r.allowed) for r in got} == {i: (n, n < 3) for i, n in want.items()}
 
 
 def test_once_rule_without_threshold_is_throttled(spark):
