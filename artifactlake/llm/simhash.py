@@ -6,7 +6,7 @@ Hamming ball around each of its segments in the table of segments and compares t
 with what it finds. No pair within the distance is lost. Equal fingerprints count once before the
 search, so copies make no pairs.
 
-``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 384 bits: 16 segments of
+``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 1,024 bits: 16 segments of
 20 bits, balls of radius 1 around each, and 64 bits that are compared where a segment matches. Complete distances
 and then the shingle sets decide. Sets of similarity 0.8 differ in about 15 % of the bits; one of the segments
 is within its ball in 95 of 100 cases.
@@ -134,7 +134,7 @@ def near_groups(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42,
 #: shingles and similarity of ``similar_groups``
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: its SimHashes: segments, their width, words of 64 bits (the last for the comparison), bits that may differ in the last word and in all
-SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 6, 20, 76
+SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 16, 20, 180
 #: bytes of shingle sets that a task of the exact comparison keeps
 KEPT_SETS = 16 << 20
 
@@ -178,12 +178,23 @@ def _entries(nodes: DataFrame) -> DataFrame:
 
 
 def _leaders(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of a node and the least node with the same segment value, where their last words are near."""
+    """Pairs (a, b), a < b: each node with the most central near node that it meets, one pair a node at most.
+
+    A node is central that shares its segment values with many. The most central node of each value shared by two
+    or more looks through the ball around it, so the copies of one text meet that text and not each other.
+    """
     table = _entries(nodes)
-    least = F.min(F.struct(F.col("set").alias("a"), F.col("check").alias("check_a"))).alias("m")
-    first = table.groupBy("key").agg(least, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "m.*")
+    shared = table.join(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    degree = shared.groupBy("set").agg(F.sum("n").alias("degree"))
+    rank = F.struct("degree", -F.col("set"))
+    head = F.struct(F.col("set").alias("a"), F.col("check").alias("check_a"), "degree")
+    first = shared.join(degree, "set").groupBy("key").agg(F.max_by(head, rank).alias("m")).select("key", "m.*")
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
+    probes = first.select(F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), "a", "check_a", "degree")
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_a"))) <= CHECK_BITS
-    return table.join(first, "key").where(near & (F.col("set") != F.col("a"))).select("a", F.col("set").alias("b")).distinct()
+    met = table.join(probes, "key").where(near & (F.col("set") != F.col("a")))
+    best = met.groupBy("set").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("a"))
+    return best.select(F.least("set", "a").alias("a"), F.greatest("set", "a").alias("b")).distinct()
 
 
 def _balls(shelf: Shelf, nodes: DataFrame) -> DataFrame:
@@ -268,7 +279,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     without a word (null and empty ones too). Rows without an id are as in ``near_groups``; ``set`` is the least
     set of a group without any id. A kept column with the name of a result column is replaced by the result.
 
-    First every set is compared with the least one that shares a segment, then, of sets that are not together
+    First every set is compared with the most central one in reach, then, of sets that are not together
     by then, all near ones. All tables stay in Spark.
     """
     spark = docs.sparkSession
