@@ -1,7 +1,7 @@
 """Removal of byte strings that stand somewhere else, with a logarithmic family of suffix indexes.
 
 An index level is a sparse suffix array: the suffixes that start at anchors (see ``windows``), held as sorted
-arrays of the codes of their first ``gram`` bytes, cut by range of the code into shards. A batch of documents
+arrays of the codes of their first ``gram`` bytes, cut by mixed bits of the code into even shards. A batch of documents
 gets its own array, which is merged (scanned side by side) with every existing level: a suffix met in
 both, or twice in the batch, may start a long match. Then the batch joins the family, and levels of equal
 rank merge into one of the next rank, so a family of n batches has log2(n) levels and each suffix is
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import chunks, column, release, text_bytes
+from .common import chunks, column, mix, release, text_bytes
 from .windows import KEY, Unit, byte_units, confirmed, gathered, keyed, keyed_stream, runs, with_texts
 
 WIDTH, GRAM = 200, 40
@@ -47,7 +47,10 @@ def suffix_array(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
             held += [runs(*unit.codes(r, o), unit.width, unit.gram)["anchor"] for _, _, r, o in chunks(raw, at)]
         keys, times = np.unique(np.concatenate(held), return_counts=True)
         shard = _shard(keys, shards)
-        edges = np.searchsorted(shard, np.arange(shards + 1))
+        # stable: the codes of a shard stay sorted
+        order = np.argsort(shard, kind="stable")
+        keys, times = keys[order], times[order]
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
         for i in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[i], edges[i + 1])
             yield from _row(i, keys[part], keys[part][times[part] > 1]).to_batches()
@@ -56,8 +59,8 @@ def suffix_array(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of the code: shard order is suffix order."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    """Shard of each code, by its mixed bits: anchors are minima, so ranges of the code itself would be uneven."""
+    return ((mix(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _joined(rows: pa.Table) -> pa.Table:
