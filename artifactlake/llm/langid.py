@@ -4,7 +4,8 @@ Every language has a probability for each piece of a fixed public vocabulary of
 probability is the sum over all ways to cut it into pieces, from a forward pass over its bytes; a text is
 the product over its words (a word carries its leading space). Single bytes are pieces, so every text
 has a probability. The piece probabilities are fitted by expectation maximisation on the word counts of
-a bounded sample of texts with a known language.
+a bounded sample of texts with a known language. Sums are kept as logarithms: pieces and words may have
+any length.
 """
 
 from __future__ import annotations
@@ -23,30 +24,30 @@ from pyspark.sql import types as T
 from ..session import settle
 from .common import BYTE_CODES, Spans, annotate, column
 
-#: longest piece and, in training, longest word (bytes) that is used
-PIECE_BYTES, TRAIN_WORD_BYTES = 16, 48
+#: words that go through the lattice together, and pieces' places looked up at once
+GROUP, PLACES = 4096, 1 << 20
 #: distinct words whose scores a task remembers
 MEMORY = 400_000
 
 
 @dataclass
 class PieceModel:
-    """Sorted piece hashes, and the probability of each piece in each language."""
+    """Sorted piece hashes, the lengths that pieces have, and the probability of each piece in each language."""
 
     langs: list[str]
     keys: np.ndarray
+    sizes: np.ndarray
     prob: np.ndarray
 
 
-def vocabulary(path: str) -> np.ndarray:
-    """Sorted hashes of the pieces of a rank file (base64 piece and rank per line)."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all pieces of a rank file (base64 piece and rank per line), and their distinct lengths."""
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    pieces = [p for p in pieces if len(p) <= PIECE_BYTES]
     pieces = sorted({*pieces, *[bytes([b]) for b in range(256)]})
     at = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
     codes = BYTE_CODES[np.frombuffer(b"".join(pieces), np.uint8)]
-    return np.unique(Spans(codes).of(at[:-1], at[1:]))
+    return np.unique(Spans(codes).of(at[:-1], at[1:])), np.unique(np.diff(at))
 
 
 def _by_length(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
@@ -58,64 +59,113 @@ def _by_length(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return order, np.cumsum(length) - length, length, Spans(codes)
 
 
-def _pieces(keys: np.ndarray, spans: Spans, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which stretches are pieces, and their numbers."""
-    h = spans.of(start, end)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    hit = np.flatnonzero(keys[at] == h)
-    return hit, at[hit]
+def _groups(words: list[bytes], places: int) -> Iterator[list[int]]:
+    """Words of like length together, as many as ``places`` bytes hold, at most ``GROUP`` and at least one."""
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    a = 0
+    while a < len(order):
+        n = min(GROUP, max(1, places // (len(words[order[a]]) + 2)))
+        yield order[a : a + n]
+        a += n
+
+
+def _lattice(model: PieceModel, spans: Spans, offset: np.ndarray, length: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end, word, size, piece) of all pieces that end ``first`` to ``last`` bytes into a word, by end and word.
+
+    Words are sorted longest first.
+    """
+    live = int(np.searchsorted(-length, -first, side="right"))
+    each = np.minimum(length[:live], last) - first + 1
+    word = np.repeat(np.arange(live), each)
+    end = first + np.arange(len(word)) - np.repeat(np.cumsum(each) - each, each)
+    found = []
+    for size in model.sizes.tolist():
+        if size > first:
+            fits = end >= size
+            word, end = word[fits], end[fits]
+        if not len(end):
+            break
+        stop = offset[word] + end
+        h = spans.of(stop - size, stop)
+        at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
+        hit = np.flatnonzero(model.keys[at] == h)
+        found.append((end[hit], word[hit], np.full(len(hit), size), at[hit]))
+    ends, words, sizes, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((words, ends))
+    return ends[order], words[order], sizes[order], pieces[order]
+
+
+def _blocks(length: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of ends whose places in all words stay near ``PLACES``."""
+    step = max(1, PLACES // len(length))
+    return [(a, min(a + step - 1, int(length[0]))) for a in range(1, int(length[0]) + 1, step)]
+
+
+def _log_sums(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Logarithm of the summed exponentials of the stretches of rows that start at ``heads``."""
+    top = np.maximum.reduceat(x, heads)
+    return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, len(x))), axis=0)), heads))
 
 
 def word_scores(words: list[bytes], model: PieceModel) -> np.ndarray:
-    """Log probability of each word in each language."""
-    n, k = len(words), len(model.langs)
-    out = np.zeros((n, k))
-    if not n:
-        return out
-    order, offset, length, spans = _by_length(words)
-    ring = np.zeros((PIECE_BYTES + 1, n, k))
-    ring[0] = 1.0
-    scale = np.zeros((n, k))
-    for j in range(1, int(length[0]) + 1):
-        live = int(np.searchsorted(-length, -j, side="right"))
-        new = np.zeros((live, k))
-        end = offset[:live] + j
-        for size in range(1, min(j, PIECE_BYTES) + 1):
-            hit, piece = _pieces(model.keys, spans, end - size, end)
-            new[hit] += ring[(j - size) % (PIECE_BYTES + 1), hit] * model.prob[piece]
-        ring[j % (PIECE_BYTES + 1), :live] = new
-        done = slice(int(np.searchsorted(-length, -j, side="left")), live)
-        out[order[done]] = scale[done] + np.log(new[done])
-        if j % PIECE_BYTES == 0:
-            ring[:, :live] /= new
-            scale[:live] += np.log(new)
+    """Log probability of each word in each language, over all segmentations."""
+    k = len(model.langs)
+    out = np.zeros((len(words), k))
+    logs = np.log(model.prob)
+    for group in _groups(words, PLACES):
+        order, offset, length, spans = _by_length([words[i] for i in group])
+        group = np.array(group)[order]
+        n = len(group)
+        # log probabilities of the last places: as many as the longest piece has bytes
+        slots = int(min(model.sizes[-1], length[0])) + 1
+        ring = np.zeros((slots, n, k))
+        for first, last in _blocks(length):
+            end, word, size, piece = _lattice(model, spans, offset, length, first, last)
+            new = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (word[1:] != word[:-1])))
+            edges = np.searchsorted(end, np.arange(first, last + 2))
+            heads = np.searchsorted(new, edges)
+            for j in range(first, last + 1):
+                a, b = edges[j - first], edges[j - first + 1]
+                x = ring[(j - size[a:b]) % slots, word[a:b]] + logs[piece[a:b]]
+                ring[j % slots, : heads[j - first + 1] - heads[j - first]] = _log_sums(x, new[heads[j - first] : heads[j - first + 1]] - a)
+                done = slice(int(np.searchsorted(-length, -j, side="left")), int(np.searchsorted(-length, -j, side="right")))
+                out[group[done]] = ring[j % slots, done]
     return out
 
 
 def expected_counts(words: list[bytes], lang: np.ndarray, times: np.ndarray, model: PieceModel) -> np.ndarray:
     """Expected uses of each piece in each language, over all segmentations of the words."""
     total = np.zeros(model.prob.shape)
-    order, offset, length, spans = _by_length(words)
-    lang, times = lang[order], times[order]
-    n, top = len(words), int(length[0])
-    ahead = np.zeros((top + 1, n))
-    ahead[0] = 1.0
-    found = []
-    for j in range(1, top + 1):
-        live = int(np.searchsorted(-length, -j, side="right"))
-        end = offset[:live] + j
-        for size in range(1, min(j, PIECE_BYTES) + 1):
-            hit, piece = _pieces(model.keys, spans, end - size, end)
-            p = model.prob[piece, lang[hit]]
-            ahead[j, hit] += ahead[j - size, hit] * p
-            found.append((j, size, hit, piece, p))
-    behind = np.zeros((top + 1, n))
-    behind[length, np.arange(n)] = 1.0
-    whole = ahead[length, np.arange(n)]
-    for j, size, hit, piece, p in reversed(found):
-        after = behind[j, hit]
-        behind[j - size, hit] += after * p
-        np.add.at(total, (piece, lang[hit]), times[hit] * ahead[j - size, hit] * p * after / whole[hit])
+    logs = np.log(model.prob)
+    for group in _groups(words, PLACES):
+        order, offset, length, spans = _by_length([words[i] for i in group])
+        group = np.array(group)[order]
+        own, n, top = lang[group], len(group), int(length[0])
+        ahead = np.full((top + 1, n), -np.inf)
+        ahead[0] = 0.0
+        behind = np.full((top + 1, n), -np.inf)
+        behind[length, np.arange(n)] = 0.0
+        for first, last in _blocks(length):
+            end, word, size, piece = _lattice(model, spans, offset, length, first, last)
+            new = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (word[1:] != word[:-1])))
+            edges = np.searchsorted(end, np.arange(first, last + 2))
+            heads = np.searchsorted(new, edges)
+            for j in range(first, last + 1):
+                a, b = edges[j - first], edges[j - first + 1]
+                x = ahead[j - size[a:b], word[a:b]] + logs[piece[a:b], own[word[a:b]]]
+                ahead[j, : heads[j - first + 1] - heads[j - first]] = _log_sums(x, new[heads[j - first] : heads[j - first + 1]] - a)
+        whole = ahead[length, np.arange(n)]
+        for first, last in reversed(_blocks(length)):
+            end, word, size, piece = _lattice(model, spans, offset, length, first, last)
+            edges = np.searchsorted(end, np.arange(first, last + 2))
+            p = logs[piece, own[word]]
+            for j in range(last, first - 1, -1):
+                part = slice(edges[j - first], edges[j - first + 1])
+                # a word has one piece of each size at each end: no place twice
+                place = (j - size[part], word[part])
+                behind[place] = np.logaddexp(behind[place], p[part] + behind[j, word[part]])
+            uses = np.exp(ahead[end - size, word] + p + behind[end, word] - whole[word])
+            np.add.at(total, (piece, own[word]), times[group][word] * uses)
     return total
 
 
@@ -130,9 +180,9 @@ def train(docs: DataFrame, path: str, lang: str = "lang", text: str = "text", id
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     langs = sorted(counts)
-    keys = vocabulary(path)
+    keys, lengths = vocabulary(path)
     prob = np.full((len(keys), len(langs)), 1.0 / len(keys))
-    model = PieceModel(langs, keys, prob)
+    model = PieceModel(langs, keys, lengths, prob)
     if not langs:
         return model
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
@@ -144,7 +194,6 @@ def train(docs: DataFrame, path: str, lang: str = "lang", text: str = "text", id
         for batch in batches:
             parts = pc.ascii_split_whitespace(column(batch, "text"))
             table = pa.table({"word": parts.flatten(), "lang": column(batch, "lang").take(pc.list_parent_indices(parts))})
-            table = table.filter(pc.less_equal(pc.binary_length(table["word"]), TRAIN_WORD_BYTES))
             table = table.group_by(["lang", "word"]).aggregate([([], "count_all")]).select(["lang", "word", "count_all"])
             yield from table.rename_columns(["lang", "word", "n"]).to_batches()
 
@@ -174,7 +223,7 @@ def train(docs: DataFrame, path: str, lang: str = "lang", text: str = "text", id
         got = uses.toArrow()
         total = np.full(prob.shape, smooth)
         np.add.at(total, (got["piece"].to_numpy(), got["lang"].to_numpy()), got["n"].to_numpy())
-        model = PieceModel(langs, keys, total / total.sum(axis=0))
+        model = PieceModel(langs, keys, lengths, total / total.sum(axis=0))
         held.unpersist()
     return model
 

@@ -192,27 +192,78 @@ def test_language(docs, none):
     assert langid.identify(none, model).collect() == []
 
 
-def test_forward_sums_all_segmentations():
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    keys = langid.vocabulary(path)
-    rng = np.random.default_rng(2)
-    prob = rng.random((len(keys), 2))
-    model = langid.PieceModel(["a", "b"], keys, prob / prob.sum(axis=0))
-    from artifactlake.llm.common import BYTE_CODES, Spans
+def _piece_model():
+    keys, lengths = langid.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    prob = np.random.default_rng(2).random((len(keys), 2))
+    return langid.PieceModel(["a", "b"], keys, lengths, prob / prob.sum(axis=0))
+
+
+def _place(data, model):
+    h = common.Spans(common.BYTE_CODES[np.frombuffer(data, np.uint8)]).of(np.array([0]), np.array([len(data)]))[0]
+    at = np.searchsorted(model.keys, h)
+    return at if at < len(model.keys) and model.keys[at] == h else None
+
+
+WORDS = [b"the", b"a", "señora".encode(), b"abcdefghijklmnopqrstuvwxyzabcdefghijkl", b"responsibilities", b"telecommunications", b"-" * 150, b"ab", b"the"]
+
+
+@pytest.mark.parametrize("places", [1 << 20, 40])
+def test_forward_sums_all_segmentations(monkeypatch, places):
+    monkeypatch.setattr(langid, "PLACES", places)
+    model = _piece_model()
+    assert model.sizes[-1] > 16
 
     def brute(data, lang):
         ways = [1.0] + [0.0] * len(data)
         for j in range(1, len(data) + 1):
-            for i in range(max(0, j - langid.PIECE_BYTES), j):
-                h = Spans(BYTE_CODES[np.frombuffer(data[i:j], np.uint8)]).of(np.array([0]), np.array([j - i]))[0]
-                at = np.searchsorted(keys, h)
-                if at < len(keys) and keys[at] == h:
+            for i in range(j):
+                at = _place(data[i:j], model)
+                if at is not None:
                     ways[j] += ways[i] * model.prob[at, lang]
         return np.log(ways[-1])
 
-    words = [b"the", b"a", "señora".encode(), b"abcdefghijklmnopqrstuvwxyzabcdefghijkl"]
-    got = langid.word_scores(words, model)
-    assert np.allclose(got, [[brute(b" " + w, k) for k in (0, 1)] for w in words])
+    got = langid.word_scores(WORDS[:5] + WORDS[6:8], model)
+    assert np.allclose(got, [[brute(b" " + w, k) for k in (0, 1)] for w in WORDS[:5] + WORDS[6:8]])
+    assert langid.word_scores([], model).shape == (0, 2)
+
+
+@pytest.mark.parametrize("places", [1 << 20, 40])
+def test_expected_counts_weigh_all_segmentations(monkeypatch, places):
+    monkeypatch.setattr(langid, "PLACES", places)
+    model = _piece_model()
+
+    def cuts(data):
+        if not data:
+            yield []
+        for i in range(1, len(data) + 1):
+            at = _place(data[:i], model)
+            if at is not None:
+                yield from ([at, *rest] for rest in cuts(data[i:]))
+
+    words, lang, times = [b"the", b"a", b"house", b"the"], [0, 1, 1, 1], [2.0, 1.0, 3.0, 5.0]
+    want = np.zeros(model.prob.shape)
+    for w, k, n in zip(words, lang, times, strict=True):
+        ways = list(cuts(b" " + w))
+        p = np.array([model.prob[c, k].prod() for c in ways])
+        for c, share in zip(ways, p / p.sum(), strict=True):
+            np.add.at(want, (c, k), n * share)
+    assert np.allclose(langid.expected_counts(words, np.array(lang), np.array(times), model), want)
+
+
+def test_long_words_train():
+    model = _piece_model()
+    long = "日本語の長い文章".encode() * 700
+    got = langid.expected_counts([long, b"x"], np.array([0, 1]), np.array([1.0, 1.0]), model)
+    assert np.isfinite(got).all()
+    assert got[:, 0].sum() > len(long) / model.sizes[-1] and got[:, 1].sum() >= 1
+
+
+@pytest.mark.parametrize("shards", [8, 480])
+def test_suffix_shards_are_even(shards):
+    # anchors are minima of many hashes
+    low = np.random.default_rng(3).integers(0, 1 << 63, (200_000, 20), np.int64).min(axis=1).astype(np.uint64)
+    sizes = np.bincount(suffixes._shard(low, shards), minlength=shards)
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > 0
 
 
 def _groups(rows):
