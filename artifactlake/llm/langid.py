@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import BYTE_CODES, Spans, annotate, column
 
 #: words that go through the lattice together, and pieces' places looked up at once
 GROUP, PLACES = 4096, 1 << 20
+#: bits of a hash below those that are tried first
+LEAD = np.uint64(44)
 #: distinct words whose scores a task remembers
 MEMORY = 400_000
 
@@ -39,6 +42,13 @@ class PieceModel:
     sizes: np.ndarray
     prob: np.ndarray
 
+    @cached_property
+    def leading(self) -> np.ndarray:
+        """Which leading bits some piece has."""
+        out = np.zeros(1 << (64 - int(LEAD)), bool)
+        out[self.keys >> LEAD] = True
+        return out
+
 
 def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of all pieces of a rank file (base64 piece and rank per line), and their distinct lengths."""
@@ -87,9 +97,12 @@ def _lattice(model: PieceModel, spans: Spans, offset: np.ndarray, length: np.nda
             break
         stop = offset[word] + end
         h = spans.of(stop - size, stop)
-        at = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
-        hit = np.flatnonzero(model.keys[at] == h)
-        found.append((end[hit], word[hit], np.full(len(hit), size), at[hit]))
+        # most stretches are no piece: leading bits tell, the rest is looked up
+        maybe = np.flatnonzero(model.leading[h >> LEAD])
+        at = np.minimum(np.searchsorted(model.keys, h[maybe]), len(model.keys) - 1)
+        real = model.keys[at] == h[maybe]
+        hit = maybe[real]
+        found.append((end[hit], word[hit], np.full(len(hit), size), at[real]))
     ends, words, sizes, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((words, ends))
     return ends[order], words[order], sizes[order], pieces[order]
@@ -145,7 +158,8 @@ def expected_counts(words: list[bytes], lang: np.ndarray, times: np.ndarray, mod
         ahead[0] = 0.0
         behind = np.full((top + 1, n), -np.inf)
         behind[length, np.arange(n)] = 0.0
-        for first, last in _blocks(length):
+        blocks = _blocks(length)
+        for first, last in blocks:
             end, word, size, piece = _lattice(model, spans, offset, length, first, last)
             new = np.flatnonzero(np.append(True, (end[1:] != end[:-1]) | (word[1:] != word[:-1])))
             edges = np.searchsorted(end, np.arange(first, last + 2))
@@ -155,8 +169,10 @@ def expected_counts(words: list[bytes], lang: np.ndarray, times: np.ndarray, mod
                 x = ahead[j - size[a:b], word[a:b]] + logs[piece[a:b], own[word[a:b]]]
                 ahead[j, : heads[j - first + 1] - heads[j - first]] = _log_sums(x, new[heads[j - first] : heads[j - first + 1]] - a)
         whole = ahead[length, np.arange(n)]
-        for first, last in reversed(_blocks(length)):
-            end, word, size, piece = _lattice(model, spans, offset, length, first, last)
+        for first, last in reversed(blocks):
+            # the last block's lattice is still at hand
+            if last < blocks[-1][1]:
+                end, word, size, piece = _lattice(model, spans, offset, length, first, last)
             edges = np.searchsorted(end, np.arange(first, last + 2))
             p = logs[piece, own[word]]
             for j in range(last, first - 1, -1):
