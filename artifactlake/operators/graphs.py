@@ -136,6 +136,52 @@ def closure(
     return seen
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(node): the seed nodes and everything reached from them from child to parent, cycles included.
+
+    Only the fact of being reached travels, never (node, reached) pairs. Nodes with one way out form
+    chains, whose pointers double: each chain shrinks to a step onto its end, a frontier loop runs over the
+    nodes with several ways, and the chains that were entered are walked by the doubled pointers. A chain
+    of n nodes takes log2(n) rounds. Null ends of edges are no nodes.
+    """
+    steps = edges.select(F.col(child).alias("node"), F.col(parent).alias("to")).where("node IS NOT NULL AND to IS NOT NULL")
+    out = settle(steps.where("node <> to").groupBy("node").agg(F.min("to").alias("to"), (F.min("to") < F.max("to")).alias("many")))
+    single = settle(out.where("NOT many").select("node", "to"))
+    bound = single.count()
+    jumps = [single]
+    # the n-th table jumps 2**n nodes ahead, at most to the end of the chain; nodes of a cycle have no end
+    while 1 << (len(jumps) - 1) < bound:
+        ahead = jumps[-1].select(F.col("node").alias("to"), F.col("to").alias("__next"))
+        joined = settle(jumps[-1].join(ahead, "to", "left"))
+        if joined.where("__next IS NOT NULL").isEmpty():
+            break
+        jumps.append(joined.select("node", F.coalesce("__next", "to").alias("to")))
+    ends = jumps[-1].select(F.col("node").alias("entry"), F.col("to").alias("end"))
+    forks = out.where("many").select("node")
+    ways = (
+        steps.distinct().join(forks, "node", "left_semi").select("node", F.col("to").alias("entry")).join(ends, "entry", "left")
+    )
+    ways = settle(ways.select("node", "entry", F.coalesce("end", "entry").alias("end")))
+    starts = seeds.select(F.col("node").alias("entry")).where("entry IS NOT NULL").distinct()
+    landed = starts.join(ends, "entry", "left").select(F.coalesce("end", "entry").alias("node"))
+    frontier = settle(landed.join(forks, "node", "left_semi").distinct())
+    passed = frontier
+    rounds = 0
+    while not frontier.isEmpty():
+        onward = ways.join(frontier, "node", "left_semi").select(F.col("end").alias("node"))
+        frontier = settle(onward.join(forks, "node", "left_semi").distinct().join(passed, "node", "left_anti"))
+        passed = passed.unionByName(frontier)
+        rounds += 1
+        if rounds % 8 == 0:
+            passed = settle(passed)
+    entered = ways.join(passed, "node", "left_semi").select(F.col("entry").alias("node"))
+    reached = settle(starts.select(F.col("entry").alias("node")).unionByName(entered).distinct())
+    for jump in reversed(jumps):
+        moved = jump.join(reached, "node", "left_semi").select(F.col("to").alias("node"))
+        reached = settle(reached.unionByName(moved).distinct())
+    return reached
+
+
 def ancestry(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return closure(edges, seeds)
 
@@ -149,10 +195,8 @@ def shared_ancestors(left: DataFrame, right: DataFrame, edges: DataFrame) -> Dat
 
     ``left`` has (item, node): what must stay separate. ``right`` has (node).
     """
-    held = closure(edges, right).select(F.col("reached").alias("node")).unionByName(
-        right.select("node")
-    )
-    hit = left.join(held.distinct().withColumn("__hit", F.lit(True)), "node", "left")
+    held = reachable(edges, right)
+    hit = left.join(held.withColumn("__hit", F.lit(True)), "node", "left")
     return hit.groupBy("item").agg(
         F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("denied"),
         F.array_sort(F.collect_set(F.when(F.col("__hit"), F.col("node")))).alias("overlap"),
@@ -170,12 +214,10 @@ def destination_separation(
     devices = placed.where(F.col("major_minor").isNotNull()).select(
         F.col("major_minor").alias("node")
     ).distinct()
-    own = devices.select("node", F.col("node").alias("reached"))
-    held = closure(edges, devices).unionByName(own)
-    shared = (
-        held.join(source.select(F.col("node").alias("reached")).distinct(), "reached", "left_semi")
-        .select(F.col("node").alias("major_minor"), F.lit(True).alias("__shared"))
-        .distinct()
+    # what lies on the source, down from it, and not all that each device lies on
+    on_source = reachable(edges, source, parent="child", child="parent")
+    shared = devices.join(on_source, "node", "left_semi").select(
+        F.col("node").alias("major_minor"), F.lit(True).alias("__shared")
     )
     network = F.col("fstype").isin(*NETWORK_FILESYSTEMS)
     blocker = F.when(F.col("major_minor").isNull(), "destination_not_mounted").when(
