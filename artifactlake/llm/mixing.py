@@ -8,6 +8,10 @@ documents (up to one) is taken. Documents meet neighbours of like size, so the w
 the target as well. Groups of bounded size are worked off in parallel; each leaves at most one open
 document per source, and the open ones meet again in a tree of ever larger groups.
 
+Documents that are large against their source's target are rounded first, class by class. What was really
+taken then sets the share of the smaller ones, which fill the target up or give way; a document left open
+at the end of a class is taken only where the smaller ones could not fill its place.
+
 All random choices are hashes of the row, and groups follow from hashes too: a rerun gives the same mix,
 however the rows are partitioned.
 """
@@ -26,6 +30,8 @@ from .common import annotate, word_bounds
 
 #: documents of a leaf group, and groups that meet in the next level
 LEAF, FAN = 4096, 64
+#: a document's size class is the number of these shares of its source's target that it does not exceed
+CLASSES = (1 / 4, 1 / 16, 1 / 64)
 
 
 def sizes(docs: DataFrame, text: str = "text", keep=None) -> DataFrame:
@@ -145,7 +151,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id"
     ``copies`` is the number of times the mix takes the row, at most ``cap``; ``digest`` is the hash of
     its text and ``nth`` numbers rows equal in id, text and source. A null text has size 0; rows without
     words are never taken. A null source is a source of its own, the last. The words taken of a source
-    come as near to its target as whole documents allow.
+    come near its target: large documents are rounded first, smaller ones make up for them.
     """
     measured = sizes(
         docs.select(
@@ -158,51 +164,80 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id"
     rows = settle(measured.groupBy("id", "source", "digest", "size").agg(F.count("*").alias("times")))
     numbered = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).drop("times")
     by = settle(targets(numbered, weights, cap))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    named = by.select(F.col("source").alias("__source"), "source_size", "target", ratio.alias("ratio"))
+    named = by.select(F.col("source").alias("__source"), "source_size", "target")
     joined = numbered.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    key = F.xxhash64("id", "digest", "nth", "source")
+    large = [(F.col("size") <= F.col("target") * share).cast("int") for share in CLASSES]
+    ready = settle(joined.select("*", key.alias("key"), sum(large[1:], large[0]).alias("class")))
+    # words that a source still has to take, and words of its documents that are not decided
+    left = by.select(F.col("source").alias("__source"), F.col("target").alias("left"), F.col("source_size").alias("undecided"))
+    done = None
+    for number in [r[0] for r in ready.where("size > 0").select("class").distinct().orderBy("class").collect()]:
+        decided, left = _mix_class(ready.where((F.col("size") > 0) & (F.col("class") == number)), left, cap, leaf, fan)
+        done = decided if done is None else done.unionByName(decided)
+    copies = F.lit(0)
+    if done is not None:
+        ready = ready.join(done, "key", "left")
+        copies = F.coalesce("copies", F.lit(0))
+    return ready.select("id", "digest", "nth", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def _mix_class(rows: DataFrame, left: DataFrame, cap: int, leaf: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """(key, copies) of the rows of one size class, and what is left to take per source."""
+    ratio = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.col("left") / F.col("undecided")))
+    shares = left.where("undecided > 0").select("__source", ratio.alias("ratio"))
     whole = F.floor("ratio")
     part = F.col("ratio") - whole
     # near-integers are integers: the sums behind them are exact, the division is not
     whole = F.when(part > 1 - 1e-9, whole + 1).otherwise(whole)
-    part = F.when((part < 1e-9) | (part > 1 - 1e-9) | (F.col("size") == 0), 0.0).otherwise(part)
-    key = F.xxhash64("id", "digest", "nth", "source")
-    ready = settle(
-        joined.select(
-            "id", "digest", "nth", "source", "size", "source_size", "target",
-            whole.cast("long").alias("whole"), part.alias("prob"), key.alias("key"),
+    part = F.when((part < 1e-9) | (part > 1 - 1e-9), 0.0).otherwise(part)
+    shared = rows.join(shares, F.col("source").eqNullSafe(F.col("__source")))
+    shared = settle(shared.select("source", "key", "size", whole.cast("long").alias("whole"), part.alias("prob")))
+    taken, opened = _round_tree(shared.where("prob > 0").select("source", "key", "size", "prob"), leaf, fan)
+    sure = shared.join(taken.withColumn("extra", F.lit(1)), "key", "left")
+    sure = settle(sure.select("source", "key", "size", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")))
+    sums = sure.groupBy(F.col("source").alias("__s")).agg(F.sum("size").alias("own"), F.sum(F.col("size") * F.col("copies")).alias("got"))
+    after = left.join(sums, F.col("__source").eqNullSafe(F.col("__s")), "left").select(
+        "__source", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left"), (F.col("undecided") - F.coalesce("own", F.lit(0))).alias("undecided")
+    )
+    # at most one open document a source
+    last = opened.select(F.col("source").alias("__s"), F.col("key").alias("__key"), F.col("size").alias("__size"))
+    needed = F.col("left") - F.col("undecided") * cap > F.col("__size") / 2
+    after = settle(
+        after.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").select(
+            "__source", "undecided", F.when(needed, F.col("left") - F.col("__size")).otherwise(F.col("left")).alias("left"),
+            F.when(needed, F.col("__key")).alias("__key"),
         )
     )
-    # groups of like sizes: a size class (a quarter of a doubling), cut by hash where it has too many rows
+    more = after.where("__key IS NOT NULL").select(F.col("__key").alias("key"), F.lit(1).alias("more"))
+    decided = sure.join(more, "key", "left").select("key", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies"))
+    return decided, after.drop("__key")
+
+
+def _round_tree(opened: DataFrame, leaf: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """(key) of the rows that pivotal rounding takes, and the row that each source is left with, if any."""
+    # groups of like sizes: a quarter of a doubling, cut by hash where it has too many rows
     band = F.floor(F.log2(F.col("size").cast("double")) * 4).cast("long")
-    opened = ready.where("prob > 0").select("source", "key", "size", "prob", band.alias("band"))
+    opened = opened.select("*", band.alias("band"))
     cuts = F.greatest(F.lit(1), F.ceil(F.count("*") / leaf)).cast("long").alias("cuts")
     bands = opened.groupBy(F.col("source").alias("__source"), F.col("band").alias("__band")).agg(cuts)
     same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("band") == F.col("__band"))
-    level = 0
     state = opened.join(bands, same).select(
         "source", "key", "size", "prob", "band", F.pmod("key", "cuts").alias("cut"), "cuts"
     )
-    done = None
+    done = opened.select("key").limit(0)
+    level = 0
     while True:
         state = settle(state)
-        most = state.agg(F.max("cuts")).first()[0]
+        most, top = state.agg(F.max("cuts"), F.max("band")).first()
         if most is None:
-            break
-        last = most == 1 and state.agg(F.max("band")).first()[0] == -1
+            return done, opened.limit(0)
         work = state.select(F.xxhash64("band", "cut").alias("group"), "source", "key", "size", "prob")
         rounded = settle(_round_groups(work, level))
         over = F.col("prob").isin(0.0, 1.0)
-        if last:
-            # a source's very last open document is taken or left by its probability
-            coin = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(1 << 30)) / float(1 << 30)
-            over, rounded = F.lit(True), rounded.withColumn(
-                "prob", F.when(over, F.col("prob")).otherwise((coin < F.col("prob")).cast("double"))
-            )
-        taken = rounded.where(over & (F.col("prob") > 0.5)).select("key", F.lit(1).alias("extra"))
-        done = taken if done is None else done.unionByName(taken)
-        if last:
-            break
+        done = done.unionByName(rounded.where(F.col("prob") == 1.0).select("key"))
+        if most == 1 and top == -1:
+            return done, rounded.where(~over)
         rest = rounded.where(~over).join(state.select("key", "band", "cut", "cuts"), "key")
         if most > 1:
             fewer = F.ceil(F.col("cuts") / fan).cast("long")
@@ -210,14 +245,6 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id"
         else:
             state = rest.select("source", "key", "size", "prob", F.lit(-1).cast("long").alias("band"), F.lit(0).cast("long").alias("cut"), F.lit(1).cast("long").alias("cuts"))
         level += 1
-    copies = F.col("whole")
-    if done is not None:
-        ready = ready.join(done, "key", "left")
-        copies = copies + F.coalesce("extra", F.lit(0))
-    copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return ready.select(
-        F.col("id"), "digest", "nth", "source", "size", "source_size", "target", copies.cast("long").alias("copies")
-    )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

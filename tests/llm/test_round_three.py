@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from artifactlake.llm import middles, pages, whitening
+from artifactlake.llm import middles, mixing, pages, whitening
 from artifactlake.llm.pages import main_text
 
 VECTORS = "vec_id long, embedding array<float>, label int, n int, component string, c0 string, v string"
@@ -176,3 +176,23 @@ def test_smoothing():
     assert np.allclose(flat[3:-3], 3.0) and flat[0] < 3.0
     spike = pages.smoothed(np.eye(1, 9, 4).ravel(), 1.0)
     assert spike.argmax() == 4 and np.isclose(spike.sum(), 1.0) and np.allclose(spike, spike[::-1])
+
+
+def test_large_documents_leave_the_mix_near_its_target(spark):
+    # one document of each source holds nearly half of its words, and classes of all sizes follow
+    rows = []
+    for s in range(6):
+        sizes = [1500 + 40 * s, 400, 150, *[10 + (7 * i + s) % 90 for i in range(40)]]
+        rows += [(s * 100 + i, " ".join(["w"] * n), f"s{s}") for i, n in enumerate(sizes)]
+    rows += [(900 + i, " ".join(["w"] * 30), None) for i in range(3)] + [(990, None, "s1"), (991, "", "s9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mixing.mix(docs, leaf=8, fan=2).collect()
+    again = mixing.mix(docs.repartition(2), leaf=8, fan=2).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again)) and len(found) == len(rows)
+    taken = {}
+    for r in found:
+        assert 0 <= r["copies"] <= 3 and (r["size"] or not r["copies"])
+        words, _ = taken.get(r["source"], (0, 0))
+        taken[r["source"]] = (words + r["size"] * r["copies"], r["target"])
+    for source, (words, target) in taken.items():
+        assert abs(words - target) <= max(0.1 * target, 15), (source, words, target)
