@@ -124,7 +124,8 @@ def flatten_tree(df: DataFrame, id_col: str, json_col: str, roots: str = "$.root
 
     Each round opens one level of folders and writes it, until no folder is left; the number of rounds is
     the depth of the deepest tree. ``path`` orders the nodes of a tree; it holds the child positions from
-    the root down. A text that Spark cannot parse (more than 1,000 brackets deep, too) gives no rows.
+    the root down. A text that Spark cannot parse (more than 1,000 brackets deep, too) gives no rows here;
+    ``tree_rejects`` names it.
     """
     spark = df.sparkSession
     tree = F.try_parse_json(F.col(json_col))
@@ -162,6 +163,21 @@ def flatten_tree(df: DataFrame, id_col: str, json_col: str, roots: str = "$.root
     return found.where((F.col("type") == "url") & F.col("url").isNotNull()).select("tree_id", "path", "name", "url")
 
 
+def tree_rejects(df: DataFrame, id_col: str, json_col: str, roots: str = "$.roots") -> DataFrame:
+    """(tree_id, reason) of the rows whose text ``flatten_tree`` cannot open.
+
+    ``no_text``: null; ``unparsable``: no JSON, or more than 1,000 brackets deep; ``no_roots``: no object at
+    ``roots``. An empty object of roots is a tree without nodes and no reject.
+    """
+    tree = F.try_parse_json(F.col(json_col))
+    reason = (
+        F.when(F.col(json_col).isNull(), "no_text")
+        .when(tree.isNull(), "unparsable")
+        .when(F.try_variant_get(tree, roots, "map<string,variant>").isNull(), "no_roots")
+    )
+    return df.select(F.col(id_col).alias("tree_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def flatten_tabs(df: DataFrame, id_col: str, windows: str = "windows") -> DataFrame:
     """Chosen entry of every tab: ``index - 1`` clamped to the last entry.
 

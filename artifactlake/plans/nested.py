@@ -76,6 +76,26 @@ def x3(spark, sf):
     return out.select("tree_id", "name", "url", F.size("path").alias("depth"))
 
 
+@query(
+    "x3_tree_rejects",
+    """SELECT c_custkey AS tree_id, CASE c_custkey % 6 WHEN 1 THEN 'unparsable' WHEN 2 THEN 'no_text'
+      WHEN 3 THEN 'no_roots' WHEN 5 THEN 'unparsable' END AS reason FROM customer WHERE c_custkey % 6 IN (1, 2, 3, 5)""",
+)
+def x3_rejects(spark, sf):
+    # whole, cut off, missing, without roots, with empty roots, too deep
+    trees = run_sql(
+        spark,
+        sf,
+        """SELECT c_custkey, CASE c_custkey % 6
+             WHEN 0 THEN concat('{"roots":{"bar":{"type":"url","name":"', c_name, '"}}}')
+             WHEN 1 THEN concat('{"roots":{"bar":{"type":"url","name":"', c_name)
+             WHEN 3 THEN concat('{"name":"', c_name, '"}') WHEN 4 THEN '{"roots":{}}'
+             WHEN 5 THEN concat('{"roots":{"bar":', repeat('[', 1200), repeat(']', 1200), '}}') END AS doc
+           FROM {customer}""",
+    )
+    return op.tree_rejects(trees, "c_custkey", "doc")
+
+
 @query(
     "x4_flatten_tabs",
     """WITH t AS (SELECT conv_id, turn // 3 AS w, turn % 3 AS p, role, text, turn, count(*) OVER (PARTITION BY conv_id, turn // 3) AS n FROM conversations),

@@ -74,3 +74,10 @@ def test_deep_tree_is_opened_to_its_end(spark):
     doc = json.dumps({"roots": {"bar": node}})
     got = nested.flatten_tree(spark.createDataFrame([(1, doc)], "id int, doc string"), "id", "doc").collect()
     assert [tuple(r) for r in got] == [(1, [0] * 71, "deep", "http://deep/")]
+
+
+def test_trees_that_cannot_be_opened_are_named(spark):
+    docs = [(1, '{"roots":{"a":{"type":"url"}}}'), (2, None), (3, ""), (4, "[" * 1001 + "]" * 1001), (5, '{"roots":[1]}'), (6, '{"roots":{}}')]
+    rows = nested.tree_rejects(spark.createDataFrame(docs, "id int, doc string"), "id", "doc").collect()
+    assert {tuple(r) for r in rows} == {(2, "no_text"), (3, "unparsable"), (4, "unparsable"), (5, "no_roots")}
+    assert len(rows) == 4
