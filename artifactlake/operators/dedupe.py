@@ -13,6 +13,7 @@ from .grouped import GROUP_LIMIT, join_groups, number_rows
 from .windows import pick_canonical
 
 ID_CHUNK = 50_000
+HOT_NODE = 1_000_000
 
 
 def valid_digest(col: str) -> Column:
@@ -133,52 +134,134 @@ def near_pairs(
     kept only in the first band that could find it, so no distinct is needed.
     """
     distinct = settle(hashes.select(F.col(hash_col).alias("h")).where("h IS NOT NULL").distinct())
-    if per_word is None:
-        n = max(distinct.count(), 2)
-        per_word = max(2, min(4, round(64 / math.log2(n) - 0.5)))
-    bands = _bands(words, per_word)
-    weight = threshold // len(bands)
+    plan = _Bands(words, per_word or _per_word(distinct), threshold)
+    rows = distinct.select(F.col("h").alias("right_hash"), plan.rows("h"))
+    probes = distinct.select(F.col("h").alias("left_hash"), plan.probes("h"))
+    left, right = F.col("left_hash"), F.col("right_hash")
+    distance = hamming(left, right, words)
+    return (
+        probes.join(rows, ["band", "value"])
+        .where((left < right) & (distance <= threshold) & ~plan.met_earlier(left, right))
+        .select("left_hash", "right_hash", distance.alias("distance"))
+    )
+
+
+def _per_word(distinct: DataFrame) -> int:
+    n = max(distinct.count(), 2)
+    return max(2, min(4, round(64 / math.log2(n) - 0.5)))
+
 
-    def band(h: Column, i: int) -> Column:
-        w, shift, size = bands[i]
-        return F.shiftrightunsigned(h[w], shift).bitwiseAND(F.lit((1 << size) - 1))
+class _Bands:
+    """Bands of a hash of ``words`` 64-bit words, and the masks that ``threshold`` bits leave to each."""
 
-    def entry(h: Column, i: int, value: Column) -> Column:
+    def __init__(self, words: int, per_word: int, threshold: int):
+        self.bands = _bands(words, per_word)
+        self.weight = threshold // len(self.bands)
+
+    def value(self, h: Column, i: int) -> Column:
+        word, shift, size = self.bands[i]
+        return F.shiftrightunsigned(h[word], shift).bitwiseAND(F.lit((1 << size) - 1))
+
+    def _entry(self, i: int, value: Column) -> Column:
         return F.struct(F.lit(i).alias("band"), value.cast("long").alias("value"))
 
-    rows = distinct.select(
-        F.col("h").alias("right_hash"),
-        F.inline(F.array(*[entry(F.col("h"), i, band(F.col("h"), i)) for i in range(len(bands))])),
+    def rows(self, col: str) -> Column:
+        """One row (band, value) a band."""
+        h = F.col(col)
+        return F.inline(F.array(*[self._entry(i, self.value(h, i)) for i in range(len(self.bands))]))
+
+    def probes(self, col: str) -> Column:
+        """One row (band, value) for each value of a band that a hash in reach can have."""
+
+        def around(i: int) -> Column:
+            masks = F.array(*[F.lit(m).cast("long") for m in _masks(self.bands[i][2], self.weight)])
+            return F.transform(masks, lambda m: self._entry(i, self.value(F.col(col), i).bitwiseXOR(m)))
+
+        return F.inline(F.concat(*[around(i) for i in range(len(self.bands))]))
+
+    def met_earlier(self, left: Column, right: Column) -> Column:
+        """Whether a band before the row's own finds the pair too."""
+        found = F.lit(False)
+        for i in range(len(self.bands) - 1):
+            close = F.bit_count(self.value(left, i).bitwiseXOR(self.value(right, i))) <= self.weight
+            found = found | (close & (F.col("band") > i))
+        return found
+
+
+def meet_apart(probes: DataFrame, posts: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join of probes and posts on ``keys`` without most pairs that carry the same label.
+
+    ``probes`` has ``pl`` and ``posts`` has ``label``, both never null. The commonest label of a key
+    is its main one: posts of other labels are listed for everyone, posts of the main label only for
+    probes of other labels. A key whose rows all have one label costs one row each and meets nobody,
+    however hot it is. All pairs of different labels are in the result.
+    """
+    marks = posts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    mains = settle(
+        marks.groupBy(*keys).agg(
+            F.max_by("label", F.struct("n", "label")).alias("main"),
+            F.sum("n").alias("__n"),
+            F.count(F.lit(1)).alias("__labels"),
+        )
     )
-    probes = distinct.select(
-        F.col("h").alias("left_hash"),
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        F.array(*[F.lit(m).cast("long") for m in _masks(bands[i][2], weight)]),
-                        _probe(entry, band, i),
-                    )
-                    for i in range(len(bands))
-                ]
-            )
-        ).alias("p"),
-    ).select("left_hash", "p.*")
-    left, right = F.col("left_hash"), F.col("right_hash")
-    earlier = F.lit(False)
-    for i in range(len(bands) - 1):
-        close = F.bit_count(band(left, i).bitwiseXOR(band(right, i))) <= weight
-        earlier = earlier | (close & (F.col("band") > i))
-    distance = hamming(left, right, words)
+    sides = F.when(F.col("label") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    listed = join_groups(posts, mains, keys, "__n").withColumn("side", F.explode(sides))
+    side = F.when(F.col("pl") == F.col("main"), 1).otherwise(0)
+    asked = join_groups(probes, mains, keys, "__n").withColumn("side", side).where("side = 0 OR __labels > 1")
+    helpers = ("main", "__n", "__labels")
     return (
-        probes.join(rows, ["band", "value"])
-        .where((left < right) & (distance <= threshold) & ~earlier)
-        .select("left_hash", "right_hash", distance.alias("distance"))
+        asked.drop(*helpers)
+        .join(listed.drop(*helpers), [*keys, "side"])
+        .where("pl <> label")
+        .drop("side")
+    )
+
+
+def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after the labels that ``links`` (a, b) connect have become one."""
+    merged = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("__to"))
+    joined = labels.join(merged, "label", "left")
+    return settle(joined.select("node", F.coalesce("__to", "label").alias("label")))
+
+
+def band_stars(nodes: DataFrame, plan: _Bands, reach: int, words: int = 1) -> DataFrame:
+    """(node, centre) where ``centre`` is the smallest node of one of the node's bands, at most ``reach`` bits away."""
+    rows = nodes.select("node", "h", plan.rows("h"))
+    centres = rows.groupBy("band", "value").agg(
+        F.min(F.struct("node", "h")).alias("centre"), F.count(F.lit(1)).alias("__n")
+    )
+    near = hamming(F.col("h"), F.col("centre.h"), words) <= reach
+    met = join_groups(rows, settle(centres), ["band", "value"], "__n").where(near)
+    return met.select("node", F.col("centre.node").alias("centre"))
+
+
+def near_clusters(nodes: DataFrame, threshold: int, words: int = 1, per_word: int | None = None) -> DataFrame:
+    """(node, label): components of hashes at most ``threshold`` bits apart, label the smallest node.
+
+    ``nodes`` has (node, h), one row for each different hash. Pairs are never listed: each band links
+    its hashes to its smallest one first, which joins dense clusters by one row a hash and band; then
+    only hashes whose labels still differ are compared, and each pair of labels gives one link.
+    """
+    plan = _Bands(words, per_word or _per_word(nodes), threshold)
+    stars = band_stars(nodes, plan, threshold, words).where("node <> centre")
+    alone = nodes.select("node", F.col("node").alias("label"))
+    labels = relabel(alone, stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    return relabel(labels, _label_links(nodes.join(labels, "node"), plan, threshold, words))
+
+
+def _near_apart(nodes: DataFrame, plan: _Bands, threshold: int, words: int) -> DataFrame:
+    """Near pairs (p, ph, pl, node, h, label, band) of ``nodes`` (node, h, label) whose labels differ."""
+    posts = nodes.select("node", "h", "label", plan.rows("h"))
+    probes = nodes.select(
+        F.col("node").alias("p"), F.col("h").alias("ph"), F.col("label").alias("pl"), plan.probes("h")
     )
+    met = meet_apart(probes, posts, ["band", "value"])
+    return met.where(hamming(F.col("h"), F.col("ph"), words) <= threshold)
 
 
-def _probe(entry, band, i):
-    return lambda m: entry(F.col("h"), i, band(F.col("h"), i).bitwiseXOR(m))
+def _label_links(nodes: DataFrame, plan: _Bands, threshold: int, words: int) -> DataFrame:
+    near = _near_apart(nodes, plan, threshold, words)
+    return near.select(F.least("label", "pl").alias("a"), F.greatest("label", "pl").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -193,7 +276,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     mark = _fingerprint(now)
     while True:
-        now = settle(_small_star(_large_star(now)))
+        # a node has at most as many rows as both directions of all edges: few edges, no hot node
+        few = 2 * mark[0] <= HOT_NODE
+        now = settle(_small_star(_large_star(now, few), few))
         after = _fingerprint(now)
         if after == mark:
             break
@@ -208,21 +293,21 @@ def _fingerprint(df: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _with_min(pairs: DataFrame, low: Column) -> DataFrame:
+def _with_min(pairs: DataFrame, low: Column, few: bool) -> DataFrame:
     smallest = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
     smallest = smallest.withColumn("m", low)
-    return join_groups(pairs, smallest, ["u"], "__n")
+    return pairs.join(smallest, "u") if few else join_groups(pairs, smallest, ["u"], "__n", HOT_NODE)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = _with_min(both, F.least("u", "m")).where("v > u")
+    near = _with_min(both, F.least("u", "m"), few).where("v > u")
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    near = _with_min(down, F.col("m"))
+    near = _with_min(down, F.col("m"), few)
     others = near.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = near.select("u", F.col("m").alias("v"))
     return others.unionByName(own).where("u <> v").distinct()
@@ -232,6 +317,12 @@ def _linked(items: DataFrame, labels: DataFrame) -> DataFrame:
     return items.join(labels.select(F.col("node").alias("finding_id"), F.col("label").alias("cluster")), "finding_id")
 
 
+def content_facts(df: DataFrame) -> list[Column]:
+    """content_id and content_sha256 of the candidates, null where the table has no such column."""
+    names = ("content_id", "content_sha256")
+    return [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+
+
 def image_groups(df: DataFrame, threshold: int = 8, width: int = 16) -> tuple[DataFrame, DataFrame]:
     """``(members, warnings)`` of near-duplicate images by perceptual hash.
 
@@ -246,6 +337,7 @@ def image_groups(df: DataFrame, threshold: int = 8, width: int = 16) -> tuple[Da
             "size_bytes",
             "source_paths",
             "preview_uri",
+            *content_facts(df),
             hash_words("perceptual_hash", width).alias("h"),
         )
     )
@@ -253,16 +345,10 @@ def image_groups(df: DataFrame, threshold: int = 8, width: int = 16) -> tuple[Da
         F.concat(F.lit("invalid_perceptual_hash:"), F.col("finding_id").cast("string")).alias("warning")
     )
     items = hashed.where("h IS NOT NULL")
-    reps = settle(items.groupBy("h").agg(F.min("finding_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    pairs = near_pairs(reps, "h", threshold, words)
-    left = reps.select(F.col("h").alias("left_hash"), F.col("rep").alias("a"))
-    right = reps.select(F.col("h").alias("right_hash"), F.col("rep").alias("b"))
-    edges = pairs.join(left, "left_hash").join(right, "right_hash").select("a", "b")
-    labels = connected_components(edges)
+    reps = settle(items.groupBy("h").agg(F.min("finding_id").alias("node"), F.count(F.lit(1)).alias("n")))
+    labels = near_clusters(reps.select("node", "h"), threshold, words)
     # cluster of each distinct hash; a hash of its own forms a group when several items share it
-    clusters = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h", "n", F.coalesce("label", "rep").alias("cluster")
-    )
+    clusters = reps.join(labels, "node").select("h", "n", F.col("label").alias("cluster"))
     totals = clusters.groupBy("cluster").agg(F.sum("n").alias("members")).where("members > 1")
     members = settle(join_groups(items, clusters.join(totals, "cluster"), ["h"], "n").drop("n"))
     named = _with_reference(members, "h")
@@ -279,21 +365,29 @@ def _with_reference(members: DataFrame, hash_col: str) -> DataFrame:
     return join_groups(members, settle(best.join(ref, "distance_ref_id")), ["cluster"], "__n").drop("__n")
 
 
-def matching_frames(left: Column, right: Column, threshold: int) -> Column:
-    """Greedy one-to-one frame matches: each left frame takes the first free right frame."""
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("n"))
+def matching_frames(left: Column, right: Column, threshold: int, enough: int | None = None) -> Column:
+    """Greedy one-to-one frame matches: each left frame takes the first free right frame.
+
+    The free right frames are carried along and shrink; counting ends at ``enough`` matches.
+    """
+    start = F.struct(right.alias("rest"), F.lit(0).alias("n"))
 
     def step(s: Column, frame: Column) -> Column:
-        free = F.filter(
-            F.sequence(F.lit(1), F.size(right)),
-            lambda i: ~F.array_contains(s["used"], i)
-            & (F.bit_count(F.element_at(right, i).bitwiseXOR(frame)) <= threshold),
-        )
-        hit = F.try_element_at(free, F.lit(1))
-        return F.struct(
-            F.when(hit.isNotNull(), F.array_append(s["used"], hit)).otherwise(s["used"]).alias("used"),
-            (s["n"] + F.when(hit.isNotNull(), 1).otherwise(0)).alias("n"),
-        )
+        rest = s["rest"]
+        near = F.filter(rest, lambda r: F.bit_count(r.bitwiseXOR(frame)) <= threshold)
+
+        def without(at: Column) -> Column:
+            at = at.cast("int")
+            return F.concat(F.slice(rest, F.lit(1), at - 1), F.slice(rest, at + 1, F.size(rest)))
+
+        def take(first: Column) -> Column:
+            # an equal frame further left would be near too, so the first equal one is the first near one
+            left_over = F.transform(F.array(F.array_position(rest, first)), without)[0]
+            taken = F.struct(left_over.alias("rest"), (s["n"] + 1).alias("n"))
+            return F.when(first.isNull(), s).otherwise(taken)
+
+        after = F.transform(F.array(F.try_element_at(near, F.lit(1))), take)[0]
+        return after if enough is None else F.when(s["n"] >= enough, s).otherwise(after)
 
     return F.when(F.size(right) > 0, F.aggregate(left, start, step, lambda s: s["n"])).otherwise(F.lit(0))
 
@@ -303,88 +397,105 @@ def video_edges(
 ) -> tuple[DataFrame, DataFrame]:
     """``(edges, sequences)`` that connect exactly the videos the frame rule would connect.
 
-    ``df`` has (seq, finding_id) with ``seq`` an array of 64-bit frame hashes. Equal sequences are
-    one. Sequences that hold the same ``min_match`` frames match for sure, so each such frame set
-    links to its smallest owner instead of pairing all owners; a frame shared by a third of all
-    videos costs one link per video. Frame sets that are only near each other link their smallest
-    owners when no cross match can disturb the greedy count; the rest is checked pair by pair.
+    ``df`` has (seq, finding_id) with ``seq`` an array of 64-bit frame hashes; equal sequences are one.
+    An edge links a video to the smallest one of its component. Neither the pairs of a video's frames
+    nor the owners of a frame are listed in pairs.
     """
     if min_match not in (1, 2):
         raise ValueError("min_match must be 1 or 2")
     seqs = settle(df.groupBy("seq").agg(F.min("finding_id").alias("vid")))
-    ordered = F.col("s")
+    postings = settle(
+        seqs.select("vid", F.explode("seq").alias("f")).groupBy("vid", "f").agg(F.count(F.lit(1)).alias("times"))
+    )
+    frames = settle(postings.select(F.col("f").alias("node"), F.array("f").alias("h")).distinct())
     if min_match == 1:
-        keys = F.transform(F.array_distinct(ordered), lambda x: F.struct(x.alias("x"), x.alias("y")))
+        labels = _by_any_frame(seqs, postings, frames, frame_threshold)
     else:
-        n = F.size("s")
-        keys = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), n - 1),
-                    lambda i: F.transform(
-                        F.sequence(i + 1, n),
-                        lambda j: F.struct(
-                            F.element_at(F.col("s"), i).alias("x"), F.element_at(F.col("s"), j).alias("y")
-                        ),
-                    ),
-                )
-            )
-        )
-    owned = settle(
-        seqs.select("vid", F.array_sort("seq").alias("s"))
-        .where(F.size("s") >= min_match)
-        .select("vid", F.inline(keys))
+        labels = _by_two_frames(seqs, postings, frames, frame_threshold)
+    edges = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return edges, seqs
+
+
+def _by_any_frame(seqs: DataFrame, postings: DataFrame, frames: DataFrame, threshold: int) -> DataFrame:
+    """Components of videos where one near frame is enough: those of their frames' clusters."""
+    clusters = near_clusters(frames, threshold).select(F.col("node").alias("f"), F.col("label").alias("key"))
+    owners = postings.join(clusters, "f").select("vid", "key").distinct()
+    alone = seqs.select(F.col("vid").alias("node"), F.col("vid").alias("label"))
+    return relabel(alone, _to_least_owner(owners, ["key"]))
+
+
+def _to_least_owner(owners: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (a, b) of each owner ``vid`` of a key to the key's smallest owner."""
+    least = owners.groupBy(*keys).agg(F.min("vid").alias("a"), F.count(F.lit(1)).alias("__n"))
+    linked = join_groups(owners, settle(least.where("__n > 1")), keys, "__n")
+    return linked.where("a <> vid").select("a", F.col("vid").alias("b")).distinct()
+
+
+def _by_two_frames(seqs: DataFrame, postings: DataFrame, frames: DataFrame, threshold: int) -> DataFrame:
+    """Components of videos where two frames must match one to one.
+
+    Frames within half the threshold of a band's smallest frame count as that frame, so frames of one
+    name are near each other. First each video meets the least owner of each two names that follow one
+    another when its names are ordered from common to rare: as many meetings as frames. Then prefix
+    filtering: two matches use two frames of the left video, so one is left when its commonest frame is
+    put aside, and the owners of frames near the others are the candidates, rare frames leading to few.
+    Videos of one label never meet, so a frame that nearly all videos own costs no pairs once these
+    have been joined. Every candidate pair is confirmed by the greedy count.
+    """
+    plan = _Bands(1, _per_word(frames), threshold)
+    itself = frames.select("node", F.col("node").alias("centre"))
+    stars = band_stars(frames, plan, threshold // 2).unionByName(itself)
+    names = stars.groupBy("node").agg(F.min("centre").alias("name"))
+    named = postings.join(names.withColumnRenamed("node", "f"), "f")
+    common = named.groupBy("name").agg(F.countDistinct("vid").alias("owners"))
+    named = settle(named.join(common, "name"))
+
+    # a video's own frames meet here as they do in its sequence; names that come twice stand next to each other
+    twice = named.groupBy("vid", "name").agg(F.sum("times").alias("times"), F.first("owners").alias("owners"))
+    one = F.struct((-F.col("owners")).alias("rare"), "name")
+    lists = twice.select("vid", F.explode(F.when(F.col("times") > 1, F.array(one, one)).otherwise(F.array(one))).alias("e"))
+    order = lists.groupBy("vid").agg(F.array_sort(F.collect_list("e")).alias("es")).where(F.size("es") > 1)
+    follow = F.arrays_zip(
+        F.slice("es", F.lit(1), F.size("es") - 1).alias("x"), F.slice("es", F.lit(2), F.size("es") - 1).alias("y")
     )
-    stars = settle(owned.groupBy("x", "y").agg(F.min("vid").alias("center")))
-    exact = owned.join(stars, ["x", "y"]).where("vid <> center").select(
-        F.col("center").alias("a"), F.col("vid").alias("b")
-    ).distinct()
-
-    frames = owned.select(F.array("x").alias("h")).unionByName(owned.select(F.array("y").alias("h")))
-    near = near_pairs(frames, "h", frame_threshold)
-    one = near.select(F.col("left_hash")[0].alias("f"), F.col("right_hash")[0].alias("g"))
-    same = frames.select(F.col("h")[0].alias("f"), F.col("h")[0].alias("g")).distinct()
-    close = settle(
-        one.unionByName(one.select(F.col("g").alias("f"), F.col("f").alias("g"))).unionByName(same)
+    keys = order.select("vid", F.explode(follow).alias("k")).select(
+        "vid", F.col("k.x.name").alias("x"), F.col("k.y.name").alias("y")
     )
-    to_x = close.select(F.col("f").alias("x"), F.col("g").alias("gx"))
-    to_y = close.select(F.col("f").alias("y"), F.col("g").alias("gy"))
-    moved = stars.join(to_x, "x").join(to_y, "y").select(
-        "x", "y", "center", F.least("gx", "gy").alias("px"), F.greatest("gx", "gy").alias("py"), "gx", "gy"
+    alone = seqs.select(F.col("vid").alias("node"), F.col("vid").alias("label"))
+    labels = relabel(alone, _confirmed(_to_least_owner(keys, ["x", "y"]), seqs, threshold))
+
+    owned = settle(named.join(labels.select(F.col("node").alias("vid"), "label"), "vid"))
+    # a frame whose owners all have one label needs no partner of that label
+    sole = owned.groupBy("f").agg(F.min("label").alias("l"), F.max("label").alias("m"))
+    own = F.concat(F.lit("frame "), F.col("f").cast("string"))
+    marked = settle(
+        sole.select(
+            F.col("f").alias("node"),
+            F.array("f").alias("h"),
+            F.when(F.col("l") == F.col("m"), F.concat(F.lit("label "), F.col("l").cast("string"))).otherwise(own).alias("label"),
+        )
     )
-    other = stars.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("center").alias("far"))
-    met = moved.join(other, ["px", "py"]).where(
-        (F.col("x") != F.col("px")) | (F.col("y") != F.col("py"))
+    near = _near_apart(marked, plan, threshold, 1).select(F.col("p").alias("f"), F.col("node").alias("g")).distinct()
+    shared = sole.where("l <> m").select("f", F.col("f").alias("g"))
+    top = owned.groupBy("vid").agg(F.max_by("f", F.struct("owners", "f")).alias("top"))
+    prefix = owned.join(top, "vid").where("f <> top OR times > 1").select(
+        F.col("vid").alias("a"), F.col("label").alias("pl"), "f"
     )
+    probes = prefix.join(near.unionByName(shared), "f").select("a", "pl", F.col("g").alias("f"))
+    met = meet_apart(probes, owned.select(F.col("vid").alias("b"), "label", "f"), ["f"])
+    pairs = _confirmed(met.where("a < b").select("a", "b").distinct(), seqs, threshold)
+    to = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    back = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    links = pairs.join(to, "a").join(back, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    return relabel(labels, links)
 
-    def apart(p: str, q: str) -> Column:
-        return F.bit_count(F.col(p).bitwiseXOR(F.col(q))) > frame_threshold
 
-    sure = F.lit(True) if min_match == 1 else apart("x", "gy") & apart("y", "gx")
-    met = settle(met.withColumn("__sure", sure))
-    certain = met.where("__sure").select(F.col("center").alias("a"), F.col("far").alias("b"))
+def _confirmed(pairs: DataFrame, seqs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b), a the smaller id, with two greedy frame matches."""
     left = seqs.select(F.col("vid").alias("a"), F.col("seq").alias("ls"))
     right = seqs.select(F.col("vid").alias("b"), F.col("seq").alias("rs"))
-
-    def matching(pairs: DataFrame) -> DataFrame:
-        checked = pairs.where("a <> b").distinct().join(left, "a").join(right, "b")
-        enough = matching_frames(F.col("ls"), F.col("rs"), frame_threshold) >= min_match
-        return settle(checked.where(enough).select("a", "b"))
-
-    # all owners of a frame set are linked to its centre: two centres that match join all of them, and
-    # only the owners of sets whose centres do not match are compared one by one
-    low, high = F.least("center", "far").alias("a"), F.greatest("center", "far").alias("b")
-    unsure = met.where("NOT __sure AND center <> far").select("x", "y", "px", "py", low, high)
-    centres = matching(unsure.select("a", "b"))
-    left_over = unsure.join(centres, ["a", "b"], "left_anti").select("x", "y", "px", "py").distinct()
-    owners = (
-        left_over.join(owned, ["x", "y"])
-        .withColumnRenamed("vid", "va")
-        .join(owned.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("vid").alias("vb")), ["px", "py"])
-        .select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
-    )
-    edges = exact.unionByName(certain.where("a <> b")).unionByName(centres).unionByName(matching(owners))
-    return edges, seqs
+    enough = matching_frames(F.col("ls"), F.col("rs"), threshold, enough=2) >= 2
+    return settle(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"))
 
 
 def video_groups(
@@ -401,7 +512,7 @@ def video_groups(
     seen = F.col("video_keyframe_hashes") if max_frames is None else F.slice("video_keyframe_hashes", 1, max_frames)
     frames = F.transform(seen, lambda f: hash_words(f, 16)[0])
     hashed = settle(
-        videos.select("finding_id", "size_bytes", "source_paths", "preview_uri", frames.alias("seq"))
+        videos.select("finding_id", "size_bytes", "source_paths", "preview_uri", *content_facts(df), frames.alias("seq"))
     )
     broken = F.exists("seq", lambda f: f.isNull())
     warnings = hashed.where(broken).select(
@@ -424,19 +535,46 @@ def video_groups(
     return matched.drop("__ref"), warnings
 
 
-GROUP_COLS = ("group_id", "group_kind", "algorithm", "threshold", "canonical_id", "finding_id", "distance", "matching_frames")
-
-
-def _named(members: DataFrame, group: str, kind: str, algorithm: str, threshold: int | None) -> DataFrame:
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+GROUP_COLS = (
+    "group_id",
+    "group_kind",
+    "algorithm",
+    "threshold",
+    "canonical_id",
+    "canonical_preview_uri",
+    "warnings",
+    "finding_id",
+    "content_id",
+    "source_paths",
+    "content_sha256",
+    "size_bytes",
+    "distance",
+    "matching_frames",
+)
+
+
+def _named(
+    members: DataFrame, group: str, kind: str, algorithm: str, threshold: int | None, warnings: tuple[str, ...] = ()
+) -> DataFrame:
+    """Long rows of groups: facts of the group (its canonical member's first path too), then of the member."""
+    sizes = members.groupBy(group).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max(
+            F.when(F.col("finding_id") == F.col("canonical_id"), F.try_element_at("source_paths", F.lit(1)))
+        ).alias("canonical_preview_uri"),
+    )
     sized = settle(group_ids(members, group, kind, algorithm).join(sizes, group))
     out = join_groups(members, sized, [group], "__n")
     for name in ("distance", "matching_frames"):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast("int"))
-    return out.withColumn("group_kind", F.lit(kind)).withColumn("algorithm", F.lit(algorithm)).withColumn(
-        "threshold", F.lit(threshold).cast("int")
-    ).select(*GROUP_COLS)
+    facts = {
+        "group_kind": F.lit(kind),
+        "algorithm": F.lit(algorithm),
+        "threshold": F.lit(threshold).cast("int"),
+        "warnings": F.array(*[F.lit(w) for w in warnings]).cast("array<string>"),
+    }
+    return out.withColumns(facts).select(*GROUP_COLS)
 
 
 def build_duplicate_groups(
@@ -447,9 +585,13 @@ def build_duplicate_groups(
     max_frames: int | None = None,
     limit: int = GROUP_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(groups, warnings)``: exact, image and video groups in one long table, one row per member."""
+    """``(groups, warnings)``: exact, image and video groups in one long table, one row per member.
+
+    Each row has the group's id, kind, algorithm, threshold, canonical member, that member's first path
+    as preview (null without paths) and warnings, then the member's own facts.
+    """
     exact, w1 = exact_duplicates(df, limit)
-    exact = settle(exact.select("content_sha256", "finding_id", "size_bytes", "source_paths", "preview_uri"))
+    exact = settle(exact.select("finding_id", "size_bytes", "source_paths", "preview_uri", *content_facts(exact)))
     best = settle(
         pick_canonical(exact, "content_sha256").select("content_sha256", "canonical_id", F.col("members").alias("__n"))
     )
@@ -460,7 +602,14 @@ def build_duplicate_groups(
         _named(exact, "content_sha256", "exact-sha256", "sha256-size-v1", None)
         .unionByName(_named(images, "cluster", "image-perceptual", "hex-hamming-v1", image_threshold))
         .unionByName(
-            _named(videos, "cluster", "video-keyframe", "bounded-keyframe-hamming-v1", frame_threshold)
+            _named(
+                videos,
+                "cluster",
+                "video-keyframe",
+                "bounded-keyframe-hamming-v1",
+                frame_threshold,
+                (f"video_min_matching_frames:{min_match}",),
+            )
         )
     )
     return groups, w1.unionByName(w2).unionByName(w3).distinct()

@@ -188,31 +188,69 @@ def j18_frames(spark, sf):
     return members.select("cluster", "finding_id", "distance_ref_id", "matching_frames")
 
 
+# videos at the default settings: ten bits a frame, two frames matched one to one
+FRAME_BITS, FRAME_MATCHES = 10, 2
+GREEDY = f"""used || list_filter(range(1, len(r) + 1), lambda j: NOT list_contains(used, j)
+      AND bit_count(xor(l[i], r[j])) <= {FRAME_BITS})[1:1]"""
+VIDEO_SQL = f"""vt AS (SELECT doc_id, doc_id // 1000 AS id, CAST(bits AS BIT) AS h FROM ({HASHED.replace("{t}", TURNS.replace("{c}", "conversations") + " y")})),
+    vv AS (SELECT id, list(h ORDER BY doc_id) AS fs FROM vt GROUP BY id),
+    vp AS (SELECT a.id AS x, b.id AS y, 1 AS i, CAST([] AS BIGINT[]) AS used, a.fs AS l, b.fs AS r FROM vv a JOIN vv b ON a.id < b.id
+      UNION ALL SELECT x, y, i + 1, {GREEDY}, l, r FROM vp WHERE i <= len(l)),
+    ve AS (SELECT x, y FROM vp WHERE i > len(l) AND len(used) >= {FRAME_MATCHES}),
+    vb AS (SELECT x, y FROM ve UNION ALL SELECT y, x FROM ve),
+    vr AS (SELECT id AS x, id AS root FROM vv UNION SELECT vb.y, vr.root FROM vr JOIN vb ON vb.x = vr.x),
+    vc AS (SELECT x AS id, min(root) AS root FROM vr GROUP BY x),
+    vm AS (SELECT id, root, max(id) OVER (PARTITION BY root) AS ref, count(*) OVER (PARTITION BY root) AS n FROM vc),
+    vw AS (SELECT vm.id, root, ref, 1 AS i, CAST([] AS BIGINT[]) AS used, a.fs AS l, b.fs AS r
+      FROM vm JOIN vv a ON a.id = vm.id JOIN vv b ON b.id = vm.ref WHERE n > 1
+      UNION ALL SELECT id, root, ref, i + 1, {GREEDY}, l, r FROM vw WHERE i <= len(l)),
+    vf AS (SELECT 'c' || lpad(CAST(id AS VARCHAR), 9, '0') AS f, 'c' || lpad(CAST(ref AS VARCHAR), 9, '0') AS canonical_id,
+      id, root, len(used) AS matches FROM vw WHERE i > len(l))"""
+
+
+def dup_id_sql(kind, algorithm, member):
+    """Group id over sorted member ids, in check SQL."""
+    return f"""'dup-' || substr(sha256('{kind}' || chr(0) || '{algorithm}' || chr(0)
+      || string_agg({member}, chr(0) ORDER BY {member})), 1, 24)"""
+
+
 @query(
     "a8_build_duplicate_groups",
-    f"""WITH RECURSIVE {DOCS_SQL.replace("g AS (", "gd AS (")}, {COMPONENT_SQL},
-    ex AS (SELECT finding_id, content_sha256 FROM d JOIN gd USING (content_sha256) WHERE sizes = 1),
-    im AS (SELECT root, 'dup-' || substr(sha256('image-perceptual' || chr(0) || 'hex-hamming-v1' || chr(0)
-      || string_agg(f, chr(0) ORDER BY f)), 1, 24) AS group_id FROM k GROUP BY root),
-    exg AS (SELECT content_sha256, min(finding_id) AS canonical_id, 'dup-' || substr(sha256('exact-sha256' || chr(0)
-      || 'sha256-size-v1' || chr(0) || string_agg(finding_id, chr(0) ORDER BY finding_id)), 1, 24) AS group_id FROM ex GROUP BY 1)
-    SELECT group_id, 'exact-sha256' AS group_kind, 'sha256-size-v1' AS algorithm, NULL AS threshold, canonical_id, finding_id,
-      NULL AS distance, NULL AS matching_frames FROM ex JOIN exg USING (content_sha256)
-    UNION ALL SELECT group_id, 'image-perceptual', 'hex-hamming-v1', {LINK}, canonical_id, f, bit_count(xor(h, ref)), NULL
-    FROM k JOIN im USING (root)""",
+    f"""WITH RECURSIVE {DOCS_SQL.replace("g AS (", "gd AS (")}, {COMPONENT_SQL}, {VIDEO_SQL},
+    ex AS (SELECT finding_id, content_sha256, size_bytes, right(finding_id, 1) IN ('0', '5') AS bare FROM d JOIN gd USING (content_sha256)
+      WHERE sizes = 1),
+    im AS (SELECT root, {dup_id_sql("image-perceptual", "hex-hamming-v1", "f")} AS group_id FROM k GROUP BY root),
+    vi AS (SELECT root, {dup_id_sql("video-keyframe", "bounded-keyframe-hamming-v1", "f")} AS group_id FROM vf GROUP BY root),
+    exg AS (SELECT content_sha256, arg_min(finding_id, CASE WHEN bare THEN '1' ELSE '0' END || finding_id) AS canonical_id,
+      bool_and(bare) AS all_bare, {dup_id_sql("exact-sha256", "sha256-size-v1", "finding_id")} AS group_id FROM ex GROUP BY 1)
+    SELECT *, 'blob/' || finding_id AS content_id FROM (
+      SELECT group_id, 'exact-sha256' AS group_kind, 'sha256-size-v1' AS algorithm, NULL AS threshold, canonical_id,
+        CASE WHEN all_bare THEN NULL ELSE 'd/' || canonical_id END AS canonical_preview_uri, '' AS warnings, finding_id,
+        CASE WHEN bare THEN '' ELSE 'd/' || finding_id || '|z' END AS source_paths, content_sha256, size_bytes,
+        NULL AS distance, NULL AS matching_frames FROM ex JOIN exg USING (content_sha256)
+      UNION ALL SELECT group_id, 'image-perceptual', 'hex-hamming-v1', {LINK}, k.canonical_id, 'p/' || c.source, '', k.f,
+        'p/' || k.source, NULL, k.n_chars, bit_count(xor(k.h, k.ref)), NULL
+      FROM k JOIN im USING (root) JOIN n c ON c.f = k.canonical_id
+      UNION ALL SELECT group_id, 'video-keyframe', 'bounded-keyframe-hamming-v1', {FRAME_BITS}, canonical_id, 'p',
+        'video_min_matching_frames:{FRAME_MATCHES}', f, 'p', NULL, id, NULL, matches FROM vf JOIN vi USING (root))""",
 )
 def a8(spark, sf):
+    bare = F.substring("finding_id", -1, 1).isin("0", "5")
     docs = documents(spark, sf).select(
         "finding_id",
         F.lit("document").alias("media_kind"),
         "content_sha256",
         "size_bytes",
-        F.array(F.lit("p")).alias("source_paths"),
+        F.when(bare, F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("d/"), "finding_id"), F.lit("z")))
+        .alias("source_paths"),
         F.lit(None).cast("string").alias("preview_uri"),
         F.lit(None).cast("string").alias("perceptual_hash"),
         F.lit(None).cast("array<string>").alias("video_keyframe_hashes"),
     )
     every = docs.unionByName(candidates(spark, sf)).unionByName(videos(spark, sf))
-    # no two conversations share two frames within distance zero of each other
-    groups, _ = op.build_duplicate_groups(every, image_threshold=LINK, frame_threshold=0, min_match=2)
-    return groups
+    every = every.withColumn("content_id", F.concat(F.lit("blob/"), "finding_id"))
+    groups, _ = op.build_duplicate_groups(every, LINK, FRAME_BITS, FRAME_MATCHES)
+    return groups.withColumns(
+        {"source_paths": F.array_join("source_paths", "|"), "warnings": F.array_join("warnings", "|")}
+    )

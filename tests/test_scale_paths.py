@@ -148,6 +148,82 @@ def test_video_edges_give_the_clusters_of_all_pairs(spark, min_match):
     assert clusters(nodes, got_edges) == clusters(nodes, want_edges)
 
 
+@pytest.mark.parametrize("min_match", [1, 2])
+def test_video_edges_with_hot_frames_and_shared_bands(spark, min_match):
+    """Frames of one band that are far apart, frames that many videos own, repeats inside a video."""
+    rng = random.Random(20 + min_match)
+    hot = [rng.getrandbits(64) - 2**63 for _ in range(3)]
+    band = rng.getrandbits(48) << 16
+
+    def signed(x):
+        x &= 2**64 - 1
+        return x - 2**64 if x >= 2**63 else x
+
+    def frame():
+        kind = rng.random()
+        f = rng.choice(hot) if kind < 0.4 else band ^ rng.getrandbits(40) if kind < 0.7 else rng.getrandbits(64)
+        for _ in range(rng.choice([0, 4, 9])):
+            f ^= 1 << rng.randrange(64)
+        return signed(f)
+
+    videos = []
+    for i in range(80):
+        frames = [frame() for _ in range(rng.randrange(1, 6))]
+        videos.append((f"v{i:03d}", frames + frames[:1] if i % 7 == 0 else frames))
+    for i in range(20):  # each near a video that no star reaches
+        f = [signed(x ^ (1 << rng.randrange(64))) for x in videos[i][1]]
+        videos.append((f"w{i:03d}", f[::-1]))
+    df = spark.createDataFrame(videos, "finding_id string, seq array<long>")
+    edges, _ = dedupe.video_edges(df, 10, min_match)
+    nodes = [v for v, _ in videos]
+    masked = {v: [x & (2**64 - 1) for x in s] for v, s in videos}
+    want = [
+        (a, b)
+        for i, a in enumerate(nodes)
+        for b in nodes[i + 1 :]
+        if greedy(masked[a], masked[b], 10) >= min_match
+    ]
+    assert clusters(nodes, [(r.a, r.b) for r in edges.collect()]) == clusters(nodes, want)
+
+
+def test_near_clusters_of_a_dense_ball_and_chains(spark):
+    rng = random.Random(5)
+    middle = rng.getrandbits(60)
+    ball = {middle ^ sum(1 << b for b in rng.sample(range(60), 4)) for _ in range(400)}
+    chain, h = [], rng.getrandbits(60)
+    for _ in range(30):
+        h ^= sum(1 << b for b in rng.sample(range(60), 8))
+        chain.append(h)
+    hashes = sorted(ball | set(chain) | {rng.getrandbits(60) for _ in range(100)})
+    df = spark.createDataFrame([(f"n{i:04d}", [x]) for i, x in enumerate(hashes)], "node string, h array<long>")
+    got = {r.node: r.label for r in dedupe.near_clusters(df, 8).collect()}
+    pairs = [
+        (f"n{i:04d}", f"n{j:04d}")
+        for i, a in enumerate(hashes)
+        for j, b in enumerate(hashes[:i])
+        if (a ^ b).bit_count() <= 8
+    ]
+    assert got == clusters([f"n{i:04d}" for i in range(len(hashes))], pairs)
+
+
+def test_meet_apart_gives_all_pairs_of_different_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(4), rng.choice("aaaab")) for i in range(60)]
+    posts = spark.createDataFrame(rows, "id int, k int, label string")
+    probes = posts.select(F.col("id").alias("p"), "k", F.col("label").alias("pl"))
+    got = sorted((r.p, r.id) for r in dedupe.meet_apart(probes, posts, ["k"]).collect())
+    assert got == sorted((p, i) for p, k, a in rows for i, m, b in rows if k == m and a != b)
+
+
+def test_matching_frames_of_long_videos(spark):
+    """A video of 3,000 frames against its reverse: every frame is taken once."""
+    rng = random.Random(8)
+    left = [rng.getrandbits(60) for _ in range(3000)]
+    df = spark.createDataFrame([(left, left[::-1]), ([1, 1, 2], [1, 1]), ([], [1]), ([1], [])], "l array<long>, r array<long>")
+    got = [r[0] for r in df.select(dedupe.matching_frames(F.col("l"), F.col("r"), 1)).collect()]
+    assert got == [3000, 2, 0, 0]
+
+
 @pytest.mark.parametrize("fold", [False, True])
 def test_resolve_collisions_follow_input_order(spark, fold):
     rng = random.Random(3)
