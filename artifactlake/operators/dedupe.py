@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .windows import pick_canonical
 
 ID_CHUNK = 50_000
 HOT_NODE = 1_000_000
+ONE_TASK_EDGES = 200_000
 
 
 def valid_digest(col: str) -> Column:
@@ -264,17 +267,21 @@ def _label_links(nodes: DataFrame, plan: _Bands, threshold: int, words: int) ->
     return near.select(F.least("label", "pl").alias("a"), F.greatest("label", "pl").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, label) with the smallest node of each component as its label.
 
     Alternates large-star and small-star steps until the edges stop changing; each step is an
-    aggregate and an equi-join, written to the checkpoint folder.
+    aggregate and an equi-join, written to the checkpoint folder. At most ``one_task`` edges are walked
+    by one task instead, with the same labels.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = settle(
         both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     mark = _fingerprint(now)
+    if mark[0] <= one_task:
+        kind = now.schema["u"].dataType.simpleString()
+        return now.repartition(1).mapInArrow(_walk_components, f"node {kind}, label {kind}")
     while True:
         # a node has at most as many rows as both directions of all edges: few edges, no hot node
         few = 2 * mark[0] <= HOT_NODE
@@ -288,6 +295,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return stars.unionByName(roots)
 
 
+def _walk_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of one task: each root points to a smaller one until it is the smallest."""
+    up: dict = {}
+
+    def root(node):
+        while up.setdefault(node, node) != node:
+            up[node] = up[up[node]]
+            node = up[node]
+        return node
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(u), root(v)))
+            up[high] = low
+    nodes = list(up)
+    if nodes:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, kind), pa.array([root(n) for n in nodes], kind)], names=["node", "label"]
+        )
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 65_537)).first()
     return tuple(row)

@@ -99,11 +99,13 @@ def clusters(nodes, edges):
     return label
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_connected_components(spark, one_task):
     rng = random.Random(1)
     edges = [(f"n{rng.randrange(90):02d}", f"n{rng.randrange(90):02d}") for _ in range(60)]
     edges += [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(70)]
-    got = {r.node: r.label for r in dedupe.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    df = spark.createDataFrame(edges, "a string, b string")
+    got = {r.node: r.label for r in dedupe.connected_components(df, one_task=one_task).collect()}
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     want = clusters(nodes, [e for e in edges if e[0] != e[1]])
     assert got == want
