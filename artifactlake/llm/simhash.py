@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedupe import connected_components
 from ..session import settle
 from .common import Shelf, Spans, annotate, column, mix, release, word_bounds, word_codes
+from .components import connected_components
 
 WIDTH = 64
 #: shingles whose bits are counted at once
