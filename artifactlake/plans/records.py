@@ -24,17 +24,22 @@ def _artifacts(spark, sf):
     return op.validate_artifacts(run_sql(spark, sf, ARTIFACT + "{events}"), "doc")
 
 
-@query("c13_validate_artifacts", "SELECT event_id FROM events WHERE event_id % 7 IN (0, 5)")
+# bookmarks have the user's thousandth as confidence, which is valid from 0 to 1
+VALID_SQL = "(event_id % 7 = 0 OR (event_id % 7 = 5 AND user_id BETWEEN 0 AND 1000))"
+
+
+@query("c13_validate_artifacts", f"SELECT event_id FROM events WHERE {VALID_SQL}")
 def c13(spark, sf):
     return _artifacts(spark, sf)[0].select("event_id")
 
 
 @query(
     "c13_artifact_rejects",
-    """SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'missing:artifact_id|invalid_timestamp:search_time|invalid_raw_provenance|invalid_recovery_confidence'
+    f"""SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'missing:artifact_id|invalid_timestamp:search_time|invalid_raw_provenance|invalid_recovery_confidence'
       WHEN 3 THEN 'forbidden_token_field:token|forbidden_token_field:value|missing_normalized_timestamp:created_time|missing_display_timezone:created_time|'
         || 'missing_provenance:source_artifact|missing_provenance:parser|missing_provenance:row_reference|invalid_recovery_confidence'
-      WHEN 6 THEN 'missing:name|missing:install_path' ELSE 'unknown_artifact_kind' END AS warnings FROM events WHERE event_id % 7 NOT IN (0, 5)""",
+      WHEN 5 THEN 'invalid_recovery_confidence'
+      WHEN 6 THEN 'missing:name|missing:install_path' ELSE 'unknown_artifact_kind' END AS warnings FROM events WHERE NOT {VALID_SQL}""",
 )
 def c13_rejects(spark, sf):
     return _artifacts(spark, sf)[1].select("event_id", F.array_join("warnings", "|").alias("warnings"))
