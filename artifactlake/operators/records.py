@@ -285,6 +285,8 @@ def accept_derivatives(
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted, warnings)`` of thumbnail records: the first valid one per object and tier.
 
+    Records of one ``ord`` follow each other by storage_uri, mime_type, width, height and size_bytes.
+
     ``df`` has (content_sha256, ord, tier, mime_type, width, height, size_bytes, storage_uri),
     ``objects`` the objects that should have every tier.
     """
@@ -303,10 +305,11 @@ def accept_derivatives(
     known = df.where(F.col("tier").isin(*tiers)).withColumn("__problem", problem)
     good = known.where("__problem IS NULL").drop("__problem")
     cols = [c for c in good.columns if c not in ("content_sha256", "tier")]
+    rank = F.struct(F.col("ord").isNull(), "ord", "storage_uri", "mime_type", "width", "height", "size_bytes")
     # first by order, as an aggregate: one row per (object, tier) leaves each task
     accepted = (
         good.groupBy("content_sha256", "tier")
-        .agg(F.min_by(F.struct(*cols), "ord").alias("r"))
+        .agg(F.min_by(F.struct(*cols), rank).alias("r"))
         .select("content_sha256", "tier", "r.*")
         .withColumn("cache_key", F.sha2(F.concat_ws("\0", F.lit(version), "content_sha256", "tier"), 256))
     )

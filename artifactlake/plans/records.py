@@ -152,12 +152,15 @@ def c21(spark, sf):
 
 THUMBS = """SELECT CAST(l_partkey AS STRING) AS content_sha256, l_orderkey * 100000 + l_suppkey * 100 + l_linenumber AS ord,
     CASE l_linenumber WHEN 1 THEN 'embedded' WHEN 2 THEN 'small' WHEN 3 THEN 'large' WHEN 4 THEN 'small' ELSE 'tiny' END AS tier,
-    CASE WHEN l_returnflag = 'R' THEN 'image/bmp' ELSE 'image/png' END AS mime_type, CAST(l_quantity AS INT) * 20 AS width, CAST(l_quantity AS INT) * 10 AS height,
-    CAST(l_extendedprice AS BIGINT) AS size_bytes, CASE WHEN l_linestatus = 'F' THEN 'scratch://sha256/' ELSE 'scratch://sha256/x' END || l_suppkey AS storage_uri FROM """
+    CASE WHEN l_returnflag = 'R' THEN 'image/bmp' ELSE 'image/png' END AS mime_type, CAST(floor(l_quantity) AS INT) * 20 AS width, CAST(floor(l_quantity) AS INT) * 10 AS height,
+    CAST(floor(l_extendedprice) AS BIGINT) AS size_bytes, CASE WHEN l_linestatus = 'F' THEN 'scratch://sha256/' ELSE 'scratch://sha256/x' END || l_suppkey AS storage_uri FROM """
 THUMB_SQL = f"""t AS ({THUMBS} lineitem), k AS (SELECT *, CASE tier WHEN 'embedded' THEN 256 WHEN 'small' THEN 512 ELSE 1600 END AS lim FROM t WHERE tier <> 'tiny'),
-    p AS (SELECT *, CASE WHEN mime_type = 'image/bmp' THEN 'unsafe_thumbnail_mime' WHEN width > lim OR height > lim THEN 'thumbnail_dimension_limit'
+    p AS (SELECT *, CASE WHEN mime_type = 'image/bmp' THEN 'unsafe_thumbnail_mime'
+      WHEN NOT coalesce(width > 0 AND height > 0 AND size_bytes > 0, FALSE) THEN 'invalid_thumbnail_dimensions' WHEN width > lim OR height > lim THEN 'thumbnail_dimension_limit'
       WHEN size_bytes > 40000 THEN 'thumbnail_output_limit' END AS problem FROM k),
-    f AS (SELECT content_sha256, tier, min(ord) AS ok FROM p WHERE problem IS NULL GROUP BY ALL)"""
+    g AS (SELECT *, row_number() OVER (PARTITION BY content_sha256, tier ORDER BY ord NULLS LAST, storage_uri, mime_type, width, height, size_bytes) AS n
+      FROM p WHERE problem IS NULL),
+    f AS (SELECT content_sha256, tier, ord AS ok, width FROM g WHERE n = 1)"""
 
 
 def _thumbs(spark, sf):
@@ -168,8 +171,8 @@ def _thumbs(spark, sf):
 
 @query(
     "c22_accept_derivatives",
-    f"""WITH {THUMB_SQL} SELECT p.content_sha256, p.tier, p.ord, p.width,
-      sha256('image-thumbnails-v1' || chr(0) || p.content_sha256 || chr(0) || p.tier) AS cache_key FROM p JOIN f ON p.content_sha256 = f.content_sha256 AND p.tier = f.tier AND p.ord = f.ok""",
+    f"""WITH {THUMB_SQL} SELECT content_sha256, tier, ok AS ord, width,
+      sha256('image-thumbnails-v1' || chr(0) || content_sha256 || chr(0) || tier) AS cache_key FROM f""",
 )
 def c22(spark, sf):
     return _thumbs(spark, sf)[0].select("content_sha256", "tier", "ord", "width", "cache_key")
@@ -179,7 +182,7 @@ def c22(spark, sf):
     "c22_derivative_warnings",
     f"""WITH {THUMB_SQL} SELECT DISTINCT p.content_sha256, problem || ':' || p.tier AS warning FROM p LEFT JOIN f USING (content_sha256, tier)
       WHERE problem IS NOT NULL AND (ok IS NULL OR ord < ok)
-    UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'missing_thumbnail_tier:' || tier FROM part, (VALUES ('embedded'), ('small'), ('large')) v(tier)
+    UNION ALL SELECT DISTINCT CAST(p_partkey AS VARCHAR), 'missing_thumbnail_tier:' || tier FROM part, (VALUES ('embedded'), ('small'), ('large')) v(tier)
       WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.content_sha256 = CAST(p_partkey AS VARCHAR) AND f.tier = v.tier)""",
 )
 def c22_warnings(spark, sf):

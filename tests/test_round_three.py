@@ -35,3 +35,18 @@ def test_confidence_above_one_is_rejected(spark, tables, name):
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("event_id") * 20)
     ok, message = compare(spark, tables(events=events), name)
     assert ok, message
+
+
+@pytest.mark.parametrize("name", ["c22_accept_derivatives", "c22_derivative_warnings"])
+def test_thumbnails_with_ties_and_fractions(spark, tables, name):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    # supplier 1,000 of an order has the ord of supplier 0 of the next one
+    ties = lines.limit(200).withColumns(
+        {"l_partkey": F.lit(7).cast("long"), "l_linenumber": F.lit(3), "l_returnflag": F.lit("N"), "l_extendedprice": F.lit(100.0)}
+    )
+    twice = ties.withColumns({"l_suppkey": F.lit(0).cast("long"), "l_orderkey": F.lit(5).cast("long")}).unionByName(
+        ties.withColumns({"l_suppkey": F.lit(1000).cast("long"), "l_orderkey": F.lit(4).cast("long")})
+    )
+    near = lines.withColumn("l_extendedprice", F.element_at(F.array(F.lit(40000.6), F.lit(40001.0), F.lit(0.4)), (F.col("l_orderkey") % 3 + 1).cast("int")))
+    ok, message = compare(spark, tables(lineitem=twice.unionByName(near)), name)
+    assert ok, message
