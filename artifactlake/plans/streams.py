@@ -109,16 +109,19 @@ def t3_long(spark, sf):
 
 
 def deliveries(spark, rows, part):
-    """``rows`` as a stream of three files, ``part`` of each row telling the file; most files hold late rows."""
+    """``rows`` as a stream, and what brings its three deliveries, ``part`` of each row telling which; most hold late rows.
+
+    A delivery is one micro-batch, however many files it has.
+    """
     root = f"{scratch_dir(spark).rstrip('/')}/deliveries-{uuid.uuid4().hex}"
-    for i in range(3):
-        rows.where(part == i).coalesce(1).write.parquet(f"{root}/part={i}")
-    return (
-        spark.readStream.schema(rows.schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(root)
-    )
+    # a folder to read from before the first delivery
+    spark.createDataFrame([], rows.schema).write.parquet(f"{root}/part=none")
+    live = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(root)
+
+    def bring(i):
+        return lambda: rows.where(part == i).write.parquet(f"{root}/part={i}")
+
+    return live, [bring(i) for i in range(3)]
 
 
 def late_events(spark, sf):
@@ -138,8 +141,9 @@ PASSED_SQL = "(sec + 1) * 1000 <= (SELECT epoch_ms(max(ts)) - 172800000 FROM eve
     WHERE reason IN ('no_rule', 'disabled', 'below_threshold') OR {PASSED_SQL}"""),
 )
 def t3_stream(spark, sf):
-    out = op.notify_stream(_events(late_events(spark, sf)), rules(spark), ["user_id"], "ts", "event_id", delay="2 days")
-    return drain(out).select(F.col("event_ref").alias("event_id"), "send", "reason")
+    live, arrivals = late_events(spark, sf)
+    out = op.notify_stream(_events(live), rules(spark), ["user_id"], "ts", "event_id", delay="2 days")
+    return drain(out, arrivals=arrivals).select(F.col("event_ref").alias("event_id"), "send", "reason")
 
 
 BEAT_SQL = """WITH RECURSIVE v AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
@@ -161,7 +165,8 @@ def t4(spark, sf):
     WHERE sent AND {PASSED_SQL}"""),
 )
 def t4_stream(spark, sf):
-    out = drain(op.heartbeats_stream(late_events(spark, sf), ["user_id"], "ts", "event_id", 86400, ["props"], "2 days"))
+    live, arrivals = late_events(spark, sf)
+    out = drain(op.heartbeats_stream(live, ["user_id"], "ts", "event_id", 86400, ["props"], "2 days"), arrivals=arrivals)
     return out.select("user_id", F.col("event_ref").alias("event_id"), "props")
 
 
@@ -196,7 +201,8 @@ def t5_stream(spark, sf):
 
 @query("t5_rate_limit_calls_stream", f"{LIMIT_SQL} WHERE {PASSED_SQL}")
 def t5_calls_stream(spark, sf):
-    out = drain(op.rate_limit_calls_stream(late_events(spark, sf), "event_type", "ts", "event_id", 1, "2 days"))
+    live, arrivals = late_events(spark, sf)
+    out = drain(op.rate_limit_calls_stream(live, "event_type", "ts", "event_id", 1, "2 days"), arrivals=arrivals)
     return out.select(F.col("event_ref").alias("event_id"), "counter", "allowed", "wait_seconds")
 
 
@@ -214,8 +220,8 @@ def t6(spark, sf):
     seen = run_sql(spark, sf, OBSERVED.replace("{day}", "day(ts)").replace("{t}", "{events}"))
     seen = seen.withColumn("seen_at", F.timestamp_seconds(F.col("scan") * 86400))
     part = F.least(F.floor((F.col("scan") + F.pmod(F.xxhash64("path"), F.lit(2))) / 11), F.lit(2))
-    live = deliveries(spark, seen, part)
-    return drain(op.stable_files_stream(live, "seen_at", delay="2 days"))
+    live, arrivals = deliveries(spark, seen, part)
+    return drain(op.stable_files_stream(live, "seen_at", delay="2 days"), arrivals=arrivals)
 
 
 LEASE_SQL = """WITH n AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
@@ -235,19 +241,8 @@ def t7(spark, sf):
 
 @query("t7_expired_leases_stream", LEASE_SQL.replace("{behind}", "172800"))
 def t7_stream(spark, sf):
-    root = f"{scratch_dir(spark).rstrip('/')}/beats-{uuid.uuid4().hex}"
-    beats = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    # three deliveries; every other beat comes up to a day late
-    part = F.least(F.floor((F.dayofmonth("ts") + F.col("event_id") % 2) / 11), F.lit(2))
-    for i in range(3):
-        beats.where(part == i).write.parquet(f"{root}/part={i}")
-    live = (
-        spark.readStream.schema(beats.schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(root)
-    )
-    out = drain(op.expired_leases_stream(live, ["user_id"], "ts", "event_id", 50000, "2 days"))
+    live, arrivals = late_events(spark, sf)
+    out = drain(op.expired_leases_stream(live, ["user_id"], "ts", "event_id", 50000, "2 days"), arrivals=arrivals)
     return out.select(
         "user_id", F.col("event_ref").alias("event_id"), F.timestamp_seconds("expired_at").alias("expired_at")
     )

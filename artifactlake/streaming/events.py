@@ -255,7 +255,7 @@ def notify_stream(
     )
     alone = F.coalesce(F.col("why").isin("no_rule", "disabled", "below_threshold"), F.lit(False))
     told = judged.where(alone).select(*group, "event_ref", F.lit(False).alias("send"), F.col("why").alias("reason"))
-    return told.unionByName(decide_in_order(judged.where(~alone), group, "__ts", delay, decisions, NOTIFY_STATE, out))
+    return told.unionByName(decide_in_order(judged, group, "__ts", delay, decisions, NOTIFY_STATE, out, ~alone))
 
 
 def heartbeats(
@@ -336,16 +336,23 @@ def rate_limit_stream(
 
 
 def rate_limit_calls_stream(
-    calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60, delay: str = "5 minutes"
+    calls: DataFrame, key: str, ts: str, id_col: str, per_minute: int = 60, delay: str = "5 minutes", slice_seconds: int = 900
 ) -> DataFrame:
     """:func:`rate_limit` on a stream, for all calls that the watermark, ``delay`` behind the latest, has passed.
 
-    State per key: the number of calls in each of the last 60 seconds, which ends a minute after the last call.
+    Keys are cut into slices of ``slice_seconds``, so no task holds all calls of a key; the calls of the 59 seconds
+    before a slice are counted there too. State per key and slice: the number of calls in each of the last 60 seconds,
+    which ends a minute after the last call.
     """
     rows = calls.select(key, F.col(id_col).alias("event_ref"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("sec"), F.col(ts).alias("__ts"))
+    part = lambda sec: F.floor(sec / slice_seconds)
+    # the second entry only counts: the call is told in its own slice
+    places = F.array_distinct(F.array(part(F.col("sec")), part(F.col("sec") + 59)))
+    rows = rows.withColumn("slice", F.explode(places)).withColumn("told", F.col("slice") == part(F.col("sec")))
     out = T.StructType(
         [
             rows.schema[key],
+            rows.schema["slice"],
             rows.schema["event_ref"],
             T.StructField("counter", T.LongType()),
             T.StructField("allowed", T.BooleanType()),
@@ -353,18 +360,19 @@ def rate_limit_calls_stream(
         ]
     )
 
-    def step(memory: tuple, row) -> tuple[tuple, tuple]:
+    def step(memory: tuple, row) -> tuple[tuple, tuple | None]:
         recent = {s: n for s, n in zip(*memory, strict=True) if s >= row["sec"] - 59}
         counter = sum(recent.values())
         recent[row["sec"]] = recent.get(row["sec"], 0) + 1
         allowed = counter < per_minute
         told = (row["event_ref"], counter, allowed, 0.0 if allowed else 60.0)
-        return (list(recent), list(recent.values())), told
+        return (list(recent), list(recent.values())), told if row["told"] else None
 
     decisions = Decisions(
         ([], []), step, lambda row: (row["sec"], row["event_ref"]), lambda memory: (max(memory[0], default=0) + 60) * 1000
     )
-    return decide_in_order(rows, [key], "__ts", delay, decisions, "seconds array<long>, calls array<long>", out)
+    decided = decide_in_order(rows, [key, "slice"], "__ts", delay, decisions, "seconds array<long>, calls array<long>", out)
+    return decided.drop("slice")
 
 
 def stable_files_stream(observations: DataFrame, ts: str, suffix: str = ".done", delay: str = "1 hour") -> DataFrame:
@@ -428,7 +436,8 @@ def expired_leases_stream(
     lease; a timer reports keys that fall silent. Beats that arrive when the watermark has reached them are dropped.
     """
     timed = beats.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
-    rows = timed.select(*keys, F.col(id_col).alias("event_ref"), F.unix_timestamp("__time").alias("at"), "__time")
+    # beats of one second are in order by their microseconds, as in the batch form
+    rows = timed.select(*keys, F.col(id_col).alias("event_ref"), F.unix_micros("__time").alias("at"), "__time")
     fields = [rows.schema[c] for c in (*keys, "event_ref", "at")]
     out = T.StructType([*fields, T.StructField("expired_at", T.LongType())])
     held = T.StructType(
@@ -446,15 +455,16 @@ def expired_leases_stream(
         open_beats.sort()
         mark = state.getCurrentWatermarkMs() // 1000
         gone, left = [], []
-        for i, (at, ref) in enumerate(open_beats):
-            in_time = i + 1 < len(open_beats) and open_beats[i + 1][0] - at <= lease_seconds
+        for i, (micros, ref) in enumerate(open_beats):
+            at = micros // 1_000_000
+            in_time = i + 1 < len(open_beats) and open_beats[i + 1][0] // 1_000_000 - at <= lease_seconds
             if not in_time and mark > at + lease_seconds:
                 gone.append((*key, ref, at, at + lease_seconds))
             elif not in_time or mark <= at:
-                left.append((at, ref))
+                left.append((micros, ref))
         if left:
-            state.update(([at for at, _ in left], [ref for _, ref in left]))
-            state.setTimeoutTimestamp((left[0][0] + lease_seconds + 1) * 1000 - 1)
+            state.update(([micros for micros, _ in left], [ref for _, ref in left]))
+            state.setTimeoutTimestamp((left[0][0] // 1_000_000 + lease_seconds + 1) * 1000 - 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(gone, columns=[f.name for f in out.fields])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +24,16 @@ def table_stream(
     )
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] | None = None) -> DataFrame:
+def drain(
+    stream: DataFrame,
+    mode: str = "append",
+    keys: Sequence[str] | None = None,
+    arrivals: Sequence[Callable[[], None]] = (),
+) -> DataFrame:
     """Run a stream over all present data and return what it wrote.
 
+    Each of ``arrivals`` brings more data; the stream runs on from its progress after each of them.
+
     Every micro-batch overwrites its own folder, so a batch that runs again after a failure is not
     written twice. With ``keys`` (update mode) the latest row per key is returned.
     """
@@ -36,14 +43,15 @@ def drain(stream: DataFrame, mode: str = "append", keys: Sequence[str] | None =
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    running = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
-    running.awaitTermination()
+    for arrive in arrivals or [lambda: None]:
+        arrive()
+        writer.start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     out = spark.read.schema(schema).parquet(f"{root}/out")
     if keys is None:
