@@ -52,21 +52,35 @@ def _pick(index: int, quote: bool) -> str:
     )
 
 
+# what a text shows that has no head before it, and a zip whose text holds an office name
+OWN_KIND = """CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN starts_with(text, 'MZ') THEN 'pe-executable' WHEN starts_with(text, '%PDF-') THEN 'pdf'
+      WHEN starts_with(text, 'GIF87a') OR starts_with(text, 'GIF89a') THEN 'gif' WHEN starts_with(text, 'ID3') THEN 'mp3'
+      WHEN starts_with(text, '{' || chr(92) || 'rtf') THEN 'rtf' WHEN octet_length(encode(text)) < 4 THEN 'unknown' ELSE 'text' END"""
+ZIP_KIND = "CASE WHEN contains(text, 'word/') THEN 'docx' WHEN contains(text, 'xl/') THEN 'xlsx' WHEN contains(text, 'ppt/') THEN 'pptx' ELSE 'zip' END"
+KINDS = {h[1]: h[2:] for h in HEADS if h[0]} | {
+    "text": ("text/plain", 0.8), "empty": ("application/x-empty", 1.0), "unknown": ("application/octet-stream", 0.2),
+    "xlsx": (fn._XLSX, 0.92), "pptx": (fn._PPTX, 0.92),
+}
+_MIME = "CASE signature " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in KINDS.items()) + " END"
+_BASE = "CASE signature " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in KINDS.items()) + " END"
+
+
 @query(
     "c1_content_signature",
     f"""WITH t AS (SELECT doc_id, text, {_HEAD_HEX} AS head, {NAME} AS name,
         from_hex({_HEAD_HEX}) || encode(text) AS b FROM documents),
-    m AS (SELECT *, {_pick(1, True)} ELSE 'text' END AS signature, {_pick(2, True)} ELSE 'text/plain' END AS mime_type,
-      {_pick(3, False)} ELSE 0.8 END AS base,
+    k AS (SELECT *, CASE WHEN head = '' THEN {OWN_KIND} WHEN head = '504B0304' THEN {ZIP_KIND} ELSE {_pick(1, True)} END END AS signature FROM t),
+    m AS (SELECT *, {_MIME} AS mime_type, {_BASE} AS base,
       CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/plain' END AS extension_mime,
       (CASE WHEN contains(text, 'MZ') OR head = '4D5A' THEN 1 ELSE 0 END
        + CASE WHEN contains(text, '%PDF-') OR head = '255044462D' THEN 1 ELSE 0 END
-       + CASE WHEN head LIKE '504B0304%' THEN 1 ELSE 0 END + CASE WHEN head = 'FFD8FF' THEN 1 ELSE 0 END
-       + CASE WHEN head = '89504E470D0A1A0A' THEN 1 ELSE 0 END) > 1 AS poly FROM t)
+       + CASE WHEN contains(text, 'PK' || chr(3) || chr(4)) OR head LIKE '504B0304%' THEN 1 ELSE 0 END + CASE WHEN head = 'FFD8FF' THEN 1 ELSE 0 END
+       + CASE WHEN head = '89504E470D0A1A0A' THEN 1 ELSE 0 END) > 1 AS poly FROM k)
     SELECT doc_id, signature, mime_type, CASE WHEN poly THEN least(base, 0.65) ELSE base END AS confidence, extension_mime,
-      signature <> 'pe-executable' AND NOT poly AND coalesce(extension_mime = mime_type, TRUE) AS parser_safe,
-      concat_ws('|', 'extension:' || extension_mime, CASE WHEN extension_mime <> mime_type THEN 'extension_mismatch' END,
-        CASE WHEN poly THEN 'polyglot_signature' END) AS evidence,
+      signature NOT IN ('pe-executable', 'unknown', 'empty') AND NOT poly AND coalesce(extension_mime = mime_type, TRUE) AS parser_safe,
+      concat_ws('|', CASE WHEN signature = 'empty' THEN 'empty_content' END, 'extension:' || extension_mime, CASE WHEN extension_mime <> mime_type THEN 'extension_mismatch' END,
+        CASE WHEN poly THEN 'polyglot_signature' END,
+        CASE WHEN signature = 'unknown' THEN 'unknown_magic' END) AS evidence,
       sha256(b) AS sample_sha256, octet_length(b) AS sample_size FROM m""",
 )
 def c1(spark, sf):

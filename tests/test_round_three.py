@@ -111,3 +111,12 @@ def test_tile_links_equal_brute_force(spark, tile):
     near = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count() <= 3
     assert got == sorted({(a, b) for x, a in named for y, b in named if a < b and near(x, y)})
     assert got
+
+
+def test_signatures_of_short_texts_and_archives(spark, tables):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = ["", "abc", "MZ12", "%PDF-1 MZ", "GIF89a", "ID3 x", "{\\rtf1", "a xl/ b", "a ppt/ b", "a word/ b", "plain"]
+    own = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.floor(F.col("doc_id") / 2) % len(texts) + 1).cast("int"))
+    folder = tables(documents=docs.withColumns({"doc_id": F.col("doc_id") * 2, "text": own}))
+    ok, message = compare(spark, folder, "c1_content_signature")
+    assert ok, message
