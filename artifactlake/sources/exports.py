@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.rules import EXPORT_FIELDS, TOKEN_WORDS
-from ..operators.grouped import number_rows
 from ..session import settle
 
 DIGEST_CHUNK = 50_000
@@ -63,11 +63,14 @@ MANIFEST_FIELDS = (
 def export_manifest(plans: DataFrame, hashes: DataFrame, sizes: DataFrame, statuses: DataFrame) -> DataFrame:
     """One row per planned item with defaults for what is not known yet, and a digest of the row."""
     key = "export_item_id"
-    joined = (
-        plans.join(hashes.select(key, "sha256"), key, "left")
-        .join(sizes.select(key, "size_bytes"), key, "left")
-        .join(statuses.select(key, "status"), key, "left")
-    )
+    if hashes is sizes and sizes is statuses:
+        joined = plans.join(hashes.select(key, "sha256", "size_bytes", "status"), key, "left")
+    else:
+        joined = (
+            plans.join(hashes.select(key, "sha256"), key, "left")
+            .join(sizes.select(key, "size_bytes"), key, "left")
+            .join(statuses.select(key, "status"), key, "left")
+        )
     full = joined.select(
         *plans.columns,
         F.coalesce("sha256", F.lit("")).alias("sha256"),
@@ -83,17 +86,27 @@ def ordered_digest(df: DataFrame, digest: str, order: Sequence[str], chunk: int
 
     The lowest nodes hash ``chunk`` rows each, and levels follow until one node can take what is left, so no
     node ever gathers more than ``chunk`` digests. No rows: the digest of the empty text, and null items.
+
+    Only the order and the digest travel: once into ranges, which are written in their order, and once to the nodes.
     """
     if chunk < 2:
         raise ValueError("a node needs room for two digests")
-    numbered = number_rows(df.withColumn("__all", F.lit(0)), ["__all"], order, "__pos")
+    by = [F.col(c) for c in order]
+    ranged = df.select(*dict.fromkeys([*order, digest])).repartitionByRange(*by).sortWithinPartitions(*by)
+    # the id has the number of the range above bit 33 and the row's place in it below
+    ranged = settle(ranged.select(F.col(digest).alias("d"), F.monotonically_increasing_id().alias("__id")))
+    ranged = ranged.select("d", F.shiftright("__id", 33).alias("__range"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = ranged.join(F.broadcast(before), "__range")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda s: s["d"]), "")
 
     def above(nodes: DataFrame) -> DataFrame:
         parent = nodes.groupBy(F.floor(F.col("part") / chunk).alias("__p")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n"))
         return settle(parent.withColumnRenamed("__p", "part"))
 
-    nodes = above(numbered.select((F.col("__pos") - 1).alias("part"), F.col(digest).alias("d"), F.lit(1).cast("long").alias("n")))
+    nodes = above(numbered.select((F.col("__at") + F.col("__before")).alias("part"), "d", F.lit(1).cast("long").alias("n")))
     while nodes.count() > chunk:
         nodes = above(nodes)
     return nodes.agg(F.sha2(joined, 256).alias("manifest_sha256"), F.sum("n").alias("items"))
