@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, mix, text_bytes, word_codes
+from .common import column, give_back, mix, text_bytes, word_codes
 
 #: text of a block, text for each part of the word table, words encoded at once
 BLOCK_BYTES, PART_BYTES, TOGETHER = 16 << 20, 8 << 20, 4_000
@@ -118,6 +118,7 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
     """
 
     def run(rows: pa.Table) -> pa.Table:
+        give_back()
         words = [x.decode().split("\n") for x in rows["words"].to_pylist()]
         place: dict[str, int] = {}
         for listed in words:
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", dige
     names = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keep], *kind.fields])
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         plain = zstandard.ZstdDecompressor()
         order = np.argsort(right["part"].to_numpy()).tolist() if right.num_rows else []
 

@@ -7,6 +7,7 @@ of its own. Words are ``[^\\x20\\x09-\\x0D]+`` everywhere, found on the UTF-8 by
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -147,6 +148,24 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can.
+
+    Workers wait for their next task with all pages that they ever used, beside an executor of a fixed size.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 PACKED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("z", T.BinaryType())])
 
 
@@ -213,6 +232,8 @@ def annotate(docs: DataFrame, fields: T.StructType, make, text: str = "text", ke
             made = [pa.concat_arrays([pa.array(p[i]) if not isinstance(p[i], pa.Array) else p[i] for p in parts]) for i in range(len(names))] if parts else [pa.array([], pa.null())] * len(names)
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *names])
+            del batch, raw, parts, made
+            give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from ..session import settle
 from .common import BYTE_CODES, Spans, annotate, column
 
 #: words that go through the lattice together, and pieces' places looked up at once
-GROUP, PLACES = 4096, 1 << 20
+GROUP, PLACES = 4096, 1 << 17
 #: bits of a hash below those that are tried first
 LEAD = np.uint64(44)
 #: distinct words whose scores a task remembers

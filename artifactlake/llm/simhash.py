@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import Shelf, Spans, annotate, column, mix, release, word_bounds, word_codes
+from .common import Shelf, Spans, annotate, column, give_back, mix, release, word_bounds, word_codes
 from .components import connected_components
 
 WIDTH = 64
@@ -265,6 +265,7 @@ def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, leas
                 common = len(np.intersect1d(x, y, assume_unique=True)) if most >= least * max(len(x), len(y)) else 0
                 alike.append(common >= least * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([a, b], names=PAIR.names).filter(pa.array(alike, pa.bool_()))
+            give_back()
 
     found = shelf.put(both.mapInArrow(run, PAIR))
     shelf.drop(first, texts)
@@ -349,6 +350,7 @@ def _smallest(docs: DataFrame, groups: DataFrame, own: str, id_col: str, text: s
     )
     kept = settle(kept)
     same = (F.col("__digest") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    joined = docs.withColumn("__digest", digest).join(kept, same)
+    # hashed, not sorted: only the narrow side is held, texts pass by
+    joined = docs.withColumn("__digest", digest).join(kept.hint("shuffle_hash"), same)
     repeated = joined.where("__n > 1").dropDuplicates(["__digest", "__id"])
     return joined.where("__n = 1").unionByName(repeated).select(*docs.columns)
