@@ -37,17 +37,15 @@ def detect_language(
     # letters and apostrophes only, lower-case; a token is a run between spaces with two letters or more
     words = F.lower(F.regexp_replace("__t", f"[^{_LETTERS}']+", " "))
     staged = df.withColumn("__t", text).withColumn("__w", words)
-    alpha = _count(F.col("__t"), r"\p{L}")
-    digits = _count(F.col("__t"), r"\p{Nd}")
-    visible = F.length(F.regexp_replace("__t", r"(?U)\s+", ""))
-    punctuation = F.length(F.regexp_replace("__t", r"(?U)[\p{L}\p{N}\s]+", ""))
-    all_marks = sorted({w for words_ in LANGUAGE_MARKERS.values() for w in words_.split()})
-    # only marker words are kept, so the arrays below stay small
     bare = F.when(
         F.contains("__w", F.lit("'")), F.regexp_replace("__w", "(?<![^ ])'+|'+(?![^ ])", "")
     ).otherwise(F.col("__w"))
-    marks = F.filter(F.split(bare, " "), _one_of([m for m in all_marks if len(m) > 1]))
-    tokens = F.regexp_count("__w", F.lit("[^' ][^ ]*[^' ]"))
+    staged = staged.withColumn("__a", F.split(bare, " "))
+    alpha = _count(F.col("__t"), r"\p{L}")
+    all_marks = sorted({w for words_ in LANGUAGE_MARKERS.values() for w in words_.split()})
+    # only marker words are kept, so the arrays below stay small
+    marks = F.filter("__a", _one_of([m for m in all_marks if len(m) > 1]))
+    tokens = F.size(F.filter("__a", lambda w: F.length(w) > 1))
     staged = staged.select(
         *df.columns,
         "__t",
@@ -55,14 +53,24 @@ def detect_language(
         tokens.alias("__tokens"),
         marks.alias("__marks"),
         alpha.alias("__alpha"),
-        ((visible == 0) | (digits > alpha) | (punctuation > alpha * 2)).alias("__noise"),
-    ).withColumn("__base", F.greatest(F.lit(4), F.least(F.col("__tokens"), F.lit(20))))
+    )
+    alpha = F.col("__alpha")
+    digits = _count(F.col("__t"), r"\p{Nd}")
+    punctuation = F.length(F.regexp_replace("__t", r"(?U)[\p{L}\p{N}\s]+", ""))
+    # where half of the text is letters the rest cannot outweigh them
+    outweighed = F.when(alpha * 2 < F.length("__t"), (digits > alpha) | (punctuation > alpha * 2)).otherwise(F.lit(False))
+    staged = staged.select(
+        "*",
+        F.array_distinct("__marks").alias("__kinds"),
+        (~F.col("__t").rlike(r"(?U)\S") | outweighed).alias("__noise"),
+        F.greatest(F.lit(4), F.least(F.col("__tokens"), F.lit(20))).alias("__base"),
+    )
     scores = []
     for lang, words in LANGUAGE_MARKERS.items():
         terms = sorted(set(words.split()))
         hits = F.size(F.filter("__marks", _one_of(terms)))
         seen = F.filter(
-            F.array(*[F.lit(w) for w in terms]), lambda w: F.array_contains("__marks", w)
+            F.array(*[F.lit(w) for w in terms]), lambda w: F.array_contains("__kinds", w)
         )
         accents = LANGUAGE_ACCENTS.get(lang)
         bonus = (
@@ -92,8 +100,7 @@ def detect_language(
         .when((F.col("__alpha") < MIN_ALPHA) | (F.col("__tokens") < MIN_TOKENS), "short_text")
         .when(first["confidence"] < MIN_CONFIDENCE, "low_confidence_language")
     )
-    low = F.lower("__t")
-    noise_words = F.contains(low, F.lit("ocr")) | F.contains(low, F.lit("confidence"))
+    noise_words = F.contains("__w", F.lit("ocr")) | F.contains("__w", F.lit("confidence"))
     known = ranked.withColumn("__why", reason)
     clean = F.col("__why").isNull()
     return known.withColumn(
