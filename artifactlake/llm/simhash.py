@@ -6,14 +6,16 @@ Hamming ball around each of its segments in the table of segments and compares t
 with what it finds. No pair within the distance is lost. Equal fingerprints count once before the
 search, so copies make no pairs.
 
-``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 1,024 bits: 16 segments of
-20 bits, balls of radius 1 around each, and 64 bits that are compared where a segment matches. Complete distances
-and then the shingle sets decide. Sets of similarity 0.8 differ in about 15 % of the bits; one of the segments
-is within its ball in 95 of 100 cases.
+``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 1,024 bits, and the sums behind
+the bits give 80 keys of 28 bits: the sums are turned 20 times, each time the place and sign of the largest of 64 give
+7 bits, and four such make a key. Texts with a common key are compared by 64 bits; complete distances and then the
+shingle sets decide. Sets of similarity 0.8 differ in about 15 % of the bits; one of the keys agrees in 95 of 100
+cases. Texts with nothing in common share a key once in 2**28 / 80 pairs, so meetings by chance stay few.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -135,6 +137,9 @@ def near_groups(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42,
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: its SimHashes: segments, their width, words of 64 bits (the last for the comparison), bits that may differ in the last word and in all
 SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 16, 20, 180
+#: keys: turns of the sums, sums of which one is the largest, places of a key; rows whose sums are held at once
+TURNS, STRONG, KEY_PLACES, SUM_ROWS = 20, 64, 4, 256
+KEYS = TURNS * CODE_WORDS * WIDTH // (STRONG * KEY_PLACES)
 #: bytes of shingle sets that a task of the exact comparison keeps
 KEPT_SETS = 16 << 20
 
@@ -151,19 +156,59 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) ->
     return out
 
 
-def set_code(codes: np.ndarray, n: int = CODE_WORDS) -> np.ndarray:
-    """SimHash of a set of shingle hashes in ``n`` words of 64 bits; zeros of the empty set."""
+def set_sums(codes: np.ndarray, n: int = CODE_WORDS) -> np.ndarray:
+    """For each of ``n * 64`` bits, how many more hashes of a set have it than have it not."""
     turns = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.zeros(n * WIDTH, np.int64)
     step = BLOCK // n
     for a in range(0, len(codes), step):
         wide = mix(codes[a : a + step, None] + turns)
         ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(codes), bitorder="little").view(np.uint64)
+    return 2 * ones - len(codes)
+
+
+def set_code(codes: np.ndarray, n: int = CODE_WORDS) -> np.ndarray:
+    """SimHash of a set of shingle hashes in ``n`` words of 64 bits; zeros of the empty set."""
+    return np.packbits(set_sums(codes, n) > 0, bitorder="little").view(np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _rotation() -> tuple[np.ndarray, np.ndarray]:
+    """A Hadamard matrix, and random signs for each turn."""
+    side = int((CODE_WORDS * WIDTH) ** 0.5)
+    matrix = np.ones((1, 1))
+    while len(matrix) < side:
+        matrix = np.block([[matrix, matrix], [matrix, -matrix]])
+    bits = mix(np.arange(1, TURNS * side * side + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(63)
+    return matrix, (1.0 - 2.0 * bits).reshape(TURNS, side, side)
+
+
+def strong_keys(sums: np.ndarray) -> np.ndarray:
+    """Keys of sums (one set a row): places and signs of the largest sums after random turns.
+
+    A turn keeps angles, so sets whose SimHashes are near have near sums after it; strong ones change last.
+    """
+    matrix, signs = _rotation()
+    # all values are whole numbers below this total: exact in either width, so keys do not depend on the machine
+    exact = np.float32 if not len(sums) or np.abs(sums).sum(axis=1).max() < 1 << 24 else np.float64
+    grid, matrix = sums.astype(exact).reshape(-1, *matrix.shape), matrix.astype(exact)
+    weights = (2 * STRONG) ** np.arange(KEY_PLACES)
+    out = []
+    for sign in signs.astype(exact):
+        turned = (matrix @ (grid * sign) @ matrix).reshape(-1, STRONG)
+        at = np.abs(turned).argmax(axis=1)
+        place = 2 * at + (turned[np.arange(len(at)), at] > 0)
+        out.append(place.reshape(len(sums), KEYS // TURNS, KEY_PLACES) @ weights)
+    return np.concatenate(out, axis=1)
+
+
+def _lists(table: np.ndarray) -> pa.Array:
+    """The rows of a table as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, table.shape[1], np.int32)), pa.array(table.ravel()))
 
 
 def segment_values(code: np.ndarray) -> np.ndarray:
-    """The segments of codes (one a row), each as a number of ``SEGMENT_BITS`` bits."""
+    """The segments of codes (one a row), each as a number of ``SEGMENT_BITS`` bits: values for a search with balls."""
     bits = np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS]
     return bits.reshape(len(code), SEGMENTS, SEGMENT_BITS).astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
 
@@ -172,47 +217,56 @@ PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """A row (key, set, check, label) for each node and segment; the key is the segment's number and value."""
-    keys = F.transform("values", lambda v, i: F.shiftleft(i.cast("long"), SEGMENT_BITS).bitwiseOR(v.cast("long")))
+    """A row (key, set, check, label) for each node and value; the key is the value's place and the value."""
+    keys = F.transform("values", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long")))
     return nodes.select(F.explode(keys).alias("key"), "set", "check", "label")
 
 
-def _leaders(nodes: DataFrame) -> DataFrame:
+def _leaders(nodes: DataFrame, ball: int = SEGMENT_BITS) -> DataFrame:
     """Pairs (a, b), a < b: each node with the most central near node that it meets, one pair a node at most.
 
-    A node is central that shares its segment values with many. The most central node of each value shared by two
-    or more looks through the ball around it, so the copies of one text meet that text and not each other.
+    A node is central that shares its values with many. The most central node of each value shared by two
+    or more looks through the ball around it (one of ``ball`` bits may differ; 0: equal values only), so the copies
+    of one text meet that text and not each other.
     """
     table = _entries(nodes)
     shared = table.join(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    if not ball:
+        # few rows, and all that can meet
+        table = shared = settle(shared)
     degree = shared.groupBy("set").agg(F.sum("n").alias("degree"))
     rank = F.struct("degree", -F.col("set"))
     head = F.struct(F.col("set").alias("a"), F.col("check").alias("check_a"), "degree")
-    first = shared.join(degree, "set").groupBy("key").agg(F.max_by(head, rank).alias("m")).select("key", "m.*")
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    probes = first.select(F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), "a", "check_a", "degree")
+    probes = shared.join(degree, "set").groupBy("key").agg(F.max_by(head, rank).alias("m")).select("key", "m.*")
+    if ball:
+        masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(ball)])
+        probes = probes.select(F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), "a", "check_a", "degree")
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_a"))) <= CHECK_BITS
     met = table.join(probes, "key").where(near & (F.col("set") != F.col("a")))
     best = met.groupBy("set").agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("a"))
     return best.select(F.least("set", "a").alias("a"), F.greatest("set", "a").alias("b")).distinct()
 
 
-def _balls(shelf: Shelf, nodes: DataFrame) -> DataFrame:
-    """All pairs of nodes with different labels that have segments within one bit, and near last words.
+def _balls(shelf: Shelf, nodes: DataFrame, ball: int = SEGMENT_BITS) -> DataFrame:
+    """All pairs of nodes with different labels that have values within one of ``ball`` bits (0: equal values), and near last words.
 
     Of two values that differ in one bit the one without it asks for the other; of two equal ones the lesser node
     asks. A probe goes on where its bucket holds another label; then labels meet before their nodes do, so
     nodes of one label are never paired, however many share a bucket.
     """
     table = shelf.put(_entries(nodes))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    free = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
-    probes = table.select(F.explode(free).alias("mask"), "key", "set", "check", "label").select(
-        F.col("key").bitwiseOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"), "set", "check", "label"
-    )
     kinds = table.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high"))
-    theirs = table.join(asked.select("key").distinct(), "key")
+    if ball:
+        masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(ball)])
+        free = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
+        probes = table.select(F.explode(free).alias("mask"), "key", "set", "check", "label").select(
+            F.col("key").bitwiseOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"), "set", "check", "label"
+        )
+        asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high"))
+        theirs = table.join(asked.select("key").distinct(), "key")
+    else:
+        probes = table.join(kinds.where("low <> high").select("key"), "key")
+        theirs = asked = shelf.put(probes.withColumn("same", F.lit(True)))
     theirs = shelf.put(theirs.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b")))
     labels = asked.select("key", "label").distinct().join(theirs.select("key", "label_b").distinct(), "key").where("label <> label_b")
     met = asked.join(shelf.put(labels), ["key", "label"]).join(theirs, ["key", "label_b"])
@@ -295,10 +349,14 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     def make(raw, at):
         small = zstandard.ZstdCompressor(level=3)
         sets = shingle_sets(raw, at, words)
-        codes = np.array([set_code(x) for x in sets], np.uint64).reshape(len(sets), CODE_WORDS)
+        codes, values = [np.zeros((0, CODE_WORDS), np.uint64)], [np.zeros((0, KEYS), np.int64)]
+        for a in range(0, len(sets), SUM_ROWS):
+            sums = np.array([set_sums(x) for x in sets[a : a + SUM_ROWS]])
+            codes.append(np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64))
+            values.append(strong_keys(sums))
         names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
         z = [small.compress(raw[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        rows = [pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array(segment_values(codes).tolist(), pa.list_(pa.int32()))]
+        rows = [_lists(np.concatenate(codes).view(np.int64)), _lists(np.concatenate(values).astype(np.int32))]
         return [*rows, pa.array(names.view(np.int64)), pa.array(z, pa.binary())]
 
     try:
@@ -306,11 +364,11 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
         first = F.min_by(F.struct("code", "values"), "rid").alias("m")
         nodes = shelf.put(rows.groupBy("set").agg(F.min("low").alias("low"), first).select("set", "low", "m.*"))
         nodes = nodes.withColumn("check", F.col("code")[CODE_WORDS - 1])
-        edges = _confirmed(shelf, shelf.put(_near(_leaders(nodes.withColumn("label", F.col("set"))), nodes)), rows, words, least)
+        edges = _confirmed(shelf, shelf.put(_near(_leaders(nodes.withColumn("label", F.col("set")), 0), nodes)), rows, words, least)
         merged = connected_components(edges)
-        named = nodes.join(merged, F.col("set") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set")).drop("node")
+        named = nodes.join(merged, F.col("set") == F.col("node"), "left").select("set", "values", "check", F.coalesce("label", "set").alias("label"))
         named = shelf.put(named)
-        more = _confirmed(shelf, shelf.put(_near(_balls(shelf, named), nodes)), rows, words, least)
+        more = _confirmed(shelf, shelf.put(_near(_balls(shelf, named, 0), nodes)), rows, words, least)
         labels = connected_components(edges.unionByName(more))
         grouped = nodes.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
         lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
