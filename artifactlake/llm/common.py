@@ -60,9 +60,9 @@ def chunks(raw: np.ndarray, at: np.ndarray, size: int = CHUNK) -> Iterator[tuple
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit number over all bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
+    x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
 
@@ -106,6 +106,13 @@ class Spans:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.back[start] + np.uint64(0x632BE59BD9B4E019))
 
+    def every(self, width: int) -> np.ndarray:
+        """``of`` for all stretches of ``width`` codes."""
+        out = self.total[width:] - self.total[:-width]
+        out *= self.back[: len(out)]
+        out += np.uint64(0x632BE59BD9B4E019)
+        return mix(out)
+
 
 def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the n + 1 word offsets of the rows."""

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import settle
 from .common import chunks, column, mix, release, text_bytes
-from .windows import KEY, Unit, byte_units, confirmed, gathered, keyed, keyed_stream, runs, with_texts
+from .windows import KEY, NEAR, Unit, byte_units, confirmed, keyed, keyed_stream, runs, with_texts
 
 WIDTH, GRAM = 200, 40
 #: batches of a one-off run over a whole table; bytes of text per index shard
@@ -44,7 +44,7 @@ def suffix_array(docs: DataFrame, unit: Unit, shards: int) -> DataFrame:
         held = [np.zeros(0, np.uint64)]
         for batch in batches:
             raw, at = text_bytes(column(batch, "text"))
-            held += [runs(*unit.codes(r, o), unit.width, unit.gram)["anchor"] for _, _, r, o in chunks(raw, at)]
+            held += [runs(*unit.codes(r, o), unit.width, unit.gram)["anchor"] for _, _, r, o in chunks(raw, at, NEAR)]
         keys, times = np.unique(np.concatenate(held), return_counts=True)
         shard = _shard(keys, shards)
         # stable: the codes of a shard stay sorted
@@ -165,22 +165,34 @@ def _cut(docs, id_col, text, keep, width, gram, batches, digests, as_text=False)
     stream = with_texts(marks, rows, list(KEY), [F.col("k1"), F.col("k2"), F.col("z").isNotNull()])
     own_type = _arrow_type(rows.schema["own"])
 
+    kinds = [own_type, pa.int64(), pa.int64(), pa.int64(), last_type]
+
     def cut(stream_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = []
         for (_, _, own), data, (start, n) in keyed_stream(stream_batches, ("start", "n")):
-            raw = np.frombuffer(data, np.uint8)
-            gone = covered(len(raw), start, n, width)
-            spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) and gone[0])
-            kept = raw[~gone].tobytes()
+            removed, spans, kept = 0, 0, data
+            if len(start):
+                raw = np.frombuffer(data, np.uint8)
+                gone = covered(len(raw), start, n, width)
+                removed = int(gone.sum())
+                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+                kept = raw[~gone].tobytes()
             if digests:
                 kept = hashlib.sha256(kept).hexdigest()
             elif as_text:
                 kept = kept.decode(errors="ignore")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([own.as_py()], own_type), pa.array([len(raw)]), pa.array([int(gone.sum())]), pa.array([spans]), pa.array([kept], last_type)],
-                names=schema.names,
-            )
+            made.append((own.as_py(), len(data), removed, spans, kept))
+            if len(made) >= 200:
+                yield _batch(made, kinds, schema.names)
+                made = []
+        if made:
+            yield _batch(made, kinds, schema.names)
+
+    return stream.mapInArrow(cut, schema)
+
 
-    return stream.mapInArrow(gathered(cut, 200), schema)
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
 def _arrow_type(field: T.StructField) -> pa.DataType:

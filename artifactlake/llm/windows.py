@@ -25,6 +25,8 @@ from .common import BYTE_CODES, Shelf, Spans, chunks, column, mix, signed, text_
 
 #: windows handled at once; longer documents are walked in overlapping stretches
 STRETCH = 1 << 21
+#: bytes of text whose windows are looked at together; their arrays stay near the processor
+NEAR = 1 << 18
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -40,17 +42,14 @@ def stretches(offsets: np.ndarray, width: int, limit: int = STRETCH) -> Iterator
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each ``w`` consecutive numbers (two scans over blocks of ``w``)."""
-    n = len(x) - w + 1
-    if n <= 0:
+    """Minimum of each ``w`` consecutive numbers (of spans that double in length)."""
+    if len(x) < w:
         return x[:0]
-    blocks = -(-len(x) // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    grid = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    size = 1
+    while 2 * size <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - w + size], x[w - size :])
 
 
 def runs(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
@@ -69,28 +68,28 @@ def runs(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dict[
 
 
 def _runs(codes, offsets, base, width, gram):
-    n = len(codes)
+    if len(codes) < width:
+        return (*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 2)
     spans = Spans(codes)
-    at = np.arange(max(0, n - gram + 1))
-    grams = spans.of(at, at + gram)
-    least = sliding_min((grams & ~_LOW) | at.astype(np.uint64), width - gram + 1)
-    anchor_at = (least & _LOW).astype(np.int64)
-    first = np.arange(len(anchor_at)) + base
-    row = np.searchsorted(offsets, first, side="right") - 1
-    whole = first + width <= offsets[row + 1]
-    new = np.ones(len(first), bool)
-    new[1:] = (anchor_at[1:] != anchor_at[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
-    new &= whole
+    grams = spans.every(gram)
+    least = grams & ~_LOW
+    least |= np.arange(len(grams), dtype=np.uint64)
+    least = sliding_min(least, width - gram + 1) & _LOW
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[offsets[(offsets >= base) & (offsets < base + len(new))] - base] = True
     starts = np.flatnonzero(new)
+    row = np.searchsorted(offsets, starts + base, side="right") - 1
+    # the last window of the row; those after it reach into the next
+    last = offsets[row + 1] - width - base
+    whole = starts <= last
+    starts, row, last = starts[whole], row[whole], last[whole]
     # a run ends before the next run's start or at the first window that leaves its row
-    ends = np.append(starts[1:], len(first))
-    ends = np.minimum(ends, offsets[row[starts] + 1] - width + 1 - base)
-    count = ends - starts
-    anchors = anchor_at[starts]
+    count = np.minimum(np.append(starts[1:], len(least)), last + 1) - starts
+    anchors = least[starts].astype(np.int64)
     piece = spans.of(starts, starts + count - 1 + width)
     piece = mix(piece + (anchors - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + count.astype(np.uint64))
-    rows = row[starts]
-    return rows, starts + base - offsets[rows], count, anchors - starts, grams[anchors], piece
+    return row, starts + base - offsets[row], count, anchors - starts, grams[anchors], piece
 
 
 @dataclass(frozen=True)
@@ -149,7 +148,7 @@ def run_rows(docs: DataFrame, unit: Unit) -> DataFrame:
         for batch in batches:
             raw, at = text_bytes(column(batch, "text"))
             k1, k2 = column(batch, "k1").to_numpy(), column(batch, "k2").to_numpy()
-            for a, _, r, o in chunks(raw, at):
+            for a, _, r, o in chunks(raw, at, NEAR):
                 got = runs(*unit.codes(r, o), unit.width, unit.gram)
                 row = got["row"] + a
                 cols = [pa.array(k1[row]), pa.array(k2[row]), *[pa.array(got[c].astype(np.int32)) for c in ("start", "n", "lead")], signed(got["anchor"]), signed(got["piece"])]
@@ -213,9 +212,9 @@ def _per_document(parts: DataFrame, docs: DataFrame, unit: Unit, names: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for row, data, marks in keyed_stream(batches, names):
+        for row, data, marks in keyed_stream(batches, names, False):
             # a repeated document is asked once
-            if not len(marks[0]) or row[:2] == last:
+            if row[:2] == last:
                 continue
             last = row[:2]
             codes, _ = unit.codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
@@ -263,10 +262,10 @@ def _single_windows(parts: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
     return _per_document(parts, docs, unit, ("start", "n", "low", "anchor", "c"), WINDOW_ROW, make)
 
 
-def keyed_stream(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
+def keyed_stream(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], unmarked: bool = True):
     """((k1, k2, own), text, marks) of each document of a ``with_texts`` stream sorted by key.
 
-    ``marks`` holds an array per name, of the rows with the document's key.
+    ``marks`` holds an array per name, of the rows with the document's key. Documents without any come if ``unmarked``.
     """
     plain = zstandard.ZstdDecompressor()
     held: list[list[np.ndarray]] = []
@@ -286,7 +285,7 @@ def keyed_stream(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]):
             first_doc = a + int(np.argmax(is_doc[a:b])) if is_doc[a:b].any() else b
             if first_doc > a:
                 held.append([c[a:first_doc] for c in cols])
-            if first_doc < b:
+            if first_doc < b and (held or unmarked):
                 marks = [np.concatenate([h[i] for h in held]) for i in range(len(names))] if held else [c[:0] for c in cols]
                 for i in range(first_doc, b):
                     yield (k1[i], k2[i], own[i]), plain.decompress(z[i].as_buffer()), marks
