@@ -27,6 +27,8 @@ from .windows import Unit, confirmed, keyed, recurring_anchors, shard_of, with_t
 WIDTH, GRAM = 35, 10
 #: text bytes of a shard, and letters of one automaton (a larger shard compiles several, one after another)
 SHARD_BYTES, AUTOMATON_LETTERS = 8 << 20, 2_000_000
+#: words of a shard that are held split; texts beyond them are split anew each time
+HELD_WORDS = 2_000_000
 #: rows and text bytes of one output batch
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -69,13 +71,16 @@ def locate(codes: np.ndarray, shown: str, automaton, passages: list[np.ndarray],
     n = len(codes)
     reach = width - tile
     tried: dict[tuple[int, int], int] = {}
+    # the stretch marked last, with those that touch it
+    low = high = 0
     for end, places in automaton.iter(shown):
         if end % 2 == 0:
             continue
         q = (end + 1) // 2 - tile
         for p, t in places:
             # all words of all windows around this tile are known already
-            if gone[max(0, q - reach) : min(n, q + width)].all():
+            first, last = max(0, q - reach), min(n, q + width)
+            if low <= first and last <= high or gone[first:last].all():
                 break
             if tried.get((p, q - t), -1) >= q:
                 continue
@@ -89,6 +94,10 @@ def locate(codes: np.ndarray, shown: str, automaton, passages: list[np.ndarray],
             tried[(p, q - t)] = q + right - tile
             if right >= tile and left + right >= width:
                 gone[q - left : q + right] = True
+                if q - left <= high and q + right >= low:
+                    low, high = min(low, q - left), max(high, q + right)
+                else:
+                    low, high = q - left, q + right
 
 
 OUT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -117,23 +126,37 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def clean(texts, marked):
         """Output rows of one shard; ``texts`` are (k1, k2, z, owners), ``marked`` maps a key to its sightings."""
         plain = zstandard.ZstdDecompressor()
+        held: dict[int, tuple] = {}
+        free = HELD_WORDS
+
+        def words(i):
+            nonlocal free
+            if i in held:
+                return held[i]
+            found = _words(plain.decompress(texts[i][2]))
+            if len(found[0]) <= free:
+                free -= len(found[0])
+                held[i] = found
+            return found
+
         passages: list[np.ndarray] = []
-        for k1, k2, z, _ in texts:
+        for i, (k1, k2, _, _) in enumerate(texts):
             if (k1, k2) in marked:
-                codes, _, _, _ = _words(plain.decompress(z))
-                start, n = (np.concatenate(x) for x in zip(*marked[(k1, k2)], strict=True))
+                codes = words(i)[0]
+                start, n = (np.array(x) for x in marked[(k1, k2)])
                 inside = covered(len(codes), start, n, 1)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
                 passages += [codes[a : b - 1 + width] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
         gone = [None] * len(texts)
         for automaton in compile_tiles(passages, tile):
-            for i, (_, _, z, _) in enumerate(texts):
-                codes, _, _, _ = _words(plain.decompress(z))
+            for i in range(len(texts)):
+                codes = words(i)[0]
                 if gone[i] is None:
                     gone[i] = np.zeros(len(codes), bool)
                 locate(codes, letters(codes), automaton, passages, tile, width, gone[i])
-        for i, (_, _, z, owners) in enumerate(texts):
-            codes, data, starts, ends = _words(plain.decompress(z))
+        for i, (_, _, _, owners) in enumerate(texts):
+            codes, data, starts, ends = words(i)
+            held.pop(i, None)
             out = gone[i] if gone[i] is not None else np.zeros(len(codes), bool)
             keep = np.flatnonzero(~out)
             kept = b" ".join([data[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
@@ -152,15 +175,17 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             shards_of, z = column(batch, "shard").to_pylist(), column(batch, "z")
             k1, k2 = column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist()
-            start, n = column(batch, "start").fill_null(0).to_numpy(), column(batch, "n").fill_null(0).to_numpy()
-            own = column(batch, "own")
+            start, n = column(batch, "start").to_pylist(), column(batch, "n").to_pylist()
+            own, is_text = column(batch, "own"), z.is_valid().to_pylist()
             for i in range(batch.num_rows):
                 if shards_of[i] != place:
                     yield from clean(texts, marked)
                     place, texts, marked = shards_of[i], [], {}
                 key = (k1[i], k2[i])
-                if not z[i].is_valid:
-                    marked.setdefault(key, []).append((start[i : i + 1], n[i : i + 1]))
+                if not is_text[i]:
+                    places = marked.setdefault(key, ([], []))
+                    places[0].append(start[i])
+                    places[1].append(n[i])
                 elif zstandard.frame_content_size(z[i].as_buffer()) == 0:
                     # a null or empty text has no words to look at, and does not wait for its shard
                     yield own[i].as_py(), 0, 0, nothing
@@ -188,4 +213,6 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def _words(data: bytes):
     raw = np.frombuffer(data, np.uint8)
     starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]))
-    return word_codes(raw, starts, ends), data, starts, ends
+    codes = word_codes(raw, starts, ends)
+    # places are kept beside their words: half as wide where they fit
+    return (codes, data, starts, ends) if len(raw) >> 31 else (codes, data, starts.astype(np.int32), ends.astype(np.int32))
