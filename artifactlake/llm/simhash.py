@@ -8,9 +8,12 @@ search, so copies make no pairs.
 
 ``similar_groups`` asks for similar texts instead of near fingerprints. Its SimHashes have 1,024 bits, and the sums behind
 the bits give 80 keys of 28 bits: the sums are turned 20 times, each time the place and sign of the largest of 64 give
-7 bits, and four such make a key. Texts with a common key are compared by 64 bits; complete distances and then the
-shingle sets decide. Sets of similarity 0.8 differ in about 15 % of the bits; one of the keys agrees in 95 of 100
-cases. Texts with nothing in common share a key once in 2**28 / 80 pairs, so meetings by chance stay few.
+7 bits, and four such make a key. Sets of similarity 0.8 differ in about 15 % of the bits; one of the keys agrees in 95 of
+100 cases. Texts with nothing in common share a key once in 2**28 / 80 pairs, so meetings by chance stay few. Texts with
+a common key are compared with the most central of them by 64 bits; complete distances and then the shingle sets
+decide. Those that are apart after that meet by their rarest shingles (``_rare_meetings``), which loses no similar pair:
+texts that share a long passage, or have a common origin but differ too much, are many and share keys, but each has
+shingles of its own.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..session import settle
-from .common import Shelf, Spans, annotate, column, give_back, mix, release, word_bounds, word_codes
+from .common import Shelf, Spans, annotate, column, give_back, mix, release, unpack, word_bounds, word_codes
 from .components import connected_components
 
 WIDTH = 64
@@ -140,6 +144,10 @@ SEGMENTS, SEGMENT_BITS, CODE_WORDS, CHECK_BITS, CODE_BITS = 16, 20, 16, 20, 180
 #: keys: turns of the sums, sums of which one is the largest, places of a key; rows whose sums are held at once
 TURNS, STRONG, KEY_PLACES, SUM_ROWS = 20, 64, 4, 256
 KEYS = TURNS * CODE_WORDS * WIDTH // (STRONG * KEY_PLACES)
+#: rows of a bucket whose nodes are compared with each other before the search by rare shingles
+FEW = 8
+#: classes of size in each power of e, for the meetings by rare shingles
+SIZE_CLASSES = 20
 #: bytes of shingle sets that a task of the exact comparison keeps
 KEPT_SETS = 16 << 20
 
@@ -247,32 +255,123 @@ def _leaders(nodes: DataFrame, ball: int = SEGMENT_BITS) -> DataFrame:
     return best.select(F.least("set", "a").alias("a"), F.greatest("set", "a").alias("b")).distinct()
 
 
-def _balls(shelf: Shelf, nodes: DataFrame, ball: int = SEGMENT_BITS) -> DataFrame:
+def _across(shelf: Shelf, asked: DataFrame, theirs: DataFrame, cond: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes with a common key and different labels that fulfil ``cond``.
+
+    Labels meet before their nodes do, so nodes of one label are never paired, however many share a key.
+    """
+    labels = asked.select("key", "label").distinct().join(theirs.select("key", "label_b").distinct(), "key").where("label <> label_b")
+    met = asked.join(shelf.put(labels), ["key", "label"]).join(theirs, ["key", "label_b"]).where(cond)
+    return met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
+
+
+def _apart(shelf: Shelf, table: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Nodes (set, label) that have a key in common with a node of another label.
+
+    Those that meet by chance stand in buckets of a few rows. There the last words are compared, so that the nodes that go on
+    stay in proportion to the input; of larger buckets all go on.
+    """
+    kinds = shelf.put(kinds)
+    shared = shelf.put(table.join(kinds, "key", "left_semi"))
+    many = shared.join(kinds.where(F.col("n") > FEW), "key", "left_semi")
+    few = shelf.put(shared.join(kinds.where(F.col("n") <= FEW), "key", "left_semi"))
+    theirs = few.select("key", F.col("check").alias("check_b"), F.col("label").alias("label_b"))
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
+    met = few.join(theirs, "key").where(near & (F.col("label") != F.col("label_b")))
+    return many.select("set", "label").unionByName(met.select("set", "label")).distinct()
+
+
+def _balls(shelf: Shelf, nodes: DataFrame, ball: int = SEGMENT_BITS, search=None) -> DataFrame:
     """All pairs of nodes with different labels that have values within one of ``ball`` bits (0: equal values), and near last words.
 
     Of two values that differ in one bit the one without it asks for the other; of two equal ones the lesser node
-    asks. A probe goes on where its bucket holds another label; then labels meet before their nodes do, so
-    nodes of one label are never paired, however many share a bucket.
+    asks. A probe goes on where its bucket holds another label. With ``search`` (equal values only) the pairs are those
+    that it finds among the nodes that ``_apart`` gives.
     """
     table = shelf.put(_entries(nodes))
-    kinds = table.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    kinds = table.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     if ball:
         masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(ball)])
         free = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
         probes = table.select(F.explode(free).alias("mask"), "key", "set", "check", "label").select(
             F.col("key").bitwiseOR(F.col("mask")).alias("key"), (F.col("mask") == 0).alias("same"), "set", "check", "label"
         )
-        asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high"))
+        asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high", "n"))
         theirs = table.join(asked.select("key").distinct(), "key")
     else:
-        probes = table.join(kinds.where("low <> high").select("key"), "key")
+        kinds = kinds.where("low <> high")
+        if search is not None:
+            return search(_apart(shelf, table, kinds))
+        probes = table.join(kinds, "key", "left_semi")
         theirs = asked = shelf.put(probes.withColumn("same", F.lit(True)))
     theirs = shelf.put(theirs.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b")))
-    labels = asked.select("key", "label").distinct().join(theirs.select("key", "label_b").distinct(), "key").where("label <> label_b")
-    met = asked.join(shelf.put(labels), ["key", "label"]).join(theirs, ["key", "label_b"])
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
-    met = met.where(near & (~F.col("same") | (F.col("set") < F.col("b"))))
-    return met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
+    return _across(shelf, asked, theirs, near & (~F.col("same") | (F.col("set") < F.col("b"))))
+
+
+def _texts(shelf: Shelf, rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One packed text (set, z) for each of the nodes ``asked``, and the table behind it."""
+    # one row stands for all of its node
+    first = shelf.put(rows.join(asked, "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid")))
+    return shelf.put(rows.join(first.select("rid"), "rid").select("set", "z")), first
+
+
+def _shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """A row (set, n, shingle) for each shingle of each text; n is their number in the text."""
+
+    def run(batches):
+        for batch in batches:
+            nodes = column(batch, "set").to_numpy()
+            for first, last, raw, at in unpack(column(batch, "z")):
+                sets = shingle_sets(raw, at, words)
+                n = np.array([len(x) for x in sets], np.int64)
+                parts = [np.repeat(nodes[first:last], n), np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["set", "n", "shingle"])
+            give_back()
+
+    return texts.mapInArrow(run, "set long, n long, shingle long")
+
+
+def _rare_meetings(shelf: Shelf, apart: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs of the nodes ``apart`` (set, label) with different labels whose shingle sets can have a similarity of ``least``.
+
+    Sets of n and m shingles are that similar if they share ``least / (1 + least) * (n + m)`` of them, so with all shingles
+    in one order, rare ones first, they share one within the first few; how few follows from the sizes.
+    Every node is found by the few that hold for an equal size, and asks for smaller ones by classes of
+    size. Where the first common shingle stands says how many can follow. No pair is lost.
+    """
+    texts, first = _texts(shelf, rows, apart)
+    all_rows = shelf.put(_shingle_rows(texts, words))
+    common = all_rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # a node's own shingles come first and meet nobody
+    node = W.partitionBy("set")
+    own = F.col("n") - F.count(F.lit(1)).over(node)
+    place = own + F.row_number().over(node.orderBy("f", "shingle"))
+    n, pos = F.col("n"), F.col("pos")
+
+    def need(sizes: Column) -> Column:
+        return F.ceil(sizes * (least / (1 + least)) - 1e-6)
+
+    smallest = F.ceil(n * least - 1e-6)
+    placed = all_rows.join(common, "shingle").withColumn("pos", place).where(pos <= n - need(n + smallest) + 1)
+    entries = shelf.put(placed.join(apart, "set").select("set", "label", "n", "shingle", "pos"))
+    shelf.drop(first, texts, all_rows)
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size) * SIZE_CLASSES)
+
+    theirs = entries.where(pos <= n - need(2 * n) + 1).select(
+        F.xxhash64("shingle", size_class(n)).alias("key"), F.col("set").alias("b"), F.col("label").alias("label_b"), n.alias("n_b"), pos.alias("pos_b")
+    )
+    least_of = F.greatest(smallest, F.floor(F.exp(F.col("size") / SIZE_CLASSES) * (1 - 1e-9)))
+    asked = entries.withColumn("size", F.explode(F.sequence(size_class(smallest), size_class(n)))).where(pos <= n - need(n + least_of) + 1)
+    asked = asked.select(F.xxhash64("shingle", "size").alias("key"), "set", "label", "n", "pos")
+    n_b = F.col("n_b")
+    follow = F.least(n - pos, n_b - F.col("pos_b")) + 1
+    smaller = (n_b < n) | ((n_b == n) & (F.col("b") < F.col("set")))
+    # from the written entries on, a few rows a node
+    asked, theirs = shelf.put(asked), shelf.put(theirs)
+    return _across(shelf, asked, theirs, smaller & (n_b >= smallest) & (follow >= need(n + n_b)))
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -287,9 +386,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs of nodes whose shingle sets have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    # one row stands for all of its node
-    first = shelf.put(rows.join(asked, "set", "left_semi").groupBy("set").agg(F.min("rid").alias("rid")))
-    texts = shelf.put(rows.join(first.select("rid"), "rid").select("set", "z"))
+    texts, first = _texts(shelf, rows, asked)
     both = pairs.join(texts.select(F.col("set").alias("b"), F.col("z").alias("zb")), "b")
     both = both.join(texts.select(F.col("set").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
 
@@ -334,8 +431,8 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     without a word (null and empty ones too). Rows without an id are as in ``near_groups``; ``set`` is the least
     set of a group without any id. A kept column with the name of a result column is replaced by the result.
 
-    First every set is compared with the most central one in reach, then, of sets that are not together
-    by then, all near ones. All tables stay in Spark.
+    First every set is compared with the most central one in reach, then, of sets that share a key and are not
+    together by then, all that can be similar. All tables stay in Spark.
     """
     spark = docs.sparkSession
     made = ["code", "values", "set", "z", "rid", "component_id"]
@@ -368,7 +465,8 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
         merged = connected_components(edges)
         named = nodes.join(merged, F.col("set") == F.col("node"), "left").select("set", "values", "check", F.coalesce("label", "set").alias("label"))
         named = shelf.put(named)
-        more = _confirmed(shelf, shelf.put(_near(_balls(shelf, named, 0), nodes)), rows, words, least)
+        more = _balls(shelf, named, 0, lambda apart: _rare_meetings(shelf, shelf.put(apart), rows, words, least))
+        more = _confirmed(shelf, shelf.put(more), rows, words, least)
         labels = connected_components(edges.unionByName(more))
         grouped = nodes.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
         lowest = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
