@@ -11,9 +11,10 @@ the bits give 80 keys of 28 bits: the sums are turned 20 times, each time the pl
 7 bits, and four such make a key. Sets of similarity 0.8 differ in about 15 % of the bits; one of the keys agrees in 95 of
 100 cases. Texts with nothing in common share a key once in 2**28 / 80 pairs, so meetings by chance stay few. Texts with
 a common key are compared with the most central of them by 64 bits; complete distances and then the shingle sets
-decide. Those that are apart after that meet by their rarest shingles (``_rare_meetings``), which loses no similar pair:
-texts that share a long passage, or have a common origin but differ too much, are many and share keys, but each has
-shingles of its own.
+decide. That joins most copies cheaply. What it leaves apart is found without keys: similar sets share a rare part
+(``_rare_parts``), and all that do so with a text of another group meet by their rarest shingles (``_rare_meetings``). Neither
+loses a similar pair: texts that share a long passage, or have a common origin but differ too much, are many, but each
+has shingles of its own.
 """
 
 from __future__ import annotations
@@ -150,6 +151,8 @@ FEW = 8
 SIZE_CLASSES = 20
 #: bytes of shingle sets that a task of the exact comparison keeps
 KEPT_SETS = 16 << 20
+#: parts: growth of a class of size, levels of finer parts, packed bytes of text for each bucket of their keys
+PART_CLASS, FINER, PART_BYTES = 1.5, (1, 4, 0), 2 << 20
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = SIMILAR_WORDS) -> list[np.ndarray]:
@@ -265,19 +268,19 @@ def _across(shelf: Shelf, asked: DataFrame, theirs: DataFrame, cond: Column) ->
     return met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
 
 
-def _apart(shelf: Shelf, table: DataFrame, kinds: DataFrame) -> DataFrame:
+def _apart(shelf: Shelf, table: DataFrame) -> DataFrame:
     """Nodes (set, label) that have a key in common with a node of another label.
 
     Those that meet by chance stand in buckets of a few rows. There the last words are compared, so that the nodes that go on
     stay in proportion to the input; of larger buckets all go on.
     """
-    kinds = shelf.put(kinds)
-    shared = shelf.put(table.join(kinds, "key", "left_semi"))
-    many = shared.join(kinds.where(F.col("n") > FEW), "key", "left_semi")
-    few = shelf.put(shared.join(kinds.where(F.col("n") <= FEW), "key", "left_semi"))
+    key = W.partitionBy("key")
+    told = table.withColumns({"low": F.min("label").over(key), "high": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)})
+    shared = shelf.put(told.where("low <> high").select("key", "set", "check", "label", "n"))
+    many, few = shared.where(F.col("n") > FEW), shared.where(F.col("n") <= FEW)
     theirs = few.select("key", F.col("check").alias("check_b"), F.col("label").alias("label_b"))
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
-    met = few.join(theirs, "key").where(near & (F.col("label") != F.col("label_b")))
+    met = few.select("key", "set", "check", "label").join(theirs, "key").where(near & (F.col("label") != F.col("label_b")))
     return many.select("set", "label").unionByName(met.select("set", "label")).distinct()
 
 
@@ -299,10 +302,9 @@ def _balls(shelf: Shelf, nodes: DataFrame, ball: int = SEGMENT_BITS, search=None
         asked = shelf.put(probes.join(kinds, "key").where("label <> low OR label <> high").drop("low", "high", "n"))
         theirs = table.join(asked.select("key").distinct(), "key")
     else:
-        kinds = kinds.where("low <> high")
         if search is not None:
-            return search(_apart(shelf, table, kinds))
-        probes = table.join(kinds, "key", "left_semi")
+            return search(_apart(shelf, table))
+        probes = table.join(kinds.where("low <> high"), "key", "left_semi")
         theirs = asked = shelf.put(probes.withColumn("same", F.lit(True)))
     theirs = shelf.put(theirs.select("key", F.col("set").alias("b"), F.col("check").alias("check_b"), F.col("label").alias("label_b")))
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
@@ -374,6 +376,149 @@ def _rare_meetings(shelf: Shelf, apart: DataFrame, rows: DataFrame, words: int,
     return _across(shelf, asked, theirs, smaller & (n_b >= smallest) & (follow >= need(n + n_b)))
 
 
+def _size_classes(most: int, least: float) -> np.ndarray:
+    """First sizes of the classes up to two beyond the size ``most``; similar sets are in one class or in neighbouring ones."""
+    first, growth = [1], max(PART_CLASS, 1 / least)
+    while len(first) < 3 or first[-3] <= most:
+        first.append(int(np.ceil(first[-1] * growth)) + (growth * first[-1] < first[-1] + 1))
+    return np.array(first, np.int64)
+
+
+def part_keys(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their rows, marks) of the parts of sorted sets; a mark is (row, tag, spare parts).
+
+    A pair follows the scheme of its larger set's class: the range of hashes is cut into equal parts, and a key stands for
+    all that a set holds of one part. Where two sets differ in d shingles, all parts but d are the same, so of the parts
+    that are not empty a set can miss as many as exceed d and one: its spare parts. Where a set has too few parts for any
+    partner, they are cut finer, at last into single shingles. Keys end in three bits of their tag (level and scheme).
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    codes, row = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(n)), n)
+    first = _size_classes(int(n.max(initial=0)), least)
+    own = np.searchsorted(first, n, "right") - 1
+    widest = np.floor(n / least + 1e-6).astype(np.int64)
+    keys, rows, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+    for up in (0, 1):
+        scheme = own + up
+        takes = (n > 0) & ((up == 0) | (widest >= first[np.minimum(scheme, len(first) - 1)]))
+        # as many shingles can differ between the set and its largest partner
+        partner = widest if up else np.minimum(widest, first[np.minimum(own + 1, len(first) - 1)] - 1)
+        differ = np.floor((n + partner) * ((1 - least) / (1 + least)) + 1e-6).astype(np.int64)
+        wide = np.maximum(1, np.ceil(first[np.minimum(scheme + 1, len(first) - 1)] * ((1 - least) / least))).astype(np.uint64)
+        for level, finer in enumerate(FINER):
+            at = np.flatnonzero(takes[row])
+            if not len(at):
+                break
+            of, held = row[at], codes[at]
+            if finer:
+                part = ((held >> np.uint64(32)) * (wide[of] * np.uint64(finer))) >> np.uint64(32)
+                allowed = differ
+            else:
+                # a shingle alone: only those that the partner lacks are lost
+                part, allowed = np.arange(len(at), dtype=np.uint64), np.floor(n * (1 - least) + 1e-6).astype(np.int64)
+            begins = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (part[1:] != part[:-1]))))
+            owner = of[begins]
+            tag = (level << 1) | (scheme & 1)
+            total = np.add.reduceat(mix(held), begins)
+            where = part[begins] if finer else np.zeros(len(begins), np.uint64)
+            salt = mix((scheme[owner] * 8 + level + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            made = mix(total + salt + where * np.uint64(0xC2B2AE3D27D4EB4F))
+            keys.append((made & ~np.uint64(7)) | tag[owner].astype(np.uint64))
+            rows.append(owner)
+            count = np.bincount(owner, minlength=len(n))
+            who = np.flatnonzero(takes)
+            free = np.maximum(count - allowed - 1, 0)
+            marks.append(np.stack([who, tag[who], free[who]], axis=1))
+            takes = takes & (count <= allowed)
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(marks)
+
+
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    """The numbers of a column of packed arrays."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name)), kind)
+
+
+def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """One row for each bucket with its numbers of each column, packed."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(bucket)) if len(cuts) else cuts
+    packed = [[c[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)] for c in (x[order] for x in columns)]
+    return [pa.array(bucket[cuts]), *[pa.array(p, pa.binary()) for p in packed]]
+
+
+def _rare_parts(shelf: Shelf, labelled: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Nodes (set, label) of ``labelled`` that share one of their rare parts with a node of another label.
+
+    Two sets of similarity ``least`` share one of the parts (``part_keys``) that are left when each puts its spare
+    ones aside, whatever the order; here the commonest are put aside. Parts of one owner come first and meet nobody. Of
+    each similar pair with different labels both nodes are in the result, with or without a key of SimHashes in common.
+    Keys travel packed, a row for each batch and bucket.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("z"))).first()[0] or 0
+    buckets = max(-(-size // PART_BYTES), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def of_set(sets: np.ndarray) -> np.ndarray:
+        return (mix(sets.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            nodes = column(batch, "set").to_numpy()
+            # copies in one batch count once
+            once = np.sort(np.unique(nodes, return_index=True)[1])
+            nodes = nodes[once]
+            for first, last, raw, at in unpack(column(batch, "z").take(pa.array(once))):
+                keys, owner, marks = part_keys(shingle_sets(raw, at, words), least)
+                sets = nodes[first:last]
+                for parts in (
+                    _dealt((keys >> np.uint64(3)).astype(np.int64) % buckets, keys.view(np.int64), sets[owner]),
+                    # marks go to the buckets of sets, past the counting
+                    _dealt(-1 - of_set(sets[marks[:, 0]]), marks[:, 2] << 3 | marks[:, 1], sets[marks[:, 0]], np.full(len(marks), -1)),
+                ):
+                    if len(parts) == 3:
+                        parts.append(pa.nulls(len(parts[0]), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(parts, names=["bucket", "keys", "sets", "owners"])
+            give_back()
+
+    def count(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table.set_column(0, "bucket", pa.array(np.full(len(table), -1 - bucket)))
+        keys, sets = _joined(table, "keys", np.uint64), _joined(table, "sets", np.int64)
+        order = np.lexsort((sets, keys))
+        keys, sets = keys[order], sets[order]
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])))
+        keys, sets = keys[fresh], sets[fresh]
+        begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        owners = np.repeat(np.diff(np.append(begins, len(keys))), np.diff(np.append(begins, len(keys))))
+        keys, sets, owners = (x[owners > 1] for x in (keys, sets, owners))
+        return pa.table(_dealt(of_set(sets), keys, sets, owners), names=["bucket", "keys", "sets", "owners"])
+
+    def rare(table: pa.Table) -> pa.Table:
+        keys, sets, owners = (_joined(table, c, np.int64) for c in ("keys", "sets", "owners"))
+        order = np.lexsort((keys.view(np.uint64), owners, keys & 7, sets))
+        keys, sets, owners = keys[order], sets[order], owners[order]
+        # several copies bring the same mark
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]) | (owners[1:] != owners[:-1])))
+        keys, sets, owners = keys[fresh], sets[fresh], owners[fresh]
+        begins = np.flatnonzero(owners < 0)
+        long = np.diff(np.append(begins, len(keys)))
+        group = np.repeat(np.arange(len(begins)), long)
+        place = np.arange(len(keys)) - begins[group]
+        kept = (place > 0) & (place < long[group] - (keys[begins] >> 3)[group])
+        return pa.table({"key": keys[kept], "set": sets[kept]})
+
+    packed = "bucket long, keys binary, sets binary, owners binary"
+    counted = rows.select("set", "z").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(count, packed)
+    entries = shelf.put(counted.groupBy("bucket").applyInArrow(rare, "key long, set long"))
+    release(spark)
+    key = W.partitionBy("key")
+    met = entries.join(labelled, "set").withColumns({"low": F.min("label").over(key), "high": F.max("label").over(key)})
+    return met.where("low <> high").select("set", "label").distinct()
+
+
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose complete codes differ in ``CODE_BITS`` bits at most."""
     code = nodes.select("set", "code")
@@ -426,13 +571,12 @@ def _confirmed(shelf: Shelf, pairs: DataFrame, rows: DataFrame, words: int, leas
 def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILAR, id_col: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
     """``keep`` columns (the id at least), ``set`` and ``component_id`` of each row.
 
-    Links join texts whose ``words``-word shingle sets have a Jaccard similarity of ``least`` or more, if the
-    search for near SimHashes proposes them. Texts with the same set are always together, so are all texts
+    Links join all texts whose ``words``-word shingle sets have a Jaccard similarity of ``least`` or more. Texts with the same set are always together, so are all texts
     without a word (null and empty ones too). Rows without an id are as in ``near_groups``; ``set`` is the least
     set of a group without any id. A kept column with the name of a result column is replaced by the result.
 
-    First every set is compared with the most central one in reach, then, of sets that share a key and are not
-    together by then, all that can be similar. All tables stay in Spark.
+    First every set is compared with the most central one in reach, then, of sets that share a key or a rare part and are
+    not together by then, all that can be similar. All tables stay in Spark.
     """
     spark = docs.sparkSession
     made = ["code", "values", "set", "z", "rid", "component_id"]
@@ -465,7 +609,8 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
         merged = connected_components(edges)
         named = nodes.join(merged, F.col("set") == F.col("node"), "left").select("set", "values", "check", F.coalesce("label", "set").alias("label"))
         named = shelf.put(named)
-        more = _balls(shelf, named, 0, lambda apart: _rare_meetings(shelf, shelf.put(apart), rows, words, least))
+        parts = shelf.put(_rare_parts(shelf, named.select("set", "label"), rows, words, least))
+        more = _balls(shelf, named, 0, lambda apart: _rare_meetings(shelf, shelf.put(apart.union(parts).distinct()), rows, words, least))
         more = _confirmed(shelf, shelf.put(more), rows, words, least)
         labels = connected_components(edges.unionByName(more))
         grouped = nodes.join(labels, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("label", "set").alias("label"))
