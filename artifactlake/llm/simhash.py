@@ -275,8 +275,10 @@ def _apart(shelf: Shelf, table: DataFrame) -> DataFrame:
     stay in proportion to the input; of larger buckets all go on.
     """
     key = W.partitionBy("key")
-    told = table.withColumns({"low": F.min("label").over(key), "high": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)})
-    shared = shelf.put(told.where("low <> high").select("key", "set", "check", "label", "n"))
+    told = {"low": F.min("label").over(key), "high": F.max("label").over(key), "n": F.count(F.lit(1)).over(key)}
+    shared = shelf.put(table.withColumns(told).where("low <> high").select("key", "set", "check", "label", "n"))
+    # the window's shuffle and the entries are the largest tables of the search
+    release(shelf.spark)
     many, few = shared.where(F.col("n") > FEW), shared.where(F.col("n") <= FEW)
     theirs = few.select("key", F.col("check").alias("check_b"), F.col("label").alias("label_b"))
     near = F.bit_count(F.col("check").bitwiseXOR(F.col("check_b"))) <= CHECK_BITS
@@ -511,12 +513,17 @@ def _rare_parts(shelf: Shelf, labelled: DataFrame, rows: DataFrame, words: int,
         return pa.table({"key": keys[kept], "set": sets[kept]})
 
     packed = "bucket long, keys binary, sets binary, owners binary"
-    counted = rows.select("set", "z").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(count, packed)
-    entries = shelf.put(counted.groupBy("bucket").applyInArrow(rare, "key long, set long"))
+    # not named: what a name holds stays on disk
+    entries = shelf.put(
+        rows.select("set", "z").mapInArrow(deal, packed).groupBy("bucket").applyInArrow(count, packed)
+        .groupBy("bucket").applyInArrow(rare, "key long, set long")
+    )
     release(spark)
     key = W.partitionBy("key")
-    met = entries.join(labelled, "set").withColumns({"low": F.min("label").over(key), "high": F.max("label").over(key)})
-    return met.where("low <> high").select("set", "label").distinct()
+    low, high = F.min("label").over(key).alias("low"), F.max("label").over(key).alias("high")
+    found = shelf.put(entries.join(labelled, "set").select("set", "label", low, high).where("low <> high").select("set", "label").distinct())
+    shelf.drop(entries)
+    return found
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -609,7 +616,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
         merged = connected_components(edges)
         named = nodes.join(merged, F.col("set") == F.col("node"), "left").select("set", "values", "check", F.coalesce("label", "set").alias("label"))
         named = shelf.put(named)
-        parts = shelf.put(_rare_parts(shelf, named.select("set", "label"), rows, words, least))
+        parts = _rare_parts(shelf, named.select("set", "label"), rows, words, least)
         more = _balls(shelf, named, 0, lambda apart: _rare_meetings(shelf, shelf.put(apart.union(parts).distinct()), rows, words, least))
         more = _confirmed(shelf, shelf.put(more), rows, words, least)
         labels = connected_components(edges.unionByName(more))
